@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     # a source's rows are dealt to leaves by hash, so that no source meets in one task
     nodes = joined.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.greatest("leaves", F.lit(1)))).withColumn("carry", F.lit(0.0)).withColumn("whole", F.floor("rate"))
     nodes = nodes.select("doc_id", "source", "size", "source_size", "target", "leaves", "whole", ((F.col("rate") - F.col("whole")) * F.col("size")).alias("mass"), "chance", "node", "carry")
-    schema = nodes.schema.add("up", "byte")
+    schema = ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", up tinyint"
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy().astype(np.float64)

@@ -53,7 +53,7 @@ def text_fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED)
     per = np.diff(offsets)
     if not len(words):
         return np.zeros(len(per), np.uint64)
-    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), words.cast(pa.large_string()))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words.cast(pa.string()))
     raw, _ = string_parts(pc.binary_join(lists, " "))
     size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(len(per)), per)
