@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quern.llm._shared import materialised, unit_hash
 
 #: Weights of the sources in order, repeating; most copies of a document; documents of a leaf, about; children of a node.
-WEIGHTS, MOST_COPIES, LEAF_ROWS, FAN_IN = (1.0, 2.0, 3.0), 3.0, 20_000, 64
+WEIGHTS, MOST_COPIES, LEAF_ROWS, FAN_IN = (1.0, 2.0, 3.0), 3.0, 2048, 64
 #: Documents that a leaf leaves open for the nodes above it.
 OPEN_ROWS = 16
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -97,7 +97,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         size = table.column("size").to_numpy().astype(np.float64)
         chance, mass = table.column("chance").to_numpy(), table.column("mass").to_numpy()
         carry = float(table.column("carry").to_numpy().sum())
-        order = np.lexsort((table.column("doc_id").fill_null(-1).to_numpy(), chance, -size))
+        # documents without words carry nothing and come first; the smallest of the others stay open
+        order = np.lexsort((table.column("doc_id").fill_null(-1).to_numpy(), chance, -size, size > 0))
         keep = min(OPEN_ROWS, table.num_rows) if table.column("leaves")[0].as_py() > 1 else 0
         up, carry = pivot(size[order], mass[order], chance[order], carry, keep)
         out = np.empty_like(up)
