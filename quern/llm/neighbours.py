@@ -138,7 +138,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, count: int = NEIGHBOURS, fac
     """
     shards = materialised(_packed(usable(vectors, id_column, vector_column), SHARD_ROWS, 3), "shards").withColumnRenamed("ids", "shard_ids").withColumnRenamed("data", "shard_data").withColumnRenamed("part", "shard")
     blocks = materialised(_packed(usable(queries, id_column, vector_column), BLOCK_ROWS, 5), "blocks")
-    pairs = shards.join(blocks, "width")
+    # each block is sent to each shard of its width; a shard is a key of its own, so that shards spread over tasks
+    keys = shards.groupBy("width").agg(F.max("shard").alias("most"))
+    sent = blocks.join(F.broadcast(keys), "width").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), "most"))).drop("most")
+    tasks = max(1, min(2000, shards.count()))
+    pairs = shards.repartition(tasks, "width", "shard").join(sent.repartition(tasks, "width", "shard"), ["width", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None
