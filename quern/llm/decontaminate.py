@@ -28,6 +28,13 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
 
 
+def hashed_values(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings without nulls."""
+    raw, ends = string_parts(strings)
+    digest, ends = xxhash.xxh64_intdigest, ends.tolist()
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, len(ends) - 1)
+
+
 def word_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of each text's words and 64-bit hashes of all words: runs of letters and digits in lower case. Each distinct word is hashed once."""
     lists = pc.split_pattern_regex(pc.utf8_lower(texts), "[^\\p{L}\\p{N}]+")
@@ -35,9 +42,7 @@ def word_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     offsets = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
     coded = words.filter(pa.array(full)).dictionary_encode()
-    raw, ends = string_parts(coded.dictionary)
-    digest, ends = xxhash.xxh64_intdigest, ends.tolist()
-    known = np.fromiter((digest(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.uint64, len(ends) - 1)
+    known = hashed_values(coded.dictionary)
     return offsets, known[coded.indices.to_numpy()] if len(known) else np.empty(0, np.uint64)
 
 
