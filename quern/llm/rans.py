@@ -24,7 +24,7 @@ LANES, STEPS, CHECK_STEPS, BITS = 512, 512, 256, 20
 _LOW = 1 << 31
 MAGIC = b"QRANS01\n"
 #: Ids of a file, about, the id after each document, and bytes of text that are encoded at a time.
-FILE_IDS, END, TEXT_BYTES = 4 << 20, 0, 12 << 20
+FILE_IDS, END, TEXT_BYTES = 4 << 20, 0, 8 << 20
 
 
 def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

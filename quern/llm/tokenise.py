@@ -22,8 +22,12 @@ _PROBES = ["", " ", "a", " a", "a b", "it's 12 o'clock, isn't it?", "x\ny z\n w"
 #: Signs at the end of a part that are pieces of their own where a letter or digit is before them.
 _TAIL = "([\\p{L}\\p{N}])[!-/:-@\\[-`{-~]+$"
 _HEAD = "(?s)^.*[\\p{L}\\p{N}]([!-/:-@\\[-`{-~]+)$"
-#: Parts whose ids are kept from batch to batch, at most, to bound memory; about 100 MB.
-CACHE_PARTS = 600_000
+#: Parts whose ids are kept from batch to batch, at most, to bound memory; about 30 MB.
+CACHE_PARTS = 1_000_000
+
+
+def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), pa.array(flat))
 
 
 class BatchTokenizer:
@@ -37,8 +41,7 @@ class BatchTokenizer:
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65,536 ids")
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.places: dict[str, int] = {}
-        self.sizes, self.flat = np.zeros(0, np.int32), np.zeros(0, np.uint16)
+        self.seen: dict[str, tuple[pa.Array, pa.ListArray]] = {}
         self.by_parts = True
         probes = pa.array(_PROBES, pa.large_string())
         counts, ids = self.encode(probes)
@@ -54,21 +57,19 @@ class BatchTokenizer:
             flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint16, int(sizes[-1].sum())))
         return np.concatenate([np.zeros(0, np.int32), *sizes]), np.concatenate([np.zeros(0, np.uint16), *flat])
 
-    def _known(self, parts: list[str]) -> pa.ListArray:
-        """The ids of each part."""
-        places = np.fromiter((self.places.get(p, -1) for p in parts), np.int64, len(parts))
-        new = np.flatnonzero(places < 0)
-        fresh = [parts[i] for i in new.tolist()]
-        sizes, flat = self._plain(fresh)
-        places[new] = len(self.sizes) + np.arange(len(new))
-        sizes, flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        if room := max(0, CACHE_PARTS - len(self.places)):
-            kept = fresh[:room]
-            self.places |= zip(kept, range(len(self.sizes), len(self.sizes) + len(kept)), strict=True)
-            self.sizes = sizes[: len(self.sizes) + len(kept)]
-            self.flat = flat[: int(self.sizes.sum(dtype=np.int64))]
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).take(pa.array(places))
+    def _known(self, parts: pa.Array, prefix: str) -> pa.ListArray:
+        """The ids of `prefix` and each of the distinct parts; those seen before are looked up."""
+        seen, lists = self.seen.get(prefix, (parts.slice(0, 0), _lists(np.zeros(0, np.int64), np.zeros(0, np.uint16))))
+        at = pc.index_in(parts, value_set=seen)
+        new = parts.filter(at.is_null())
+        lists = pa.concat_arrays([lists, _lists(*self._plain([prefix + w for w in new.to_pylist()]))])
+        at = at.to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), -1, at).astype(np.int64) if at.dtype.kind == "f" else at.astype(np.int64)
+        at[at < 0] = len(seen) + np.arange(len(new))
+        if room := max(0, CACHE_PARTS - len(seen)):
+            seen = pa.concat_arrays([seen, new.slice(0, room)])
+            self.seen[prefix] = seen, lists.slice(0, len(seen))
+        return lists.take(pa.array(at))
 
     def _words(self, words: pa.Array) -> pa.ListArray:
         """The ids of a blank and each word, by way of the words without the signs at their end."""
@@ -79,9 +80,8 @@ class BatchTokenizer:
         heads = pc.if_else(cut, heads, words)
         tails = pc.if_else(cut, pc.replace_substring_regex(words, _HEAD, "\\1"), "")
         heads, tails = heads.dictionary_encode(), tails.dictionary_encode()
-        names = [" " + w for w in heads.dictionary.to_pylist()]
-        known = self._known(names + tails.dictionary.to_pylist())
-        both = np.stack([heads.indices.to_numpy().astype(np.int64), tails.indices.to_numpy() + len(names)], axis=1).ravel()
+        known = pa.concat_arrays([self._known(heads.dictionary, " "), self._known(tails.dictionary, "")])
+        both = np.stack([heads.indices.to_numpy().astype(np.int64), tails.indices.to_numpy() + len(heads.dictionary)], axis=1).ravel()
         joined = known.take(pa.array(both))
         return pa.ListArray.from_arrays(pa.array(joined.offsets.to_numpy()[::2], pa.int32()), joined.values)
 
@@ -107,8 +107,7 @@ class BatchTokenizer:
         at_whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         codes[first[at_whole]] = len(words) + len(starts) + np.arange(len(at_whole))
         more, more_ids = self._plain(texts.take(pa.array(at_whole)).to_pylist())
-        ends = np.concatenate([[0], np.cumsum(np.concatenate([sizes, more]), dtype=np.int64)])
-        known = pa.concat_arrays([self._words(words), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([ids, more_ids])))])
+        known = pa.concat_arrays([self._words(words), _lists(np.concatenate([sizes, more]), np.concatenate([ids, more_ids]))])
         out = known.take(pa.array(codes))
         ends = out.offsets.to_numpy().astype(np.int64)
         return ends[offsets[1:]] - ends[offsets[:-1]], out.values.to_numpy()
