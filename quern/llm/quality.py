@@ -19,7 +19,7 @@ from quern.llm._shared import text_slices
 from quern.llm.decontaminate import hashed_values
 
 #: Weights; words of the longest n-gram; labelled rows that a model learns from, at most; passes over them; threshold of label 1.
-SIZE, NGRAM, TRAIN_ROWS, PASSES, THRESHOLD = 1 << 18, 2, 6000, 2, 0.7
+SIZE, NGRAM, TRAIN_ROWS, PASSES, THRESHOLD = 1 << 18, 2, 4000, 2, 0.7
 #: Rate, smoothing and both penalties of the learner; features are shares times SCALE.
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.001, 0.1, 20.0
 _MIX, _MARK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,11 +52,14 @@ def features(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
 
 def train(texts: list[str | None], labels: list[int], size: int = SIZE, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """Weights and bias of a model that follows the regularised leader, one text at a time, in the order given. Labels count equally as classes."""
-    offsets, places = features(pa.array([t or "" for t in texts], pa.large_string()), size)
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     positive = max(1, sum(labels))
     weight_of = {1: len(labels) / (2 * positive), 0: len(labels) / (2 * max(1, len(labels) - positive))}
-    rows = [np.unique(places[a:b], return_counts=True) for a, b in zip(offsets, offsets[1:], strict=False)]
+    rows = []
+    for start in range(0, len(texts), 64):
+        offsets, places = features(pa.array([t or "" for t in texts[start : start + 64]], pa.large_string()), size)
+        counted = [np.unique(places[a:b].astype(np.int32), return_counts=True) for a, b in zip(offsets, offsets[1:], strict=False)]
+        rows += [(at, count.astype(np.int32)) for at, count in counted]
     solve = lambda z, n: np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     for _ in range(passes):
         for (at, count), label in zip(rows, labels, strict=True):
@@ -95,8 +98,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column
     marked = marked.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").where(~held_out("id"))
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "label")
     found = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    found = found.orderBy(F.xxhash64("id", F.lit(1)), "id", "text").limit(rows).collect()
-    return [r["text"] for r in found], [r["label"] for r in found]
+    found = found.orderBy(F.xxhash64("id", F.lit(1)), "id", "text").limit(rows).select("text", "label").toArrow()
+    return found.column("text").to_pylist(), found.column("label").to_pylist()
 
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", prefix: str = "") -> DataFrame:
