@@ -128,10 +128,10 @@ def remixed(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs with each row as often as mixed() takes it. Rows that share an id and a size share out their copies; rows without an id go by it too."""
     sized = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     plan = mixed(docs, id_column)
-    # rows that share id, source and size are numbered on both sides; elsewhere the number is 1
-    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))
+    # rows that share id, source and size are numbered on both sides, in an order that a second reading gives again
+    number = lambda order, *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "copies")
-    plan = plan.withColumn("__no", number("__id", "__source", "__of"))
-    sized = sized.withColumn("__row", number(F.col(id_column).cast("long"), "source", "__size"))
+    plan = plan.withColumn("__no", number("copies", "__id", "__source", "__of"))
+    sized = sized.withColumn("__row", number(F.xxhash64("text"), F.col(id_column).cast("long"), "source", "__size"))
     match = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")) & (F.col("__row") == F.col("__no"))
     return sized.join(plan.where("copies > 0"), match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(c) for c in docs.columns])
