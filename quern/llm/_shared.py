@@ -83,6 +83,11 @@ def attempt_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{task.partitionId():06d}-{task.taskAttemptId()}{suffix}"
 
 
+def fresh(strings: pa.Array) -> pa.Array:
+    """The strings as large_string (null: empty) in buffers of their own: some kernels misread those of a slice."""
+    return pc.fill_null(strings.take(pa.array(np.arange(len(strings)))), "").cast(pa.large_string())
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batch in runs of rows of about `limit` bytes of text at most (a longer text is alone), with the texts; null: empty."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -91,9 +96,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     while start < batch.num_rows:
         base = int(sizes[start - 1]) if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
-        # take() gives arrays of offset zero, so that buffers can be read as they are
-        part = batch.slice(start, end - start)
-        yield part, pc.fill_null(texts.slice(start, end - start), "").cast(pa.large_string())
+        yield batch.slice(start, end - start), fresh(texts.slice(start, end - start))
         start = end
 
 
