@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import reachable
-from quern.llm import decontaminate, mixing, neighbours, quality, rans, secrets, simhash, urls, warc
+from quern.llm import decontaminate, lm, mixing, neighbours, quality, rans, secrets, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.token_round_trip(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op7_token_files, op8_url_filter, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.oracle_sql(),

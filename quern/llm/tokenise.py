@@ -71,7 +71,7 @@ class BatchTokenizer:
             self.seen[prefix] = seen, lists.slice(0, len(seen))
         return lists.take(pa.array(at))
 
-    def _words(self, words: pa.Array) -> pa.ListArray:
+    def words(self, words: pa.Array) -> pa.ListArray:
         """The ids of a blank and each word, by way of the words without the signs at their end."""
         heads = pc.replace_substring_regex(words, _TAIL, "\\1")
         cut = pc.less(pc.binary_length(heads), pc.binary_length(words))
@@ -107,7 +107,7 @@ class BatchTokenizer:
         at_whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         codes[first[at_whole]] = len(words) + len(starts) + np.arange(len(at_whole))
         more, more_ids = self._plain(texts.take(pa.array(at_whole)).to_pylist())
-        known = pa.concat_arrays([self._words(words), _lists(np.concatenate([sizes, more]), np.concatenate([ids, more_ids]))])
+        known = pa.concat_arrays([self.words(words), _lists(np.concatenate([sizes, more]), np.concatenate([ids, more_ids]))])
         out = known.take(pa.array(codes))
         ends = out.offsets.to_numpy().astype(np.int64)
         return ends[offsets[1:]] - ends[offsets[:-1]], out.values.to_numpy()
