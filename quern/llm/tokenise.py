@@ -15,14 +15,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quern.llm._shared import string_parts
+
 _SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A blank that has white space on both sides, or before it and the text's end after it.
 _INNER = f"{_SPACE} ({_SPACE}|$)"
+#: White space that str.split() does not know alike.
+_ODD = set("\x1c\x1d\x1e\x1f\x85")
 _PROBES = ["", " ", "a", " a", "a b", "it's 12 o'clock, isn't it?", "x\ny z\n w", "Größe éà 漢字 1234 5", "a\tb c\t d", "tab \tq", "nl \nq", "<|endoftext|> a <|endoftext|>", "a.b, (c) d-e_f #1! ''s 's", " a  b", "q  r", "trailing ", "\ttab", "!! ?? A1b2 3c4"]
-#: Signs at the end of a part that are pieces of their own where a letter or digit is before them.
-_TAIL = "([\\p{L}\\p{N}])[!-/:-@\\[-`{-~]+$"
-_HEAD = "(?s)^.*[\\p{L}\\p{N}]([!-/:-@\\[-`{-~]+)$"
-#: Parts whose ids are kept from batch to batch, at most, to bound memory; about 30 MB.
+#: Signs that, at the end of a part and after a letter or digit, are pieces of their own.
+_SIGNS, _BEFORE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "[\\p{L}\\p{N}]$"
+#: Parts whose ids are kept from batch to batch, at most, to bound memory; about 170 MB.
 CACHE_PARTS = 1_000_000
 
 
@@ -41,14 +44,16 @@ class BatchTokenizer:
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65,536 ids")
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
-        self.seen: dict[str, tuple[pa.Array, pa.ListArray]] = {}
+        self.seen: dict[str, tuple[dict[str, int], pa.ListArray]] = {}
+        ends = self.inner.encode("\n", add_special_tokens=False).ids
+        self.line_end = ends[0] if len(ends) == 1 else -1
         self.by_parts = True
         probes = pa.array(_PROBES, pa.large_string())
         counts, ids = self.encode(probes)
-        plain, plain_ids = self._plain(_PROBES)
+        plain, plain_ids = self.plain(_PROBES)
         self.by_parts = np.array_equal(ids, plain_ids) and np.array_equal(counts, plain)
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each text and all ids."""
         sizes, flat = [], []
         for start in range(0, len(texts), 20_000):
@@ -57,28 +62,52 @@ class BatchTokenizer:
             flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint16, int(sizes[-1].sum())))
         return np.concatenate([np.zeros(0, np.int32), *sizes]), np.concatenate([np.zeros(0, np.uint16), *flat])
 
+    def after_blank(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """plain() of a blank and each part. Parts without white space are encoded many at a time with line ends between them, which are pieces of their own."""
+        inner = [bool(p) and len(p.split()) == 1 and p == p.strip() and not set(p) & _ODD for p in parts]
+        easy = [p for p, ok in zip(parts, inner, strict=True) if ok]
+        runs = ["\n ".join(easy[i : i + 1000]) for i in range(0, len(easy), 1000)]
+        encoded = [np.array(e.ids, np.uint16) for e in self.inner.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)]
+        sizes = np.zeros(len(parts), np.int32)
+        cuts = [np.diff(np.flatnonzero(np.concatenate([[True], ids == self.line_end, [True]]))) - 1 for ids in encoded]
+        found = np.concatenate([np.zeros(0, np.int64), *cuts])
+        if len(found) != len(easy) or self.line_end < 0:
+            return self.plain([" " + p for p in parts])
+        flat = np.concatenate([np.zeros(0, np.uint16), *[ids[ids != self.line_end] for ids in encoded]])
+        ok = np.array(inner, bool)
+        hard, hard_flat = self.plain([" " + p for p, easy_ in zip(parts, inner, strict=True) if not easy_])
+        if not len(hard):
+            return found.astype(np.int32), flat
+        sizes[ok], sizes[~ok] = found, hard
+        out, owner = np.empty(int(sizes.sum()), np.uint16), np.repeat(ok, sizes)
+        out[owner], out[~owner] = flat, hard_flat
+        return sizes, out
+
     def _known(self, parts: pa.Array, prefix: str) -> pa.ListArray:
         """The ids of `prefix` and each of the distinct parts; those seen before are looked up."""
-        seen, lists = self.seen.get(prefix, (parts.slice(0, 0), _lists(np.zeros(0, np.int64), np.zeros(0, np.uint16))))
-        at = pc.index_in(parts, value_set=seen)
-        new = parts.filter(at.is_null())
-        lists = pa.concat_arrays([lists, _lists(*self._plain([prefix + w for w in new.to_pylist()]))])
-        at = at.to_numpy(zero_copy_only=False)
-        at = np.where(np.isnan(at), -1, at).astype(np.int64) if at.dtype.kind == "f" else at.astype(np.int64)
-        at[at < 0] = len(seen) + np.arange(len(new))
+        seen, lists = self.seen.setdefault(prefix, ({}, _lists(np.zeros(0, np.int64), np.zeros(0, np.uint16))))
+        names = parts.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter((seen.get(n, -1) for n in names), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        fresh = [names[i] for i in new.tolist()]
+        at[new] = len(seen) + np.arange(len(new))
+        lists = pa.concat_arrays([lists, _lists(*(self.after_blank(fresh) if prefix else self.plain(fresh)))])
         if room := max(0, CACHE_PARTS - len(seen)):
-            seen = pa.concat_arrays([seen, new.slice(0, room)])
+            seen.update(zip(fresh[:room], range(len(seen), len(seen) + len(fresh[:room])), strict=True))
             self.seen[prefix] = seen, lists.slice(0, len(seen))
         return lists.take(pa.array(at))
 
     def words(self, words: pa.Array) -> pa.ListArray:
-        """The ids of a blank and each word, by way of the words without the signs at their end."""
-        heads = pc.replace_substring_regex(words, _TAIL, "\\1")
-        cut = pc.less(pc.binary_length(heads), pc.binary_length(words))
+        """The ids of a blank and each of a large_string array's words, by way of the words without the signs at their end."""
+        heads = pc.ascii_rtrim(words, characters=_SIGNS)
+        cut = pc.and_(pc.less(pc.binary_length(heads), pc.binary_length(words)), pc.match_substring_regex(heads, _BEFORE))
         for token in self.special:
             cut = pc.and_not(cut, pc.match_substring(words, token))
         heads = pc.if_else(cut, heads, words)
-        tails = pc.if_else(cut, pc.replace_substring_regex(words, _HEAD, "\\1"), "")
+        raw, ends = string_parts(words)
+        size = np.diff(ends) - pc.binary_length(heads).to_numpy(zero_copy_only=False)
+        data = np.frombuffer(raw, np.uint8)[np.repeat(ends[1:] - np.cumsum(size), size) + np.arange(size.sum())]
+        tails = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data))
         heads, tails = heads.dictionary_encode(), tails.dictionary_encode()
         known = pa.concat_arrays([self._known(heads.dictionary, " "), self._known(tails.dictionary, "")])
         both = np.stack([heads.indices.to_numpy().astype(np.int64), tails.indices.to_numpy() + len(heads.dictionary)], axis=1).ravel()
@@ -90,7 +119,7 @@ class BatchTokenizer:
         if not len(texts):
             return np.zeros(0, np.int64), np.zeros(0, np.uint16)
         if not self.by_parts:
-            sizes, ids = self._plain(texts.to_pylist())
+            sizes, ids = self.plain(texts.to_pylist())
             return sizes.astype(np.int64), ids
         whole = pc.match_substring_regex(texts, _INNER)
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
@@ -103,10 +132,10 @@ class BatchTokenizer:
         starts, of_first = np.unique(codes[first], return_inverse=True)
         codes = codes.copy()
         codes[first] = len(words) + of_first.ravel()
-        sizes, ids = self._plain(words.take(pa.array(starts)).to_pylist())
+        sizes, ids = self.plain(words.take(pa.array(starts)).to_pylist())
         at_whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         codes[first[at_whole]] = len(words) + len(starts) + np.arange(len(at_whole))
-        more, more_ids = self._plain(texts.take(pa.array(at_whole)).to_pylist())
+        more, more_ids = self.plain(texts.take(pa.array(at_whole)).to_pylist())
         known = pa.concat_arrays([self.words(words), _lists(np.concatenate([sizes, more]), np.concatenate([ids, more_ids]))])
         out = known.take(pa.array(codes))
         ends = out.offsets.to_numpy().astype(np.int64)
