@@ -130,8 +130,8 @@ def remixed(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     key, columns = F.col(id_column).cast("long"), [F.col(f"`{c}`") for c in docs.columns]
     repeat = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")
     if plan.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1 OR __id IS NULL").isEmpty():
-        # texts move once, by their ids
-        return docs.join(plan.where("copies > 0").select("__id", "copies"), key == F.col("__id")).select(*columns, repeat).drop("__copy")
+        # texts move once, by their ids; the plan grows with them and is never broadcast
+        return docs.join(plan.where("copies > 0").select("__id", "copies").hint("merge"), key == F.col("__id")).select(*columns, repeat).drop("__copy")
     sized = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     # rows that share id, source and size are numbered on both sides, in an order that a second reading gives again
     number = lambda order, *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
