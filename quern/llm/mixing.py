@@ -1,9 +1,9 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Every document of a source has the same fractional number of copies. Its whole part is taken; the fraction is rounded in
-pairs: the pair's mass, counted in words, moves between the two until one is integral, up or down by a fixed random number
-with its probability, and the other carries the rest on. Leaves of a source are rounded on their own, and what each is left
-with is combined through a tree, so that a source misses its target by its last pair alone.
+Every document of a source has the same fractional number of copies. Its whole part is taken; the fraction, as a mass of
+words, is rounded in pairs: mass moves from one of the two to the other, in a direction drawn so that neither gains on
+average, until one is integral, and the other meets the next. Leaves of a source are rounded on their own, and the documents
+they leave open are combined through a tree. At its root the last one is drawn, and a few small documents make up for it.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from quern.llm._shared import materialised, unit_hash
 
 #: Weights of the sources in order, repeating; most copies of a document; documents of a leaf, about; children of a node.
 WEIGHTS, MOST_COPIES, LEAF_ROWS, FAN_IN = (1.0, 2.0, 3.0), 3.0, 2048, 64
-#: Documents that a leaf leaves open for the nodes above it.
+#: Documents of all sizes that a leaf leaves open for the nodes above it, besides the one that is left over.
 OPEN_ROWS = 16
+_EXACT = 1e-6
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -59,20 +60,46 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return totals.repartition(1).mapInArrow(run, "source string, source_size long, leaves long, target double")
 
 
-def pivot(size: np.ndarray, mass: np.ndarray, chance: np.ndarray, carry: float, keep: int) -> tuple[np.ndarray, float]:
-    """Round masses (0 to size, in order of falling size) to 0 or size, all but the last `keep`; (taken up: 1, 0 or -1 for open; carry).
+def pivot(size: np.ndarray, mass: np.ndarray, chance: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Round masses (0 to size, in order of falling size) in pairs: (1, 0 or -1 for open, masses).
 
-    The carry and the next document are a pair: their joint mass moves until the document is integral, and the rest is the carry.
+    One document that is not kept open at most is left over. The masses' sum stays, and each stays on average.
     """
-    up = np.full(len(size), -1, np.int8)
-    for i, (s, m, u) in enumerate(zip(size.tolist(), mass.tolist(), chance.tolist(), strict=True)):
-        if i >= len(size) - keep:
-            break
-        joint = m + carry
-        took = s > 0 and u < joint / s
-        up[i] = took
-        carry = joint - s * took
-    return up, carry
+    up, mass, left = np.full(len(size), -1, np.int8), mass.astype(float).copy(), -1
+
+    def settle(i: int) -> bool:
+        if mass[i] <= _EXACT or mass[i] >= size[i] - _EXACT:
+            up[i] = size[i] > 0 and mass[i] >= size[i] - _EXACT
+            return True
+        return False
+
+    for j in np.flatnonzero(~keep).tolist():
+        if settle(j):
+            continue
+        if left < 0:
+            left = j
+            continue
+        gain, loss = min(size[left] - mass[left], mass[j]), min(mass[left], size[j] - mass[j])
+        move = gain if chance[j] < loss / (gain + loss) else -loss
+        mass[left] += move
+        mass[j] -= move
+        done = settle(j)
+        if settle(left):
+            left = -1 if done else j
+    return up, mass
+
+
+def finish(size: np.ndarray, before: np.ndarray, mass: np.ndarray, up: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Draw what pivot() left over; then documents that can be either way change, the largest that fit first, until what it missed is made up."""
+    up = up.copy()
+    for i in np.flatnonzero(up < 0).tolist():
+        up[i] = chance[i] * 9973 % 1 < mass[i] / size[i]
+        missed = mass[i] - size[i] * up[i]
+        for j in np.flatnonzero((before > _EXACT) & (before < size - _EXACT)).tolist():
+            if j != i and size[j] <= abs(missed) and up[j] == (missed < 0):
+                missed -= size[j] if missed > 0 else -size[j]
+                up[j] = 1 - up[j]
+    return up
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 17) -> DataFrame:
@@ -89,24 +116,23 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "source", "size", "source_size", "target", "leaves", rate.alias("rate"), unit_hash("doc_id", "size", seed=seed).alias("chance"))
     # a source's rows are dealt to leaves by hash, so that no source meets in one task
-    nodes = joined.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.greatest("leaves", F.lit(1)))).withColumn("carry", F.lit(0.0)).withColumn("whole", F.floor("rate"))
-    nodes = nodes.select("doc_id", "source", "size", "source_size", "target", "leaves", "whole", ((F.col("rate") - F.col("whole")) * F.col("size")).alias("mass"), "chance", "node", "carry")
+    nodes = joined.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + 1)), F.greatest("leaves", F.lit(1)))).withColumn("whole", F.floor("rate"))
+    nodes = nodes.select("doc_id", "source", "size", "source_size", "target", "leaves", "whole", ((F.col("rate") - F.col("whole")) * F.col("size")).alias("mass"), "chance", "node")
     schema = ", ".join(f"{n} {t}" for n, t in nodes.dtypes) + ", up tinyint"
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         size = table.column("size").to_numpy().astype(np.float64)
         chance, mass = table.column("chance").to_numpy(), table.column("mass").to_numpy()
-        carry = float(table.column("carry").to_numpy().sum())
-        # documents without words carry nothing and come first; the smallest of the others stay open
-        order = np.lexsort((table.column("doc_id").fill_null(-1).to_numpy(), chance, -size, size > 0))
-        keep = min(OPEN_ROWS, table.num_rows) if table.column("leaves")[0].as_py() > 1 else 0
-        up, carry = pivot(size[order], mass[order], chance[order], carry, keep)
-        out = np.empty_like(up)
-        out[order] = up
-        carries = np.zeros(len(up))
-        if keep:
-            carries[order[-1]] = carry
-        return table.set_column(table.schema.get_field_index("carry"), "carry", pa.array(carries)).append_column("up", pa.array(out))
+        order = np.lexsort((table.column("doc_id").fill_null(-1).to_numpy(), chance, -size))
+        s, m, u, root = size[order], mass[order], chance[order], table.column("leaves")[0].as_py() <= 1
+        keep = np.zeros(len(s), bool)
+        if not root:
+            keep[np.linspace(0, len(s) - 1, min(OPEN_ROWS, len(s))).astype(int)] = True
+        up, after = pivot(s, m, u, keep)
+        up = finish(s, m, after, up, u) if root else up
+        out, masses = np.empty_like(up), np.empty_like(after)
+        out[order], masses[order] = up, after
+        return table.set_column(table.schema.get_field_index("mass"), "mass", pa.array(masses)).append_column("up", pa.array(out))
 
     done = []
     deepest = targets.agg(F.max("leaves")).first()[0] or 0
