@@ -36,13 +36,14 @@ def _lists(sizes: np.ndarray, flat: np.ndarray) -> pa.ListArray:
 class BatchTokenizer:
     """Encodes arrays of texts; ids are below 65,536."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CACHE_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
         if self.inner.get_vocab_size() > 1 << 16:
             raise ValueError(f"{path} has more than 65,536 ids")
+        self.kept = kept
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.seen: dict[str, tuple[dict[str, int], pa.ListArray]] = {}
         ends = self.inner.encode("\n", add_special_tokens=False).ids
@@ -92,7 +93,7 @@ class BatchTokenizer:
         fresh = [names[i] for i in new.tolist()]
         at[new] = len(seen) + np.arange(len(new))
         lists = pa.concat_arrays([lists, _lists(*(self.after_blank(fresh) if prefix else self.plain(fresh)))])
-        if room := max(0, CACHE_PARTS - len(seen)):
+        if room := max(0, self.kept - len(seen)):
             seen.update(zip(fresh[:room], range(len(seen), len(seen) + len(fresh[:room])), strict=True))
             self.seen[prefix] = seen, lists.slice(0, len(seen))
         return lists.take(pa.array(at))
@@ -142,14 +143,14 @@ class BatchTokenizer:
         return ends[offsets[1:]] - ends[offsets[:-1]], out.values.to_numpy()
 
 
-_LOADED: dict[str, BatchTokenizer] = {}
+_LOADED: dict[tuple[str, int], BatchTokenizer] = {}
 
 
-def tokenizer(path: str) -> BatchTokenizer:
-    """The tokenizer of a file, loaded once a process."""
-    if path not in _LOADED:
-        _LOADED[path] = BatchTokenizer(path)
-    return _LOADED[path]
+def tokenizer(path: str, kept: int = CACHE_PARTS) -> BatchTokenizer:
+    """The tokenizer of a file that keeps the ids of so many parts, loaded once a process."""
+    if (path, kept) not in _LOADED:
+        _LOADED[path, kept] = BatchTokenizer(path, kept)
+    return _LOADED[path, kept]
 
 
 def byte_bpe_path() -> str:
