@@ -73,7 +73,7 @@ def test_ranges_that_touch_are_one(spark):
     r = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 12), (1, 10, 11)], "file long, start long, end long")
     assert rows(ranges.merged_ranges(r, ["file"])) == [(1, 0, 7), (1, 9, 12)]
     o = spark.createDataFrame([(1, 7), (1, 8), (1, 20)], "file long, offset long")
-    assert rows(ranges.moved_offsets(o, spark.createDataFrame([(1, 0, 7), (1, 9, 12)], "file long, start long, end long"), ["file"])) == [(1, 7, 0), (1, 8, 1), (1, 20, 10)]
+    assert rows(ranges.moved_offsets(o, spark.createDataFrame([(1, 0, 7), (1, 9, 12)], "file long, start long, end long"), ["file"])) == sorted([(1, 7, 0), (1, 8, 1), (1, 20, 10)], key=repr)
 
 
 def test_sizes_are_shown_in_three_digits(spark):
