@@ -389,7 +389,9 @@ def pixels_of(png: bytes):
     """A uint8 array of an 8-bit RGB or RGBA PNG that is not interlaced."""
     import numpy as np
 
-    head = next(p for p in png_chunks(png) if p.kind == "IHDR").payload
+    head = next((p.payload for p in png_chunks(png) if p.kind == "IHDR"), b"")
+    if len(head) != 13:
+        raise Damaged("the image has no head")
     width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", head)
     if depth != 8 or colour not in (2, 6) or interlace:
         raise Damaged("only 8-bit RGB and RGBA without interlacing are read")
