@@ -64,6 +64,7 @@ QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sourc
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.oracle_sql(),
+    "op8_url_filter": urls.oracle_sql(),
     "op4_nearest": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)

@@ -89,7 +89,7 @@ def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRO
     merged = each.withColumn("branch", F.col("template"))
     for depth in range(1, DEPTH + 2):
         parts = F.split("branch", "/")
-        sibling = F.when(F.size(parts) > depth, F.array_join(F.concat(F.slice(parts, 1, depth), F.array(F.lit("*")), F.slice(parts, depth + 2, DEPTH + 2)), "/")).otherwise(F.col("branch"))
+        sibling = F.when(F.size(parts) > depth, F.array_join(F.concat(F.slice(parts, 1, depth), F.array(F.lit("*")), F.slice(parts, F.lit(depth + 2), F.size(parts))), "/")).otherwise(F.col("branch"))
         merged = merged.withColumn("sibling", sibling)
         branches = merged.groupBy("host", "sibling", "branch").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         pooled = branches.groupBy("host", "sibling").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
@@ -128,3 +128,45 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bad_words: tuple[s
     by_tree = F.when(F.col("purity") >= rejected, "block").otherwise("allow")
     out = each.join(found, ["host", "shape"], "left")
     return out.select("page_id", "host", "path", F.get(names, F.col("place")).alias("rule"), F.when(F.col("place").isNotNull(), F.get(verdicts, F.col("place"))).otherwise(by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+
+
+def oracle_sql() -> str:
+    """The rows of judged() in DuckDB SQL."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    ordered = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i].name), i))
+    place = "CASE " + " ".join(f"WHEN (host = {quoted(RULES[i].host)} OR ends_with(host, {quoted('.' + RULES[i].host)})) AND starts_with(path, {quoted(RULES[i].path)}) THEN {i}" for i in ordered) + " END"
+    verdicts, names = ("[" + ", ".join(quoted(getattr(r, k)) for r in RULES) + "]" for k in ("verdict", "name"))
+    weak = " OR ".join(f"contains(host, {quoted(w)})" for w in BAD_WORDS)
+    typed = f"CASE WHEN regexp_full_match(s, '[0-9A-Za-z_-]{{16,}}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') THEN '{CODE}' ELSE regexp_replace(s, '[0-9]+', '{NUMBER}', 'g') END"
+    ctes = [
+        f"""u AS (SELECT *, {place} AS place, list_transform(CASE WHEN len(parts) <= {DEPTH + 1} THEN parts ELSE list_append(parts[1:{DEPTH}], array_to_string(parts[{DEPTH + 1}:], '/')) END, lambda s: {typed}) AS shape FROM (
+            SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM (
+                SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)))""",
+        f"k0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template FROM (SELECT host, shape, CASE WHEN place IS NOT NULL THEN CASE WHEN {verdicts}[place + 1] = 'block' THEN 1 ELSE 0 END WHEN {weak} THEN 1 END AS bad FROM u) GROUP BY host, shape)",
+    ]
+    for d in range(DEPTH + 1):
+        ctes += [
+            f"c{d} AS (SELECT host, template, shape[{d + 1}] AS child, sum(n) AS n FROM k{d} WHERE len(shape) > {d} GROUP BY ALL)",
+            f"w{d} AS (SELECT host, template, sum(n) AS total FROM c{d} GROUP BY ALL HAVING count(*) >= {CHILDREN})",
+            f"f{d} AS (SELECT host, template, child FROM c{d} JOIN w{d} USING (host, template) WHERE n >= {RARE} * total)",
+            f"""k{d + 1} AS (SELECT k.host, k.shape, k.n, k.labelled, k.bad, CASE WHEN len(k.shape) <= {d} THEN k.template ELSE k.template || '/' || CASE WHEN w.total IS NOT NULL AND f.child IS NULL THEN '*' ELSE k.shape[{d + 1}] END END AS template
+                FROM k{d} k LEFT JOIN w{d} w ON k.host = w.host AND k.template = w.template LEFT JOIN f{d} f ON k.host = f.host AND k.template = f.template AND k.shape[{d + 1}] = f.child)""",
+        ]
+    ctes.append(f"m0 AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, template AS branch FROM k{DEPTH + 1} GROUP BY host, template)")
+    for d in range(1, DEPTH + 2):
+        ctes += [
+            f"s{d} AS (SELECT *, CASE WHEN len(string_split(branch, '/')) > {d} THEN array_to_string(list_concat(string_split(branch, '/')[1:{d}], ['*'], string_split(branch, '/')[{d + 2}:]), '/') ELSE branch END AS sibling FROM m{d - 1})",
+            f"b{d} AS (SELECT host, sibling, branch, sum(labelled) AS l, sum(bad) AS b FROM s{d} GROUP BY ALL)",
+            f"""t{d} AS (SELECT host, branch, CASE WHEN l > 0 AND NOT abs(b / greatest(l, 1) - p) > {ERRORS}::DOUBLE * sqrt(p * (1 - p) / greatest(l, 1)) THEN sibling ELSE branch END AS to_
+                FROM (SELECT *, sum(b) OVER (PARTITION BY host, sibling) / greatest(sum(l) OVER (PARTITION BY host, sibling), 1) AS p FROM b{d}))""",
+            f"m{d} AS (SELECT host, template, labelled, bad, to_ AS branch FROM m{d - 1} JOIN t{d} USING (host, branch))",
+        ]
+    last = f"m{DEPTH + 1}"
+    ctes += [
+        f"z AS (SELECT host, branch, sum(labelled) AS l, sum(bad) AS b FROM {last} GROUP BY ALL)",
+        f"p AS (SELECT host, branch, (b + {STRENGTH}::DOUBLE * prior) / (l + {STRENGTH}::DOUBLE) AS purity FROM z, (SELECT sum(b) / greatest(sum(l), 1) AS prior FROM z))",
+        f"t AS (SELECT k.host, k.shape, m.branch AS template, purity FROM k{DEPTH + 1} k JOIN {last} m ON k.host = m.host AND k.template = m.template JOIN p ON m.host = p.host AND m.branch = p.branch)",
+    ]
+    return f"""WITH {", ".join(ctes)}
+        SELECT page_id, u.host, path, {names}[place + 1] AS rule, CASE WHEN place IS NOT NULL THEN {verdicts}[place + 1] WHEN purity >= {REJECTED} THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 6) AS purity
+        FROM u LEFT JOIN t ON u.host = t.host AND u.shape = t.shape"""
