@@ -55,9 +55,6 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-_TYPES = {"view": "file-start", "error": "file-failed", "click": "settings"}
-
-
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, type, n) by a windowed stream with a watermark, over all files there are; the sink is a table that outlives it."""
     import uuid
