@@ -124,6 +124,16 @@ def has_gps(exif: bytes) -> bool:
     return any(tag == GPS_TAG for tag, *_ in exif_entries(exif))
 
 
+def orientation_block(exif: bytes) -> bytes | None:
+    """An EXIF block with the orientation alone, or None where there is none to keep."""
+    for tag, kind, value in exif_entries(exif):
+        if tag == ORIENTATION_TAG and kind == 3 and len(value) >= 2:
+            number = int.from_bytes(value[:2], "little" if exif[:2] == b"II" else "big")
+            if 2 <= number <= 8:
+                return b"II*\0\x08\0\0\0" + struct.pack("<HHHIHHI", 1, ORIENTATION_TAG, 3, 1, number, 0, 0)
+    return None
+
+
 def build_png_chunk(kind: str, payload: bytes) -> bytes:
     body = kind.encode("latin1") + payload
     return struct.pack(">I", len(payload)) + body + struct.pack(">I", zlib.crc32(body))
@@ -179,17 +189,19 @@ def is_srgb(icc: bytes) -> bool:
 
 
 def strip_png(data: bytes) -> tuple[bytes, list[str]]:
-    """A PNG without chunks that do not change what it shows, and the kinds that went."""
+    """A PNG without chunks that do not change what it shows, and the kinds that went; of EXIF the orientation stays."""
     out, gone = [PNG_MAGIC], set()
     for part in png_chunks(data):
         keep = part.kind[0].isupper() or part.kind.encode() in PNG_SHOWN
         if part.kind == "iCCP":
             name, _, rest = part.payload.partition(b"\0")
             keep = not is_srgb(zlib.decompressobj().decompress(rest[1:], 1 << 24)) if rest else False
-        if keep:
+        turned = orientation_block(part.payload) if part.kind == "eXIf" else None
+        if keep or turned == part.payload:
             out.append(data[part.start : part.end])
         else:
             gone.add(part.kind)
+            out += [build_png_chunk("eXIf", turned)] if turned else []
     return b"".join(out), sorted(gone)
 
 
@@ -203,9 +215,11 @@ def strip_jpeg(data: bytes) -> tuple[bytes, list[str]]:
         keep = not app or marker == 0xE0 and part.payload.startswith(b"JFIF\0") or marker == 0xEE and part.payload.startswith(ADOBE_JPEG)
         if marker == 0xE2 and part.payload.startswith(ICC_JPEG):
             keep = not is_srgb(profile)
-        if keep:
+        turned = orientation_block(part.payload[6:]) if marker == 0xE1 and part.payload.startswith(EXIF_JPEG) else None
+        if keep or turned is not None and EXIF_JPEG + turned == part.payload:
             out.append(data[part.start : part.end])
         else:
+            out += [build_jpeg_segment(0xE1, EXIF_JPEG + turned)] if turned else []
             gone.add("comment" if marker == 0xFE else "xmp" if part.payload.startswith(XMP_JPEG) else "exif" if part.payload.startswith(EXIF_JPEG) else "icc" if marker == 0xE2 else "other")
     end = data.rfind(b"\xff\xd9")
     if end < at:
@@ -216,15 +230,17 @@ def strip_jpeg(data: bytes) -> tuple[bytes, list[str]]:
 def strip_webp(data: bytes) -> tuple[bytes, list[str]]:
     """A WebP without EXIF, XMP, an sRGB profile and unknown chunks; the flags of VP8X follow."""
     shown, out, gone = {"VP8 ", "VP8L", "VP8X", "ALPH", "ANIM", "ANMF"}, [], set()
+    turned = next((orientation_block(p.payload) for p in riff_chunks(data) if p.kind == "EXIF"), None)
     kept_icc = any(p.kind == "ICCP" and not is_srgb(p.payload) for p in riff_chunks(data))
     for part in riff_chunks(data):
         if part.kind == "VP8X":
-            flags = part.payload[0] & ~0b1100 & (0xFF if kept_icc else ~0b100000)
+            flags = part.payload[0] & ~0b1100 & (0xFF if kept_icc else ~0b100000) | (0b1000 if turned else 0)
             out.append(build_riff_chunk("VP8X", bytes([flags & 0xFF]) + part.payload[1:]))
-        elif part.kind in shown or part.kind == "ICCP" and kept_icc:
+        elif part.kind in shown or part.kind == "ICCP" and kept_icc or part.kind == "EXIF" and part.payload == turned:
             out.append(build_riff_chunk(part.kind, part.payload))
         else:
             gone.add(part.kind.strip())
+            out += [build_riff_chunk("EXIF", turned)] if part.kind == "EXIF" and turned else []
     return build_webp(out), sorted(gone)
 
 

@@ -54,6 +54,20 @@ def test_exif_in_both_byte_orders():
         assert C.has_gps(exif) and C.read_exif_rights(exif) == {"copyright": [{"lang": "x-default", "value": "me"}]}
 
 
+def test_orientation_alone_stays():
+    exif = b"MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", C.ORIENTATION_TAG, 3, 1, 6, 0) + struct.pack(">HHII", C.GPS_TAG, 4, 1, 99)
+    small = C.orientation_block(exif)
+    assert C.exif_entries(small) == [(C.ORIENTATION_TAG, 3, b"\6\0")] and C.orientation_block(small) == small and C.orientation_block(b"") is None
+    files = {
+        "png": samples()["png"][:-12] + C.build_png_chunk("eXIf", exif) + samples()["png"][-12:],
+        "jpeg": C.JPEG_MAGIC + C.build_jpeg_segment(0xE1, C.EXIF_JPEG + exif) + samples()["jpeg"][2:],
+        "webp": C.build_webp([C.build_riff_chunk("VP8X", b"\x08" + bytes(9)), C.build_riff_chunk("VP8 ", b"x"), C.build_riff_chunk("EXIF", exif)]),
+    }
+    for kind, data in files.items():
+        stripped, removed = C.STRIP[kind](data)
+        assert small in stripped and exif not in stripped and removed and C.STRIP[kind](stripped)[0] == stripped
+
+
 def test_iim_says_its_coding():
     part = lambda r, d, v: bytes([0x1C, r, d]) + struct.pack(">H", len(v)) + v
     assert C.read_iim(part(2, 80, "é".encode("latin1"))) == {"creator": ["é"]}
