@@ -160,11 +160,11 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", co
 
     leaked_items counts the benchmark rows whose tiles reach `coverage`; best_item is the id of the most covered (then the
     smallest id) and coverage its share, null and 0 without one. Null and empty texts leak nothing; items of fewer than
-    SEED_WORDS words cannot be found. Rows, their order of columns and nulls elsewhere stay as they are.
+    SEED_WORDS words cannot be found. Columns of docs with these names give way to them; other columns, their order and their
+    nulls stay.
     """
     names = [prefix + n for n in ("leaked_items", "best_item", "coverage")]
-    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
+    docs = docs.drop(*names)
     out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("long").alias(names[1]), F.lit(0.0).alias(names[2]))
     for index in _blocks(benchmark, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)

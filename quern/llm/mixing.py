@@ -152,16 +152,16 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def remixed(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """docs with each row as often as mixed() takes it. Rows that share an id and a size share out their copies; rows without an id go by it too."""
-    plan = materialised(mixed(docs, id_column).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of"), "copies"), "plan")
+    plan = materialised(mixed(docs, id_column).select(F.col("doc_id").alias("__quern_id"), F.col("source").alias("__quern_source"), F.col("size").alias("__quern_of"), F.col("copies").alias("__quern_copies")), "plan")
     key, columns = F.col(id_column).cast("long"), [F.col(f"`{c}`") for c in docs.columns]
-    repeat = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")
-    if plan.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1 OR __id IS NULL").isEmpty():
+    repeat = F.explode(F.array_repeat(F.lit(0), F.col("__quern_copies").cast("int"))).alias("__quern_copy")
+    if plan.groupBy("__quern_id").agg(F.count("*").alias("n")).where("n > 1 OR __quern_id IS NULL").isEmpty():
         # texts move once, by their ids; the plan grows with them and is never broadcast
-        return docs.join(plan.where("copies > 0").select("__id", "copies").hint("merge"), key == F.col("__id")).select(*columns, repeat).drop("__copy")
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
+        return docs.join(plan.where("__quern_copies > 0").select("__quern_id", "__quern_copies").hint("merge"), key == F.col("__quern_id")).select(*columns, repeat).drop("__quern_copy")
+    sized = docs.withColumn("__quern_size", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
     # rows that share id, source and size are numbered on both sides, in an order that a second reading gives again
     number = lambda order, *by: F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    plan = plan.withColumn("__no", number("copies", "__id", "__source", "__of"))
-    sized = sized.withColumn("__row", number(F.xxhash64("text"), key, "source", "__size"))
-    match = key.eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")) & (F.col("__row") == F.col("__no"))
-    return sized.join(plan.where("copies > 0"), match).select(*columns, repeat).drop("__copy")
+    plan = plan.withColumn("__quern_no", number("__quern_copies", "__quern_id", "__quern_source", "__quern_of"))
+    sized = sized.withColumn("__quern_row", number(F.xxhash64("text"), key, "source", "__quern_size"))
+    match = key.eqNullSafe(F.col("__quern_id")) & F.col("source").eqNullSafe(F.col("__quern_source")) & (F.col("__quern_size") == F.col("__quern_of")) & (F.col("__quern_row") == F.col("__quern_no"))
+    return sized.join(plan.where("__quern_copies > 0"), match).select(*columns, repeat).drop("__quern_copy")

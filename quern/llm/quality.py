@@ -106,11 +106,10 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_column
     """docs with columns score double and predicted int (names after `prefix`): the probability of label 1, and whether it is THRESHOLD or more.
 
     The model learns from sample(). Null and empty texts have no n-grams and score as the bias alone. Without labels every
-    score is a half. Rows, their order of columns and nulls elsewhere stay as they are.
+    score is a half. Columns of docs with these names give way to them; other columns, their order and their nulls stay.
     """
     names = [prefix + "score", prefix + "predicted"]
-    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already; give a prefix")
+    docs = docs.drop(*names)
     model = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, rows, id_column, text_column, label_column)))  # SIZE weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

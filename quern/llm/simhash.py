@@ -170,22 +170,22 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with the row of the smallest id of each group of near-duplicates. Of rows that repeat that id in the group one stays; rows without an id stay."""
     found = materialised(near_duplicates(docs, id_column, text_column, radius).where("doc_id IS NOT NULL"), "near-duplicates")
-    repeated = materialised(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
+    repeated = materialised(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__quern_id")), "repeated")
     key = F.col(id_column).cast("long")
     # ids that go are fewer than those that stay: one join moves the texts, or none if they can be broadcast
-    gone = materialised(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).union(repeated).distinct(), "gone")
-    kept = docs.join(gone, key == F.col("__id"), "left_anti")
+    gone = materialised(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__quern_id")).union(repeated).distinct(), "gone")
+    kept = docs.join(gone, key == F.col("__quern_id"), "left_anti")
     if repeated.isEmpty():
         return kept
     # an id with several texts is decided by id and fingerprint
-    same = docs.join(repeated, key == F.col("__id"), "left_semi")
+    same = docs.join(repeated, key == F.col("__quern_id"), "left_semi")
 
     def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, text_column):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_fingerprints(texts).view(np.int64))], names=[*part.schema.names, "__fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_fingerprints(texts).view(np.int64))], names=[*part.schema.names, "__quern_fp"])
 
-    same = same.mapInArrow(with_fingerprint, same.select("*", F.lit(0).cast("long").alias("__fp")).schema)
-    leads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__lead")).distinct()
-    again = same.join(leads, (key == F.col("__id")) & (F.col("__fp") == F.col("__lead")), "left_semi").drop("__fp").dropDuplicates([id_column])
+    same = same.mapInArrow(with_fingerprint, same.select("*", F.lit(0).cast("long").alias("__quern_fp")).schema)
+    leads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__quern_id"), F.col("fp").alias("__quern_lead")).distinct()
+    again = same.join(leads, (key == F.col("__quern_id")) & (F.col("__quern_fp") == F.col("__quern_lead")), "left_semi").drop("__quern_fp").dropDuplicates([id_column])
     return kept.unionByName(again)

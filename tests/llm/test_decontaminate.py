@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import decontaminate as D
 
@@ -65,5 +66,6 @@ def test_edge_rows(spark, edges, empty):
     assert out.columns[:5] == edges.columns and out.count() == edges.count() and out.where("leaked_items > 0").count() == 3
     assert D.flagged(empty, bench).count() == 0 and D.flagged(edges, bench.limit(0)).where("leaked_items > 0").count() == 0
     assert D.decontaminated(edges, bench).count() == edges.count() - 3
-    with pytest.raises(ValueError):
-        D.flagged(edges.withColumnRenamed("score", "Coverage"), bench)
+    clash = edges.withColumnRenamed("score", "Coverage").withColumn("copies", F.lit(1)).withColumn("component_id", F.lit(2))
+    assert D.flagged(clash, bench).columns == [*edges.columns[:4], "copies", "component_id", "leaked_items", "best_item", "coverage"]
+    assert D.decontaminated(clash, bench).columns == clash.columns

@@ -63,6 +63,8 @@ def test_edge_rows(edges, empty):
     rows = mixing.mixed(edges).collect()
     assert len(rows) == edges.count() and all(r["taken"] == r["copies"] * r["size"] for r in rows)
     assert mixing.mixed(empty).count() == 0 and mixing.remixed(empty).count() == 0
+    edges = edges.withColumn("copies", F.lit(7)).withColumn("taken", F.lit("x")).withColumn("target", F.lit(None).cast("int"))
+    assert mixing.remixed(edges.where("doc_id = 5")).columns == edges.columns
     remixed = mixing.remixed(edges)
     assert remixed.columns == edges.columns and remixed.count() == sum(r["copies"] for r in rows)
 

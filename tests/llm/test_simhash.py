@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import graph, simhash
 
@@ -87,6 +88,7 @@ def test_edge_rows(edges, empty):
     fps = [plain_fingerprint(r["text"]) for r in rows]
     want = sorted(zip([r["doc_id"] for r in rows], plain_components([r["doc_id"] for r in rows], fps), strict=True), key=repr)
     assert sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(edges).collect()), key=repr) == want
+    edges = edges.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("n", F.lit("x"))
     kept = simhash.deduplicated(edges)
     assert kept.columns == edges.columns and kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 1").count() == 1
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
