@@ -92,16 +92,16 @@ def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRO
         sibling = F.when(F.size(parts) > depth, F.array_join(F.concat(F.slice(parts, 1, depth), F.array(F.lit("*")), F.slice(parts, F.lit(depth + 2), F.size(parts))), "/")).otherwise(F.col("branch"))
         merged = merged.withColumn("sibling", sibling)
         branches = merged.groupBy("host", "sibling", "branch").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        pooled = branches.groupBy("host", "sibling").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))
+        pooled = branches.groupBy("host", "sibling").agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count("*").alias("branches"))
         p = F.col("all_b") / F.greatest(F.col("all_l"), F.lit(1))
         far = F.abs(F.col("b") / F.greatest(F.col("l"), F.lit(1)) - p) > errors * F.sqrt(p * (1 - p) / F.greatest(F.col("l"), F.lit(1)))
-        moved = branches.join(pooled, ["host", "sibling"]).select("host", "branch", F.when((F.col("l") > 0) & ~far, F.col("sibling")).otherwise(F.col("branch")).alias("to"))
+        moved = branches.join(pooled, ["host", "sibling"]).select("host", "branch", F.when((F.col("branches") > 1) & (F.col("l") > 0) & ~far, F.col("sibling")).otherwise(F.col("branch")).alias("to"))
         merged = merged.join(moved, ["host", "branch"]).select("host", "template", "labelled", "bad", F.col("to").alias("branch"))
         merged = materialised(merged, f"branches-{depth}")
     branch = merged.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     every = branch.agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))  # one row
     prior = F.col("all_b") / F.greatest(F.col("all_l"), F.lit(1))
-    pure = branch.join(F.broadcast(every)).select("host", "branch", ((F.col("b") + strength * prior) / (F.col("l") + strength)).alias("purity"))
+    pure = branch.join(F.broadcast(every)).select("host", "branch", F.when(F.col("l") > 0, (F.col("b") + strength * prior) / (F.col("l") + strength)).alias("purity"))
     found = merged.join(pure, ["host", "branch"]).select("host", "template", "branch", "purity")
     return known.join(found, ["host", "template"]).select("host", "shape", F.col("branch").alias("template"), "purity")
 
@@ -110,7 +110,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bad_words: tuple[s
     """(page_id, host, path, rule, verdict, template, purity): a row for each row of pages; other columns are ignored.
 
     rule is the longest that fits, by host and path together; its verdict holds. Other pages are judged by their template:
-    block from a purity of `rejected` on, else allow. Labels are the rules' verdicts and, without a rule, 1 for hosts with one
+    block from a purity of `rejected` on, else allow; a template without labels has no purity. Labels are the rules' verdicts and, without a rule, 1 for hosts with one
     of bad_words. Null urls and those without :// have an empty host and path and are judged together. Repeated rows and null
     ids give rows of their own; an empty table gives none.
     """
@@ -157,14 +157,14 @@ def oracle_sql() -> str:
         ctes += [
             f"s{d} AS (SELECT *, CASE WHEN len(string_split(branch, '/')) > {d} THEN array_to_string(list_concat(string_split(branch, '/')[1:{d}], ['*'], string_split(branch, '/')[{d + 2}:]), '/') ELSE branch END AS sibling FROM m{d - 1})",
             f"b{d} AS (SELECT host, sibling, branch, sum(labelled) AS l, sum(bad) AS b FROM s{d} GROUP BY ALL)",
-            f"""t{d} AS (SELECT host, branch, CASE WHEN l > 0 AND NOT abs(b / greatest(l, 1) - p) > {ERRORS}::DOUBLE * sqrt(p * (1 - p) / greatest(l, 1)) THEN sibling ELSE branch END AS to_
-                FROM (SELECT *, sum(b) OVER (PARTITION BY host, sibling) / greatest(sum(l) OVER (PARTITION BY host, sibling), 1) AS p FROM b{d}))""",
+            f"""t{d} AS (SELECT host, branch, CASE WHEN branches > 1 AND l > 0 AND NOT abs(b / greatest(l, 1) - p) > {ERRORS}::DOUBLE * sqrt(p * (1 - p) / greatest(l, 1)) THEN sibling ELSE branch END AS to_
+                FROM (SELECT *, sum(b) OVER (PARTITION BY host, sibling) / greatest(sum(l) OVER (PARTITION BY host, sibling), 1) AS p, count(*) OVER (PARTITION BY host, sibling) AS branches FROM b{d}))""",
             f"m{d} AS (SELECT host, template, labelled, bad, to_ AS branch FROM m{d - 1} JOIN t{d} USING (host, branch))",
         ]
     last = f"m{DEPTH + 1}"
     ctes += [
         f"z AS (SELECT host, branch, sum(labelled) AS l, sum(bad) AS b FROM {last} GROUP BY ALL)",
-        f"p AS (SELECT host, branch, (b + {STRENGTH}::DOUBLE * prior) / (l + {STRENGTH}::DOUBLE) AS purity FROM z, (SELECT sum(b) / greatest(sum(l), 1) AS prior FROM z))",
+        f"p AS (SELECT host, branch, CASE WHEN l > 0 THEN (b + {STRENGTH}::DOUBLE * prior) / (l + {STRENGTH}::DOUBLE) END AS purity FROM z, (SELECT sum(b) / greatest(sum(l), 1) AS prior FROM z))",
         f"t AS (SELECT k.host, k.shape, m.branch AS template, purity FROM k{DEPTH + 1} k JOIN {last} m ON k.host = m.host AND k.template = m.template JOIN p ON m.host = p.host AND m.branch = p.branch)",
     ]
     return f"""WITH {", ".join(ctes)}

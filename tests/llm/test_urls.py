@@ -44,9 +44,10 @@ def test_rare_children_become_a_wildcard(spark):
 
 
 def test_like_branches_are_merged_and_unlike_ones_not(spark):
-    shapes = [("h", [a, "{n}"], int(a == "bad")) for a in ("x", "y", "bad") for _ in range(50)]
-    out = {tuple(r["shape"]): (r["template"], r["purity"]) for r in urls.templates(spark.createDataFrame(shapes, "host string, shape array<string>, bad int")).collect()}
-    assert out["bad", "{n}"][1] > urls.REJECTED > out["x", "{n}"][1] and out["x", "{n}"][1] == out["y", "{n}"][1]
+    shapes = [("h", [a, "{n}"], int(a == "bad")) for a in ("x", "y", "bad") for _ in range(50)] + [("g", [a, "{n}"], 0) for a in ("x", "y") for _ in range(50)]
+    out = {(r["host"], r["shape"][0]): (r["template"], r["purity"]) for r in urls.templates(spark.createDataFrame(shapes, "host string, shape array<string>, bad int")).collect()}
+    assert out["h", "bad"][1] > urls.REJECTED > out["h", "x"][1] and out["h", "bad"][0] == "/bad/{n}"
+    assert out["g", "x"] == out["g", "y"] and out["g", "x"][0] == "/*/{n}"
 
 
 def test_edge_rows(spark):
