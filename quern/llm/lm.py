@@ -2,7 +2,8 @@
 
 A document is its words, A-Z in lower case, and an end. Each word after a blank is cut into subword ids of a public
 tokenizer, the end is one id more. An attention layer over the ids before it in a window gives an id's class,
-and counts over all training documents give the id within its class. Windows overlap: all but the first give their first ids
+and counts over all training documents give the id within its class. The layer too is trained on all of them: ids start from
+counts of their neighbours, tasks train on their own documents and the moves of their weights are averaged. Windows overlap: all but the first give their first ids
 as context alone, so that every id is scored once; windows are scored in batches under one causal mask. A word's probability
 is that of its ids, mixed with the word's share of all training tokens.
 """
@@ -24,8 +25,10 @@ from quern.llm.tokenise import byte_bpe_path, tokenizer
 
 #: Ids of a window, those of them that are context, numbers of a state, classes.
 WINDOW, OVERLAP, WIDTH, CLASSES = 32, 4, 16, 128
-#: Training documents whose windows fit the attention weights, at most; passes; windows of a step; rate. Counts cover all documents.
-FIT_ROWS, FIT_PASSES, FIT_BATCH, FIT_RATE = 800, 2, 64, 0.01
+#: Passes over each slice of the training documents, windows of a step, rate.
+FIT_PASSES, FIT_BATCH, FIT_RATE = 2, 64, 0.01
+#: Frequent ids beside which ids are counted; the parameters besides ids' states; cells that a task sums up before it sends them on, at most.
+CONTEXTS, DENSE, HELD_CELLS = 512, ("p", "q", "k", "v", "u", "b"), 3_000_000
 #: Words that are broadcast with their counts, at most, the most frequent ones; all others are joined.
 FREQUENT = 200_000
 #: Words that a task sums up before it sends them on, and words whose ids it keeps, at most.
@@ -101,34 +104,46 @@ class Model:
         return out
 
 
-def _start(sizes: np.ndarray, ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(states of ids, classes of ids) from which ids follow which in the sample; ids not in it share a state of zeros and the last class."""
-    r = np.random.default_rng(seed)
-    seen, counts = np.unique(ids, return_counts=True)
-    seen = seen[np.argsort(-counts, kind="stable")]
-    common, known = seen[:512], seen[: max(2, len(seen))]
-    place = np.full(IDS, -1)
-    place[known] = np.arange(len(known))
-    before = np.full(IDS, -1)
-    before[common] = np.arange(len(common))
+def common_ids(counts: np.ndarray) -> np.ndarray:
+    """For each id its place among the CONTEXTS most frequent ones, or -1."""
+    first = np.argsort(-counts, kind="stable")[:CONTEXTS]
+    first = first[counts[first] > 0]
+    out = np.full(IDS, -1, np.int16)
+    out[first] = np.arange(len(first))
+    return out
+
+
+def followers(sizes: np.ndarray, ids: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, counts): cell 2 * CONTEXTS * id + c counts the id after common id c, and + CONTEXTS + c the id before it."""
     inner = np.ones(len(ids), bool)
     inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
-    left, right = before[ids[:-1]][inner[1:]], place[ids[1:]][inner[1:]]
-    table = np.zeros((len(known), 2 * len(common)), np.float32)
-    np.add.at(table, (right[left >= 0], left[left >= 0]), 1)
-    left, right = place[ids[:-1]][inner[1:]], before[ids[1:]][inner[1:]]
-    np.add.at(table, (left[right >= 0], len(common) + right[right >= 0]), 1)
-    share = (table + 1e-6) * table.sum() / np.maximum(1, np.outer(table.sum(axis=1), table.sum(axis=0)))
-    table = np.maximum(np.log(np.maximum(share, 1e-6)), 0).astype(np.float32)
-    # a random projection and a small decomposition stand in for a full one
-    basis, _ = np.linalg.qr(table.T @ (table @ r.normal(size=(table.shape[1], 4 * WIDTH)).astype(np.float32)))
-    _, _, turn = np.linalg.svd(table @ basis, full_matrices=False)
-    points = (table @ basis) @ turn[:WIDTH].T
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-6)
-    points = np.pad(points, ((0, 0), (0, WIDTH - points.shape[1])))
+    left, right = ids[:-1][inner[1:]].astype(np.int64), ids[1:][inner[1:]].astype(np.int64)
+    a, b = common[left].astype(np.int64), common[right].astype(np.int64)
+    return np.unique(np.concatenate([right[a >= 0] * 2 * CONTEXTS + a[a >= 0], left[b >= 0] * 2 * CONTEXTS + CONTEXTS + b[b >= 0]]), return_counts=True)
+
+
+def _block(row: np.ndarray, context: np.ndarray, n: np.ndarray, rows: int, columns: np.ndarray) -> np.ndarray:
+    """Positive pointwise information of whole rows of cells; columns are the sums of each context over all ids."""
+    table = np.zeros((rows, len(columns)), np.float32)
+    sums = np.bincount(row, weights=n, minlength=rows)
+    table[row, context] = np.maximum(np.log(n * columns.sum() / (sums[row] * columns[context])), 0)
+    return table
+
+
+def _basis(gram: np.ndarray) -> np.ndarray:
+    """The WIDTH first directions of a table from its products of columns, each with its largest number above 0."""
+    turn = np.linalg.eigh(gram)[1][:, ::-1][:, :WIDTH]
+    return (turn * np.sign(turn[np.argmax(np.abs(turn), axis=0), np.arange(WIDTH)])).astype(np.float32)
+
+
+def _begin(counts: np.ndarray, points: np.ndarray, seed: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(first parameters, classes of ids) from counts and points (IDS, WIDTH) of ids; ids never seen share a state of zeros and the last class."""
+    r, d = np.random.default_rng(seed), WIDTH
+    states = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    known = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
     # the most frequent ids are classes of their own; the others go to the nearest of the middles
     own = min(CLASSES * 3 // 4, len(known))
-    rest = points[own:]
+    rest = states[known[own:]]
     middles = rest[np.linspace(0, len(rest) - 1, CLASSES - 1 - own).astype(int)] if len(rest) else rest
     group = np.zeros(len(rest), int)
     for _ in range(12 if len(rest) else 0):
@@ -139,80 +154,212 @@ def _start(sizes: np.ndarray, ids: np.ndarray, seed: int) -> tuple[np.ndarray, n
     classes = np.full(IDS, CLASSES - 1)
     classes[known[:own]] = np.arange(own)
     classes[known[own:]] = own + group
-    states = np.zeros((IDS, WIDTH), np.float32)
-    states[known] = points
-    states[BEGIN] = r.normal(size=WIDTH) * 0.3
-    return states, classes
-
-
-def fit(sizes: np.ndarray, ids: np.ndarray, id_counts: np.ndarray, seed: int = 5) -> Model:
-    """Train the attention weights on a sample's windows by Adam; id_counts (IDS) are those of all training documents."""
-    r = np.random.default_rng(seed)
-    d, n = WIDTH, WINDOW
-    states, classes = _start(sizes, ids, seed) if len(ids) else (np.zeros((IDS, d), np.float32), np.full(IDS, CLASSES - 1))
+    states[BEGIN] = r.normal(size=d) * 0.3
     small = lambda *shape: (r.normal(size=shape) * shape[0] ** -0.5).astype(np.float32)
-    used, local = np.unique(np.append(ids, BEGIN).astype(np.int64), return_inverse=True)
-    p = {"e": states[used].astype(np.float32), "p": 0.1 * small(n, d), "q": small(d, d), "k": small(d, d), "v": small(d, d), "u": small(d, CLASSES), "b": np.zeros(CLASSES, np.float32)}
-    p["b"][:] = np.log(np.bincount(classes[ids], minlength=CLASSES) + 1.0) if len(ids) else 0.0
+    p = {"e": states, "p": 0.1 * small(WINDOW, d), "q": small(d, d), "k": small(d, d), "v": small(d, d), "u": small(d, CLASSES), "b": np.zeros(CLASSES, np.float32)}
+    p["b"][:] = np.log(np.bincount(classes, weights=counts, minlength=CLASSES) + 1.0)
     p["b"] -= p["b"].mean()
-    text, start, is_first = windows(sizes)
-    ends = np.cumsum(sizes)
-    before = np.concatenate([local[-1:], local[:-2]]) if len(ids) else local[:0]
-    before[(ends - sizes)[sizes > 0]] = local[-1]
-    mask = np.where(np.tril(np.ones((n, n), bool)), 0.0, -1e9).astype(np.float32)
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    t, scale = 0, np.float32(d**-0.5)
-    for _ in range(FIT_PASSES):
-        order = r.permutation(len(text))
-        for a in range(0, len(order), FIT_BATCH):
-            w = order[a : a + FIT_BATCH]
-            at = start[w, None] + np.arange(n)
-            inside = at < ends[text[w], None]
-            at = np.minimum(at, len(ids) - 1)
-            inside[~is_first[w], :OVERLAP] = False
-            rows = np.flatnonzero(inside.ravel())
-            i = before[at]
-            x = p["e"][i] + p["p"]
-            q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-            s = np.matmul(q, k.transpose(0, 2, 1)) * scale + mask
-            s = np.exp(s - s.max(axis=2, keepdims=True))
-            s /= s.sum(axis=2, keepdims=True)
-            h = x + np.matmul(s, v)
-            flat = h.reshape(-1, d)[rows]
-            logits = flat @ p["u"] + p["b"]
-            logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(len(rows)), classes[ids[at.ravel()[rows]]]] -= 1
-            logits /= max(1, len(rows))
-            g = {"u": flat.T @ logits, "b": logits.sum(axis=0)}
-            dh = np.zeros((h.size // d, d), np.float32)
-            dh[rows] = logits @ p["u"].T
-            dh = dh.reshape(h.shape)
-            dv = np.matmul(s.transpose(0, 2, 1), dh)
-            ds = np.matmul(dh, v.transpose(0, 2, 1))
-            ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * scale
-            dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-            one = lambda y: x.reshape(-1, d).T @ y.reshape(-1, d)  # noqa: B023, E731
-            g |= {"q": one(dq), "k": one(dk), "v": one(dv)}
-            dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-            g["p"] = dx.sum(axis=0)
-            g["e"] = np.zeros_like(p["e"])
-            np.add.at(g["e"], i.ravel(), dx.reshape(-1, d))
-            t += 1
-            for name, grad in g.items():
-                m, v2 = moment[name]
-                m += 0.1 * (grad - m)
-                v2 += 0.001 * (grad * grad - v2)
-                p[name] -= (FIT_RATE * (m / (1 - 0.9**t)) / (np.sqrt(v2 / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+    return p, classes
+
+
+class Trainer:
+    """Adam over windows of texts, from given parameters; an id's state and its moments move in the steps that have the id."""
+
+    def __init__(self, start: dict[str, np.ndarray], classes: np.ndarray, seed: int):
+        self.start, self.classes, self.r = start, classes, np.random.default_rng(seed)
+        self.p = {k: v.copy() for k, v in start.items()}
+        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in start.items()}
+        self.t, self.scored, self.met = 0, 0, np.zeros(IDS, np.int64)
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """All windows of the texts, FIT_PASSES times in an order of chance."""
+        d, n, p, classes = WIDTH, WINDOW, self.p, self.classes
+        text, start, is_first = windows(sizes)
+        ends = np.cumsum(sizes)
+        before = np.concatenate([np.full(1, BEGIN, np.int64), ids[:-1].astype(np.int64)]) if len(ids) else np.zeros(0, np.int64)
+        before[(ends - sizes)[sizes > 0]] = BEGIN
+        self.met += np.bincount(before, minlength=IDS)
+        self.scored += len(ids)
+        mask, scale = np.where(np.tril(np.ones((n, n), bool)), 0.0, -1e9).astype(np.float32), np.float32(d**-0.5)
+        for _ in range(FIT_PASSES):
+            order = self.r.permutation(len(text))
+            for a in range(0, len(order), FIT_BATCH):
+                w = order[a : a + FIT_BATCH]
+                at = start[w, None] + np.arange(n)
+                inside = at < ends[text[w], None]
+                at = np.minimum(at, len(ids) - 1)
+                inside[~is_first[w], :OVERLAP] = False
+                rows = np.flatnonzero(inside.ravel())
+                i = before[at]
+                x = p["e"][i] + p["p"]
+                q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
+                s = np.matmul(q, k.transpose(0, 2, 1)) * scale + mask
+                s = np.exp(s - s.max(axis=2, keepdims=True))
+                s /= s.sum(axis=2, keepdims=True)
+                h = x + np.matmul(s, v)
+                flat = h.reshape(-1, d)[rows]
+                logits = flat @ p["u"] + p["b"]
+                logits = np.exp(logits - logits.max(axis=1, keepdims=True))
+                logits /= logits.sum(axis=1, keepdims=True)
+                logits[np.arange(len(rows)), classes[ids[at.ravel()[rows]]]] -= 1
+                logits /= max(1, len(rows))
+                g = {"u": flat.T @ logits, "b": logits.sum(axis=0)}
+                dh = np.zeros((h.size // d, d), np.float32)
+                dh[rows] = logits @ p["u"].T
+                dh = dh.reshape(h.shape)
+                dv = np.matmul(s.transpose(0, 2, 1), dh)
+                ds = np.matmul(dh, v.transpose(0, 2, 1))
+                ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * scale
+                dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+                one = lambda y: x.reshape(-1, d).T @ y.reshape(-1, d)  # noqa: B023, E731
+                g |= {"q": one(dq), "k": one(dk), "v": one(dv)}
+                dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
+                g["p"] = dx.sum(axis=0)
+                by_id = np.argsort(i.ravel(), kind="stable")
+                places = i.ravel()[by_id]
+                cuts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+                g["e"] = np.add.reduceat(dx.reshape(-1, d)[by_id], cuts)
+                self.t += 1
+                for name, grad in g.items():
+                    at_rows = places[cuts] if name == "e" else slice(None)
+                    m, v2 = self.moment[name]
+                    m[at_rows] += 0.1 * (grad - m[at_rows])
+                    v2[at_rows] += 0.001 * (grad * grad - v2[at_rows])
+                    p[name][at_rows] -= (FIT_RATE * (m[at_rows] / (1 - 0.9**self.t)) / (np.sqrt(v2[at_rows] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, weight, weighted moves): rows of WIDTH numbers; an id's state weighs as often as it was met, all else as the ids scored."""
+        seen = np.flatnonzero(self.met)
+        others = np.concatenate([(self.p[k] - self.start[k]).reshape(-1, WIDTH) for k in DENSE])
+        key, weight = np.concatenate([seen, IDS + np.arange(len(others))]), np.concatenate([self.met[seen], np.full(len(others), self.scored)]).astype(float)
+        return key, weight, np.concatenate([self.p["e"][seen] - self.start["e"][seen], others]) * weight[:, None]
+
+
+def averaged(start: dict[str, np.ndarray], key: np.ndarray, weight: np.ndarray, moves: np.ndarray) -> dict[str, np.ndarray]:
+    """The parameters moved by the weighted mean of the moves; key, weight and moves are sums over all tasks."""
+    mean, out = moves / np.maximum(weight, 1)[:, None], {k: v.copy() for k, v in start.items()}
+    of_id = key < IDS
+    out["e"][key[of_id]] += mean[of_id].astype(np.float32)
+    others = np.zeros((sum(start[k].size for k in DENSE) // WIDTH, WIDTH))
+    others[key[~of_id] - IDS] = mean[~of_id]
+    at = 0
+    for k in DENSE:
+        rows = start[k].size // WIDTH
+        out[k] += others[at : at + rows].reshape(start[k].shape).astype(np.float32)
+        at += rows
+    return out
+
+
+def _finished(p: dict[str, np.ndarray], classes: np.ndarray, id_counts: np.ndarray) -> Model:
+    d, scale = WIDTH, np.float32(WIDTH**-0.5)
     # classes without an id get nothing
     p["b"][np.bincount(classes, minlength=CLASSES) == 0] = -MOST / 2
-    e = np.zeros((IDS, d), np.float32)
-    e[used] = p["e"]
     rows = lambda y, one: np.hstack([y, y @ p["q"] * scale, y @ p["k"], y @ p["v"], np.full((len(y), 1), one)]).astype(np.float32)
     known = id_counts.astype(np.float64) + 1.0
     known[BEGIN] = 0.0
     within = np.bincount(classes, weights=known, minlength=CLASSES)[classes]
-    return Model(rows(e, 1.0), rows(p["p"], 0.0), p["u"], p["b"], classes, np.log10(np.maximum(known, 1e-9) / within).astype(np.float32))
+    return Model(rows(p["e"].reshape(IDS, d), 1.0), rows(p["p"], 0.0), p["u"], p["b"], classes, np.log10(np.maximum(known, 1e-9) / within).astype(np.float32))
+
+
+def fit(sizes: np.ndarray, ids: np.ndarray, id_counts: np.ndarray, seed: int = 5) -> Model:
+    """The model of texts in memory; id_counts (IDS) are those within classes."""
+    counts = np.bincount(ids, minlength=IDS) if len(ids) else np.zeros(IDS, np.int64)
+    points = np.zeros((IDS, WIDTH), np.float32)
+    if len(ids):
+        cells, n = followers(sizes, ids, common_ids(counts))
+        rows, row = np.unique(cells // (2 * CONTEXTS), return_inverse=True)
+        context = cells % (2 * CONTEXTS)
+        table = _block(row, context, n, len(rows), np.bincount(context, weights=n, minlength=2 * CONTEXTS))
+        points[rows] = table @ _basis(table.T.astype(np.float64) @ table)
+    start, classes = _begin(counts, points, seed)
+    trainer = Trainer(start, classes, seed)
+    trainer.add(sizes, ids)
+    return _finished(trainer.p, classes, id_counts)
+
+
+def _id_texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of ids of each text and all ids, slice by slice."""
+    encoder = tokenizer(path, KEPT_WORDS)
+    for batch in batches:
+        for _, texts in text_slices(batch, "text", 2 << 20):
+            offsets, words = split_words(texts)
+            sizes, ids, _, _ = _ids(encoder, offsets, words)
+            yield sizes, ids
+        pa.default_memory_pool().release_unused()
+
+
+def id_points(train: DataFrame, counts: np.ndarray, path: str) -> np.ndarray:
+    """States of ids (IDS, WIDTH) by which ids stand beside which, over all training documents; one row an id reaches the driver."""
+    common, contexts = common_ids(counts), 2 * CONTEXTS
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        summed = lambda: pa.concat_tables(held).group_by("cell", use_threads=False).aggregate([("n", "sum")]).rename_columns(["cell", "n"])
+        for sizes, ids in _id_texts(batches, path):
+            cells, n = followers(sizes, ids, common)
+            held.append(pa.table({"cell": cells, "n": n}))
+            if sum(t.num_rows for t in held) > HELD_CELLS:
+                held[:] = [summed()]
+                if held[0].num_rows > HELD_CELLS // 2:
+                    yield from held.pop().to_batches(50_000)
+        if held:
+            yield from summed().to_batches(50_000)
+
+    cells = train.select("text").mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    of_id = F.struct((F.col("cell") % contexts).cast("int").alias("context"), "n")
+    # an id has a cell for each context at most
+    rows = materialised(cells.groupBy(F.expr(f"cell div {contexts}").alias("id")).agg(F.collect_list(of_id).alias("cells")), "id-neighbours")
+    columns = np.zeros(contexts)
+    sums = rows.select(F.explode("cells").alias("c")).groupBy("c.context").agg(F.sum("c.n").alias("n")).toArrow()
+    columns[sums.column("context").to_numpy()] = sums.column("n").to_numpy()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                lists = part.column(1)
+                values, row = lists.flatten(), np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+                yield part.column(0), _block(row, values.field("context").to_numpy(), values.field("n").to_numpy(), part.num_rows, columns)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((contexts, contexts))
+        for _, table in blocks(batches):
+            total += table.T.astype(np.float64) @ table
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["gram"])
+
+    # 8 MB from each of four tasks; they read a row an id, which the vocabulary bounds
+    parts = rows.select("id", "cells").coalesce(4).mapInArrow(grams, "gram binary").toArrow().column("gram")
+    basis = _basis(sum((np.frombuffer(g.as_buffer(), np.float64).reshape(contexts, contexts) for g in parts), np.zeros((contexts, contexts))))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, table in blocks(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array((table @ basis).tolist(), pa.list_(pa.float32()))], names=["id", "point"])
+
+    found, out = rows.select("id", "cells").mapInArrow(placed, "id long, point array<float>").toArrow(), np.zeros((IDS, WIDTH), np.float32)
+    if found.num_rows:
+        out[found.column("id").to_numpy()] = found.column("point").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    return out
+
+
+def trained(train: DataFrame, counts: np.ndarray, id_counts: np.ndarray, path: str, seed: int = 5) -> Model:
+    """The model of all training documents: each task trains on all its texts from the same start, and their moves are averaged."""
+    start, classes = _begin(counts, id_points(train, counts, path), seed)
+    shared = train.sparkSession.sparkContext.broadcast((start, classes))  # bounded by the vocabulary
+    names = [f"d{i}" for i in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer = Trainer(*shared.value, seed)
+        for sizes, ids in _id_texts(batches, path):
+            trainer.add(sizes, ids)
+        key, weight, moves = trainer.moved()
+        if trainer.scored:
+            table = pa.table({"key": key, "weight": weight} | {c: moves[:, i].astype(np.float32) for i, c in enumerate(names)})
+            yield from table.to_batches(10_000)
+
+    moves = train.select("text").mapInArrow(run, "key long, weight double, " + ", ".join(f"{c} float" for c in names))
+    found = moves.groupBy("key").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in names]).toArrow()  # a row an id, and some for the weights
+    column = lambda c: found.column(c).to_numpy()
+    return _finished(averaged(start, column("key"), column("weight"), np.stack([column(c) for c in names], axis=1)), classes, id_counts)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -239,22 +386,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(words: DataFrame, path: str, documents: int) -> np.ndarray:
-    """Counts of all subword ids over (word, n); a row for each id reaches the driver, the vocabulary's size at most."""
+def id_counts(words: DataFrame, path: str, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of all subword ids over (word, n), their sums by roots of n); a row for each id reaches the driver, the vocabulary's size at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts = tokenizer(path, KEPT_WORDS), np.zeros(IDS, np.int64)
+        encoder, counts, plain = tokenizer(path, KEPT_WORDS), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
         for batch in batches:
             sizes, ids = encoder.after_blank(batch.column(0).to_pylist())
-            counts += np.bincount(ids, weights=np.repeat(np.sqrt(batch.column(1).to_numpy()), sizes), minlength=IDS).astype(np.int64)
-        full = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["id", "n"])
-
-    out = np.zeros(IDS, np.int64)
-    rows = words.select("word", "n").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+            n = np.repeat(batch.column(1).to_numpy(), sizes)
+            counts += np.bincount(ids, weights=np.sqrt(n), minlength=IDS).astype(np.int64)
+            plain += np.bincount(ids, weights=n, minlength=IDS).astype(np.int64)
+        full = np.flatnonzero(plain)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full]), pa.array(plain[full])], names=["id", "n", "plain"])
+
+    out, plain = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+    rows = words.select("word", "n").mapInArrow(run, "id long, n long, plain long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")).toArrow()
     out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+    plain[rows.column("id").to_numpy()] = rows.column("plain").to_numpy()
     out[END] += documents
-    return out
+    plain[END] += documents
+    return plain, out
 
 
 def _ids(encoder, offsets: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
@@ -295,16 +446,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     documents = train.count()
     total, distinct = row["n"] + documents, row["v"] + (documents > 0)  # an end in each document
-    encoder = tokenizer(path, KEPT_WORDS)
-    # ids alone are ordered; then a stated number of texts is fetched
-    chosen = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).withColumnRenamed("doc_id", "chosen")
-    fitted = train.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    fitted = fitted.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(FIT_ROWS).select("text").toArrow()
-    sizes, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if fitted.num_rows:
-        offsets, words = split_words(fresh(fitted.column("text").combine_chunks()))
-        sizes, ids, _, _ = _ids(encoder, offsets, words)
-    model = fit(sizes, ids, id_counts(counts, path, documents))
+    model = trained(train, *id_counts(counts, path, documents), path)
     frequent = _frequent(counts, FREQUENT)
     shared = spark.sparkContext.broadcast((model, fresh(frequent.column("word").combine_chunks()), frequent.column("n").to_numpy()))  # bounded by FREQUENT and the vocabulary
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:string,by_ids:float>>"

@@ -85,3 +85,35 @@ def test_rare_words_are_joined(spark, sf_dir, monkeypatch):
     check(docs)
     few = {r["doc_id"]: r["score"] for r in lm.scored(docs).collect()}
     assert all(few[k] == pytest.approx(whole[k], rel=1e-4) for k in whole)
+
+
+def test_all_training_documents_fit_the_layer(spark):
+    """Ids of documents beyond any fixed number have states and classes of their own, and what follows them is learnt."""
+    rows = [(i, "plain words stand here in a row") for i in range(3000)] + [(5000 + i, "zebra quartz violin zebra quartz violin") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    train = docs.where("doc_id % 7 <> 2")
+    path = lm.byte_bpe_path()
+    counts = lm.materialised(lm.word_counts(train), "word-counts")
+    plain, within = lm.id_counts(counts, path, train.count())
+    points = lm.id_points(train, plain, path)
+    assert (np.abs(points[plain > 0]).sum(axis=1) > 0).all()
+    model = lm.trained(train, plain, within, path)
+    encoder = lm.tokenizer(path, 1000)
+    zebra, quartz = (encoder.after_blank([w])[1] for w in ("zebra", "quartz"))
+    assert (model.by_id[zebra, : lm.WIDTH] != 0).all()
+    # quartz is likelier after zebra than at a text's start
+    after = model.score(np.array([len(zebra) + len(quartz)]), np.concatenate([zebra, quartz]))[len(zebra) :]
+    assert after[0] > model.score(np.array([len(quartz)]), np.asarray(quartz))[0]
+
+
+def test_moves_of_tasks_are_averaged_by_what_they_saw():
+    r = np.random.default_rng(2)
+    sizes, ids = np.array([40, 30]), r.integers(0, 300, 70)
+    counts = np.bincount(ids, minlength=lm.IDS)
+    start, classes = lm._begin(counts, r.normal(size=(lm.IDS, lm.WIDTH)).astype(np.float32), 5)
+    trainer = lm.Trainer(start, classes, 5)
+    trainer.add(sizes, ids)
+    key, weight, moves = trainer.moved()
+    # two tasks alike give what one gives
+    same = lm.averaged(start, key, 2 * weight, 2 * moves)
+    assert all(np.allclose(same[k], trainer.p[k], atol=1e-5) for k in same)
