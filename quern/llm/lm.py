@@ -2,7 +2,7 @@
 
 A document is its words, A-Z in lower case, and an end. Each word after a blank is cut into subword ids of a public
 tokenizer, the end is one id more. An attention layer over the ids before it in a window gives an id's class,
-and counts over all training documents give the id within its class. The layer too is trained on all of them: ids start from
+and sums of square roots of word counts over all training documents give the id within its class. The layer too is trained on all of them: ids start from
 counts of their neighbours, tasks train on their own documents and the moves of their weights are averaged. Windows overlap: all but the first give their first ids
 as context alone, so that every id is scored once; windows are scored in batches under one causal mask. A word's probability
 is that of its ids, mixed with the word's share of all training tokens.
@@ -24,7 +24,7 @@ from quern.llm.quality import held_out
 from quern.llm.tokenise import byte_bpe_path, tokenizer
 
 #: Ids of a window, those of them that are context, numbers of a state, classes.
-WINDOW, OVERLAP, WIDTH, CLASSES = 32, 4, 16, 128
+WINDOW, OVERLAP, WIDTH, CLASSES = 32, 8, 16, 128
 #: Passes over each slice of the training documents, windows of a step, rate.
 FIT_PASSES, FIT_BATCH, FIT_RATE = 2, 64, 0.01
 #: Frequent ids beside which ids are counted; the parameters besides ids' states; cells that a task sums up before it sends them on, at most.
@@ -262,7 +262,7 @@ def _finished(p: dict[str, np.ndarray], classes: np.ndarray, id_counts: np.ndarr
 
 
 def fit(sizes: np.ndarray, ids: np.ndarray, id_counts: np.ndarray, seed: int = 5) -> Model:
-    """The model of texts in memory; id_counts (IDS) are those within classes."""
+    """The model of texts in memory; id_counts (IDS) are the sums by which ids share their class."""
     counts = np.bincount(ids, minlength=IDS) if len(ids) else np.zeros(IDS, np.int64)
     points = np.zeros((IDS, WIDTH), np.float32)
     if len(ids):
@@ -387,21 +387,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def id_counts(words: DataFrame, path: str, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of all subword ids over (word, n), their sums by roots of n); a row for each id reaches the driver, the vocabulary's size at most."""
+    """(counts of all subword ids over (word, n), their sums of square roots of n, rounded once); a row for each id reaches the driver, the vocabulary's size at most.
+
+    The roots stand for ids within a class, as frequent words are scored by their own counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, counts, plain = tokenizer(path, KEPT_WORDS), np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+        encoder, roots, plain = tokenizer(path, KEPT_WORDS), np.zeros(IDS), np.zeros(IDS, np.int64)
         for batch in batches:
             sizes, ids = encoder.after_blank(batch.column(0).to_pylist())
             n = np.repeat(batch.column(1).to_numpy(), sizes)
-            counts += np.bincount(ids, weights=np.sqrt(n), minlength=IDS).astype(np.int64)
+            roots += np.bincount(ids, weights=np.sqrt(n), minlength=IDS)
             plain += np.bincount(ids, weights=n, minlength=IDS).astype(np.int64)
         full = np.flatnonzero(plain)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full]), pa.array(plain[full])], names=["id", "n", "plain"])
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(roots[full]), pa.array(plain[full])], names=["id", "roots", "plain"])
 
     out, plain = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
-    rows = words.select("word", "n").mapInArrow(run, "id long, n long, plain long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain")).toArrow()
-    out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+    rows = words.select("word", "n").mapInArrow(run, "id long, roots double, plain long").groupBy("id").agg(F.sum("roots").alias("roots"), F.sum("plain").alias("plain")).toArrow()
+    out[rows.column("id").to_numpy()] = np.rint(rows.column("roots").to_numpy()).astype(np.int64)
     plain[rows.column("id").to_numpy()] = rows.column("plain").to_numpy()
     out[END] += documents
     plain[END] += documents

@@ -117,3 +117,23 @@ def test_moves_of_tasks_are_averaged_by_what_they_saw():
     # two tasks alike give what one gives
     same = lm.averaged(start, key, 2 * weight, 2 * moves)
     assert all(np.allclose(same[k], trainer.p[k], atol=1e-5) for k in same)
+
+
+def test_the_first_id_of_a_later_window_sees_eight_ids(model):
+    ids = np.arange(50)
+    changed = ids.copy()
+    changed[24] = 299
+    whole, other = model.score(np.array([50]), ids), model.score(np.array([50]), changed)
+    assert abs(whole[32] - other[32]) > 1e-6
+
+
+def test_roots_of_word_counts_are_rounded_once(spark):
+    words = spark.createDataFrame([(f"zebra{i}", 2) for i in range(40)], "word string, n long").repartition(8)
+    path = lm.byte_bpe_path()
+    plain, roots = lm.id_counts(words, path, 0)
+    encoder, want, whole = lm.tokenizer(path, 1000), np.zeros(lm.IDS), np.zeros(lm.IDS)
+    for i in range(40):
+        ids = encoder.after_blank([f"zebra{i}"])[1]
+        np.add.at(want, ids, math.sqrt(2))
+        np.add.at(whole, ids, 2)
+    assert (roots == np.rint(want)).all() and (plain == whole).all()
