@@ -439,6 +439,18 @@ def trim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", X.trimmed(value).alias("value"))
 
 
+@_query("SELECT doc_id, replace(replace(replace(" + _ESC.format("'<a href=\"' || text || '\">&'") + ", chr(9), '&#9;'), chr(10), '&#10;'), chr(13), '&#13;') AS escaped FROM documents")
+def xml_escape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, line ends and tabs among them."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.escape_xml(F.concat(F.lit('<a href="'), "text", F.lit('">&'))).alias("escaped"))
+
+
+@_query("SELECT doc_id, nullif(regexp_replace(regexp_replace(chr(10) || '  ' || text || chr(1) || ' ', '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS value FROM documents")
+def trim_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every document, padded."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.trimmed(F.concat(F.lit("\n  "), "text", F.lit("\x01 "))).alias("value"))
+
+
 # --- bytes, ranges and pixels ----------------------------------------------------------------------------------------
 
 
