@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.functions.text import format_bytes, format_percent
 
@@ -39,3 +40,9 @@ def warnings_by_code(files: DataFrame) -> DataFrame:
     """files (file, warnings array of struct(code, message)) to (code, files, warnings): repeats within a file count once."""
     each = files.select("file", F.explode(F.array_distinct("warnings")).alias("w"))
     return each.groupBy(F.col("w.code").alias("code")).agg(F.countDistinct("file").alias("files"), F.count("*").alias("warnings"))
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank, from 0 on in the order: ranges are sorted apart, and what they hold is counted for their offsets."""
+    schema = StructType([*rows.schema.fields, StructField("rank", LongType(), False)])
+    return rows.sparkSession.createDataFrame(rows.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)

@@ -671,4 +671,11 @@ def shards_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.files(spark, sf_dir).where("file < 200").select("file", "input_format", ((F.row_number().over(order) - 1) % 8).alias("shard"))
 
 
+@_query(_with(V.FILES_SQL) + "SELECT file, input_format, CAST((row_number() OVER (ORDER BY input_bytes DESC, file) - 1) % 8 AS INTEGER) AS shard FROM files")
+def shards_of_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inputs, the largest first, dealt to eight shards in turn."""
+    ranked = totals.ranked(V.files(spark, sf_dir).select("file", "input_format", "input_bytes"), F.col("input_bytes").desc(), F.col("file"))
+    return ranked.select("file", "input_format", (F.col("rank") % 8).cast("int").alias("shard"))
+
+
 assert set(RIGHTS_FIELDS) == set(rights.PREFIX)

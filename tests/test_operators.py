@@ -111,3 +111,15 @@ def test_whole_texts_are_escaped_and_trimmed(spark, tmp_path):
     assert escaped[0] == '&lt;a href=&quot;' + long + '&lt;&#9;&amp;&#13;&#10;&gt;&quot;&quot;&gt;&amp;'
     trimmed = {r["doc_id"]: r["value"] for r in QUERIES["trim_values_whole"](spark, str(tmp_path)).collect()}
     assert trimmed == {0: texts[0], 1: None, 2: None, 3: long, 4: None}
+
+
+def test_all_rows_are_ranked_without_one_task(spark):
+    frame = spark.range(5000).selectExpr("id AS file", "id * 7919 % 997 AS input_bytes")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    try:
+        got = totals.ranked(frame, F.col("input_bytes").desc(), F.col("file"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(((i, i * 7919 % 997) for i in range(5000)), key=lambda r: (-r[1], r[0]))
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == [(*r, n) for n, r in enumerate(want)]
+    assert got.rdd.getNumPartitions() > 1
