@@ -33,28 +33,30 @@ def conflicting(inputs: DataFrame, mode: str) -> DataFrame:
 
     reason: same-file (an earlier input has the path), claimed (an earlier input that runs claims one of its outputs) or
     replaces (one of its outputs is another input). An input that may not run claims nothing, so inputs are decided in order.
-    All claims of an input share its folder and stem; a fold over such a group's inputs, in order, decides it alone.
+    All claims of an input share its folder and stem; a fold over such a group's inputs, in order, decides it alone. Repeats of
+    a path claim nothing and stay out of the fold, so that it has a row for each distinct path at most.
     """
     claims = output_claims(F.col("path"), F.col("format"), mode)
     each = inputs.select("idx", comparable(F.col("path")).alias("own"), claims.alias("claims"), folder(F.col("path")).alias("dir"), stem(F.col("path")).alias("stem"))
-    group = Window.partitionBy("dir", "stem")
-    each = each.withColumn("paths", F.collect_set("own").over(group)).withColumn("first", F.min("idx").over(Window.partitionBy("own")))
-    others = F.exists("claims", lambda c: (c != F.col("own")) & F.array_contains(F.col("paths"), c))
-    row = F.struct("idx", "claims", (F.col("first") < F.col("idx")).alias("repeat"), others.alias("others"), F.transform("claims", lambda c: (c != F.col("own")) & F.array_contains(F.col("paths"), c)).alias("is_other"))
+    firsts = each.groupBy("own").agg(F.min(F.struct("idx", "claims", "dir", "stem")).alias("f"))
+    row = F.struct(F.col("f.idx").alias("idx"), F.col("own"), F.col("f.claims").alias("claims"))
+    first = firsts.select(F.col("own").alias("of"), F.col("f.idx").alias("first"))
+    repeats = each.join(first, F.col("own").eqNullSafe(F.col("of"))).where("first < idx").select("idx", F.lit("same-file").alias("reason"))
     start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<idx:bigint,reason:string>>").alias("found"))
 
     def step(acc, r):
-        taken = lambda i: F.array_contains(acc["taken"], F.get(r["claims"], i))
+        taken = lambda c: F.array_contains(acc["taken"], c)
+        other = lambda c: (c != r["own"]) & F.array_contains(F.col("paths"), c)
         # the first claim in order that clashes gives the reason; on one claim an earlier claimant comes before an input
-        clashes = F.transform(r["claims"], lambda c, i: F.when(taken(i), "claimed").when(F.get(r["is_other"], i), "replaces"))
-        reason = F.when(r["repeat"], F.lit("same-file")).otherwise(F.get(F.array_compact(clashes), F.lit(0)))
+        clashes = F.transform(r["claims"], lambda c: F.when(taken(c), "claimed").when(other(c), "replaces"))
+        reason = F.get(F.array_compact(clashes), F.lit(0))
         free = F.when(reason.isNull(), F.array_union(acc["taken"], r["claims"])).otherwise(acc["taken"])
         found = F.when(reason.isNull(), acc["found"]).otherwise(F.array_append(acc["found"], F.struct(r["idx"].alias("idx"), reason.alias("reason"))))
         return F.struct(free.alias("taken"), found.alias("found"))
 
-    folded = each.groupBy("dir", "stem").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    folded = firsts.groupBy("f.dir", "f.stem").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.collect_set("own").alias("paths"))
     out = folded.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc["found"])).alias("f"))
-    return out.select("f.idx", "f.reason")
+    return out.select("f.idx", "f.reason").unionByName(repeats)
 
 
 def write_plan(outputs: DataFrame, existing: DataFrame, in_place: bool, overwrite: bool) -> DataFrame:
@@ -78,7 +80,8 @@ def write_plan(outputs: DataFrame, existing: DataFrame, in_place: bool, overwrit
 def free_names(names: DataFrame) -> DataFrame:
     """names (idx, folder, name) with free_name: the name itself where it comes first in its folder, else with the next count.
 
-    Counts that other names in the folder already have are passed over; one fold per folder and base, in order.
+    Counts that other names in the folder already have are passed over. Where all names of a folder, base and extension ask
+    for one count, their ranks are the counts; one fold, in order, decides the groups that ask for several.
     """
     base = F.regexp_replace("name", "(?<=.)\\.[^.]*$", "")
     ext = F.regexp_extract("name", "(?<=.)(\\.[^.]*)$", 1)
@@ -93,7 +96,15 @@ def free_names(names: DataFrame) -> DataFrame:
         number = F.get(F.filter(tries, lambda n: ~F.array_contains(acc["taken"], n)), F.lit(0))
         return F.struct(F.array_append(acc["taken"], number).alias("taken"), F.array_append(acc["out"], F.struct(r["idx"].alias("idx"), number.alias("count"))).alias("out"))
 
-    folded = parts.groupBy("folder", "base", "ext").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    out = folded.select("folder", "base", "ext", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o"))
+    group = ["folder", "base", "ext"]
+    mixed = parts.groupBy(*group).agg((F.min("count") < F.max("count")).alias("mixed"))
+    for key in group:
+        mixed = mixed.withColumnRenamed(key, f"of_{key}")
+    same_group = F.col("folder").eqNullSafe(F.col("of_folder")) & F.col("base").eqNullSafe(F.col("of_base")) & F.col("ext").eqNullSafe(F.col("of_ext"))
+    parts = parts.join(mixed, same_group).select(*group, "idx", "name", "count", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("idx", "name", "count")) - 1
+    ranked = parts.where(~F.col("mixed")).select(*group, F.struct("idx", (F.col("count") + rank).alias("count")).alias("o"))
+    folded = parts.where("mixed").groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    out = folded.select(*group, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o")).unionByName(ranked)
     name = F.concat("base", F.when(F.col("o.count") > 0, F.concat(F.lit(" ("), F.col("o.count").cast("string"), F.lit(")"))).otherwise(F.lit("")), "ext")
     return out.select("o.idx", "folder", name.alias("free_name"))

@@ -339,6 +339,12 @@ def conflicts_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.conflicting(_distinct_paths(spark, sf_dir), "suite")
 
 
+@_query(ORACLE_SQL["conflicts_greedy"].replace("'/in' || (page_id // 560) || '/d'", "'/in/d'"))
+def conflicts_of_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths as they are: a folder and stem has inputs that grow with the pages."""
+    return conflicts.conflicting(V.paths(spark, sf_dir), "suite")
+
+
 @_query(
     _with(V.PATHS_SQL, V.CLAIMS_SQL)
     + """, outputs AS (SELECT idx AS file, generate_subscripts(claims, 1) - 1 AS ord, unnest(claims) AS out, path, idx % 5 = 0 AS same FROM claims),
@@ -357,7 +363,7 @@ def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within a folder, each with the next free count."""
-    p = _distinct_paths(spark, sf_dir).select("idx", P.folder(F.col("path")).alias("folder"), F.concat(F.substring(P.stem(F.col("path")), 1, 4), F.lit("."), P.extension(F.col("path"))).alias("name"))
+    p = V.paths(spark, sf_dir).select("idx", P.folder(F.col("path")).alias("folder"), F.concat(F.substring(P.stem(F.col("path")), 1, 4), F.lit("."), P.extension(F.col("path"))).alias("name"))
     return conflicts.free_names(p)
 
 

@@ -123,3 +123,19 @@ def test_all_rows_are_ranked_without_one_task(spark):
     want = sorted(((i, i * 7919 % 997) for i in range(5000)), key=lambda r: (-r[1], r[0]))
     assert [tuple(r) for r in got.orderBy("rank").collect()] == [(*r, n) for n, r in enumerate(want)]
     assert got.rdd.getNumPartitions() > 1
+
+
+def test_many_inputs_of_one_path_stay_out_of_the_fold(spark, monkeypatch):
+    """A hot path: one input runs or is decided by others, all repeats are the same file."""
+    aggregate = conflicts.F.aggregate
+    monkeypatch.setattr(conflicts.F, "aggregate", lambda rows, *a: aggregate(F.when(F.size(rows) <= 3, F.col(rows)).otherwise(F.raise_error(F.lit("a long fold"))), *a))
+    inputs = spark.range(3000).selectExpr("id AS idx", "'/a/photo.' || elt(id % 3 + 1, 'png', 'webp', 'jpg') AS path", "elt(id % 3 + 1, 'png', 'webp', 'jpeg') AS format")
+    got = rows(conflicts.conflicting(inputs, "webp"))
+    assert [r for r in got if r[0] < 3] == [(0, "replaces"), (2, "claimed")]
+    assert sum(r[1] == "same-file" for r in got) == 2997 and len(got) == 2999
+
+
+def test_many_names_get_counts_by_rank(spark):
+    names = spark.range(20_000).selectExpr("id AS idx", "'d' AS folder", "'a.png' AS name")
+    got = {r["idx"]: r["free_name"] for r in conflicts.free_names(names).collect()}
+    assert got == {i: f"a ({i}).png" if i else "a.png" for i in range(20_000)}
