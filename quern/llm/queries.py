@@ -50,6 +50,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages"))
 
 
+def url_filter_across_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_url_filter, and labels of other hosts reach templates without labels of their own."""
+    return urls.judged(_table(spark, sf_dir, "pages"), across_hosts=True)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, op9_simhash, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, url_filter_across_hosts, op9_simhash, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.oracle_sql(),

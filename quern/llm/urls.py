@@ -68,8 +68,11 @@ def segments(path: Column) -> Column:
     return F.transform(parts, typed)
 
 
-def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRORS) -> DataFrame:
-    """pages (host, shape array, bad: 1, 0 or null for no label) to (host, shape, template, purity): a row for each distinct host and shape."""
+def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRORS, across_hosts: bool = False) -> DataFrame:
+    """pages (host, shape array, bad: 1, 0 or null for no label) to (host, shape, template, purity): a row for each distinct host and shape.
+
+    across_hosts: a template without labels has the share of bad labels of all hosts' pages of its shapes, smoothed alike.
+    """
     known = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     known = known.withColumn("template", F.lit(""))
     for depth in range(DEPTH + 1):
@@ -103,14 +106,21 @@ def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRO
     prior = F.col("all_b") / F.greatest(F.col("all_l"), F.lit(1))
     pure = branch.join(F.broadcast(every)).select("host", "branch", F.when(F.col("l") > 0, (F.col("b") + strength * prior) / (F.col("l") + strength)).alias("purity"))
     found = merged.join(pure, ["host", "branch"]).select("host", "template", "branch", "purity")
+    if across_hosts:
+        # shapes are summed up over hosts, then over a branch's shapes
+        shapes = known.groupBy("shape").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        bare = found.where("purity IS NULL").select("host", "template", "branch")
+        like = known.select("host", "template", "shape").join(bare, ["host", "template"]).join(shapes, "shape").groupBy("host", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
+        like = like.join(F.broadcast(every)).select("host", "branch", ((F.col("b") + strength * prior) / (F.col("l") + strength)).alias("like"))
+        found = found.join(like, ["host", "branch"], "left").select("host", "template", "branch", F.coalesce("purity", "like").alias("purity"))
     return known.join(found, ["host", "template"]).select("host", "shape", F.col("branch").alias("template"), "purity")
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bad_words: tuple[str, ...] = BAD_WORDS, rejected: float = REJECTED, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bad_words: tuple[str, ...] = BAD_WORDS, rejected: float = REJECTED, id_column: str = "page_id", url_column: str = "url", across_hosts: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity): a row for each row of pages; other columns are ignored.
 
     rule is the longest that fits, by host and path together; its verdict holds. Other pages are judged by their template:
-    block from a purity of `rejected` on, else allow; a template without labels has no purity. Labels are the rules' verdicts and, without a rule, 1 for hosts with one
+    block from a purity of `rejected` on, else allow; a template without labels has no purity, or with across_hosts that of its shapes on all hosts. Labels are the rules' verdicts and, without a rule, 1 for hosts with one
     of bad_words. Null urls and those without :// have an empty host and path and are judged together. Repeated rows and null
     ids give rows of their own; an empty table gives none.
     """
@@ -123,7 +133,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bad_words: tuple[s
     for word in bad_words:
         weak = weak | F.col("host").contains(word)
     bad = F.when(F.col("place").isNotNull(), F.when(F.get(verdicts, F.col("place")) == "block", 1).otherwise(0)).when(weak, 1)
-    found = templates(each.select("host", "shape", bad.alias("bad")))
+    found = templates(each.select("host", "shape", bad.alias("bad")), across_hosts=across_hosts)
     # a row for each host and shape of wildcards: few, and joined by whichever way their measured size allows
     by_tree = F.when(F.col("purity") >= rejected, "block").otherwise("allow")
     out = each.join(found, ["host", "shape"], "left")

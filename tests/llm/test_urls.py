@@ -55,3 +55,11 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, host int")
     assert urls.judged(pages).count() == 4 and urls.judged(pages.limit(0)).count() == 0
     assert urls.judged(pages).where(F.col("verdict").isNull()).count() == 0
+
+
+def test_labels_reach_templates_of_hosts_without_any(spark):
+    rows = [(i, f"http://casino-win.example.net/win/{i}") for i in range(40)] + [(100 + i, f"http://unheard.example.net/win/{i}") for i in range(40)] + [(200 + i, f"http://fine.example.com/fr/{i}") for i in range(40)] + [(300 + i, f"http://unheard.example.net/fr/{i}") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    blocked = lambda out: {r["page_id"] // 100 for r in out.where("verdict = 'block'").collect()}
+    assert blocked(urls.judged(pages)) == {0} and blocked(urls.judged(pages, across_hosts=True)) == {0, 1}
+    assert urls.judged(pages, across_hosts=True).where("purity IS NULL").count() == 0
