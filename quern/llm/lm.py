@@ -1,15 +1,22 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word-count base.
 
 A document is its words, A-Z in lower case, and an end. Each word after a blank is cut into subword ids of a public
-tokenizer, the end is one id more. An attention layer over the ids before it in a window gives an id's class,
-and sums of square roots of word counts over all training documents give the id within its class. The layer too is trained on all of them: ids start from
-counts of their neighbours, tasks train on their own documents and the moves of their weights are averaged. Windows overlap: all but the first give their first ids
-as context alone, so that every id is scored once; windows are scored in batches under one causal mask. A word's probability
-is that of its ids, mixed with the word's share of all training tokens.
+tokenizer, the end is one id more. The model's score of a document is the sum over its ids of the log10 probability of the
+id after those before it: one attention layer gives a state, and a tree over all ids is walked from its root, at each node
+with a softmax of the state over the node's children, so that the probabilities of all next ids sum to one.
+
+Ids stand in chunks of STEP. A window is a chunk and the one before it, so that windows overlap by half: the ids of the last
+chunk are scored, each once, and see STEP ids before them or more (those of a text's first chunk see all there are). Windows
+are scored in batches under one causal mask.
+
+All training documents count: the tree and its first biases come from counts of all their ids, and the layer is trained on
+all of them, once. Tasks train on their own documents from the same start and the moves of their weights are averaged by
+what each task saw; a first round on an eighth of the documents gives the start of the second, which sees the others.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,343 +30,367 @@ from quern.llm._shared import fresh, materialised, split_words, text_slices
 from quern.llm.quality import held_out
 from quern.llm.tokenise import byte_bpe_path, tokenizer
 
-#: Ids of a window, those of them that are context, numbers of a state, classes.
-WINDOW, OVERLAP, WIDTH, CLASSES = 32, 8, 16, 128
-#: Passes over each slice of the training documents, windows of a step, rate.
-FIT_PASSES, FIT_BATCH, FIT_RATE = 2, 64, 0.01
-#: Frequent ids beside which ids are counted; the parameters besides ids' states; cells that a task sums up before it sends them on, at most.
-CONTEXTS, DENSE, HELD_CELLS = 512, ("p", "q", "k", "v", "u", "b"), 3_000_000
+#: Ids of a chunk, numbers of a state, children of a node of the tree.
+STEP, WIDTH, FAN = 16, 24, 16
+#: Chunks of a training step and of a scored batch, rate, and the part of the documents (one of so many) that the first round has.
+FIT_ROWS, BATCH_ROWS, FIT_RATE, FIRST_ROUND = 512, 1024, 0.03, 8
+#: What an id's count is raised by in the first biases; what products and scores of children are held to, so that no power of e overflows.
+RAISED, MOST = 0.1, np.float32(60.0)
+#: Ids that are trained on or scored at a time, about.
+SLICE_IDS = 1 << 19
 #: Words that are broadcast with their counts, at most, the most frequent ones; all others are joined.
 FREQUENT = 200_000
 #: Words that a task sums up before it sends them on, and words whose ids it keeps, at most.
 HELD_WORDS, KEPT_WORDS = 600_000, 500_000
-#: Share of the word counts in a word's probability; windows scored at a time.
-MIX, BATCH = 0.85, 128
-#: What a product or a class's score is held to, so that no power of e overflows.
-MOST = 60.0
-END, BEGIN, IDS = 50_256, 50_257, 50_258
-
-
-def windows(sizes: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of `sizes` ids: each window's text, its first place in all ids, and whether it is its text's first."""
-    step = window - overlap
-    count = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - window) // step)), 0)
-    text = np.repeat(np.arange(len(sizes)), count)
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return text, (np.cumsum(sizes) - sizes)[text] + step * number, number == 0
+#: The end of a text is an id of its own, the begin and blank places are none that is ever predicted.
+END, BEGIN, BLANK = 50_257, 50_258, 50_259
+OUT_IDS = 50_258
+_CAUSAL = np.tril(np.ones((STEP, 2 * STEP), np.float32), STEP)
+_ONES = np.ones(2 * STEP, np.float32)
 
 
 @dataclass
-class Model:
-    """Tables of a trained model: rows are states, queries, keys and values of ids and of places; id_log is log10 of an id within its class."""
+class Tree:
+    """A tree over all ids with FAN children a node, the more frequent ids nearer to the root (node 0).
 
-    by_id: np.ndarray
-    by_place: np.ndarray
-    output: np.ndarray
-    bias: np.ndarray
-    class_of: np.ndarray
-    id_log: np.ndarray
-
-    def is_bounded(self, most: float = MOST) -> bool:
-        """Whether no product of a query and a key, and no class's score, is beyond MOST; else they are held to it."""
-        d = WIDTH
-        longest = lambda a, b: float(np.linalg.norm(self.by_id[:, a:b], axis=1).max() + np.linalg.norm(self.by_place[:, a:b], axis=1).max())
-        output = float(np.linalg.norm(self.output, axis=0).max() * (longest(0, d) + longest(3 * d, 4 * d)) + np.abs(self.bias).max())
-        return longest(d, 2 * d) * longest(2 * d, 3 * d) < most and output < most
+    node and child (depth, OUT_IDS) are an id's way from the root, -1 beyond its end; rank orders ids so that those below a
+    node stand together; bias (nodes, FAN) gives the shares of `counts`.
+    """
 
-    def score(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each id after those before it; ids of all texts follow each other."""
-        text, start, is_first = windows(sizes)
-        ends = np.cumsum(sizes)
-        before = np.concatenate([np.full(1, BEGIN, np.int64), ids[:-1].astype(np.int64)]) if len(ids) else np.zeros(0, np.int64)
-        before[(ends - sizes)[sizes > 0]] = BEGIN
-        d, places, mask = WIDTH, np.arange(WINDOW), np.tril(np.ones((WINDOW, WINDOW), np.float32))
-        ones, safe = np.ones(CLASSES, np.float32), self.is_bounded()
-        out = np.zeros(len(ids), np.float32)
-        for a in range(0, len(text), BATCH):
-            b = min(a + BATCH, len(text))
-            at = start[a:b, None] + places
-            inside = at < ends[text[a:b], None]
-            at = np.minimum(at, len(ids) - 1)
-            x = np.take(self.by_id, before[at], axis=0) + self.by_place
-            weight = np.matmul(x[..., d : 2 * d], x[..., 2 * d : 3 * d].transpose(0, 2, 1))
-            if not safe:
-                np.clip(weight, -MOST, MOST, out=weight)
-            np.exp(weight, out=weight)
-            weight *= mask
-            # values end in a one, which gives the sum of the weights
-            h = np.matmul(weight, x[..., 3 * d :])
-            h = h[..., :d] / h[..., d:]
-            h += x[..., :d]
-            inside[~is_first[a:b], :OVERLAP] = False
-            rows = np.flatnonzero(inside.ravel())
-            logits = h.reshape(-1, d)[rows] @ self.output
-            logits += self.bias
-            if not safe:
-                np.clip(logits, -MOST, MOST, out=logits)
-            target = ids[at.ravel()[rows]]
-            own = logits[np.arange(len(rows)), self.class_of[target]]
-            np.exp(logits, out=logits)
-            out[at.ravel()[rows]] = (own - np.log(logits @ ones)) * np.float32(1 / np.log(10)) + self.id_log[target]
-        return out
+    node: np.ndarray
+    child: np.ndarray
+    rank: np.ndarray
+    bias: np.ndarray
 
+    @staticmethod
+    def of(counts: np.ndarray) -> Tree:
+        # the FAN least ones are joined again and again; blank ones fill up the first node
+        blank = -(len(counts) - 1) % (FAN - 1)
+        heap = [(-1, -1 - i) for i in range(blank)] + [(int(n), i) for i, n in enumerate(counts)]
+        heapq.heapify(heap)
+        parts: list[list[int]] = []
+        while len(heap) > 1:
+            least = [heapq.heappop(heap) for _ in range(FAN)]
+            heapq.heappush(heap, (sum(max(0, n) for n, _ in least), len(counts) + len(parts)))
+            parts.append([i for _, i in least])
+        ways: dict[int, list[tuple[int, int]]] = {}
+        stack, numbered = [(len(counts) + len(parts) - 1, [])], 0
+        while stack:
+            at, way = stack.pop()
+            if at < len(counts):
+                ways[at] = way
+                continue
+            stack += [(c, [*way, (numbered, k)]) for k, c in enumerate(parts[at - len(counts)]) if c >= 0]
+            numbered += 1
+        depth = max(map(len, ways.values()))
+        node, child = np.full((depth, len(counts)), -1, np.int16), np.zeros((depth, len(counts)), np.int8)
+        for i, way in ways.items():
+            for level, (n, k) in enumerate(way):
+                node[level, i], child[level, i] = n, k
+        rank = np.empty(len(counts), np.uint16)
+        rank[np.fromiter(ways, np.int64, len(ways))] = np.arange(len(ways))
+        sums = np.zeros((numbered, FAN))
+        for level in range(depth):
+            there = node[level] >= 0
+            np.add.at(sums, (node[level][there], child[level][there].astype(np.int64)), counts[there] + RAISED)
+        bias = np.where(sums > 0, np.log(np.maximum(sums, RAISED)), 0.0)
+        bias -= bias.sum(axis=1, keepdims=True) / (sums > 0).sum(axis=1, keepdims=True)
+        return Tree(node, child, rank, np.where(sums > 0, bias, -MOST).astype(np.float32))
+
+    def levels(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+        """For ids in order of their rank, level by level: the children taken, and (node, start, end) of the runs of ids that pass a node."""
+        for node, child in zip(self.node, self.child, strict=True):
+            here = node[ids]
+            cuts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1], [True]])) if len(ids) else np.zeros(0, np.int64)
+            runs = [(n, a, b) for n, a, b in zip(here[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if n >= 0] if len(cuts) else []
+            if not runs:
+                return
+            yield child[ids].astype(np.int64), runs
+
+
+def chunks(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of `sizes` ids that follow each other: (inputs (rows, STEP): the id before each place, first, place).
+
+    A text has a blank row, which is the first one's context, and then its chunks; first marks those that follow a blank
+    row, place is where each id is predicted among all inputs.
+    """
+    rows = np.where(sizes > 0, 1 + -(-sizes // STEP), 0)
+    start, begin = np.cumsum(rows) - rows, np.cumsum(sizes) - sizes
+    place = np.repeat((start + 1) * STEP - begin, sizes) + np.arange(len(ids))
+    inputs = np.full(int(rows.sum()) * STEP, BLANK, np.uint16)
+    before = np.empty(len(ids), np.uint16)
+    before[1:] = ids[:-1]
+    before[begin[sizes > 0]] = BEGIN
+    inputs[place] = before
+    first = np.zeros(len(inputs) // STEP, bool)
+    first[start[sizes > 0] + 1] = True
+    return inputs.reshape(-1, STEP), first, place
+
+
+def batches_of(first: np.ndarray, place: np.ndarray, rows: int) -> list[tuple[int, int, int, int]]:
+    """(row, end row, id, end id) of batches of chunks; the row before a batch is its context."""
+    starts = np.arange(1, len(first), rows)
+    ends = np.minimum(starts + rows, len(first))
+    return list(zip(starts.tolist(), ends.tolist(), np.searchsorted(place, starts * STEP).tolist(), np.searchsorted(place, ends * STEP).tolist(), strict=True))
+
+
+def _two(rows: np.ndarray) -> np.ndarray:
+    """Each row but the first together with the one before it, without a copy."""
+    n, s, d = rows.shape
+    return np.lib.stride_tricks.as_strided(rows, (n - 1, 2 * s, d), rows.strides)
+
+
+def attended(p: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(states before, queries, keys, values, weights, attended values): those of all rows of inputs but the first, which is context."""
+    x = p["e"][inputs]
+    flat = x.reshape(-1, WIDTH)
+    q, k, v = ((flat @ p[n]).reshape(x.shape) for n in ("q", "k", "v"))
+    w = np.matmul(q[1:], _two(k).transpose(0, 2, 1))
+    w += p["r"]
+    np.clip(w, -MOST, MOST, out=w)
+    np.exp(w, out=w)
+    w *= _CAUSAL
+    w[np.flatnonzero(first), :, :STEP] = 0
+    w /= (w.reshape(-1, 2 * STEP) @ _ONES).reshape(*w.shape[:2], 1)
+    return x, q, k, v, w, np.matmul(w, _two(v))
+
+
+def _chances(h: np.ndarray, u: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Scores of a node's children for states h, held to MOST."""
+    out = h @ u
+    out += bias
+    return np.clip(out, -MOST, MOST, out=out)
 
-def common_ids(counts: np.ndarray) -> np.ndarray:
-    """For each id its place among the CONTEXTS most frequent ones, or -1."""
-    first = np.argsort(-counts, kind="stable")[:CONTEXTS]
-    first = first[counts[first] > 0]
-    out = np.full(IDS, -1, np.int16)
-    out[first] = np.arange(len(first))
-    return out
 
+@dataclass
+class Model:
+    """A trained model: states e of ids, matrices q, k and v, r for a pair of places, u and c of the tree's nodes."""
+
+    p: dict[str, np.ndarray]
+    tree: Tree
+
+    def states(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The state (WIDTH) from which each id is predicted."""
+        inputs, first, place = chunks(sizes, ids)
+        out = np.empty((len(ids), WIDTH), np.float32)
+        for a, b, i, j in batches_of(first, place, BATCH_ROWS):
+            x, *_, h = attended(self.p, inputs[a - 1 : b], first[a:b])
+            h += x[1:]
+            out[i:j] = h.reshape(-1, WIDTH)[place[i:j] - a * STEP]
+        return out
 
-def followers(sizes: np.ndarray, ids: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, counts): cell 2 * CONTEXTS * id + c counts the id after common id c, and + CONTEXTS + c the id before it."""
-    inner = np.ones(len(ids), bool)
-    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
-    left, right = ids[:-1][inner[1:]].astype(np.int64), ids[1:][inner[1:]].astype(np.int64)
-    a, b = common[left].astype(np.int64), common[right].astype(np.int64)
-    return np.unique(np.concatenate([right[a >= 0] * 2 * CONTEXTS + a[a >= 0], left[b >= 0] * 2 * CONTEXTS + CONTEXTS + b[b >= 0]]), return_counts=True)
-
-
-def _block(row: np.ndarray, context: np.ndarray, n: np.ndarray, rows: int, columns: np.ndarray) -> np.ndarray:
-    """Positive pointwise information of whole rows of cells; columns are the sums of each context over all ids."""
-    table = np.zeros((rows, len(columns)), np.float32)
-    sums = np.bincount(row, weights=n, minlength=rows)
-    table[row, context] = np.maximum(np.log(n * columns.sum() / (sums[row] * columns[context])), 0)
-    return table
-
-
-def _basis(gram: np.ndarray) -> np.ndarray:
-    """The WIDTH first directions of a table from its products of columns, each with its largest number above 0."""
-    turn = np.linalg.eigh(gram)[1][:, ::-1][:, :WIDTH]
-    return (turn * np.sign(turn[np.argmax(np.abs(turn), axis=0), np.arange(WIDTH)])).astype(np.float32)
-
-
-def _begin(counts: np.ndarray, points: np.ndarray, seed: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(first parameters, classes of ids) from counts and points (IDS, WIDTH) of ids; ids never seen share a state of zeros and the last class."""
-    r, d = np.random.default_rng(seed), WIDTH
-    states = (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-6)).astype(np.float32)
-    known = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
-    # the most frequent ids are classes of their own; the others go to the nearest of the middles
-    own = min(CLASSES * 3 // 4, len(known))
-    rest = states[known[own:]]
-    middles = rest[np.linspace(0, len(rest) - 1, CLASSES - 1 - own).astype(int)] if len(rest) else rest
-    group = np.zeros(len(rest), int)
-    for _ in range(12 if len(rest) else 0):
-        group = np.argmax(rest @ middles.T, axis=1)
-        sums = np.zeros_like(middles)
-        np.add.at(sums, group, rest)
-        middles = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
-    classes = np.full(IDS, CLASSES - 1)
-    classes[known[:own]] = np.arange(own)
-    classes[known[own:]] = own + group
-    states[BEGIN] = r.normal(size=d) * 0.3
-    small = lambda *shape: (r.normal(size=shape) * shape[0] ** -0.5).astype(np.float32)
-    p = {"e": states, "p": 0.1 * small(WINDOW, d), "q": small(d, d), "k": small(d, d), "v": small(d, d), "u": small(d, CLASSES), "b": np.zeros(CLASSES, np.float32)}
-    p["b"][:] = np.log(np.bincount(classes, weights=counts, minlength=CLASSES) + 1.0)
-    p["b"] -= p["b"].mean()
-    return p, classes
+    def score(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each id after those before it; ids of all texts follow each other."""
+        order = np.argsort(self.tree.rank[ids], kind="stable")
+        h, ordered, logs = self.states(sizes, ids)[order], ids[order], np.zeros(len(ids), np.float32)
+        ones = np.ones(FAN, np.float32)
+        for taken, runs in self.tree.levels(ordered):
+            for n, a, b in runs:
+                s = _chances(h[a:b], self.p["u"][n], self.p["c"][n])
+                logs[a:b] += s[np.arange(b - a), taken[a:b]]
+                np.exp(s, out=s)
+                logs[a:b] -= np.log(s @ ones)
+        out = np.empty_like(logs)
+        out[order] = logs
+        return out * np.float32(1 / np.log(10))
+
+
+def begin(counts: np.ndarray, seed: int = 5) -> tuple[dict[str, np.ndarray], Tree]:
+    """(first parameters, tree) of a model that gives each id its share of counts (OUT_IDS), whatever is before it."""
+    tree, r, d = Tree.of(counts), np.random.default_rng(seed), WIDTH
+    normal = lambda *shape, scale: (r.normal(size=shape) * scale).astype(np.float32)
+    e = normal(BLANK + 1, d, scale=0.5)
+    e[BLANK] = 0
+    p = {"e": e, "q": normal(d, d, scale=1 / d), "k": normal(d, d, scale=d**-0.5), "v": normal(d, d, scale=d**-0.5)}
+    return p | {"r": np.zeros((STEP, 2 * STEP), np.float32), "u": np.zeros((len(tree.bias), d, FAN), np.float32), "c": tree.bias.copy()}, tree
 
 
 class Trainer:
-    """Adam over windows of texts, from given parameters; an id's state and its moments move in the steps that have the id."""
+    """Adam over chunks of texts, from given parameters; an id's state and a node's weights move in the steps that meet them."""
 
-    def __init__(self, start: dict[str, np.ndarray], classes: np.ndarray, seed: int):
-        self.start, self.classes, self.r = start, classes, np.random.default_rng(seed)
+    def __init__(self, start: dict[str, np.ndarray], tree: Tree, seed: int):
+        self.start, self.tree, self.r = start, tree, np.random.default_rng(seed)
         self.p = {k: v.copy() for k, v in start.items()}
-        self.moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in start.items()}
-        self.t, self.scored, self.met = 0, 0, np.zeros(IDS, np.int64)
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in start.items()}
+        self.t, self.scored = 0, 0
+        self.met, self.passed = np.zeros(BLANK, np.int64), np.zeros(len(tree.bias), np.int64)
+
+    def _move(self, name: str, grad: np.ndarray, at=slice(None)) -> None:
+        m, v = (x[at] for x in self.moments[name])
+        m = m + np.float32(0.1) * (grad - m)
+        v = v + np.float32(0.01) * (grad * grad - v)
+        self.moments[name][0][at], self.moments[name][1][at] = m, v
+        step = np.sqrt(v * np.float32(1 / (1 - 0.99**self.t)))
+        step += np.float32(1e-6)
+        m *= np.float32(FIT_RATE / (1 - 0.9**self.t))
+        m /= step
+        self.p[name][at] -= m
 
     def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """All windows of the texts, FIT_PASSES times in an order of chance."""
-        d, n, p, classes = WIDTH, WINDOW, self.p, self.classes
-        text, start, is_first = windows(sizes)
-        ends = np.cumsum(sizes)
-        before = np.concatenate([np.full(1, BEGIN, np.int64), ids[:-1].astype(np.int64)]) if len(ids) else np.zeros(0, np.int64)
-        before[(ends - sizes)[sizes > 0]] = BEGIN
-        self.met += np.bincount(before, minlength=IDS)
+        """All chunks of the texts once, in batches in an order of chance."""
+        inputs, first, place = chunks(sizes, ids)
+        parts = batches_of(first, place, FIT_ROWS)
+        for n in self.r.permutation(len(parts)).tolist():
+            a, b, i, j = parts[n]
+            if i < j:
+                self._step(inputs[a - 1 : b], first[a:b], place[i:j] - a * STEP, ids[i:j])
         self.scored += len(ids)
-        mask, scale = np.where(np.tril(np.ones((n, n), bool)), 0.0, -1e9).astype(np.float32), np.float32(d**-0.5)
-        for _ in range(FIT_PASSES):
-            order = self.r.permutation(len(text))
-            for a in range(0, len(order), FIT_BATCH):
-                w = order[a : a + FIT_BATCH]
-                at = start[w, None] + np.arange(n)
-                inside = at < ends[text[w], None]
-                at = np.minimum(at, len(ids) - 1)
-                inside[~is_first[w], :OVERLAP] = False
-                rows = np.flatnonzero(inside.ravel())
-                i = before[at]
-                x = p["e"][i] + p["p"]
-                q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-                s = np.matmul(q, k.transpose(0, 2, 1)) * scale + mask
-                s = np.exp(s - s.max(axis=2, keepdims=True))
-                s /= s.sum(axis=2, keepdims=True)
-                h = x + np.matmul(s, v)
-                flat = h.reshape(-1, d)[rows]
-                logits = flat @ p["u"] + p["b"]
-                logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-                logits /= logits.sum(axis=1, keepdims=True)
-                logits[np.arange(len(rows)), classes[ids[at.ravel()[rows]]]] -= 1
-                logits /= max(1, len(rows))
-                g = {"u": flat.T @ logits, "b": logits.sum(axis=0)}
-                dh = np.zeros((h.size // d, d), np.float32)
-                dh[rows] = logits @ p["u"].T
-                dh = dh.reshape(h.shape)
-                dv = np.matmul(s.transpose(0, 2, 1), dh)
-                ds = np.matmul(dh, v.transpose(0, 2, 1))
-                ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * scale
-                dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-                one = lambda y: x.reshape(-1, d).T @ y.reshape(-1, d)  # noqa: B023, E731
-                g |= {"q": one(dq), "k": one(dk), "v": one(dv)}
-                dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-                g["p"] = dx.sum(axis=0)
-                by_id = np.argsort(i.ravel(), kind="stable")
-                places = i.ravel()[by_id]
-                cuts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-                g["e"] = np.add.reduceat(dx.reshape(-1, d)[by_id], cuts)
-                self.t += 1
-                for name, grad in g.items():
-                    at_rows = places[cuts] if name == "e" else slice(None)
-                    m, v2 = self.moment[name]
-                    m[at_rows] += 0.1 * (grad - m[at_rows])
-                    v2[at_rows] += 0.001 * (grad * grad - v2[at_rows])
-                    p[name][at_rows] -= (FIT_RATE * (m[at_rows] / (1 - 0.9**self.t)) / (np.sqrt(v2[at_rows] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
+        self.met += np.bincount(inputs.ravel(), minlength=BLANK + 1)[:BLANK]
+
+    def _out(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Move the tree's weights; the gradient of states h."""
+        order = np.argsort(self.tree.rank[ids], kind="stable")
+        hs, dh, mean = h[order], np.zeros_like(h), np.float32(1 / (FIT_ROWS * STEP))
+        ones, nodes, du, dc = np.ones(FAN, np.float32), [], [], []
+        for taken, runs in self.tree.levels(ids[order]):
+            for n, a, b in runs:
+                u, part = self.p["u"][n], hs[a:b]
+                s = _chances(part, u, self.p["c"][n])
+                np.exp(s, out=s)
+                s *= (mean / (s @ ones))[:, None]
+                s[np.arange(b - a), taken[a:b]] -= mean
+                dh[a:b] += s @ u.T
+                nodes.append(n)
+                du.append(part.T @ s)
+                dc.append(np.ones(b - a, np.float32) @ s)
+                self.passed[n] += b - a
+        self._move("u", np.stack(du), nodes)
+        self._move("c", np.stack(dc), nodes)
+        out = np.empty_like(dh)
+        out[order] = dh
+        return out
+
+    def _step(self, inputs: np.ndarray, first: np.ndarray, place: np.ndarray, ids: np.ndarray) -> None:
+        d, p = WIDTH, self.p
+        self.t += 1
+        x, q, k, v, w, found = attended(p, inputs, first)
+        h = found + x[1:]
+        dh = np.zeros((h.size // d, d), np.float32)
+        dh[place] = self._out(h.reshape(-1, d)[place], ids)
+        dh = dh.reshape(h.shape)
+        # of the weights' softmax: what each attended value's share in the change leaves
+        dw = np.matmul(dh, _two(v).transpose(0, 2, 1))
+        dw -= np.einsum("rsd,rsd->rs", dh, found)[:, :, None]
+        dw *= w
+        dq = np.matmul(dw, _two(k))
+        back = lambda a, b: np.matmul(a.transpose(0, 2, 1), b)
+        dk, dv = np.empty_like(k), np.empty_like(v)
+        for out, both in ((dk, back(dw, q[1:])), (dv, back(w, dh))):
+            out[0] = 0
+            out[1:] = both[:, STEP:]
+            out[:-1] += both[:, :STEP]
+        dx = (dk.reshape(-1, d) @ p["k"].T + dv.reshape(-1, d) @ p["v"].T).reshape(x.shape)
+        dx[1:] += dh
+        dx[1:] += (dq.reshape(-1, d) @ p["q"].T).reshape(dq.shape)
+        one = lambda y, g: y.reshape(-1, d).T @ g.reshape(-1, d)
+        for name, grad in (("q", one(x[1:], dq)), ("k", one(x, dk)), ("v", one(x, dv)), ("r", np.ones(len(dw), np.float32) @ dw.reshape(len(dw), -1))):
+            self._move(name, grad.reshape(p[name].shape))
+        by_id = np.argsort(inputs.ravel(), kind="stable")
+        sorted_ids = inputs.ravel()[by_id]
+        cuts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+        grad, met = np.add.reduceat(dx.reshape(-1, d)[by_id], cuts), sorted_ids[cuts].astype(np.int64)
+        seen = met != BLANK
+        self._move("e", grad[seen], met[seen])
 
     def moved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, weight, weighted moves): rows of WIDTH numbers; an id's state weighs as often as it was met, all else as the ids scored."""
-        seen = np.flatnonzero(self.met)
-        others = np.concatenate([(self.p[k] - self.start[k]).reshape(-1, WIDTH) for k in DENSE])
-        key, weight = np.concatenate([seen, IDS + np.arange(len(others))]), np.concatenate([self.met[seen], np.full(len(others), self.scored)]).astype(float)
-        return key, weight, np.concatenate([self.p["e"][seen] - self.start["e"][seen], others]) * weight[:, None]
+        """(key, weight, weighted moves): rows of the packed parameters; an id's state weighs as often as it was met, a node as it was passed, all else as the ids scored."""
+        rows = packed(self.p) - packed(self.start)
+        weight = np.full(len(rows), self.scored, np.int64)
+        weight[:BLANK] = self.met
+        weight[BLANK + 1 : BLANK + 1 + len(self.passed) * FAN] = np.repeat(self.passed, FAN)
+        key = np.flatnonzero(weight)
+        return key, weight[key], rows[key] * weight[key, None]
+
+
+def packed(p: dict[str, np.ndarray]) -> np.ndarray:
+    """All parameters as rows of WIDTH + 1 numbers: ids' states, then children of nodes with their bias, then the rest."""
+    states = np.pad(p["e"], ((0, 0), (0, 1)))
+    children = np.concatenate([p["u"].transpose(0, 2, 1), p["c"][:, :, None]], axis=2).reshape(-1, WIDTH + 1)
+    rest = np.concatenate([p[n].ravel() for n in ("q", "k", "v", "r")])
+    return np.concatenate([states, children, np.pad(rest, (0, -len(rest) % (WIDTH + 1))).reshape(-1, WIDTH + 1)])
+
+
+def unpacked(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """packed() undone."""
+    rows, nodes, out = rows.astype(np.float32), len(like["u"]), {"e": rows[: BLANK + 1, :WIDTH].copy()}
+    children = rows[BLANK + 1 : BLANK + 1 + nodes * FAN].reshape(nodes, FAN, WIDTH + 1)
+    out |= {"u": np.ascontiguousarray(children[:, :, :WIDTH].transpose(0, 2, 1)), "c": children[:, :, WIDTH].copy()}
+    rest, at = rows[BLANK + 1 + nodes * FAN :].ravel(), 0
+    for n in ("q", "k", "v", "r"):
+        out[n] = rest[at : at + like[n].size].reshape(like[n].shape).copy()
+        at += like[n].size
+    return out
 
 
 def averaged(start: dict[str, np.ndarray], key: np.ndarray, weight: np.ndarray, moves: np.ndarray) -> dict[str, np.ndarray]:
     """The parameters moved by the weighted mean of the moves; key, weight and moves are sums over all tasks."""
-    mean, out = moves / np.maximum(weight, 1)[:, None], {k: v.copy() for k, v in start.items()}
-    of_id = key < IDS
-    out["e"][key[of_id]] += mean[of_id].astype(np.float32)
-    others = np.zeros((sum(start[k].size for k in DENSE) // WIDTH, WIDTH))
-    others[key[~of_id] - IDS] = mean[~of_id]
-    at = 0
-    for k in DENSE:
-        rows = start[k].size // WIDTH
-        out[k] += others[at : at + rows].reshape(start[k].shape).astype(np.float32)
-        at += rows
-    return out
+    rows = packed(start).astype(np.float64)
+    rows[key] += moves / weight[:, None]
+    return unpacked(rows, start)
 
 
-def _finished(p: dict[str, np.ndarray], classes: np.ndarray, id_counts: np.ndarray) -> Model:
-    d, scale = WIDTH, np.float32(WIDTH**-0.5)
-    # classes without an id get nothing
-    p["b"][np.bincount(classes, minlength=CLASSES) == 0] = -MOST / 2
-    rows = lambda y, one: np.hstack([y, y @ p["q"] * scale, y @ p["k"], y @ p["v"], np.full((len(y), 1), one)]).astype(np.float32)
-    known = id_counts.astype(np.float64) + 1.0
-    known[BEGIN] = 0.0
-    within = np.bincount(classes, weights=known, minlength=CLASSES)[classes]
-    return Model(rows(p["e"].reshape(IDS, d), 1.0), rows(p["p"], 0.0), p["u"], p["b"], classes, np.log10(np.maximum(known, 1e-9) / within).astype(np.float32))
-
-
-def fit(sizes: np.ndarray, ids: np.ndarray, id_counts: np.ndarray, seed: int = 5) -> Model:
-    """The model of texts in memory; id_counts (IDS) are the sums by which ids share their class."""
-    counts = np.bincount(ids, minlength=IDS) if len(ids) else np.zeros(IDS, np.int64)
-    points = np.zeros((IDS, WIDTH), np.float32)
-    if len(ids):
-        cells, n = followers(sizes, ids, common_ids(counts))
-        rows, row = np.unique(cells // (2 * CONTEXTS), return_inverse=True)
-        context = cells % (2 * CONTEXTS)
-        table = _block(row, context, n, len(rows), np.bincount(context, weights=n, minlength=2 * CONTEXTS))
-        points[rows] = table @ _basis(table.T.astype(np.float64) @ table)
-    start, classes = _begin(counts, points, seed)
-    trainer = Trainer(start, classes, seed)
+def fit(sizes: np.ndarray, ids: np.ndarray, seed: int = 5) -> Model:
+    """The model of texts in memory."""
+    start, tree = begin(np.bincount(ids, minlength=OUT_IDS), seed)
+    trainer = Trainer(start, tree, seed)
     trainer.add(sizes, ids)
-    return _finished(trainer.p, classes, id_counts)
+    return Model(trainer.p, tree)
 
 
-def _id_texts(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of ids of each text and all ids, slice by slice."""
-    encoder = tokenizer(path, KEPT_WORDS)
-    for batch in batches:
-        for _, texts in text_slices(batch, "text", 2 << 20):
-            offsets, words = split_words(texts)
-            sizes, ids, _, _ = _ids(encoder, offsets, words)
-            yield sizes, ids
-        pa.default_memory_pool().release_unused()
+def id_slices(blobs: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, end row, sizes, ids) of runs of rows of about SLICE_IDS ids at most (a longer text is alone); blobs hold ids as two bytes each."""
+    sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_IDS, side="right")))
+        part = blobs.slice(a, b - a).cast(pa.large_binary())
+        first, last = (np.frombuffer(part.buffers()[1], np.int64, part.offset + len(part) + 1)[k] for k in (part.offset, part.offset + len(part)))
+        yield a, b, sizes[a:b], np.frombuffer(part.buffers()[2], np.uint16, (last - first) // 2, first).astype(np.int64)
+        a = b
 
 
-def id_points(train: DataFrame, counts: np.ndarray, path: str) -> np.ndarray:
-    """States of ids (IDS, WIDTH) by which ids stand beside which, over all training documents; one row an id reaches the driver."""
-    common, contexts = common_ids(counts), 2 * CONTEXTS
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        summed = lambda: pa.concat_tables(held).group_by("cell", use_threads=False).aggregate([("n", "sum")]).rename_columns(["cell", "n"])
-        for sizes, ids in _id_texts(batches, path):
-            cells, n = followers(sizes, ids, common)
-            held.append(pa.table({"cell": cells, "n": n}))
-            if sum(t.num_rows for t in held) > HELD_CELLS:
-                held[:] = [summed()]
-                if held[0].num_rows > HELD_CELLS // 2:
-                    yield from held.pop().to_batches(50_000)
-        if held:
-            yield from summed().to_batches(50_000)
+def id_counts(texts: DataFrame) -> np.ndarray:
+    """Counts (OUT_IDS) of all ids of texts (ids binary); a row for each id reaches the driver, the vocabulary's size at most."""
 
-    cells = train.select("text").mapInArrow(pairs, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    of_id = F.struct((F.col("cell") % contexts).cast("int").alias("context"), "n")
-    # an id has a cell for each context at most
-    rows = materialised(cells.groupBy(F.expr(f"cell div {contexts}").alias("id")).agg(F.collect_list(of_id).alias("cells")), "id-neighbours")
-    columns = np.zeros(contexts)
-    sums = rows.select(F.explode("cells").alias("c")).groupBy("c.context").agg(F.sum("c.n").alias("n")).toArrow()
-    columns[sums.column("context").to_numpy()] = sums.column("n").to_numpy()
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(OUT_IDS, np.int64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                lists = part.column(1)
-                values, row = lists.flatten(), np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
-                yield part.column(0), _block(row, values.field("context").to_numpy(), values.field("n").to_numpy(), part.num_rows, columns)
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((contexts, contexts))
-        for _, table in blocks(batches):
-            total += table.T.astype(np.float64) @ table
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["gram"])
-
-    # 8 MB from each of four tasks; they read a row an id, which the vocabulary bounds
-    parts = rows.select("id", "cells").coalesce(4).mapInArrow(grams, "gram binary").toArrow().column("gram")
-    basis = _basis(sum((np.frombuffer(g.as_buffer(), np.float64).reshape(contexts, contexts) for g in parts), np.zeros((contexts, contexts))))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, table in blocks(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array((table @ basis).tolist(), pa.list_(pa.float32()))], names=["id", "point"])
-
-    found, out = rows.select("id", "cells").mapInArrow(placed, "id long, point array<float>").toArrow(), np.zeros((IDS, WIDTH), np.float32)
-    if found.num_rows:
-        out[found.column("id").to_numpy()] = found.column("point").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+            for *_, ids in id_slices(batch.column(0)):
+                counts += np.bincount(ids, minlength=OUT_IDS)
+        full = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(counts[full])], names=["id", "n"])
+
+    rows = texts.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(OUT_IDS, np.int64)
+    out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
-def trained(train: DataFrame, counts: np.ndarray, id_counts: np.ndarray, path: str, seed: int = 5) -> Model:
-    """The model of all training documents: each task trains on all its texts from the same start, and their moves are averaged."""
-    start, classes = _begin(counts, id_points(train, counts, path), seed)
-    shared = train.sparkSession.sparkContext.broadcast((start, classes))  # bounded by the vocabulary
-    names = [f"d{i}" for i in range(WIDTH)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(*shared.value, seed)
-        for sizes, ids in _id_texts(batches, path):
-            trainer.add(sizes, ids)
-        key, weight, moves = trainer.moved()
-        if trainer.scored:
-            table = pa.table({"key": key, "weight": weight} | {c: moves[:, i].astype(np.float32) for i, c in enumerate(names)})
-            yield from table.to_batches(10_000)
-
-    moves = train.select("text").mapInArrow(run, "key long, weight double, " + ", ".join(f"{c} float" for c in names))
-    found = moves.groupBy("key").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in names]).toArrow()  # a row an id, and some for the weights
-    column = lambda c: found.column(c).to_numpy()
-    return _finished(averaged(start, column("key"), column("weight"), np.stack([column(c) for c in names], axis=1)), classes, id_counts)
+def trained(texts: DataFrame, seed: int = 5) -> Model:
+    """The model of all texts (row long, ids binary): in each round tasks train on all their texts from the same start, and their moves are averaged."""
+    p, tree = begin(id_counts(texts), seed)
+    names = [f"d{i}" for i in range(WIDTH + 1)]
+    early = F.pmod("row", F.lit(FIRST_ROUND)) == 0
+    for number, part in enumerate((texts.where(early), texts.where(~early))):
+        shared = texts.sparkSession.sparkContext.broadcast((p, tree))  # bounded by the vocabulary
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            trainer = Trainer(*shared.value, seed + number)
+            for batch in batches:
+                for _, _, sizes, ids in id_slices(batch.column(0)):
+                    trainer.add(sizes, ids)
+            if trainer.scored:
+                key, weight, moves = trainer.moved()
+                table = pa.table({"key": key, "weight": weight} | {c: moves[:, i].astype(np.float32) for i, c in enumerate(names)})
+                yield from table.to_batches(10_000)
+
+        moves = part.select("ids").mapInArrow(run, "key long, weight long, " + ", ".join(f"{c} float" for c in names))
+        # a row for each row of parameters
+        found = moves.groupBy("key").agg(F.sum("weight").alias("weight"), *[F.sum(c).alias(c) for c in names]).toArrow()
+        column = lambda c, found=found: found.column(c).to_numpy()
+        p = averaged(p, column("key"), column("weight"), np.stack([column(c) for c in names], axis=1))
+        shared.unpersist()
+    return Model(p, tree)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -386,41 +417,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def id_counts(words: DataFrame, path: str, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of all subword ids over (word, n), their sums of square roots of n, rounded once); a row for each id reaches the driver, the vocabulary's size at most.
-
-    The roots stand for ids within a class, as frequent words are scored by their own counts.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, roots, plain = tokenizer(path, KEPT_WORDS), np.zeros(IDS), np.zeros(IDS, np.int64)
-        for batch in batches:
-            sizes, ids = encoder.after_blank(batch.column(0).to_pylist())
-            n = np.repeat(batch.column(1).to_numpy(), sizes)
-            roots += np.bincount(ids, weights=np.sqrt(n), minlength=IDS)
-            plain += np.bincount(ids, weights=n, minlength=IDS).astype(np.int64)
-        full = np.flatnonzero(plain)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(roots[full]), pa.array(plain[full])], names=["id", "roots", "plain"])
-
-    out, plain = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
-    rows = words.select("word", "n").mapInArrow(run, "id long, roots double, plain long").groupBy("id").agg(F.sum("roots").alias("roots"), F.sum("plain").alias("plain")).toArrow()
-    out[rows.column("id").to_numpy()] = np.rint(rows.column("roots").to_numpy()).astype(np.int64)
-    plain[rows.column("id").to_numpy()] = rows.column("plain").to_numpy()
-    out[END] += documents
-    plain[END] += documents
-    return plain, out
-
-
-def _ids(encoder, offsets: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
-    """Numbers of ids of each text with its end, all ids, where each word's ids start, and the words as codes."""
-    coded = words.dictionary_encode()
+def _ids(encoder, offsets: np.ndarray, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ids of each text with its end, and all ids as two bytes each."""
     lists = encoder.words(coded.dictionary).take(coded.indices)
     ends = lists.offsets.to_numpy().astype(np.int64)
     sizes = ends[offsets[1:]] - ends[offsets[:-1]]
-    ids = np.full(len(lists.values) + len(sizes), END, np.int64)
+    ids = np.full(len(lists.values) + len(sizes), END, np.uint16)
     ids[np.arange(len(lists.values)) + np.repeat(np.arange(len(sizes)), sizes)] = lists.values.to_numpy()
-    starts = ends[:-1] + np.repeat(np.arange(len(sizes)), np.diff(offsets))
-    return sizes + 1, ids, starts, coded
+    return sizes + 1, ids
 
 
 def _frequent(counts: DataFrame, most: int) -> pa.Table:
@@ -436,67 +440,73 @@ def _frequent(counts: DataFrame, most: int) -> pa.Table:
     return counts.where(F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.1)))) >= least).toArrow()
 
 
-def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs; other columns are ignored.
-
-    Null texts are empty: their end alone is scored. Null ids are not held out. Rows that repeat are scored each. Without
-    training documents no token is known and the model is its uniform start. An empty table gives no rows.
-    """
-    spark, path = docs.sparkSession, path or byte_bpe_path()
-    each = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), held_out(id_column, 7).alias("held_out"))
-    train = each.where(~F.col("held_out"))
-    counts = materialised(word_counts(train), "word-counts")
-    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    documents = train.count()
-    total, distinct = row["n"] + documents, row["v"] + (documents > 0)  # an end in each document
-    model = trained(train, *id_counts(counts, path, documents), path)
-    frequent = _frequent(counts, FREQUENT)
-    shared = spark.sparkContext.broadcast((model, fresh(frequent.column("word").combine_chunks()), frequent.column("n").to_numpy()))  # bounded by FREQUENT and the vocabulary
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word:string,by_ids:float>>"
+def encoded(docs: DataFrame, frequent: pa.Table, path: str) -> DataFrame:
+    """docs (doc_id, text, held_out) with ids in place of the text, the sums of the base over `frequent` words, and the other words: a row each, numbered by row."""
+    shared = docs.sparkSession.sparkContext.broadcast((fresh(frequent.column("word").combine_chunks()), frequent.column("n").to_numpy()))  # bounded by FREQUENT
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "rare", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        model, frequent_words, frequent_counts = shared.value
-        logs_of, encoder = np.append(np.log10(frequent_counts + 1.0), 0.0), tokenizer(path, KEPT_WORDS)
-        shares_of, shared_end = np.append(frequent_counts / max(1, total), 0.0), documents / max(1, total)
+        words_of, counts_of = shared.value
+        logs_of, encoder = np.append(np.log10(counts_of + 1.0), 0.0), tokenizer(path, KEPT_WORDS)
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part, texts in text_slices(batch, "text", 2 << 20):
                 offsets, words = split_words(texts)
                 rows, per = len(texts), np.diff(offsets)
-                sizes, ids, starts, coded = _ids(encoder, offsets, words)
-                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=frequent_words), len(frequent_words)).to_numpy().astype(np.int64)
+                coded = words.dictionary_encode()
+                sizes, ids = _ids(encoder, offsets, coded)
+                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=words_of), len(words_of)).to_numpy().astype(np.int64)
                 codes, doc = coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(rows), per)
                 at = place[codes] if len(codes) else codes
-                rare = at == len(frequent_words)
-                sums = np.concatenate([[0.0], np.cumsum(model.score(sizes, ids), dtype=np.float64)])
-                lasts = np.cumsum(sizes) - 1
-                # a word's ids end where the next word's or the text's end starts
-                stops = np.append(starts[1:], 0)
-                stops[offsets[1:][per > 0] - 1] = lasts[per > 0]
-                by_ids = sums[stops] - sums[starts]
-                mixed = np.log10(MIX * shares_of[at] + (1 - MIX) * 10.0 ** np.maximum(by_ids, -300))
-                scores = np.bincount(doc, weights=np.where(rare, 0.0, mixed), minlength=rows).astype(float)  # whole numbers where there are no words
-                scores += np.log10(MIX * shared_end + (1 - MIX) * 10.0 ** (sums[lasts + 1] - sums[lasts]))
-                logs = np.bincount(doc, weights=logs_of[at], minlength=rows).astype(float)
+                rare = at == len(words_of)
+                logs = np.bincount(doc, weights=logs_of[at], minlength=rows).astype(float)  # whole numbers where there are no words
                 known = np.bincount(doc, weights=~rare, minlength=rows).astype(np.int64)
-                rare_words = coded.dictionary.take(pa.array(codes[rare])).cast(pa.string())
-                ends = np.searchsorted(doc[rare], np.arange(rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([rare_words, pa.array(by_ids[rare].astype(np.float32))], names=["word", "by_ids"]))
-                columns = [pa.array(number + np.arange(rows)), part.column(0), part.column(2), pa.array(per + 1), pa.array(known), pa.array(logs), pa.array(scores), lists]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[rare], np.arange(rows + 1)), pa.int32()), coded.dictionary.take(pa.array(codes[rare])).cast(pa.string()))
+                blobs = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                columns = [pa.array(number + np.arange(rows)), part.column(0), part.column(2), pa.array(per + 1), pa.array(known), pa.array(logs), lists, blobs]
                 number += rows
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
             pa.default_memory_pool().release_unused()
 
-    found = materialised(each.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scores")
-    rare = found.where(F.size("rare") > 0).select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.by_ids").cast("double").alias("by_ids"))
-    unknown = F.col("n").isNull()
-    mixed = F.when(unknown, F.col("by_ids") + F.lit(float(np.log10(1 - MIX)))).otherwise(F.log10(F.lit(MIX / max(1, total)) * F.col("n") + F.lit(1 - MIX) * F.pow(F.lit(10.0), "by_ids")))
-    more = rare.join(counts, "word", "left").groupBy("row").agg(F.count("n").alias("more_known"), F.coalesce(F.sum(F.log10(F.col("n") + 1.0)), F.lit(0.0)).alias("more_logs"), F.sum(mixed).alias("more_score"))
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<string>, ids binary")
+
+
+def with_scores(texts: DataFrame, model: Model) -> DataFrame:
+    """texts (…, ids binary last) with the model's log10 probability of each text, score double, in place of its ids."""
+    shared, names = texts.sparkSession.sparkContext.broadcast(model), [*texts.columns[:-1], "score"]  # bounded by the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, sizes, ids in id_slices(batch.column(batch.num_columns - 1)):
+                sums = np.concatenate([[0.0], np.cumsum(shared.value.score(sizes, ids), dtype=np.float64)])
+                ends = np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(sums[ends] - sums[ends - sizes])], names=names)
+
+    return texts.mapInArrow(run, texts.select(*texts.columns[:-1], F.lit(0.0).alias("score")).schema)
+
+
+def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each row of docs; other columns are ignored.
+
+    Null texts are empty: their end alone is scored. Null ids are not held out. Rows that repeat are scored each. Without
+    training documents no token is known and the model is its uniform start. An empty table gives no rows.
+    """
+    path = path or byte_bpe_path()
+    each = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), held_out(id_column, 7).alias("held_out"))
+    train = each.where(~F.col("held_out"))
+    counts = materialised(word_counts(train), "word-counts")
+    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    documents = train.count()
+    total, distinct = row["n"] + documents, row["v"] + (documents > 0)  # an end in each document
+    texts = materialised(encoded(each, _frequent(counts, FREQUENT), path), "ids")
+    model = trained(texts.where(~F.col("held_out")).select("row", "ids"))
+    rare = texts.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
+    more = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
+    found = with_scores(texts.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "ids"), model).join(more, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     # every document has an end, counted once in each training document
     end = float(np.log10(documents + 1.0))
     base = F.col("logs") + zero("more_logs") + F.lit(end) - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1.0)))
-    out = found.join(more, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known") + F.lit(int(documents > 0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+    return found.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("more_known") + F.lit(int(documents > 0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
