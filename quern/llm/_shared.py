@@ -17,9 +17,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, where that is unset, a new temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -36,10 +38,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written in the shared folder: it is computed once and outlives lost executors."""
+def materialised(df: DataFrame, name: str, block_bytes: int | None = None) -> DataFrame:
+    """df as a table written in the shared folder: it is computed once and outlives lost executors.
+
+    block_bytes: the size of a file's parts that tasks can read apart, for tables whose readers do more work than their writer.
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -38,6 +38,8 @@ FIT_ROWS, BATCH_ROWS, FIT_RATE, FIRST_ROUND = 512, 1024, 0.03, 8
 RAISED, MOST = 0.1, np.float32(60.0)
 #: Ids that are trained on or scored at a time, about.
 SLICE_IDS = 1 << 19
+#: Bytes of the parts of the table of ids that tasks train on and score.
+BLOCK_BYTES = 4 << 20
 #: Words that are broadcast with their counts, at most, the most frequent ones; all others are joined.
 FREQUENT = 200_000
 #: Words that a task sums up before it sends them on, and words whose ids it keeps, at most.
@@ -500,7 +502,7 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     documents = train.count()
     total, distinct = row["n"] + documents, row["v"] + (documents > 0)  # an end in each document
-    texts = materialised(encoded(each, _frequent(counts, FREQUENT), path), "ids")
+    texts = materialised(encoded(each, _frequent(counts, FREQUENT), path), "ids", BLOCK_BYTES)
     model = trained(texts.where(~F.col("held_out")).select("row", "ids"))
     rare = texts.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
     more = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs"))
