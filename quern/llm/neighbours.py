@@ -20,7 +20,9 @@ from quern.llm._shared import materialised
 #: Neighbours of a query; queries have ids divisible by EVERY; pruning factor (one: exact).
 NEIGHBOURS, EVERY, FACTOR = 20, 20, 1.0
 #: Vectors of a shard and queries of a block, about, and vectors of a leaf.
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 2048, 128
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 2048, 64
+#: Points among which a vantage point is chosen, and those by which it is judged.
+TRIED, JUDGES = 8, 256
 #: How many more candidates than asked for are measured anew, so that rounding can't order them.
 SPARE = 12
 
@@ -32,15 +34,19 @@ class Tree:
         norms = np.einsum("ij,ij->i", vectors, vectors)
         self.top = float(norms.max()) if len(norms) else 0.0
         self.points = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0.0))[:, None]])
-        self.leaf_rows = leaf_rows
+        self.leaf_rows, self.leaves, self.visited = leaf_rows, 0, 0
         self.root = self._build(np.arange(len(vectors)))
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= self.leaf_rows:
+            self.leaves += 1
             return rows
-        # the point farthest from the mean sees the others at the most different distances
-        centre = self.points[rows].mean(axis=0)
-        vantage = int(rows[np.argmax(((self.points[rows] - centre) ** 2).sum(axis=1))])
+        # of a few points the one that sees others at the most different distances; the farthest from the mean is one of them
+        far = rows[np.argmax(((self.points[rows] - self.points[rows].mean(axis=0)) ** 2).sum(axis=1))]
+        tried, judges = (rows[np.linspace(0, len(rows) - 1, min(n, len(rows))).astype(int)] for n in (TRIED, JUDGES))
+        tried = np.append(tried, far)
+        spread = [np.sqrt(((self.points[judges] - self.points[t]) ** 2).sum(axis=1)).std() for t in tried.tolist()]
+        vantage = int(tried[int(np.argmax(spread))])
         distance = np.sqrt(((self.points[rows] - self.points[vantage]) ** 2).sum(axis=1))
         order = np.argsort(distance, kind="stable")
         half = len(rows) // 2
@@ -49,7 +55,11 @@ class Tree:
         return vantage, float(low), float(high), self._build(near), self._build(far)
 
     def search(self, queries: np.ndarray, count: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the `count` nearest points of each query (-1: none) and their squared distances, in no order; all queries go down together."""
+        """Rows of the `count` nearest points of each query (-1: none) and their squared distances, in no order; all queries go down together.
+
+        visited is then the number of leaves that queries were compared with, summed over queries.
+        """
+        self.visited = 0
         points = np.hstack([queries, np.zeros((len(queries), 1))])
         norms = np.einsum("ij,ij->i", points, points)
         best, found = np.full((len(queries), count), np.inf), np.full((len(queries), count), -1)
@@ -61,6 +71,7 @@ class Tree:
             if isinstance(node, np.ndarray):
                 if not len(node):
                     return
+                self.visited += len(active)
                 leaf = self.points[node]
                 distance = norms[active, None] + self.top - 2.0 * (points[active] @ leaf.T)
                 improves = (distance < worst[active, None]).any(axis=1)
