@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import verdict
@@ -28,10 +28,16 @@ def resolved(refs: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def opened_files(files: DataFrame) -> DataFrame:
-    """files (idx, path) with refs file/<n>/<name>, numbered in order of first appearance; a path that repeats keeps its ref."""
+    """files (idx, path) with refs file/<n>/<name>, numbered in order of first appearance; a path that repeats keeps its ref.
+
+    n counts up along ranges of idx: a range's count of new paths is added to those of the ranges before it.
+    """
     first = files.groupBy("path").agg(F.min("idx").alias("first"))
-    ahead = first.select(F.array_sort(F.collect_list("first")).alias("order"))  # a session's files, one list
-    numbered = first.join(F.broadcast(ahead)).withColumn("n", F.array_position("order", F.col("first")))
+    ranged = first.repartitionByRange("first").select("path", "first", F.spark_partition_id().alias("part"))
+    within = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("first")))
+    counts = ranged.groupBy("part").count()  # a row for each range
+    before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = within.join(F.broadcast(before), "part").withColumn("n", F.col("n") + F.col("before"))
     ref = F.concat_ws("/", F.lit("file"), F.col("n").cast("string"), F.substring_index("path", "/", -1))
     return files.join(numbered.select("path", ref.alias("ref")), "path").select("idx", "path", "ref")
 

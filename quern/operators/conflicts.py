@@ -29,34 +29,39 @@ def expanded(inputs: DataFrame, mode: str) -> DataFrame:
 
 
 def conflicting(inputs: DataFrame, mode: str) -> DataFrame:
-    """(idx, reason) of inputs (idx, path, format) that may not run.
+    """(idx, reason) of inputs (idx, path, format) that may not run; idx is unique and orders them, of any type.
 
     reason: same-file (an earlier input has the path), claimed (an earlier input that runs claims one of its outputs) or
     replaces (one of its outputs is another input). An input that may not run claims nothing, so inputs are decided in order.
-    All claims of an input share its folder and stem; a fold over such a group's inputs, in order, decides it alone. Repeats of
-    a path claim nothing and stay out of the fold, so that it has a row for each distinct path at most.
+
+    All claims of an input share its folder and stem. Of a group's inputs with the same claims only the first can run, so
+    that a fold over one row for each distinct list of claims, some dozens at most, finds those that run; every input then
+    meets the few that do. No row holds a group's inputs.
     """
     claims = output_claims(F.col("path"), F.col("format"), mode)
     each = inputs.select("idx", comparable(F.col("path")).alias("own"), claims.alias("claims"), folder(F.col("path")).alias("dir"), stem(F.col("path")).alias("stem"))
-    firsts = each.groupBy("own").agg(F.min(F.struct("idx", "claims", "dir", "stem")).alias("f"))
-    row = F.struct(F.col("f.idx").alias("idx"), F.col("own"), F.col("f.claims").alias("claims"))
-    first = firsts.select(F.col("own").alias("of"), F.col("f.idx").alias("first"))
-    repeats = each.join(first, F.col("own").eqNullSafe(F.col("of"))).where("first < idx").select("idx", F.lit("same-file").alias("reason"))
-    start = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast("array<struct<idx:bigint,reason:string>>").alias("found"))
-
-    def step(acc, r):
-        taken = lambda c: F.array_contains(acc["taken"], c)
-        other = lambda c: (c != r["own"]) & F.array_contains(F.col("paths"), c)
-        # the first claim in order that clashes gives the reason; on one claim an earlier claimant comes before an input
-        clashes = F.transform(r["claims"], lambda c: F.when(taken(c), "claimed").when(other(c), "replaces"))
-        reason = F.get(F.array_compact(clashes), F.lit(0))
-        free = F.when(reason.isNull(), F.array_union(acc["taken"], r["claims"])).otherwise(acc["taken"])
-        found = F.when(reason.isNull(), acc["found"]).otherwise(F.array_append(acc["found"], F.struct(r["idx"].alias("idx"), reason.alias("reason"))))
-        return F.struct(free.alias("taken"), found.alias("found"))
-
-    folded = firsts.groupBy("f.dir", "f.stem").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.collect_set("own").alias("paths"))
-    out = folded.select(F.explode(F.aggregate("rows", start, step, lambda acc: acc["found"])).alias("f"))
-    return out.select("f.idx", "f.reason").unionByName(repeats)
+    first = Window.partitionBy("own").orderBy("idx")
+    each = each.withColumn("__no", F.row_number().over(first))
+    repeats = each.where("__no > 1").select("idx", F.lit("same-file").alias("reason"))
+    firsts = each.where("__no = 1").drop("__no")
+    group = ["dir", "stem"]
+    # claims of a group that are inputs: as few as its formats have names
+    claimed = firsts.select(*group, F.explode("claims").alias("claim")).distinct()
+    there = claimed.join(firsts.select(F.col("own").alias("claim")), "claim", "left_semi").groupBy(*group).agg(F.collect_set("claim").alias("there"))
+    known = firsts.join(there, group, "left").withColumn("there", F.coalesce("there", F.array().cast("array<string>")))
+    replaced = F.filter("claims", lambda c: (c != F.col("own")) & F.array_contains("there", c))
+    heads = known.where(F.size(replaced) == 0).groupBy(*group, "claims").agg(F.min("idx").alias("idx"))
+    kind = dict(inputs.dtypes)["idx"]
+    runs = F.aggregate(
+        F.array_sort(F.collect_list(F.struct("idx", "claims"))), F.array().cast(f"array<struct<idx:{kind},claims:array<string>>>"),
+        lambda acc, r: F.when(F.exists(acc, lambda x: F.arrays_overlap(x["claims"], r["claims"])), acc).otherwise(F.array_append(acc, r)),
+    )
+    running = heads.groupBy(*group).agg(runs.alias("running"))
+    taken = lambda c: F.exists("running", lambda x: (x["idx"] < F.col("idx")) & F.array_contains(x["claims"], c))
+    # the first claim in order that clashes gives the reason
+    clashes = F.transform("claims", lambda c: F.when(taken(c), "claimed").when((c != F.col("own")) & F.array_contains("there", c), "replaces"))
+    found = known.join(running, group, "left").select("idx", F.get(F.array_compact(clashes), F.lit(0)).alias("reason"))
+    return found.where("reason IS NOT NULL").unionByName(repeats)
 
 
 def write_plan(outputs: DataFrame, existing: DataFrame, in_place: bool, overwrite: bool) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +38,43 @@ def added_fields(own: Column, wanted: Column) -> Column:
     return F.array_except(fields_of(wanted), fields_of(own))
 
 
+#: How each field stands in a description: its property, and whether as an attribute or as a list of a kind, of plain text, of text with a language, or of resources with one property.
+_FORMS = {
+    "creator": ("dc:creator", "Seq", "text"),
+    "credit": ("photoshop:Credit", None, "text"),
+    "copyright": ("dc:rights", "Alt", "lang"),
+    "webStatement": ("xmpRights:WebStatement", None, "text"),
+    "licensorUrl": ("plus:Licensor", "Bag", "plus:LicensorURL"),
+    "digitalSourceType": ("Iptc4xmpExt:DigitalSourceType", None, "text"),
+}
+
+
+def _tag(name: Column | str, attributes: Column | str, inner: Column) -> Column:
+    opened, closed = F.concat(F.lit(f"<{name}"), F.lit(attributes) if isinstance(attributes, str) else attributes), F.lit(f"</{name}>")
+    return F.when(inner == "", F.concat(opened, F.lit("/>"))).otherwise(F.concat(opened, F.lit(">"), inner, closed))
+
+
+def _attribute(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f' {name}="'), escape_xml(value), F.lit('"'))
+
+
+def _item(form: str, value: Column) -> Column:
+    if form == "lang":
+        return _tag("rdf:li", _attribute("xml:lang", value["lang"]), escape_xml(value["value"]))
+    if form == "text":
+        return _tag("rdf:li", "", escape_xml(value))
+    return _tag("rdf:li", ' rdf:parseType="Resource"', _tag(form, "", escape_xml(value)))
+
+
 def xmp_packet(rights: Column) -> Column:
     """The compact packet of a struct with creator and licensorUrl as arrays, copyright as array<struct<lang,value>> and text otherwise; null without fields."""
-    prefixes = list(dict.fromkeys(PREFIX.values()))
-    empty = F.lit("")
-    declared = F.concat(*[F.when(F.greatest(*[rights[f].isNotNull() for f in RIGHTS_FIELDS if PREFIX[f] == p], F.lit(False)), f' xmlns:{p}="{NAMESPACE[p]}"').otherwise(empty) for p in prefixes])
-    attribute = lambda name, f: F.when(rights[f].isNotNull(), F.concat(F.lit(f' {name}="'), escape_xml(rights[f]), F.lit('"'))).otherwise(empty)
-    array = lambda name, kind, f, item: F.when(rights[f].isNotNull(), F.concat(F.lit(f"<{name}><rdf:{kind}>"), F.array_join(F.transform(rights[f], item), ""), F.lit(f"</rdf:{kind}></{name}>"))).otherwise(empty)
-    attributes = F.concat(attribute("photoshop:Credit", "credit"), attribute("xmpRights:WebStatement", "webStatement"), attribute("Iptc4xmpExt:DigitalSourceType", "digitalSourceType"))
-    elements = F.concat(
-        array("dc:creator", "Seq", "creator", lambda v: F.concat(F.lit("<rdf:li>"), escape_xml(v), F.lit("</rdf:li>"))),
-        array("dc:rights", "Alt", "copyright", lambda v: F.concat(F.lit('<rdf:li xml:lang="'), escape_xml(v["lang"]), F.lit('">'), escape_xml(v["value"]), F.lit("</rdf:li>"))),
-        array("plus:Licensor", "Bag", "licensorUrl", lambda v: F.concat(F.lit('<rdf:li rdf:parseType="Resource"><plus:LicensorURL>'), escape_xml(v), F.lit("</plus:LicensorURL></rdf:li>"))),
-    )
-    body = F.when(elements == "", F.lit("/>")).otherwise(F.concat(F.lit(">"), elements, F.lit("</rdf:Description>")))
-    any_ = F.size(fields_of(rights)) > 0
-    return F.when(any_, F.concat(F.lit(PACKET[0] + '<rdf:Description rdf:about=""'), declared, attributes, body, F.lit(PACKET[1])))
+    joined = lambda parts: F.concat(*[F.coalesce(p, F.lit("")) for p in parts]) if parts else F.lit("")
+    there = {f: rights[f].isNotNull() for f in _FORMS}
+    spaces = [F.when(reduce(Column.__or__, [there[f] for f in _FORMS if PREFIX[f] == p]), F.lit(f' xmlns:{p}="{NAMESPACE[p]}"')) for p in dict.fromkeys(PREFIX.values())]
+    short = [F.when(there[f], _attribute(name, rights[f])) for f, (name, kind, _) in _FORMS.items() if kind is None]
+    lists = [F.when(there[f], _tag(name, "", _tag(f"rdf:{kind}", "", F.array_join(F.transform(rights[f], partial(_item, form)), "")))) for f, (name, kind, form) in _FORMS.items() if kind is not None]
+    described = _tag("rdf:Description", joined([F.lit(' rdf:about=""'), *spaces, *short]), joined(lists))
+    return F.when(F.size(fields_of(rights)) > 0, F.concat(F.lit(PACKET[0]), described, F.lit(PACKET[1])))
 
 
 def tiers(own: Column, full: Column, strip_all: bool, only_rights: Column) -> Column:

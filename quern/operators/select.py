@@ -1,4 +1,4 @@
-"""Choosing candidates: one minimum of a sort key per group, so that rows are combined before they are shuffled.
+"""Choosing candidates: the first row of each group, where a task's later rows are left out before a shuffle.
 
 Candidates have file, ord (their place in the list, which breaks ties), bytes and score; other columns go with the pick.
 """
@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _unpacked(df: DataFrame, by: list[str], pick: str, columns: list[str]) -> DataFrame:
-    return df.where(F.col(pick).isNotNull()).select(*by, *[F.col(f"{pick}.{c}").alias(c) for c in columns])
+def _first(candidates: DataFrame, by: list[str], *order: Column | str) -> DataFrame:
+    """The first row of each group; Spark leaves all but the first of a task's rows out before it shuffles them."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return candidates.withColumn("__no", number).where("__no = 1").drop("__no")
 
 
 def pick(candidates: DataFrame, by: list[str], target: Column | float, below: Column | None = None, allow_below_target: bool = False) -> DataFrame:
@@ -18,16 +20,11 @@ def pick(candidates: DataFrame, by: list[str], target: Column | float, below: Co
 
     Groups without a pick give no row.
     """
-    rest = [c for c in candidates.columns if c not in by]
     target = target if isinstance(target, Column) else F.lit(target)
-    smaller = F.col("bytes") < below if below is not None else F.lit(True)
-    passing = F.col("score") >= target
-    whole = [F.col(c) for c in rest]
-    rank = F.when(smaller & passing, F.struct(F.lit(0).alias("phase"), F.lit(0.0).alias("k"), "bytes", "ord", F.struct(*whole).alias("row")))
-    if allow_below_target:
-        rank = rank.when(smaller, F.struct(F.lit(1).alias("phase"), (-F.col("score")).cast("double").alias("k"), "bytes", "ord", F.struct(*whole).alias("row")))
-    picked = candidates.groupBy(*by).agg(F.min(rank).alias("best")).select(*by, F.col("best.row").alias("row"))
-    return _unpacked(picked, by, "row", rest)
+    fits = F.col("bytes") < below if below is not None else F.lit(True)
+    missed = F.coalesce(F.col("score") < target, F.lit(True))
+    kept = candidates.where(fits & (F.lit(allow_below_target) | ~missed))
+    return _first(kept, by, missed, F.when(missed, -F.col("score")), "bytes", "ord")
 
 
 def carrying(candidates: DataFrame, tiers: DataFrame, on: list[str]) -> DataFrame:
@@ -43,9 +40,7 @@ def carrying(candidates: DataFrame, tiers: DataFrame, on: list[str]) -> DataFram
 
 def pick_by_tier(candidates: DataFrame, by: list[str], target: Column | float, below: Column | None = None, allow_below_target: bool = False) -> DataFrame:
     """pick() within the first tier that has one."""
-    best = pick(candidates, [*by, "tier"], target, below, allow_below_target)
-    first = Window.partitionBy(*by).orderBy("tier")
-    return best.withColumn("__no", F.row_number().over(first)).where("__no = 1").drop("__no")
+    return _first(pick(candidates, [*by, "tier"], target, below, allow_below_target), by, "tier")
 
 
 def select_single(candidates: DataFrame, by: list[str], target: Column | float, below: Column, converting: Column) -> DataFrame:
@@ -53,13 +48,11 @@ def select_single(candidates: DataFrame, by: list[str], target: Column | float,
 
     candidates has is_fallback; a conversion's own candidates may miss the target, its fallbacks may not, and others have none.
     """
-    rest = [c for c in candidates.columns if c not in by]
     target = target if isinstance(target, Column) else F.lit(target)
-    smaller, passing, fallback = F.col("bytes") < below, F.col("score") >= target, F.col("is_fallback")
-    key = lambda phase, k: F.struct(F.col("tier"), F.lit(phase).alias("phase"), k.cast("double").alias("k"), "bytes", "ord", F.struct(*rest).alias("row"))
-    rank = F.when(smaller & passing & ~fallback, key(0, F.lit(0.0))).when(smaller & ~fallback & converting, key(1, -F.col("score"))).when(smaller & passing & fallback & converting, key(2, F.lit(0.0)))
-    picked = candidates.groupBy(*by).agg(F.min(rank).alias("best")).select(*by, F.col("best.row").alias("row"))
-    return _unpacked(picked, by, "row", rest)
+    passing, fallback = F.col("score") >= target, F.col("is_fallback")
+    phase = F.when(passing & ~fallback, 0).when(~fallback & converting, 1).when(passing & fallback & converting, 2)
+    kept = candidates.where((F.col("bytes") < below) & phase.isNotNull())
+    return _first(kept, by, "tier", phase, F.when(phase == 1, -F.col("score")), "bytes", "ord")
 
 
 def kept_by_chain(sized: DataFrame, by: list[str], order: str, size: str = "bytes") -> DataFrame:
@@ -87,8 +80,7 @@ def select_format(candidates: DataFrame, by: list[str], target: Column | float,
     """pick_by_tier() under the bound, or else under none with misses allowed."""
     strict = pick_by_tier(candidates, by, target, below).withColumn("__r", F.lit(0))
     loose = pick_by_tier(candidates, by, target, None, True).withColumn("__r", F.lit(1))
-    first = Window.partitionBy(*by).orderBy("__r")
-    return strict.unionByName(loose).withColumn("__no", F.row_number().over(first)).where("__no = 1").drop("__no", "__r")
+    return _first(strict.unionByName(loose), by, "__r").drop("__r")
 
 
 def chosen_attempt(attempts: DataFrame, by: list[str]) -> DataFrame:

@@ -14,29 +14,49 @@ from pyspark.sql import functions as F
 def write_staged(outputs: DataFrame) -> DataFrame:
     """outputs (file, path, content) to (file, written, error): a file's outputs are written beside their places and renamed once all are there.
 
-    A retried task writes the same bytes again. What cannot be written leaves nothing behind and is a row with E_WRITE.
+    A retried task writes the same bytes again. Where one of them cannot be written or renamed, what stood in the others'
+    places is put back, and the file is a row with E_WRITE.
     """
+    kind = dict(outputs.dtypes)["file"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        staged, error = [], None
+        staged, moved, error, mark = [], [], None, uuid.uuid4().hex
         try:
             for path, content in zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True):
-                part = f"{path}.{uuid.uuid4().hex}.part"
-                staged.append((part, path))
                 os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(part, "wb") as f:
+                staged.append((f"{path}.{mark}.part", path))
+                with open(staged[-1][0], "wb") as f:
                     f.write(content)
             for part, path in staged:
+                old = f"{path}.{mark}.old" if os.path.exists(path) else None
+                if old:
+                    os.replace(path, old)
+                moved.append((old, path))
                 os.replace(part, path)
         except OSError as e:
             error = f"E_WRITE: {e.strerror}"
-        finally:
-            for part, _ in staged:
-                if os.path.exists(part):
-                    os.remove(part)
-        return pa.table({"file": pa.array([key[0].as_py()], pa.int64()), "written": pa.array([0 if error else len(staged)], pa.int64()), "error": pa.array([error], pa.string())})
+            for old, path in reversed(moved):
+                if old:
+                    os.replace(old, path)
+                elif os.path.exists(path):
+                    os.remove(path)
+            moved = []
+        for left in [part for part, _ in staged] + [old for old, _ in moved if old]:
+            if os.path.exists(left):
+                os.remove(left)
+        return pa.table({"file": pa.array([key[0].as_py()], table.schema.field("file").type), "written": pa.array([0 if error else len(staged)], pa.int64()), "error": pa.array([error], pa.string())})
 
-    return outputs.select("file", "path", "content").groupBy("file").applyInArrow(run, "file long, written long, error string")
+    return outputs.select("file", "path", "content").groupBy("file").applyInArrow(run, f"file {kind}, written long, error string")
+
+
+def existing(paths: DataFrame) -> DataFrame:
+    """The rows of paths (path) that are files or folders now, as tasks see them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([p is not None and os.path.lexists(p) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+    return paths.select("path").distinct().mapInArrow(run, "path string")
 
 
 def json_documents(results: DataFrame) -> DataFrame:

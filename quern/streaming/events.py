@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.shared import shared_path
+
 _ORDER = ("ts", "seq")
 _FINISHED = ("file-done", "file-failed")
 
@@ -57,14 +59,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, type, n) by a windowed stream with a watermark, over all files there are; the sink is a table that outlives it."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="quern-")
-    base, name = f"{root.rstrip('/')}/quern-stream-{uuid.uuid4().hex}", F.col("event_type")
+    base, name = shared_path(spark, "stream"), F.col("event_type")
     stream = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     kind = F.when(name == "view", "file-start").when(name == "error", "file-failed").when(name == "click", "settings").otherwise("file-done")
     counts = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), kind.alias("type")).agg(F.count("*").alias("n"))

@@ -86,3 +86,112 @@ def test_pairs_refs_and_lists(spark):
     assert [r["key"] for r in compare.recent(spark.createDataFrame([("a", 1), ("b", 3), ("a", 4), ("c", 2)], "key string, used int"), 2).collect()] == ["a", "b"]
     zoom = spark.range(1).select(compare.fitted_zoom(F.lit(200), F.lit(100), F.lit(100), F.lit(100)).alias("z"), compare.clamped_centre(F.lit(0.0), F.lit(100.0), F.lit(50.0), F.lit(1.0)).alias("c")).first()
     assert (zoom["z"], zoom["c"]) == (0.5, 25.0)
+
+
+def _noisy(seed=1, shape=(40, 60, 3)):
+    r = np.random.default_rng(seed)
+    return np.clip(np.add.outer(np.arange(shape[0]), np.arange(shape[1]))[..., None] + r.integers(0, 9, shape), 0, 255).astype(np.uint8)
+
+
+def _by_name(frame):
+    return {r["path"].rsplit("/", 1)[1]: r for r in frame.collect()}
+
+
+def _codes(row):
+    return [w["code"] for w in row["warnings"]]
+
+
+def test_existing_files_survive_unless_overwriting(spark, tmp_path):
+    (tmp_path / "x.png").write_bytes(containers.png_of(_noisy(), "a comment"))
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "x.png").write_bytes(b"another")
+    found = files.scan_folder(spark, str(tmp_path))
+    row = _by_name(run.optimise(found, Settings(out_dir=str(out))))["x.png"]
+    assert row["status"] == "skipped" and _codes(row) == ["W_OUTPUT_EXISTS"] and row["error"] is None and (out / "x.png").read_bytes() == b"another"
+    row = _by_name(run.optimise(found, Settings(out_dir=str(out), overwrite=True)))["x.png"]
+    assert row["status"] == "optimised" and len((out / "x.png").read_bytes()) == row["output_bytes"] and sorted(p.name for p in out.iterdir()) == ["x.png"]
+
+
+def test_in_place_replaces_the_input_alone_when_asked(spark, tmp_path):
+    path = tmp_path / "x.png"
+    path.write_bytes(containers.png_of(_noisy(), "a comment"))
+    found = files.scan_folder(spark, str(tmp_path))
+    row = _by_name(run.optimise(found, Settings()))["x.png"]
+    assert row["status"] == "failed" and row["error"].startswith("E_OUTPUT_IS_INPUT") and b"a comment" in path.read_bytes()
+    row = _by_name(run.optimise(found, Settings(in_place=True)))["x.png"]
+    assert row["status"] == "optimised" and b"a comment" not in path.read_bytes()
+    again = _by_name(run.optimise(files.scan_folder(spark, str(tmp_path)), Settings(in_place=True)))["x.png"]
+    assert again["status"] == "kept-original" and again["output"] is None
+
+
+def test_the_earlier_input_wins(spark, tmp_path):
+    data = containers.png_of(_noisy(), "a comment")
+    names = ["b/p.png", "a/p.png", "c/q.png"]
+    rows = [(10 - n, str(tmp_path / name), data) for n, name in enumerate(names)]
+    given = spark.createDataFrame(rows, "idx long, path string, content binary")
+    settings = Settings(out_dir=str(tmp_path / "out"))
+    found = {r["path"]: r for r in run.optimise(given, settings, write=False, existing=given.limit(0)).collect()}
+    # claims are by folder of the output: the two p.png both go to out/p.png
+    assert found[rows[2][1]]["status"] == "optimised"
+    by_path = run.optimise(given.drop("idx").union(given.drop("idx")), Settings(in_place=True), write=False).groupBy("path", "status").count().collect()
+    assert sorted((r["path"].rsplit("/", 2)[1], r["status"], r["count"]) for r in by_path) == [(d, s, 1) for d in "abc" for s in ("failed", "optimised")]
+
+
+def test_rights_are_carried_added_or_stripped(spark, tmp_path):
+    packet = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator><rdf:Seq><rdf:li>Ann</rdf:li></rdf:Seq></dc:creator></rdf:Description></rdf:RDF></x:xmpmeta>'
+    data = containers.with_xmp(containers.png_of(_noisy(), "x" * 3000), "png", packet.encode())
+    (tmp_path / "r.png").write_bytes(data)
+    found = files.scan_folder(spark, str(tmp_path))
+
+    def result(name, **more):
+        row = _by_name(run.optimise(found, Settings(out_dir=str(tmp_path / name), **more)))["r.png"]
+        assert row["status"] == "optimised"
+        return row, containers.read_rights((tmp_path / name / "r.png").read_bytes(), "png")
+
+    row, own = result("a")
+    assert own["creator"] == ["Ann"] and row["carried"] == ["creator"] and _codes(row) == []
+    row, both = result("b", rights={"credit": "Me"})
+    assert both["creator"] == ["Ann"] and both["credit"] == "Me" and row["carried"] == ["creator", "credit"]
+    row, none = result("c", strip_all=True)
+    assert none == {} and row["carried"] == [] and _codes(row) == []
+
+
+def test_added_rights_that_leave_nothing_smaller_are_left_out(spark, tmp_path):
+    small = containers.STRIP["png"](containers.png_of(_noisy(), None))[0]
+    (tmp_path / "s.png").write_bytes(small)
+    row = _by_name(run.optimise(files.scan_folder(spark, str(tmp_path)), Settings(out_dir=str(tmp_path / "o"), rights={"credit": "Me"}, target=100)))["s.png"]
+    assert row["status"] == "kept-original" and "W_RIGHTS_NOT_ADDED" in _codes(row)
+
+
+def test_a_wide_image_is_shrunk_or_kept_with_a_warning(spark, tmp_path):
+    (tmp_path / "w.png").write_bytes(containers.png_of(_noisy(shape=(40, 200, 3)), "c"))
+    found = files.scan_folder(spark, str(tmp_path))
+    row = _by_name(run.optimise(found, Settings(out_dir=str(tmp_path / "o"), max_width=50)))["w.png"]
+    assert row["status"] == "optimised" and containers.pixels_of((tmp_path / "o" / "w.png").read_bytes()).shape[:2] == (10, 50) and "W_NO_RIGHTS" in _codes(row)
+
+    class Large(X.PngCodec):
+        def encode(self, pixels, quality):
+            return super().encode(pixels, quality) + b"\0" * 100_000
+
+    row = _by_name(run.optimise(found, Settings(out_dir=str(tmp_path / "p"), max_width=50), (Large(),)))["w.png"]
+    assert row["status"] == "kept-original" and "W_NOT_RESIZED" in _codes(row)
+
+
+def test_svg_unreadable_and_unknown_files(spark, tmp_path):
+    rows = [("/none/a.svg", b"<svg xmlns='http://www.w3.org/2000/svg'><!-- c --><g/></svg>"), ("/none/b.png", None), ("/none/c.txt", b"text"), ("/none/d.avif", b"\0\0\0\x18ftypavif\0\0\0\0avifmif1")]
+    found = _by_name(run.optimise(spark.createDataFrame(rows, "path string, content binary"), Settings(mode="webp", out_dir="/none/out"), write=False))
+    assert found["a.svg"]["status"] == "optimised" and _codes(found["a.svg"]) == ["W_SVG_SAME_ONLY"]
+    assert found["b.png"]["error"].startswith("E_READ") and found["c.txt"]["error"].startswith("E_UNSUPPORTED") and found["d.avif"]["error"].startswith("E_UNSUPPORTED")
+    assert run.optimise(spark.createDataFrame([], "path string, content binary"), Settings()).count() == 0
+
+
+def test_a_failed_rename_leaves_what_was_there(spark, tmp_path):
+    from quern import sinks
+
+    (tmp_path / "a").write_bytes(b"old")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "full").write_bytes(b"1")
+    outputs = spark.createDataFrame([(1, str(tmp_path / "a"), b"new"), (1, str(tmp_path / "b" / "full" / "c"), b"new")], "file long, path string, content binary")
+    row = sinks.write_staged(outputs).first()
+    assert row["written"] == 0 and row["error"].startswith("E_WRITE") and (tmp_path / "a").read_bytes() == b"old" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
