@@ -148,9 +148,13 @@ _SEARCH = f"""WITH RECURSIVE s AS (
     tried AS (SELECT p_partkey, n, q AS quality, CAST({_CURVE} AS DOUBLE) AS score, {_CURVE} >= 70 AS passed FROM s) """
 
 
-def _tried(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A target that some parts' curves never reach.
+_HARD = 95
+
+
+def _tried(spark: SparkSession, sf_dir: str, target: float = DEFAULT_TARGET) -> DataFrame:
     part = V.table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    path = search.search_path(_LOW, _HIGH, _curve, DEFAULT_TARGET)
+    path = search.search_path(_LOW, _HIGH, _curve, target)
     return part.select("p_partkey", F.posexplode(path).alias("n", "t")).select("p_partkey", (F.col("n") + 1).alias("n"), "t.*")
 
 
@@ -172,9 +176,9 @@ def search_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.chosen_attempt(_tried(spark, sf_dir).withColumn("bytes", size), ["p_partkey"])
 
 
-@_query(_SEARCH + "SELECT p_partkey, max(score) AS best FROM tried GROUP BY p_partkey HAVING NOT bool_or(passed)")
+@_query(_SEARCH.replace(f">= {DEFAULT_TARGET}", f">= {_HARD}") + "SELECT p_partkey, max(score) AS best FROM tried GROUP BY p_partkey HAVING NOT bool_or(passed)")
 def search_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tried(spark, sf_dir).groupBy("p_partkey").agg(F.max("score").alias("best"), F.bool_or("passed").alias("any")).where(~F.col("any")).drop("any")
+    return _tried(spark, sf_dir, _HARD).groupBy("p_partkey").agg(F.max("score").alias("best"), F.bool_or("passed").alias("any")).where(~F.col("any")).drop("any")
 
 
 @_query(_with(V.CANDIDATES_SQL) + "SELECT file, format, score, min(bytes) AS bytes, count(*) AS uses FROM candidates GROUP BY file, format, score")
@@ -273,7 +277,7 @@ def unchanged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).select("file", "status", same.alias("unchanged"), F.greatest(F.size(F.coalesce("output_bytes", F.array().cast("array<bigint>"))), F.lit(0)).cast("long").alias("outputs"))
 
 
-@_query()
+@_query(_with(V.CANDIDATES_SQL, V.FILES_SQL, _RESULTS) + """SELECT file, '{"file":' || file || ',"status":"' || status || '","bytes":' || input_bytes || CASE WHEN len(outs) > 0 THEN ',"outputs":[' || array_to_string(outs, ',') || ']' ELSE '' END || '}' AS document FROM results""")
 def file_results_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON document per file, without the fields it lacks."""
     doc = F.struct("file", "status", "bytes", F.when(F.size("output_bytes") > 0, F.col("output_bytes")).alias("outputs"))
@@ -317,14 +321,18 @@ def expand_without_earlier_outputs(spark: SparkSession, sf_dir: str) -> DataFram
     return conflicts.expanded(V.paths(spark, sf_dir), "suite").select("idx", "path")
 
 
-def _distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 40 inputs a folder and stem, whatever the scale: page numbers beyond the first round get folders of their own."""
-    p = V.paths(spark, sf_dir)
-    return p.withColumn("path", F.replace("path", F.lit("/in/"), F.concat(F.lit("/in"), F.floor(F.col("idx") / 560).cast("string"), F.lit("/"))))
+#: A folder and stem has four paths and some repeats of them, so that inputs clash in every way.
+_DENSE_SQL = V.PATHS_SQL.replace("'/in/d' || (page_id % 5) || '/img' || (page_id // 7 % 40)", "'/in/d' || (page_id % 3) || '/img' || (page_id // 4 % 7 + page_id // 168 * 7)")
+
+
+def _dense_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("idx")
+    path = F.concat(F.lit("/in/d"), (n % 3).cast("string"), F.lit("/img"), (F.floor(n / 4) % 7 + F.floor(n / 168) * 7).cast("string"), F.lit("."), F.substring_index("path", ".", -1))
+    return V.paths(spark, sf_dir).withColumn("path", path)
 
 
 @_query(
-    _with(V.PATHS_SQL.replace("'/in/d'", "'/in' || (page_id // 560) || '/d'"), V.CLAIMS_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    _with(_DENSE_SQL, V.CLAIMS_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
     + """, grouped AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY idx) AS no, min(idx) OVER (PARTITION BY path) AS first, list(path) OVER (PARTITION BY dir, stem) AS inputs FROM claims),
     walk AS (
         SELECT dir, stem, CAST(0 AS BIGINT) AS no, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS taken FROM grouped GROUP BY dir, stem
@@ -336,10 +344,10 @@ def _distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT idx, reason FROM walk WHERE reason IS NOT NULL"""
 )
 def conflicts_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.conflicting(_distinct_paths(spark, sf_dir), "suite")
+    return conflicts.conflicting(_dense_paths(spark, sf_dir), "suite")
 
 
-@_query(ORACLE_SQL["conflicts_greedy"].replace("'/in' || (page_id // 560) || '/d'", "'/in/d'"))
+@_query(ORACLE_SQL["conflicts_greedy"].replace(_DENSE_SQL, V.PATHS_SQL))
 def conflicts_of_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths as they are: a folder and stem has inputs that grow with the pages."""
     return conflicts.conflicting(V.paths(spark, sf_dir), "suite")
@@ -360,7 +368,12 @@ def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.write_plan(outputs, p.where("idx % 2 = 0").select("path"), in_place=False, overwrite=False)
 
 
-@_query()
+@_query(
+    _with(V.PATHS_SQL)
+    + """SELECT idx, folder, base || CASE WHEN no > 0 THEN ' (' || no || ')' ELSE '' END || '.' || ext AS free_name FROM (
+        SELECT *, row_number() OVER (PARTITION BY folder, base, ext ORDER BY idx) - 1 AS no FROM (
+            SELECT idx, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '')[:4] AS base, lower(split_part(path, '.', -1)) AS ext FROM paths))"""
+)
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within a folder, each with the next free count."""
     p = V.paths(spark, sf_dir).select("idx", P.folder(F.col("path")).alias("folder"), F.concat(F.substring(P.stem(F.col("path")), 1, 4), F.lit("."), P.extension(F.col("path"))).alias("name"))
@@ -433,26 +446,14 @@ def rights_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _own(spark, sf_dir).select("file", F.explode(tiers).alias("t")).select("file", "t.tier", F.col("t.packet").cast("long").alias("packet"))
 
 
-@_query(f"SELECT doc_id, {_ESC.format('text')} AS escaped FROM (SELECT doc_id, '<a href=\"' || replace(replace(substr(text, 1, 80), chr(10), ' '), chr(9), ' ') || '\">&' AS text FROM documents)")
-def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.translate(F.substring("text", 1, 80), "\n\t", "  ")
-    return V.table(spark, sf_dir, "documents").select("doc_id", X.escape_xml(F.concat(F.lit('<a href="'), text, F.lit('">&'))).alias("escaped"))
-
-
-@_query("SELECT doc_id, nullif(regexp_replace(regexp_replace(CASE WHEN doc_id % 4 = 0 THEN chr(9) || ' ' ELSE chr(10) || '  ' || substr(text, 1, doc_id % 30) || chr(1) || ' ' END, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS value FROM documents")
-def trim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.when(F.col("doc_id") % 4 == 0, F.lit("\t ")).otherwise(F.concat(F.lit("\n  "), F.substr("text", F.lit(1), (F.col("doc_id") % 30).cast("int")), F.lit("\x01 ")))
-    return V.table(spark, sf_dir, "documents").select("doc_id", X.trimmed(value).alias("value"))
-
-
 @_query("SELECT doc_id, replace(replace(replace(" + _ESC.format("'<a href=\"' || text || '\">&'") + ", chr(9), '&#9;'), chr(10), '&#10;'), chr(13), '&#13;') AS escaped FROM documents")
-def xml_escape_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts, line ends and tabs among them."""
     return V.table(spark, sf_dir, "documents").select("doc_id", X.escape_xml(F.concat(F.lit('<a href="'), "text", F.lit('">&'))).alias("escaped"))
 
 
 @_query("SELECT doc_id, nullif(regexp_replace(regexp_replace(chr(10) || '  ' || text || chr(1) || ' ', '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS value FROM documents")
-def trim_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole text of every document, padded."""
     return V.table(spark, sf_dir, "documents").select("doc_id", X.trimmed(F.concat(F.lit("\n  "), "text", F.lit("\x01 "))).alias("value"))
 
@@ -548,12 +549,23 @@ def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "png"), "png")
 
 
-@_query()
+_NAMED = "named AS (SELECT p_partkey AS id, octet_length(encode(p_name)) AS n FROM part)"
+#: Bytes of a sample's packet besides its name.
+_PACKET_BYTES = len(sniff.sample_packet(b""))
+
+
+@_query(
+    _with(_NAMED, f"s AS (SELECT id, unnest([0, 1, 2, 3]) AS number, unnest(['E0', 'E1', 'FE', 'DB']) AS kind, unnest([14, {29 + _PACKET_BYTES} + n, n, 65]) AS bytes FROM named)")
+    + """SELECT id, number, kind, start, start + 4 + bytes AS "end", bytes FROM (SELECT *, CAST(2 + coalesce(sum(bytes + 4) OVER (PARTITION BY id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)"""
+)
 def jpeg_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "jpeg"), "jpeg")
 
 
-@_query()
+@_query(
+    _with(_NAMED, f"s AS (SELECT id, unnest([0, 1, 2, 3]) AS number, unnest(['VP8X', 'VP8 ', 'EXIF', 'XMP ']) AS kind, unnest([10, n, 10, {_PACKET_BYTES} + n]) AS bytes FROM named)")
+    + """SELECT id, number, kind, start, start + 8 + bytes + bytes % 2 AS "end", bytes FROM (SELECT *, CAST(12 + coalesce(sum(8 + bytes + bytes % 2) OVER (PARTITION BY id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)"""
+)
 def riff_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "webp"), "webp")
 
@@ -670,15 +682,8 @@ def setting_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.count("*").alias("n"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
 
 
-@_query(_with(V.FILES_SQL) + "SELECT file, input_format, CAST((row_number() OVER (ORDER BY input_bytes DESC, file) - 1) % 8 AS INTEGER) AS shard FROM files WHERE file < 200")
-def shards_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed set of inputs, the largest first, dealt to eight shards in turn."""
-    order = Window.orderBy(F.col("input_bytes").desc(), "file")  # 200 rows
-    return V.files(spark, sf_dir).where("file < 200").select("file", "input_format", ((F.row_number().over(order) - 1) % 8).alias("shard"))
-
-
 @_query(_with(V.FILES_SQL) + "SELECT file, input_format, CAST((row_number() OVER (ORDER BY input_bytes DESC, file) - 1) % 8 AS INTEGER) AS shard FROM files")
-def shards_of_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shards_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All inputs, the largest first, dealt to eight shards in turn."""
     ranked = totals.ranked(V.files(spark, sf_dir).select("file", "input_format", "input_bytes"), F.col("input_bytes").desc(), F.col("file"))
     return ranked.select("file", "input_format", (F.col("rank") % 8).cast("int").alias("shard"))

@@ -64,6 +64,11 @@ def _mapped(files: DataFrame, schema: str, arrow: pa.Schema, rows) -> DataFrame:
     return files.mapInArrow(run, schema)
 
 
+def sample_packet(name: bytes) -> bytes:
+    """The packet that a sample carries."""
+    return b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:photoshop="http://ns.adobe.com/photoshop/1.0/" photoshop:Credit="' + name + b'"/></rdf:RDF></x:xmpmeta>'
+
+
 def sample_files(names: DataFrame, kind: str) -> DataFrame:
     """names (id, name) to (id, format, content): a small file of the kind that carries the name as metadata."""
 
@@ -73,7 +78,7 @@ def sample_files(names: DataFrame, kind: str) -> DataFrame:
         from quern.sources import containers as C
 
         name = row["name"].encode()
-        packet = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:photoshop="http://ns.adobe.com/photoshop/1.0/" photoshop:Credit="' + name + b'"/></rdf:RDF></x:xmpmeta>'
+        packet = sample_packet(name)
         if kind == "png":
             side = row["id"] % 5 + 1
             content = C.with_xmp(C.png_of(np.full((side, side, 3), row["id"] % 256, np.uint8), row["name"]), "png", packet)

@@ -107,9 +107,9 @@ def test_whole_texts_are_escaped_and_trimmed(spark, tmp_path):
     long = "x" * 200
     texts = [long + "<\t&\r\n>" + '"', " \t\n ", "\x02 \x01", long + " \n\t" * 50, ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    escaped = {r["doc_id"]: r["escaped"] for r in QUERIES["xml_escape_whole"](spark, str(tmp_path)).collect()}
+    escaped = {r["doc_id"]: r["escaped"] for r in QUERIES["xml_escape"](spark, str(tmp_path)).collect()}
     assert escaped[0] == '&lt;a href=&quot;' + long + '&lt;&#9;&amp;&#13;&#10;&gt;&quot;&quot;&gt;&amp;'
-    trimmed = {r["doc_id"]: r["value"] for r in QUERIES["trim_values_whole"](spark, str(tmp_path)).collect()}
+    trimmed = {r["doc_id"]: r["value"] for r in QUERIES["trim_values"](spark, str(tmp_path)).collect()}
     assert trimmed == {0: texts[0], 1: None, 2: None, 3: long, 4: None}
 
 
