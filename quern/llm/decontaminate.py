@@ -1,14 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items are joined on shared seeds, runs of SEED_WORDS words with equal running Karp-Rabin hashes.
-Seeds that follow each other are joined to whole matches; again and again the longest match whose words are unmarked in
-both texts becomes a tile and marks them. An item counts as leaked when its tiles cover enough of its words, in whatever
-order they stand in the document.
+Documents and benchmark items are joined on shared seeds, hashes of runs of SEED_WORDS words. A filter of fixed size, made of
+all items' seeds, leaves most documents' seeds out before the join. A pair whose shared seeds could cover enough of the item
+is tiled: the longest match whose words are unmarked in both texts is found by Karp-Rabin hashes of running lengths, becomes
+a tile and marks them, again and again. An item counts as leaked when its tiles cover enough of its words, in whatever order
+they stand in the document.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import string_parts, text_slices
+from quern.llm._shared import materialised, string_parts, text_slices
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Bytes of benchmark text that one pass broadcasts at most, about; a larger benchmark takes more passes over each batch.
-BLOCK_BYTES = 8 << 20
+#: Bits of the filter of all items' seeds are 2 to the power of this, 8 MB, however large the benchmark is; parts by which repeated texts are spread in a join.
+FILTER_BITS, SALTS = 26, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 20
 
 
 def hashed_values(strings: pa.Array) -> np.ndarray:
@@ -55,104 +54,166 @@ def rolling(tokens: np.ndarray, length: int = SEED_WORDS) -> np.ndarray:
     return out
 
 
-def greedy_tiles(item: np.ndarray, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray] | None = None, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
+def _running(tokens: np.ndarray) -> np.ndarray:
+    """Hashes of all prefixes, from which those of windows of any length follow."""
+    out = np.zeros(len(tokens) + 1, np.uint64)
+    # the sum of token * base^-place, so that a cumulative sum gives all of them at once
+    powers = _powers(len(tokens), pow(int(_BASE), -1, 1 << 64))
+    np.cumsum(tokens * powers, out=out[1:])
+    return out
+
+
+def _powers(count: int, base: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _windows(running: np.ndarray, blocked: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows of a length without a blocked token; blocked counts those of each prefix."""
+    start = np.flatnonzero(blocked[length:] == blocked[: len(blocked) - length])
+    return start, (running[start + length] - running[start]) * _powers(len(running), int(_BASE))[start]
+
+
+def greedy_tiles(item: np.ndarray, text: np.ndarray, least: int = SEED_WORDS) -> list[tuple[int, int, int]]:
     """(start in item, start in text, length) of the tiles in the order they are marked.
 
     Each time the longest match of unmarked tokens is taken, of equal ones the first in item, then in text; matches of fewer
-    than `least` tokens are none. seeds: starts in item and text of all runs of `least` tokens with equal hashes, if known.
+    than `least` tokens are none. Memory is linear in the tokens, however often they repeat: the longest length is found by
+    halving, and a length's windows are looked up, never paired.
     """
-    if seeds is None:
-        here, there = rolling(item, least), rolling(text, least)
-        pairs = [(i, j) for i in range(len(here)) for j in np.flatnonzero(there == here[i]).tolist()]
-        seeds = tuple(np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-    i, j = seeds
-    equal = np.ones(len(i), bool)
-    for k in range(least):
-        equal &= item[i + k] == text[j + k]
-    i, j = i[equal], j[equal]
-    if not len(i):
-        return []
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != 1)]))
-    runs = np.diff(np.concatenate([first, [len(i)]])) + least - 1
-    heap = [(-n, a, b) for n, a, b in zip(runs.tolist(), i[first].tolist(), j[first].tolist(), strict=True)]
-    heapq.heapify(heap)
-    free_item, free_text, tiles = np.ones(len(item), bool), np.ones(len(text), bool), []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = free_item[a : a + n] & free_text[b : b + n]
-        if free.all():
-            free_item[a : a + n] = free_text[b : b + n] = False
-            tiles.append((a, b, n))
-            continue
-        # what other tiles have left of it may be matches of their own
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if e - s >= least:
-                heapq.heappush(heap, (s - e, a + s, b + s))
+    # tokens of the text that no seed covers can't be under a tile
+    here, there = rolling(item, least), rolling(text, least)
+    covered = np.zeros(len(text) + 1, np.int64)
+    hit = np.flatnonzero(np.isin(there, here))
+    np.add.at(covered, hit, 1)
+    np.add.at(covered, hit + least, -1)
+    used = np.cumsum(covered[:-1]) > 0
+    kept = np.flatnonzero(used | np.concatenate([[False], used[:-1]])) if len(text) else np.zeros(0, np.int64)
+    tokens, free_text, free_item = text[kept], used[kept].copy(), np.ones(len(item), bool)
+    run_item, run_text, tiles, high = _running(item), _running(tokens), [], min(len(item), len(tokens))
+    count = lambda free: np.concatenate([[0], np.cumsum(~free)])
+
+    def shared(length: int) -> bool:
+        a, b = (_windows(r, count(f), length)[1] for r, f in ((run_item, free_item), (run_text, free_text)))
+        return bool(np.isin(a, b).any())
+
+    while high >= least:
+        low, most = least - 1, high
+        while low < most:
+            middle = (low + most + 1) // 2
+            low, most = (middle, most) if shared(middle) else (low, middle - 1)
+        if low < least:
+            break
+        (at_item, hash_item), (at_text, hash_text) = _windows(run_item, count(free_item), low), _windows(run_text, count(free_text), low)
+        order = np.argsort(hash_text, kind="stable")
+        at_text, hash_text = at_text[order], hash_text[order]
+        first, last = (np.searchsorted(hash_text, hash_item, side=s) for s in ("left", "right"))
+        next_of: dict[int, int] = {}  # of windows with a hash, the first that was not found taken yet
+        for i, a, b in zip(at_item[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
+            if not free_item[i : i + low].all():
+                continue
+            k = next_of.get(a, a)
+            while k < b:
+                j = int(at_text[k])
+                if free_text[j : j + low].all() and np.array_equal(item[i : i + low], tokens[j : j + low]):
+                    free_item[i : i + low] = free_text[j : j + low] = False
+                    tiles.append((i, int(kept[j]), low))
+                    break
+                k += 1
+            next_of[a] = k
+        high = low - 1
     return tiles
 
 
-class Index:
-    """Seeds of benchmark items, sorted by hash."""
-
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
-        offsets, tokens = word_tokens(pa.array([t or "" for t in texts], pa.large_string()))
-        self.ids, self.items = ids, [tokens[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
-        seeds = [rolling(t) for t in self.items]
-        self.hashes = np.concatenate([*seeds, np.empty(0, np.uint64)])
-        self.item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        self.start = np.concatenate([*(np.arange(len(s)) for s in seeds), np.empty(0, np.int64)]).astype(np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.item, self.start = self.hashes[order], self.item[order], self.start[order]
-        self.filter = np.zeros(1 << _BITS, bool)
-        self.filter[self.hashes >> np.uint64(64 - _BITS)] = True
-
-    def matches(self, offsets: np.ndarray, tokens: np.ndarray, coverage: float) -> Iterator[tuple[int, int, float]]:
-        """(text, item, share of the item's words under tiles) of the pairs with `coverage` or more."""
-        seeds = rolling(tokens)
-        at = np.flatnonzero(self.filter[seeds >> np.uint64(64 - _BITS)])
-        text = np.searchsorted(offsets, at, side="right") - 1
-        inside = at + SEED_WORDS <= offsets[text + 1]
-        at, text = at[inside], text[inside]
-        low, high = (np.searchsorted(self.hashes, seeds[at], side=s) for s in ("left", "right"))
-        times = high - low
-        if not times.any():
-            return
-        entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        text, at = np.repeat(text, times), np.repeat(at, times)
-        item, start = self.item[entry], self.start[entry]
-        order = np.lexsort((item, text))
-        text, at, item, start = text[order], at[order], item[order], start[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0), [True]]))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            words = self.items[item[a]]
-            # tiles lie within seeds, so what seeds cover bounds what tiles can
-            under = np.zeros(len(words), bool)
-            under[(start[a:b, None] + np.arange(SEED_WORDS)).ravel()] = True
-            if under.sum() < coverage * len(words):
-                continue
-            begin, end = offsets[text[a]], offsets[text[a] + 1]
-            share = sum(n for *_, n in greedy_tiles(words, tokens[begin:end], (start[a:b], at[a:b] - begin))) / len(words)
-            if share >= coverage:
-                yield int(text[a]), int(item[a]), share
-
-
-def _blocks(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[Index]:
-    """The benchmark in blocks of BLOCK_BYTES, read one at a time; a stated query set, never all of it at once."""
-    ids, texts, held = [], [], 0
-    rows = benchmark.select(F.col(id_column).cast("long"), F.col(text_column).cast("string")).orderBy(*benchmark.select(id_column, text_column).columns)
-    for item_id, text in rows.toLocalIterator():
-        ids.append(item_id)
-        texts.append(text)
-        held += 4 * len(text or "")
-        if held >= BLOCK_BYTES:
-            yield Index(ids, texts)
-            ids, texts, held = [], [], 0
-    if ids:
-        yield Index(ids, texts)
+def _key(text: F.Column) -> F.Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
+
+
+_KEY = "struct<a:bigint,b:bigint>"
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """items (item, text) to (item, seed, places, words): how often each seed stands in each item, and its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                offsets, tokens = word_tokens(texts)
+                found = [np.unique(rolling(tokens[a:b]), return_counts=True) for a, b in zip(offsets, offsets[1:], strict=False)]
+                row = np.repeat(np.arange(len(found)), [len(s) for s, _ in found])
+                seeds, places = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(seeds.view(np.int64)), pa.array(places.astype(np.int64)), pa.array(np.diff(offsets)[row])], names=["item", "seed", "places", "words"])
+
+    return items.select("item", "text").mapInArrow(run, f"item {_KEY}, seed long, places long, words long")
+
+
+def _filter(seeds: DataFrame) -> np.ndarray:
+    """A bit for each of the first FILTER_BITS bits of a seed; a row for each 64 of them reaches the driver at most."""
+    bits = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
+    rows = seeds.select(F.shiftrightunsigned(bits, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out
+
+
+def _doc_seeds(docs: DataFrame, filtered: np.ndarray) -> DataFrame:
+    """docs (doc, text) to (doc, seed): each text's distinct seeds that pass the filter."""
+    shared = docs.sparkSession.sparkContext.broadcast(filtered)  # 8 MB, whatever the benchmark
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.view(np.uint64)
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                offsets, tokens = word_tokens(texts)
+                seeds = rolling(tokens)
+                bit = seeds >> np.uint64(64 - FILTER_BITS)
+                at = np.flatnonzero((words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1))
+                row = np.searchsorted(offsets, at, side="right") - 1
+                inside = at + SEED_WORDS <= offsets[row + 1]
+                at, row = at[inside], row[inside]
+                order = np.lexsort((seeds[at], row))
+                at, row = at[order], row[order]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (seeds[at[1:]] != seeds[at[:-1]])
+                if new.any():
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[new])), pa.array(seeds[at[new]].view(np.int64))], names=["doc", "seed"])
+
+    return docs.select("doc", "text").mapInArrow(run, f"doc {_KEY}, seed long")
+
+
+def _tiled(pairs: DataFrame) -> DataFrame:
+    """pairs (doc, item, text, item_text) to (doc, item, share): the part of the item's words that tiles cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = []
+            for n in range(batch.num_rows):  # a pair at a time, as its texts may be long
+                part = batch.slice(n, 1)
+                offsets, tokens = word_tokens(pa.concat_arrays([part.column(3).cast(pa.large_string()), part.column(2).cast(pa.large_string())]))
+                item, text = tokens[: offsets[1]], tokens[offsets[1] :]
+                share.append(sum(length for *_, length in greedy_tiles(item, text)) / max(1, len(item)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share, pa.float64())], names=["doc", "item", "share"])
+
+    return pairs.select("doc", "item", "text", "item_text").mapInArrow(run, f"doc {_KEY}, item {_KEY}, share double")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """docs (doc, text) and benchmark (id, text) to (doc, leaked, best, share): a row for each distinct text that leaks an item."""
+    # items with the same text are tiled once
+    items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("n"), F.min("id").alias("best")).withColumn("item", _key(F.col("text")))
+    items = materialised(items, "items")
+    seeds = materialised(_seeds(items), "item-seeds")
+    # repeated texts meet before the join; a seed that many texts have is split by the join's skew handling, as nothing above needs it whole
+    found = _doc_seeds(docs, _filter(seeds)).distinct().join(seeds, "seed").groupBy("doc", "item").agg(F.sum("places").alias("places"), F.max("words").alias("words"))
+    # tiles lie within seeds, so what seeds cover bounds what tiles can
+    pairs = materialised(found.where(F.col("places") * SEED_WORDS >= F.col("words") * coverage).select("doc", "item"), "pairs")
+    texts = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
+    tiled = _tiled(pairs.join(texts, "doc").join(items.select("item", F.col("text").alias("item_text")), "item")).where(F.col("share") >= coverage)
+    rank = F.struct(-F.col("share"), F.col("best").isNull().alias("unnamed"), "best")
+    flags = tiled.join(items.select("item", "n", "best"), "item").groupBy("doc").agg(F.sum("n").alias("leaked"), F.min(rank).alias("first"), F.max("share").alias("share"))
+    return flags.select("doc", "leaked", F.col("first.best").alias("best"), "share")
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", coverage: float = COVERAGE, item_id: str = "item_id", item_text: str = "text", prefix: str = "") -> DataFrame:
@@ -165,27 +226,14 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", co
     """
     names = [prefix + n for n in ("leaked_items", "best_item", "coverage")]
     docs = docs.drop(*names)
-    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("long").alias(names[1]), F.lit(0.0).alias(names[2]))
-    for index in _blocks(benchmark, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for part, texts in text_slices(batch, text_column):
-                    offsets, tokens = word_tokens(texts)
-                    count, best, share = (part.column(part.schema.get_field_index(n)).to_pylist() for n in names)
-                    for row, item, covered in index.matches(offsets, tokens, coverage):
-                        key = index.ids[item]
-                        rank = lambda s, k: (-s, k is None, k or 0)
-                        if not count[row] or rank(covered, key) < rank(share[row], best[row]):
-                            best[row], share[row] = key, covered
-                        count[row] += 1
-                    columns = part.columns[: part.num_columns - 3] + [pa.array(count, pa.int64()), pa.array(best, pa.int64()), pa.array(share, pa.float64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    found = materialised(leaks(docs.select(_key(text).alias("doc"), text.alias("text")), benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")), coverage), "leaks")
+    # of each leaking text a row for each salt: copies of a text spread over as many tasks where this is no broadcast
+    found = found.select("doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "leaked", "best", "share").toDF(*[f"__quern_{c}" for c in ("doc", "salt", "leaked", "best", "share")])
+    salted = docs.withColumn("__quern_text", _key(text)).withColumn("__quern_part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    out = salted.join(found, (F.col("__quern_text") == F.col("__quern_doc")) & (F.col("__quern_part") == F.col("__quern_salt")), "left")
+    zero = F.coalesce("__quern_share", F.lit(0.0))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__quern_leaked", F.lit(0)).cast("long").alias(names[0]), F.col("__quern_best").alias(names[1]), zero.alias(names[2]))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", coverage: float = COVERAGE) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,11 +54,49 @@ def test_whole_reordered_and_recased_passages_are_found(spark):
     assert flags(spark, texts, [ITEM, "short item", None, ITEM]) == {0: (2, 0), 1: (2, 0), 2: (0, None), 3: (0, None), 4: (0, None), 5: (0, None), 6: (2, 0)}
 
 
-def test_the_benchmark_may_come_in_many_blocks(spark, monkeypatch):
-    texts, items = [ITEM, "nothing"], [ITEM, ITEM, "x " * 40, ITEM]
-    whole = flags(spark, texts, items)
-    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
-    assert flags(spark, texts, items) == whole == {0: (3, 0), 1: (0, None)}
+def test_items_that_repeat_count_each_and_are_tiled_once(spark):
+    texts, items = [ITEM, "nothing", ITEM], [ITEM, ITEM, "x " * 40, ITEM]
+    assert flags(spark, texts, items) == {0: (3, 0), 1: (0, None), 2: (3, 0)}
+
+
+def test_memory_stays_linear_in_repetitive_texts():
+    import tracemalloc
+
+    item, text = np.ones(1000, np.uint64), np.ones(200_000, np.uint64)
+    tracemalloc.start()
+    assert D.greedy_tiles(item, text) == [(0, 0, 1000)]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_repetitive_texts_are_flagged(spark):
+    assert flags(spark, ["same " * 20_000, "same other " * 50], ["same " * 1000, "same other " * 30]) == {0: (1, 0), 1: (1, 1)}
+
+
+def brute(texts, items, coverage):
+    words = lambda t: D.word_tokens(pa.array([t or ""], pa.large_string()))[1]
+    out = {}
+    for n, text in enumerate(texts):
+        shares = [(sum(k for *_, k in plain_tiling(i.tolist(), words(text).tolist(), D.SEED_WORDS)) / max(1, len(i)), m) for m, i in enumerate(map(words, items))]
+        hits = [(-s, m) for s, m in shares if s >= coverage and s > 0]
+        out[n] = (len(hits), min(hits)[1] if hits else None)
+    return out
+
+
+def test_flags_are_those_of_brute_force(spark):
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [" ".join(r.choices(vocabulary, k=r.randint(5, 30))) for _ in range(8)]
+    texts = []
+    for _ in range(40):
+        parts = [" ".join(r.choices(vocabulary, k=r.randint(0, 10)))]
+        for _ in range(r.randint(0, 2)):
+            item = r.choice(items).split()
+            a = r.randint(0, len(item) - 1)
+            parts += [" ".join(item[a : a + r.randint(1, 30)]), " ".join(r.choices(vocabulary, k=4))]
+        r.shuffle(parts)
+        texts.append(" ".join(parts))
+    assert flags(spark, texts, items) == brute(texts, items, D.COVERAGE)
 
 
 def test_edge_rows(spark, edges, empty):
