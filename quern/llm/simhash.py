@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._shared import materialised, split_words, string_parts, text_slices
-from quern.llm.graph import components
+from quern.llm.graph import SALTS, components
 
 #: Words of a shingle, differing bits of a link, seed of a shingle's hash.
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -125,16 +125,18 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
     """fps (fp long, distinct) to (u, v): links that join all fingerprints within the radius, directly or over others."""
     counts = [F.expr(f"bit_count(shiftrightunsigned(fp, {16 * k}) & 65535L)").cast("int") for k in range(4)]
     keyed = fps.select("fp", F.struct(*[c.alias(f"s{k}") for k, c in enumerate(counts)]).alias("tile"))
-    # 17^4 tiles at most, so the counts have a size bound of 2 MB and may be broadcast
+    # 17^4 tiles at most, so the counts have a size bound of 2 MB and may be broadcast; their parts are one for TILE_ROWS fingerprints more
     sizes = materialised(keyed.groupBy("tile").agg(F.count("*").alias("n")), "tiles")
     parts = F.ceil(F.col("n") / tile_rows)
     blocks = keyed.join(F.broadcast(sizes), "tile").groupBy("tile", F.pmod(F.xxhash64("fp", F.lit(7)), parts).alias("part")).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     blocks = materialised(blocks, "blocks")
     near = F.array(*[F.struct(*[(F.col("tile")[f"s{k}"] + F.lit(x)).alias(f"s{k}") for k, x in enumerate(d)]) for d in _offsets(radius)])
-    left = blocks.select("tile", F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(near).alias("other"))
-    left = left.join(F.broadcast(sizes.select(F.col("tile").alias("other"))), "other", "left_semi")
+    # each pair of parts has a key of its own on the right, so that no two of them must meet in one task
+    other = sizes.select(F.col("tile").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part_b"))
+    left = blocks.select("tile", F.col("part").alias("part_a"), F.col("fps").alias("a"), F.explode(near).alias("other")).join(F.broadcast(other), "other")
+    left = left.where("tile <> other OR part_a <= part_b")
     right = blocks.select(F.col("tile").alias("other"), F.col("part").alias("part_b"), F.col("fps").alias("b"))
-    pairs = left.join(right, "other").where("tile <> other OR part_a <= part_b").select("a", "b")
+    pairs = left.join(right, ["other", "part_b"]).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,26 +152,34 @@ def links(fps: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> D
     return pairs.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp long, component_id): a row for each row of docs.
-
-    component_id is the smallest doc_id that can be reached over links of `radius` differing bits or fewer. Null ids keep their
-    rows; a component of such alone has a null id. Repeated rows and ids give a row each. An empty table gives no rows.
-    """
+def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
+    """near_duplicates() with root long, the fingerprint that stands for the component, whatever ids its rows have."""
     each = materialised(fingerprints(docs, id_column, text_column), "fingerprints")
     fps = materialised(each.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")), "distinct")
     roots = components(links(fps.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
     linked = fps.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("lead").alias("component_id"))
     # a fingerprint of one row without links needs no lookup
-    known = linked.join(least, "root").select("fp", "component_id").union(fps.where("n > 1").join(roots, "fp", "left_anti").select("fp", F.col("lead").alias("component_id")))
-    known = known.withColumn("known", F.lit(True))
-    return each.join(known, "fp", "left").select("doc_id", "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = linked.join(least, "root").select("fp", "root", "component_id").union(fps.where("n > 1").join(roots, "fp", "left_anti").select("fp", "fp", F.col("lead").alias("component_id")))
+    # of each known fingerprint a row for each part: rows of a frequent one spread over as many tasks
+    known = known.select("fp", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    dealt = each.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    found = F.col("root").isNotNull()
+    return dealt.join(known, ["fp", "part"], "left").select("doc_id", "fp", F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp long, component_id): a row for each row of docs.
+
+    component_id is the smallest doc_id that can be reached over links of `radius` differing bits or fewer. Null ids keep their
+    rows; a component of such alone has a null id. Repeated rows and ids give a row each. An empty table gives no rows.
+    """
+    return grouped(docs, id_column, text_column, radius).drop("root")
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with the row of the smallest id of each group of near-duplicates. Of rows that repeat that id in the group one stays; rows without an id stay."""
-    found = materialised(near_duplicates(docs, id_column, text_column, radius).where("doc_id IS NOT NULL"), "near-duplicates")
+    found = materialised(grouped(docs, id_column, text_column, radius).where("doc_id IS NOT NULL"), "near-duplicates")
     repeated = materialised(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__quern_id")), "repeated")
     key = F.col(id_column).cast("long")
     # ids that go are fewer than those that stay: one join moves the texts, or none if they can be broadcast
@@ -186,6 +196,7 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_fingerprints(texts).view(np.int64))], names=[*part.schema.names, "__quern_fp"])
 
     same = same.mapInArrow(with_fingerprint, same.select("*", F.lit(0).cast("long").alias("__quern_fp")).schema)
-    leads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__quern_id"), F.col("fp").alias("__quern_lead")).distinct()
-    again = same.join(leads, (key == F.col("__quern_id")) & (F.col("__quern_fp") == F.col("__quern_lead")), "left_semi").drop("__quern_fp").dropDuplicates([id_column])
+    leads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__quern_id"), F.col("fp").alias("__quern_lead"), F.col("root").alias("__quern_root")).distinct()
+    again = same.join(leads, (key == F.col("__quern_id")) & (F.col("__quern_fp") == F.col("__quern_lead"))).dropDuplicates([id_column, "__quern_root"])
+    again = again.select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(again)

@@ -2,8 +2,10 @@
 
 Each host has a tree of path segments. Segments with numbers become typed wildcards; where a node has many children that are
 each rare, those become one wildcard; siblings whose shares of bad labels do not differ significantly are merged;
-those without labels show no likeness and stay. A template
-is rejected when its share of bad labels, smoothed towards that of all hosts, is high. Everything is counted on
+those without labels show no likeness and stay. Labels are the verdicts of rules, on whichever pages they fit, so that they
+differ within a host. A template is rejected when its share of bad labels, smoothed, is high: it is drawn towards that of its
+shapes on hosts of the same registered domain, this towards that of its shapes on all hosts, and this towards that of all
+labelled pages, so that a template without labels of its own is judged by those like it. Everything is counted on
 distinct templates, so that a host with a third of all pages is summed up before it is shuffled.
 """
 
@@ -31,11 +33,9 @@ class Rule:
 
 
 RULES = (Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
-#: Words of host names that mark a page as bad where no rule does: weak labels.
-BAD_WORDS = ("pills", "casino", "adult", "spam", "free-bets", "ads-track")
 #: Segments of a template (what follows them is one more); children from which rare ones are a wildcard, and the share that is rare.
 DEPTH, CHILDREN, RARE = 4, 16, 0.02
-#: Strength of all hosts' share in a template's, standard errors that differ, and the share that is rejected.
+#: Labels that a share counts as where it smooths another, standard errors that differ, and the share that is rejected.
 STRENGTH, ERRORS, REJECTED = 8.0, 1.96, 0.6
 NUMBER, CODE = "{n}", "{x}"
 
@@ -68,10 +68,15 @@ def segments(path: Column) -> Column:
     return F.transform(parts, typed)
 
 
-def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRORS, across_hosts: bool = False) -> DataFrame:
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host; the whole of a shorter one."""
+    return F.substring_index(host, ".", -2)
+
+
+def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRORS) -> DataFrame:
     """pages (host, shape array, bad: 1, 0 or null for no label) to (host, shape, template, purity): a row for each distinct host and shape.
 
-    across_hosts: a template without labels has the share of bad labels of all hosts' pages of its shapes, smoothed alike.
+    purity is the smoothed share of bad labels. Without any label it is 0.
     """
     known = pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     known = known.withColumn("template", F.lit(""))
@@ -103,37 +108,34 @@ def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRO
         merged = materialised(merged, f"branches-{depth}")
     branch = merged.groupBy("host", "branch").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     every = branch.agg(F.sum("l").alias("all_l"), F.sum("b").alias("all_b"))  # one row
+    # a branch's shapes, on this host's domain and on all hosts; whole numbers alone are summed
+    counted = known.select("host", "shape", "template", domain_of(F.col("host")).alias("domain"), "labelled", "bad")
+    sums = lambda prefix, *by: counted.groupBy(*by).agg(F.sum("labelled").alias(f"{prefix}_l"), F.sum("bad").alias(f"{prefix}_b"))
+    like = counted.join(merged.select("host", "template", "branch"), ["host", "template"]).join(sums("domain", "domain", "shape"), ["domain", "shape"]).join(sums("shape", "shape"), "shape")
+    like = like.groupBy("host", "branch").agg(*[F.sum(f"{p}_{k}").alias(f"{p}_{k}") for p in ("domain", "shape") for k in ("l", "b")])
+    share = lambda b, l, towards: (F.col(b) + strength * towards) / (F.col(l) + strength)  # noqa: E731, E741
     prior = F.col("all_b") / F.greatest(F.col("all_l"), F.lit(1))
-    pure = branch.join(F.broadcast(every)).select("host", "branch", F.when(F.col("l") > 0, (F.col("b") + strength * prior) / (F.col("l") + strength)).alias("purity"))
-    found = merged.join(pure, ["host", "branch"]).select("host", "template", "branch", "purity")
-    if across_hosts:
-        # shapes are summed up over hosts, then over a branch's shapes
-        shapes = known.groupBy("shape").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        bare = found.where("purity IS NULL").select("host", "template", "branch")
-        like = known.select("host", "template", "shape").join(bare, ["host", "template"]).join(shapes, "shape").groupBy("host", "branch").agg(F.sum("l").alias("l"), F.sum("b").alias("b"))
-        like = like.join(F.broadcast(every)).select("host", "branch", ((F.col("b") + strength * prior) / (F.col("l") + strength)).alias("like"))
-        found = found.join(like, ["host", "branch"], "left").select("host", "template", "branch", F.coalesce("purity", "like").alias("purity"))
-    return known.join(found, ["host", "template"]).select("host", "shape", F.col("branch").alias("template"), "purity")
-
-
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, bad_words: tuple[str, ...] = BAD_WORDS, rejected: float = REJECTED, id_column: str = "page_id", url_column: str = "url", across_hosts: bool = False) -> DataFrame:
+    purity = share("b", "l", share("domain_b", "domain_l", share("shape_b", "shape_l", prior)))
+    pure = branch.join(like, ["host", "branch"]).join(F.broadcast(every)).select("host", "branch", purity.alias("purity"))
+    return known.join(merged.select("host", "template", "branch"), ["host", "template"]).join(pure, ["host", "branch"]).select("host", "shape", F.col("branch").alias("template"), "purity")
+
+
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelling: tuple[Rule, ...] = (), rejected: float = REJECTED, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity): a row for each row of pages; other columns are ignored.
 
     rule is the longest that fits, by host and path together; its verdict holds. Other pages are judged by their template:
-    block from a purity of `rejected` on, else allow; a template without labels has no purity, or with across_hosts that of its shapes on all hosts. Labels are the rules' verdicts and, without a rule, 1 for hosts with one
-    of bad_words. Null urls and those without :// have an empty host and path and are judged together. Repeated rows and null
-    ids give rows of their own; an empty table gives none.
+    block from a purity of `rejected` on, else allow. Labels are the verdicts of the rules, and of labelling, which are
+    rules that label pages without judging them, where no other fits. Null urls and those without :// have an empty host and path and
+    are judged together. Repeated rows and null ids give rows of their own; an empty table gives none.
     """
     url = F.col(url_column).cast("string")
     each = pages.select(F.col(id_column).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     each = each.withColumn("place", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", segments(F.col("path")))
     each = materialised(each, "urls")
     verdicts, names = (F.array(*[F.lit(getattr(r, k)) for r in rules]) for k in ("verdict", "name"))
-    weak = F.lit(False)
-    for word in bad_words:
-        weak = weak | F.col("host").contains(word)
-    bad = F.when(F.col("place").isNotNull(), F.when(F.get(verdicts, F.col("place")) == "block", 1).otherwise(0)).when(weak, 1)
-    found = templates(each.select("host", "shape", bad.alias("bad")), across_hosts=across_hosts)
+    marks = F.array(*[F.lit(int(r.verdict == "block")) for r in (*rules, *labelling)])
+    bad = F.get(marks, F.coalesce("place", ruled(F.col("host"), F.col("path"), labelling) + len(rules)))
+    found = templates(each.select("host", "shape", bad.alias("bad")))
     # a row for each host and shape of wildcards: few, and joined by whichever way their measured size allows
     by_tree = F.when(F.col("purity") >= rejected, "block").otherwise("allow")
     out = each.join(found, ["host", "shape"], "left")
@@ -146,13 +148,12 @@ def oracle_sql() -> str:
     ordered = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i].name), i))
     place = "CASE " + " ".join(f"WHEN (host = {quoted(RULES[i].host)} OR ends_with(host, {quoted('.' + RULES[i].host)})) AND starts_with(path, {quoted(RULES[i].path)}) THEN {i}" for i in ordered) + " END"
     verdicts, names = ("[" + ", ".join(quoted(getattr(r, k)) for r in RULES) + "]" for k in ("verdict", "name"))
-    weak = " OR ".join(f"contains(host, {quoted(w)})" for w in BAD_WORDS)
     typed = f"CASE WHEN regexp_full_match(s, '[0-9A-Za-z_-]{{16,}}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') THEN '{CODE}' ELSE regexp_replace(s, '[0-9]+', '{NUMBER}', 'g') END"
     ctes = [
         f"""u AS (SELECT *, {place} AS place, list_transform(CASE WHEN len(parts) <= {DEPTH + 1} THEN parts ELSE list_append(parts[1:{DEPTH}], array_to_string(parts[{DEPTH + 1}:], '/')) END, lambda s: {typed}) AS shape FROM (
             SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM (
                 SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)))""",
-        f"k0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template FROM (SELECT host, shape, CASE WHEN place IS NOT NULL THEN CASE WHEN {verdicts}[place + 1] = 'block' THEN 1 ELSE 0 END WHEN {weak} THEN 1 END AS bad FROM u) GROUP BY host, shape)",
+        f"k0 AS (SELECT host, shape, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad, '' AS template FROM (SELECT host, shape, CASE WHEN place IS NOT NULL THEN CASE WHEN {verdicts}[place + 1] = 'block' THEN 1 ELSE 0 END END AS bad FROM u) GROUP BY host, shape)",
     ]
     for d in range(DEPTH + 1):
         ctes += [
@@ -174,7 +175,12 @@ def oracle_sql() -> str:
     last = f"m{DEPTH + 1}"
     ctes += [
         f"z AS (SELECT host, branch, sum(labelled) AS l, sum(bad) AS b FROM {last} GROUP BY ALL)",
-        f"p AS (SELECT host, branch, CASE WHEN l > 0 THEN (b + {STRENGTH}::DOUBLE * prior) / (l + {STRENGTH}::DOUBLE) END AS purity FROM z, (SELECT sum(b) / greatest(sum(l), 1) AS prior FROM z))",
+        f"e AS (SELECT shape, sum(labelled) AS l, sum(bad) AS b FROM k{DEPTH + 1} GROUP BY shape)",
+        f"q AS (SELECT *, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain FROM k{DEPTH + 1})",
+        "d AS (SELECT domain, shape, sum(labelled) AS l, sum(bad) AS b FROM q GROUP BY ALL)",
+        f"y AS (SELECT q.host, m.branch, sum(d.l) AS dl, sum(d.b) AS db, sum(e.l) AS el, sum(e.b) AS eb FROM q JOIN {last} m ON q.host = m.host AND q.template = m.template JOIN d ON q.domain = d.domain AND q.shape = d.shape JOIN e ON q.shape = e.shape GROUP BY ALL)",
+        f"""p AS (SELECT z.host, z.branch, (b + {STRENGTH}::DOUBLE * ((db + {STRENGTH}::DOUBLE * ((eb + {STRENGTH}::DOUBLE * prior) / (el + {STRENGTH}::DOUBLE))) / (dl + {STRENGTH}::DOUBLE))) / (l + {STRENGTH}::DOUBLE) AS purity
+            FROM z JOIN y ON z.host = y.host AND z.branch = y.branch, (SELECT sum(b) / greatest(sum(l), 1) AS prior FROM z))""",
         f"t AS (SELECT k.host, k.shape, m.branch AS template, purity FROM k{DEPTH + 1} k JOIN {last} m ON k.host = m.host AND k.template = m.template JOIN p ON m.host = p.host AND m.branch = p.branch)",
     ]
     return f"""WITH {", ".join(ctes)}

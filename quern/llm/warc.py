@@ -2,6 +2,8 @@
 
 Records are grouped into independent frames. A skippable frame after them maps each record to its frame and the offset in
 the decompressed frame, and the seek table of the Zstandard seekable format ends the file, so that one record costs one frame.
+A bundle starts with a warcinfo record. A response's block is an HTTP response with the payload as its body; a revisit names
+the record it refers to by identifier and address, as the standard has it.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ SKIPPABLE, SEEKABLE, INDEX = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
 FRAME_BYTES, FILE_BYTES = 1 << 20, 256 << 20
 #: Payloads of fewer bytes are never stored as revisits.
 REVISIT_BYTES = 100
+#: Parts by which repeated payloads are spread in a join.
+SALTS = 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -107,40 +111,64 @@ class BundleReader:
         self.file.close()
 
 
-def build_record(kind: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, page_id: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its payload's length and digest are in the head."""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head.append(f"WARC-Payload-Digest: sha256:{digest}")
-    head.append(f"X-Payload-Length: {len(payload)}")
+def page_record_id(page_id: int | None, digest: str, *more: object) -> str:
+    """A record's identifier: the same wherever it is asked for. more tells records apart that repeat a page and its payload."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, (page_id, digest, *more))))}"
+
+
+def _one_line(value: str) -> str:
+    return value.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _record(kind: str, record_id: str, fields: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def build_info(name: str) -> bytes:
+    """The record that starts a bundle."""
+    return _record("warcinfo", page_record_id(None, name), [f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def build_record(kind: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, page_id: int | None, refers_url: str | None = None) -> bytes:
+    """One WARC/1.1 record. A revisit's block is the HTTP head alone; its payload's length and digest are in the record's head."""
+    head = [] if url is None else ["WARC-Target-URI: " + _one_line(url)]
+    head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if kind == "revisit":
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {refers_to}"]
-        payload = b""
-    head += ["Content-Type: text/html", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{page_record_id(refers_to, digest)}>", f"X-Refers-To-Page: {refers_to}"]
+        head += [] if refers_url is None else ["WARC-Refers-To-Target-URI: " + _one_line(refers_url)]
+    else:
+        block += payload
+    return _record(kind, record_id, [*head, "Content-Type: application/http; msgtype=response"], block)
 
 
 def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
-    """The named fields (names in lower case) and the block."""
+    """The named fields (names in lower case) and the payload: the block, without the head of an HTTP response."""
     head, _, rest = record.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if version != "WARC/1.1":
         raise ValueError(f"not a record: {version[:40]!r}")
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    return fields, rest[: int(fields["content-length"])]
+    block = rest[: int(fields["content-length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["content-type"].startswith("application/http") else block
 
 
 def classified(pages: DataFrame, id_column: str, url_column: str, html_column: str) -> DataFrame:
-    """(page_id, url, html, digest, record_type, refers_to) of each row; see write_archives."""
+    """(page_id, url, html, digest, record_type, refers_to, refers_url) of each row; see write_archives."""
     each = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
     each = each.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    # only digests that repeat are joined; a digest's rows meet as one partial minimum per task
-    first = each.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 AND first_id IS NOT NULL").select("digest", "first_id")
+    # digests, ids and addresses alone are shuffled; of those that repeat there is a row for each part, so that where they
+    # are too many to be broadcast a payload that a third of the pages have meets its row in as many tasks
+    long = each.where(F.octet_length("html") >= REVISIT_BYTES).select("digest", "page_id", "url")
+    first = long.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    first = materialised(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "repeated")
+    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = each.withColumn("dealt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(first, (F.col("digest") == F.col("of")) & (F.col("dealt") == F.col("part")), "left")
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return each.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
+    return dealt.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -153,19 +181,23 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
     make_folder(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, name, count, files = None, "", 0, []
+        writer, name, count, files, seen = None, "", 0, [], set()
 
         def done() -> None:
             writer.close()
             files.append((name, count, writer.file.size))
 
         for batch in batches:
-            for page_id, url, html, digest, kind, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, url, html, digest, kind, refers_to, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None:
-                    name, count = attempt_name("pages", f"-{len(files):04d}.warc.zst"), 0
+                    name, count, seen = attempt_name("pages", f"-{len(files):04d}.warc.zst"), 0, set()
                     writer = BundleWriter(f"{folder}/{name}")
-                record_id = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest} {name} {count}')}"
-                writer.add(record_id, build_record(kind, record_id, url, html.encode(), digest, refers_to, page_id))
+                    writer.add(page_record_id(None, name), build_info(name))
+                record_id = page_record_id(page_id, digest)
+                if record_id in seen:
+                    record_id = page_record_id(page_id, digest, name, count)
+                seen.add(record_id)
+                writer.add(record_id, build_record(kind, record_id, url, html.encode(), digest, refers_to, page_id, refers_url))
                 count += 1
                 if writer.file.size >= FILE_BYTES:
                     done()
@@ -192,6 +224,8 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
                 reader = BundleReader(f"{folder}/{name}")
                 for record_id, record in reader.records():
                     head, block = parse_record(record)
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     kind, digest, length = head["warc-type"], head["warc-payload-digest"].removeprefix("sha256:"), int(head["x-payload-length"])
                     if kind == "response" and (hashlib.sha256(block).hexdigest() != digest or len(block) != length):
                         raise ValueError(f"{name}: {record_id} is damaged")

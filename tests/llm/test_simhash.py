@@ -90,5 +90,18 @@ def test_edge_rows(edges, empty):
     assert sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(edges).collect()), key=repr) == want
     edges = edges.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("n", F.lit("x"))
     kept = simhash.deduplicated(edges)
-    assert kept.columns == edges.columns and kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 1").count() == 1
+    assert kept.columns == edges.columns and kept.where("doc_id IS NULL").count() == 2 and kept.where("doc_id = 7").count() == 0 and kept.where("doc_id = 1").count() == 2  # two texts that are not alike
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+
+
+def test_an_id_on_two_unrelated_texts_leads_both_groups(spark):
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (1, a)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicated(docs).collect())) == [(1, a), (1, b)]
+
+
+def test_tiles_of_many_parts_lose_no_link(spark):
+    fps = [(1 << (i % 16)) | (1 << (16 + i // 16 % 16)) for i in range(256)]
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long").distinct()
+    found = graph.components(simhash.links(frame, radius=2, tile_rows=20)).collect()
+    assert len(found) == 256 and len({r["root"] for r in found}) == 1

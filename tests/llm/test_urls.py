@@ -30,11 +30,20 @@ def test_hosts_paths_and_rules(spark, url, host, path, rule, verdict):
         assert row["verdict"] == verdict
 
 
-def test_templates_of_bad_hosts_are_blocked(spark):
-    rows = [(i, f"http://casino-win.example.net/en/{i}") for i in range(40)] + [(100 + i, f"http://good.example.net/{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i}x/page-{i}") for i in range(60)]
-    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()
-    assert {r["verdict"] for r in out if r["page_id"] < 100} == {"block"} and {r["verdict"] for r in out if r["page_id"] >= 100} == {"allow"}
-    assert {r["template"] for r in out if r["page_id"] < 100} == {"/en/{n}"}
+def test_templates_of_one_host_are_good_and_bad(spark):
+    """Rules fit a part of a host's pages; those that no rule fits are judged by their template's other pages."""
+    rules = (urls.Rule("block", "shop.example.net", "/win/1"), urls.Rule("allow", "shop.example.net", "/doc/1"))
+    rows = [(i, f"http://shop.example.net/{name}/{n}") for i, (name, n) in enumerate((name, n) for name in ("win", "doc") for n in range(100, 300))]
+    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    free = [r for r in out if r["rule"] is None]
+    assert len(free) == 200 and {(r["path"][:4], r["verdict"]) for r in free} == {("/win", "block"), ("/doc", "allow")}
+    assert {r["template"] for r in free} == {"/win/{n}", "/doc/{n}"}
+
+
+def test_labelling_rules_label_and_judge_nothing(spark):
+    rows = [(i, f"http://a.example.net/{name}/{i}") for i, name in enumerate(["x", "y"] * 40)]
+    out = urls.judged(spark.createDataFrame(rows, "page_id long, url string"), (), (urls.Rule("block", "a.example.net", "/x/"), urls.Rule("allow", "a.example.net", "/y/"))).collect()
+    assert {r["rule"] for r in out} == {None} and {(r["path"][1], r["verdict"]) for r in out} == {("x", "block"), ("y", "allow")}
 
 
 def test_rare_children_become_a_wildcard(spark):
@@ -57,9 +66,16 @@ def test_edge_rows(spark):
     assert urls.judged(pages).where(F.col("verdict").isNull()).count() == 0
 
 
-def test_labels_reach_templates_of_hosts_without_any(spark):
-    rows = [(i, f"http://casino-win.example.net/win/{i}") for i in range(40)] + [(100 + i, f"http://unheard.example.net/win/{i}") for i in range(40)] + [(200 + i, f"http://fine.example.com/fr/{i}") for i in range(40)] + [(300 + i, f"http://unheard.example.net/fr/{i}") for i in range(40)]
-    pages = spark.createDataFrame(rows, "page_id long, url string")
-    blocked = lambda out: {r["page_id"] // 100 for r in out.where("verdict = 'block'").collect()}
-    assert blocked(urls.judged(pages)) == {0} and blocked(urls.judged(pages, across_hosts=True)) == {0, 1}
-    assert urls.judged(pages, across_hosts=True).where("purity IS NULL").count() == 0
+def test_templates_without_labels_go_by_their_domain_then_by_all_hosts(spark):
+    rules = (urls.Rule("block", "a.one.net", "/win/"), urls.Rule("allow", "a.one.net", "/fr/"), urls.Rule("allow", "a.two.net", "/win/"))
+    hosts = ["a.one.net", "b.one.net", "a.two.net", "b.two.net", "c.three.net"]
+    rows = [(100 * h + 50 * p + i, f"http://{host}/{name}/{i}") for h, host in enumerate(hosts) for p, name in enumerate(("win", "fr")) for i in range(50)]
+    found = {(r["host"], r["path"].split("/")[1]): (r["verdict"], r["purity"]) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert found["b.one.net", "win"][0] == "block" and found["b.two.net", "win"][0] == "allow" and found["c.three.net", "fr"][0] == "allow"
+    assert found["b.one.net", "win"][1] > found["c.three.net", "win"][1] > found["b.two.net", "win"][1] > 0
+
+
+def test_most_pages_without_a_rule_are_judged_by_labels(spark):
+    out = urls.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule IS NULL").cache()
+    assert out.where("purity IS NULL").count() == 0 and out.where("verdict = 'block'").count() > 0.05 * out.count()
+    assert out.where("verdict = 'allow'").count() > 0.2 * out.count()

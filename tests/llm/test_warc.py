@@ -34,6 +34,33 @@ def test_heads_and_blocks_part():
     assert block == b"a\r\n\r\nb" and head["warc-target-uri"] == "u"
 
 
+def test_revisits_name_the_record_they_refer_to(spark, tmp_path):
+    """Read with zstandard alone and a reader written here from the standard."""
+    html = "h" * 200
+    pages = spark.createDataFrame([(4, "http://a/\n4", html), (2, "http://a/2", html), (9, None, html), (5, "http://a/5", "short")], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(pages, str(tmp_path)).collect()
+    raw = b""
+    for row in manifest:
+        reader = warc.BundleReader(f"{tmp_path}/{row['file']}")
+        with open(f"{tmp_path}/{row['file']}", "rb") as f:
+            data = f.read()
+        for start, packed, full in reader.frames:
+            raw += zstandard.ZstdDecompressor().decompress(data[start : start + packed], max_output_size=full)
+    records = []
+    while raw:
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        size = int(fields["Content-Length"])
+        assert rest[size : size + 4] == b"\r\n\r\n"
+        records.append((fields, rest[:size]))
+        raw = rest[size + 4 :]
+    by_kind = {k: [r for r in records if r[0]["WARC-Type"] == k] for k in ("warcinfo", "response", "revisit")}
+    assert [len(v) for v in by_kind.values()] == [len(manifest), 2, 2] and len({f["WARC-Record-ID"] for f, _ in records}) == len(records)
+    target = next(f for f, b in by_kind["response"] if b.endswith(html.encode()))
+    assert all(f["WARC-Refers-To"] == target["WARC-Record-ID"] and f["WARC-Refers-To-Target-URI"] == "http://a/2" and b.startswith(b"HTTP/1.1 200") for f, b in by_kind["revisit"])
+    assert sum(r["records"] for r in manifest) == 4
+
+
 def test_edge_rows(spark):
     long, short = "x" * 100, "y" * 99
     rows = [(5, "u", long), (3, "u", long), (3, "u", long), (None, None, long), (1, None, short), (2, "", short), (7, "u", None), (8, "u", ""), (9, "u", "é" * 50), (10, "u", "é" * 50), (None, "u", "z" * 200), (None, "u", "z" * 200), (11, "u", "<p>" * 900_000)]
