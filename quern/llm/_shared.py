@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds as words at a time.
 SLICE_BYTES = 4 << 20
+#: Rows of some dozen bytes that are broadcast, at most, once they are counted; parts by which a frequent key is spread otherwise.
+BROADCAST_ROWS, SALTS = 100_000, 16
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,6 +50,18 @@ def materialised(df: DataFrame, name: str, block_bytes: int | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(left: DataFrame, right: DataFrame, on: list[str], salt: F.Column, how: str = "left", rows: int | None = None) -> DataFrame:
+    """left joined with right, which has a short row for each key of `on`; rows: how many, if known (else they are counted).
+
+    Up to BROADCAST_ROWS are broadcast. Of more, each is there for SALTS parts, into which salt deals left's rows, so that a
+    key that a third of them has meets its row in as many tasks.
+    """
+    if (right.count() if rows is None else rows) <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    parts = right.withColumn("__quern_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return left.withColumn("__quern_salt", F.pmod(salt, F.lit(SALTS))).join(parts, [*on, "__quern_salt"], how).drop("__quern_salt")
+
+
 def open_fs(uri: str):
     """The file system and path of a URI or local path, for use on executors too."""
     from pyarrow import fs

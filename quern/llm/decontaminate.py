@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import materialised, string_parts, text_slices
+from quern.llm._shared import looked_up, materialised, string_parts, text_slices
 
 #: Words of a seed and of the shortest tile; share of an item's words that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Bits of the filter of all items' seeds are 2 to the power of this, 8 MB, however large the benchmark is; parts by which repeated texts are spread in a join.
-FILTER_BITS, SALTS = 26, 16
+#: Bits of the filter of all items' seeds are 2 to the power of this, 8 MB, however large the benchmark is.
+FILTER_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -228,10 +228,8 @@ def flagged(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", co
     docs = docs.drop(*names)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     found = materialised(leaks(docs.select(_key(text).alias("doc"), text.alias("text")), benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")), coverage), "leaks")
-    # of each leaking text a row for each salt: copies of a text spread over as many tasks where this is no broadcast
-    found = found.select("doc", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "leaked", "best", "share").toDF(*[f"__quern_{c}" for c in ("doc", "salt", "leaked", "best", "share")])
-    salted = docs.withColumn("__quern_text", _key(text)).withColumn("__quern_part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    out = salted.join(found, (F.col("__quern_text") == F.col("__quern_doc")) & (F.col("__quern_part") == F.col("__quern_salt")), "left")
+    found = found.toDF(*[f"__quern_{c}" for c in ("text", "leaked", "best", "share")])
+    out = looked_up(docs.withColumn("__quern_text", _key(text)), found, ["__quern_text"], F.spark_partition_id())
     zero = F.coalesce("__quern_share", F.lit(0.0))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("__quern_leaked", F.lit(0)).cast("long").alias(names[0]), F.col("__quern_best").alias(names[1]), zero.alias(names[2]))
 

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import materialised, split_words, string_parts, text_slices
-from quern.llm.graph import SALTS, components
+from quern.llm._shared import looked_up, materialised, split_words, string_parts, text_slices
+from quern.llm.graph import components
 
 #: Words of a shingle, differing bits of a link, seed of a shingle's hash.
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -161,11 +161,11 @@ def grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     least = linked.groupBy("root").agg(F.min("lead").alias("component_id"))
     # a fingerprint of one row without links needs no lookup
     known = linked.join(least, "root").select("fp", "root", "component_id").union(fps.where("n > 1").join(roots, "fp", "left_anti").select("fp", "fp", F.col("lead").alias("component_id")))
-    # of each known fingerprint a row for each part: rows of a frequent one spread over as many tasks
-    known = known.select("fp", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
-    dealt = each.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    known = materialised(known, "known")
     found = F.col("root").isNotNull()
-    return dealt.join(known, ["fp", "part"], "left").select("doc_id", "fp", F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    # a frequent fingerprint, as that of texts without words, is met in many tasks
+    each = looked_up(each, known, ["fp"], F.hash("doc_id"))
+    return each.select("doc_id", "fp", F.when(found, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:

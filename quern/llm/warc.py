@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm._shared import AtomicFile, attempt_name, make_folder, materialised, open_fs, shared_path
+from quern.llm._shared import AtomicFile, attempt_name, looked_up, make_folder, materialised, open_fs, shared_path
 
 #: Numbers of the Zstandard seekable format: a skippable frame, the seek table's end, and the index frame that is ours.
 SKIPPABLE, SEEKABLE, INDEX = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
@@ -26,8 +26,6 @@ SKIPPABLE, SEEKABLE, INDEX = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5C
 FRAME_BYTES, FILE_BYTES = 1 << 20, 256 << 20
 #: Payloads of fewer bytes are never stored as revisits.
 REVISIT_BYTES = 100
-#: Parts by which repeated payloads are spread in a join.
-SALTS = 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -160,13 +158,13 @@ def classified(pages: DataFrame, id_column: str, url_column: str, html_column: s
     """(page_id, url, html, digest, record_type, refers_to, refers_url) of each row; see write_archives."""
     each = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("html"))
     each = each.withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256))
-    # digests, ids and addresses alone are shuffled; of those that repeat there is a row for each part, so that where they
-    # are too many to be broadcast a payload that a third of the pages have meets its row in as many tasks
+    # digests, ids and addresses alone are shuffled
     long = each.where(F.octet_length("html") >= REVISIT_BYTES).select("digest", "page_id", "url")
     first = long.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    first = materialised(first.select(F.col("digest").alias("of"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "repeated")
-    first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = each.withColumn("dealt", F.pmod(F.hash("page_id", "url"), F.lit(SALTS))).join(first, (F.col("digest") == F.col("of")) & (F.col("dealt") == F.col("part")), "left")
+    first = materialised(first.select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "repeated")
+    # long addresses count as rows more
+    weight = first.agg(F.count("*") + F.coalesce(F.sum(F.octet_length("first_url")), F.lit(0)) / 128).first()[0]
+    dealt = looked_up(each, first, ["digest"], F.hash("page_id", "url"), rows=int(weight))
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return dealt.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"))
 
