@@ -52,11 +52,9 @@ def conflicting(inputs: DataFrame, mode: str) -> DataFrame:
     replaced = F.filter("claims", lambda c: (c != F.col("own")) & F.array_contains("there", c))
     heads = known.where(F.size(replaced) == 0).groupBy(*group, "claims").agg(F.min("idx").alias("idx"))
     kind = dict(inputs.dtypes)["idx"]
-    runs = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("idx", "claims"))), F.array().cast(f"array<struct<idx:{kind},claims:array<string>>>"),
-        lambda acc, r: F.when(F.exists(acc, lambda x: F.arrays_overlap(x["claims"], r["claims"])), acc).otherwise(F.array_append(acc, r)),
-    )
-    running = heads.groupBy(*group).agg(runs.alias("running"))
+    free = lambda acc, r: ~F.exists(acc, lambda x: F.arrays_overlap(x["claims"], r["claims"]))
+    runs = F.aggregate("rows", F.array().cast(f"array<struct<idx:{kind},claims:array<string>>>"), lambda acc, r: F.when(free(acc, r), F.array_append(acc, r)).otherwise(acc))
+    running = heads.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("idx", "claims"))).alias("rows")).select(*group, runs.alias("running"))
     taken = lambda c: F.exists("running", lambda x: (x["idx"] < F.col("idx")) & F.array_contains(x["claims"], c))
     # the first claim in order that clashes gives the reason
     clashes = F.transform("claims", lambda c: F.when(taken(c), "claimed").when((c != F.col("own")) & F.array_contains("there", c), "replaces"))
