@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.schemas import LOWEST_VERDICT, VERDICTS
+from quern.schemas import LOWEST_VERDICT, TARGETS, VERDICTS
 
 # The characters that XML cannot hold, and white space at a value's edges.
 NOT_XML = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]"
@@ -50,6 +50,45 @@ def format_quality(method: Column, quality: Column) -> Column:
     return F.when(quality.isNull(), method).when(method == "lossy", F.concat(F.lit("q"), quality.cast("string"))).otherwise(F.concat_ws(" ", method, quality.cast("string")))
 
 
+def counted(count: Column, noun: str) -> Column:
+    """A count with its noun."""
+    return F.concat_ws(" ", count.cast("string"), F.when(count == 1, noun).otherwise(f"{noun}s"))
+
+
+def is_web_url(value: Column) -> Column:
+    """An absolute http or https address with a host."""
+    return F.coalesce(value.rlike("^(?i:https?)://[^/?#\\s]"), F.lit(False))
+
+
+def parsed_target(value: Column) -> Column:
+    """A preset's number, or a number from 0 to 100; null for any other text."""
+    out = F.when(value.rlike("^[0-9]+(\\.[0-9]+)?$"), value.try_cast("double"))
+    for name, number in TARGETS.items():
+        out = F.when(value == name, float(number)).otherwise(out)
+    return F.when(out <= 100, out)
+
+
+def wrapped(text: Column, prefix: str = "  ", width: int = 80) -> Column:
+    """Text with a line's words in `width` characters as far as they fit, the prefix first and its width in blanks on later lines."""
+    blanks = " " * len(prefix)
+    words = F.split(text, " ", -1)
+    fits = lambda acc, w: (acc["line"] == "") | (F.length(acc["line"]) + F.length(w) + 1 + len(prefix) <= width)
+
+    def step(acc, w):
+        joined = F.struct(acc["done"].alias("done"), F.when(acc["line"] == "", w).otherwise(F.concat_ws(" ", acc["line"], w)).alias("line"))
+        broken = F.struct(F.concat(acc["done"], acc["line"], F.lit(f"\n{blanks}")).alias("done"), w.alias("line"))
+        return F.when(fits(acc, w), joined).otherwise(broken)
+
+    start = F.struct(F.lit(prefix).alias("done"), F.get(words, F.lit(0)).alias("line"))
+    return F.aggregate(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), start, step, lambda acc: F.concat(acc["done"], acc["line"]))
+
+
+def painted(text: Column, rate: Column) -> Column:
+    """Text in a terminal's colour for a rating: green, yellow or red."""
+    code = F.when(rate == "good", "32").when(rate == "fair", "33").otherwise("31")
+    return F.concat(F.lit("\x1b["), code, F.lit("m"), text, F.lit("\x1b[39m"))
+
+
 def listed(items: Column) -> Column:
     """Items as "a, b and c"; null for none."""
     n = F.size(items)

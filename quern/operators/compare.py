@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import verdict
+from quern.functions.text import format_bytes, format_percent, half_up, verdict
 from quern.operators.geometry import is_scorable
+from quern.operators.totals import ranked
+from quern.schemas import ROLES
 
 
 def compared(pairs: DataFrame) -> DataFrame:
@@ -22,6 +24,14 @@ def compared(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair", error.alias("error"), score.alias("score"), F.when(score.isNotNull(), verdict(score)).alias("verdict"), saving.alias("saving"))
 
 
+def compare_report(a_bytes: Column, b_bytes: Column, score: Column) -> Column:
+    """A line for the score and its verdict and one for the sizes; what is unknown has none."""
+    saving = 1 - b_bytes / a_bytes
+    change = F.when(saving < 0, F.concat(format_percent(-saving), F.lit(" larger"))).otherwise(F.concat(format_percent(saving), F.lit(" smaller")))
+    scored = F.concat(F.lit("Score  "), F.format_string("%.1f", half_up(score, 1)), F.lit(", "), verdict(score))
+    return F.concat_ws("\n", F.when(score.isNotNull(), scored), F.concat(F.lit("Size   "), format_bytes(a_bytes), F.lit(" -> "), format_bytes(b_bytes), F.lit(", "), change))
+
+
 def resolved(refs: DataFrame, opened: DataFrame) -> DataFrame:
     """refs (idx, ref) with the paths of opened (ref, path); refs that are not open are rows with E_READ."""
     return refs.join(opened, "ref", "left").select("idx", "ref", "path", F.when(F.col("path").isNull(), "E_READ").alias("error"))
@@ -30,15 +40,10 @@ def resolved(refs: DataFrame, opened: DataFrame) -> DataFrame:
 def opened_files(files: DataFrame) -> DataFrame:
     """files (idx, path) with refs file/<n>/<name>, numbered in order of first appearance; a path that repeats keeps its ref.
 
-    n counts up along ranges of idx: a range's count of new paths is added to those of the ranges before it.
+    n is the rank of a path's first idx, whatever the number of files.
     """
-    first = files.groupBy("path").agg(F.min("idx").alias("first"))
-    ranged = first.repartitionByRange("first").select("path", "first", F.spark_partition_id().alias("part"))
-    within = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("first")))
-    counts = ranged.groupBy("part").count()  # a row for each range
-    before = counts.select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = within.join(F.broadcast(before), "part").withColumn("n", F.col("n") + F.col("before"))
-    ref = F.concat_ws("/", F.lit("file"), F.col("n").cast("string"), F.substring_index("path", "/", -1))
+    numbered = ranked(files.groupBy("path").agg(F.min("idx").alias("first")), F.col("first"), F.col("path"))
+    ref = F.concat_ws("/", F.lit("file"), (F.col("rank") + 1).cast("string"), F.substring_index("path", "/", -1))
     return files.join(numbered.select("path", ref.alias("ref")), "path").select("idx", "path", "ref")
 
 
@@ -70,8 +75,8 @@ def recent(used: DataFrame, keep: int = 3) -> DataFrame:
 
 
 def fitted_zoom(width: Column, height: Column, view_width: Column, view_height: Column) -> Column:
-    """The zoom at which an image fits its view, never above one."""
-    return F.least(F.lit(1.0), view_width / width, view_height / height)
+    """The zoom at which an image fits its view, also above one."""
+    return F.least(view_width / width, view_height / height)
 
 
 def clamped_centre(centre: Column, size: Column, view: Column, zoom: Column) -> Column:
@@ -83,3 +88,54 @@ def clamped_centre(centre: Column, size: Column, view: Column, zoom: Column) ->
 def zoomed_about(centre: Column, point: Column, zoom: Column, new_zoom: Column) -> Column:
     """The centre after a zoom that keeps a point of the image where it is on the screen."""
     return point + (centre - point) * zoom / new_zoom
+
+
+def is_comparable(outputs: Column, width: Column, height: Column) -> Column:
+    """Whether a result has outputs and a known size."""
+    return (F.coalesce(F.size(outputs), F.lit(0)) > 0) & width.isNotNull() & height.isNotNull()
+
+
+def in_view_order(outputs: Column) -> Column:
+    """Outputs (structs with role) as a viewer shows them: by the order of ROLES, ties as they were; other roles first."""
+    numbered = F.transform(outputs, lambda x, i: F.struct(F.array_position(F.array(*[F.lit(r) for r in ROLES]), x["role"]).alias("at"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(numbered), lambda x: x["x"])
+
+
+def title(role: Column, kind: Column) -> Column:
+    """An output's name by its format; a fallback is called so."""
+    name = F.when(kind == "webp", "WebP").otherwise(F.upper(kind))
+    return F.when(role == "fallback", F.concat(name, F.lit(" fallback"))).otherwise(name)
+
+
+def pane_notes(panes: DataFrame) -> DataFrame:
+    """panes (file, role, title, bytes, saving) with kept and note: what a suite keeps and why it leaves the others out.
+
+    A pane that is empty (null bytes) or larger than its original is not kept. Each other one is if it is smaller than all
+    before it, the fallback first; its note names the last kept before it. Panes larger than the original have no note.
+    """
+    place = F.when(F.col("role") == "fallback", 0).when(F.col("role") == "webp", 1).otherwise(2)
+    fits = F.col("bytes").isNotNull() & (F.col("saving") >= 0)
+    sized = panes.withColumn("__at", place).withColumn("__bytes", F.when(fits, F.col("bytes")))
+    before = Window.partitionBy("file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min("__bytes").over(before)
+    chained = sized.withColumn("kept", F.coalesce(F.col("__bytes") < least, F.col("__bytes").isNotNull()))
+    last = F.last(F.when(F.col("kept"), F.col("title")), ignorenulls=True).over(before)
+    told = ~F.col("kept") & (F.col("bytes").isNull() | (F.col("saving") >= 0))
+    note = F.when(told, F.concat(F.lit("Not in the suite"), F.coalesce(F.concat(F.lit(": no smaller than the "), last), F.lit(""))))
+    return chained.withColumn("note", note).drop("__at", "__bytes")
+
+
+def refused(output_bytes: Column, input_bytes: Column) -> Column:
+    """The error of an output that may not be saved, as it is larger than its original; null if it may."""
+    return F.when(output_bytes > input_bytes, "E_LARGER_THAN_ORIGINAL")
+
+
+def requests_made(requests: DataFrame) -> DataFrame:
+    """requests (key, ts, seq, ok) with made: a key is asked for again only while all its requests before have failed."""
+    earlier = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    return requests.withColumn("made", F.count_if("ok").over(earlier) == 0)
+
+
+def spare_attempts(scorers: Column, searches: Column, backgrounds: Column) -> Column:
+    """How many attempts each search may make ahead of need: scorers left once all needed pairs have one, split evenly."""
+    return F.greatest(F.lit(0).cast("long"), F.floor(scorers / (searches * backgrounds)) - 1)

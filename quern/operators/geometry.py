@@ -23,6 +23,11 @@ def is_downscaled(width: Column, height: Column) -> Column:
     return width.cast("long") * height > MOST_SCORED_PIXELS
 
 
+def source_warning(width: Column, height: Column) -> Column:
+    """The code that tells how a source's candidates are scored, if not at full size."""
+    return F.when(~is_scorable(width, height), "W_TOO_SMALL_TO_SCORE").when(is_downscaled(width, height), "W_SCORED_DOWNSCALED")
+
+
 def fitted_height(width: Column, height: Column, cap: Column) -> Column:
     """The height at a width of at most cap, rounded half up, one at least."""
     return F.when(width <= cap, height).otherwise(F.greatest(F.lit(1), F.floor(height * cap / width + 0.5))).cast("long")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.functions.text import format_bytes, format_percent
+from quern.shared import written
 
 
 def run_totals(files: DataFrame) -> DataFrame:
@@ -43,6 +43,12 @@ def warnings_by_code(files: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with rank, from 0 on in the order: ranges are sorted apart, and what they hold is counted for their offsets."""
-    schema = StructType([*rows.schema.fields, StructField("rank", LongType(), False)])
-    return rows.sparkSession.createDataFrame(rows.orderBy(*order).rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    """rows with rank, from 0 on in the order: ranges are written, numbered apart, and moved by the counts of those before.
+
+    Written, as a second reading of the same plan could draw other bounds. Rows that tie share a range, in any order.
+    """
+    ranges = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranges.withColumn("rank", within).join(F.broadcast(offsets), "__range").withColumn("rank", F.col("rank") + F.col("__before")).drop("__range", "__before")

@@ -690,3 +690,5 @@ def shards_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 assert set(RIGHTS_FIELDS) == set(rights.PREFIX)
+
+from quern.plans import sessions  # noqa: E402, F401 (adds its queries)

@@ -190,7 +190,7 @@ def optimise(files: DataFrame, settings: Settings, codecs: Sequence[Codec] = (Pn
     raster, warned = F.col("format") != "svg", F.array_compact
     lines = warned(F.array(
         F.when(raster & ~is_scorable(F.col("width"), F.col("height")), _warning("W_TOO_SMALL_TO_SCORE", "the image is too small to be scored, so only lossless outputs were tried")),
-        F.when(raster & is_downscaled(F.col("width"), F.col("height")), _warning("W_SCORED_DOWNSCALED", "the image was scored at a smaller size")),
+        F.when(raster & is_scorable(F.col("width"), F.col("height")) & is_downscaled(F.col("width"), F.col("height")), _warning("W_SCORED_DOWNSCALED", "the image was scored at a smaller size")),
         F.when(~raster & F.lit(settings.mode != "same"), _warning("W_SVG_SAME_ONLY", "an SVG stays an SVG")),
         F.when(raster & F.lit(settings.mode not in ("same", "suite")) & (F.col("chosen_format") != settings.mode), _warning("W_NOT_CONVERTED", "nothing in the format asked for was smaller than the input")),
         F.when(raster & (F.col("least_score") < settings.target), _warning("W_TARGET_NOT_REACHED", F.concat(F.lit("the best score is "), F.format_string("%.1f", "least_score")))),

@@ -51,6 +51,17 @@ def debounced(events: DataFrame, gap: str) -> DataFrame:
     return numbered.groupBy("user", "session").agg(F.count("*").alias("events"), F.max_by("value", F.struct(*_ORDER)).alias("value"))
 
 
+def image_states(events: DataFrame) -> DataFrame:
+    """What reduce_states() has after all events, as a batch: (user, state, version). Without a file event a key is queued; a
+    change of settings after the last one queues a finished file again."""
+    is_file = F.col("type") != "settings"
+    last = F.max_by("type", F.when(is_file, F.struct(*_ORDER)))
+    file_at, changed_at = F.max(F.when(is_file, F.struct(*_ORDER))), F.max(F.when(~is_file, F.struct(*_ORDER)))
+    sums = events.groupBy("user").agg(last.alias("last"), file_at.alias("file_at"), changed_at.alias("changed_at"), F.count_if(~is_file).alias("version"))
+    again = F.col("last").isNull() | ((F.col("last") == "file-done") & (F.col("changed_at") > F.col("file_at")))
+    return sums.select("user", F.when(again, "queued").otherwise(F.col("last")).alias("state"), "version")
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """Event files of a folder as a stream, with a time that watermarks accept."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
