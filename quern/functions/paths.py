@@ -31,10 +31,10 @@ def format_of_extension(path: Column) -> Column:
 def comparable(path: Column, ignore_case: bool = False) -> Column:
     """A path's key: single slashes, no segments of one or two dots, lower case where the file system ignores it. ASCII names need no further normalisation."""
     parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
-    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    walked = F.reduce(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
     root = F.when(path.startswith("/"), "/").otherwise("")
     # few paths have such segments: the others pass without a split
-    path = F.when(path.rlike("//|(^|/)\\.{1,2}(/|$)"), F.concat(root, F.array_join(walked, "/"))).otherwise(path)
+    path = F.when(path.rlike("//|(^|/)\\.{1,2}(/|$)|./$"), F.concat(root, F.array_join(walked, "/"))).otherwise(path)
     return F.lower(path) if ignore_case else path
 
 

@@ -43,12 +43,14 @@ def warnings_by_code(files: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with rank, from 0 on in the order: ranges are written, numbered apart, and moved by the counts of those before.
+    """rows with rank, from 0 on in the order: ranges are sorted and numbered apart, and moved by the counts of those before.
 
-    Written, as a second reading of the same plan could draw other bounds. Rows that tie share a range, in any order.
+    The numbered ranges are written, as a second reading of the same plan could draw other bounds. Ties stand in any order.
     """
-    ranges = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    # an id holds the number of a row's range above its place there
+    ranges = written(rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("__id", 33).alias("__range")
     before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.groupBy("__range").agg(F.count("*").alias("n")).select("__range", before.alias("__before"))  # a row for each range
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return ranges.withColumn("rank", within).join(F.broadcast(offsets), "__range").withColumn("rank", F.col("rank") + F.col("__before")).drop("__range", "__before")
+    offsets = ranges.groupBy(part).agg(F.count("*").alias("n")).select("__range", before.alias("__before"))  # a row for each range
+    placed = ranges.select("*", part, F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("rank")).join(F.broadcast(offsets), "__range")
+    return placed.withColumn("rank", F.col("rank") + F.col("__before")).drop("__range", "__before", "__id")

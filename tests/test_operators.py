@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import paths as P
 from quern.functions import text as X
-from quern.operators import conflicts, ranges, search, select, totals
+from quern.operators import compare, conflicts, ranges, search, select, totals
 from quern.settings import Settings, parse_count, parse_target, parse_url
 
 
@@ -139,3 +139,43 @@ def test_many_names_get_counts_by_rank(spark):
     names = spark.range(20_000).selectExpr("id AS idx", "'d' AS folder", "'a.png' AS name")
     got = {r["idx"]: r["free_name"] for r in conflicts.free_names(names).collect()}
     assert got == {i: f"a ({i}).png" if i else "a.png" for i in range(20_000)}
+
+
+def test_refs_are_numbered_by_first_appearance(spark):
+    files = spark.createDataFrame([(0, "/b/x.png"), (1, "/a/y.png"), (2, "/b/x.png"), (3, "/a/x.png")], "idx long, path string")
+    opened = compare.opened_files(files)
+    assert rows(opened) == [(0, "/b/x.png", "file/1/x.png"), (1, "/a/y.png", "file/2/y.png"), (2, "/b/x.png", "file/1/x.png"), (3, "/a/x.png", "file/3/x.png")]
+    assert rows(compare.opened_files(files.limit(0))) == []
+
+
+def test_parent_segments_stop_at_the_root(spark):
+    paths = ["/a/../../b", "a/./b//c/..", "/a/b/", "/..a/b..", "", None, "/"]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string").select(P.comparable(F.col("p"))).collect()]
+    assert got == ["/b", "a/b", "/a/b", "/..a/b..", "", None, "/"]
+
+
+def test_panes_that_do_not_shrink_are_told_of(spark):
+    panes = spark.createDataFrame(
+        [(1, "fallback", "PNG fallback", 50, 0.5), (1, "webp", "WebP", 50, 0.5), (1, "avif", "AVIF", 40, 0.6), (2, "fallback", "PNG fallback", 120, -0.2), (2, "webp", "WebP", None, None), (2, "avif", "AVIF", 100, 0.0)],
+        "file long, role string, title string, bytes long, saving double",
+    )
+    got = {(r["file"], r["role"]): (r["kept"], r["note"]) for r in compare.pane_notes(panes).collect()}
+    assert got == {(1, "fallback"): (True, None), (1, "webp"): (False, "Not in the suite: no smaller than the PNG fallback"), (1, "avif"): (True, None), (2, "fallback"): (False, None), (2, "webp"): (False, "Not in the suite"), (2, "avif"): (True, None)}
+
+
+def test_failed_requests_are_made_again(spark):
+    asked = spark.createDataFrame([("a", 1, 1, False), ("a", 1, 2, True), ("a", 2, 3, True), ("b", 1, 4, True), ("b", 3, 5, False)], "key string, ts long, seq long, ok boolean")
+    assert rows(compare.requests_made(asked).where("made").select("seq")) == [(1,), (2,), (4,)]
+
+
+def test_outputs_in_view_order(spark):
+    frame = spark.createDataFrame([([("fallback", 1), ("same", 5), ("avif", 2), ("webp", 3), ("avif", 4)],), ([],), (None,)], "o array<struct<role:string,n:int>>")
+    got = [r[0] and [(x["role"], x["n"]) for x in r[0]] for r in frame.select(compare.in_view_order(F.col("o"))).collect()]
+    assert got == [[("same", 5), ("avif", 2), ("avif", 4), ("webp", 3), ("fallback", 1)], [], None]
+
+
+def test_wrapped_lines_fit(spark):
+    texts = ["", "one", "word " * 40 + "end", "x" * 100 + " y", "a  b"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.wrapped(F.col("t"))).collect()]
+    assert got[:2] == ["  ", "  one"] and got[3] == "  " + "x" * 100 + "\n  y"
+    assert all(len(line) <= 80 for line in got[2].split("\n")) and got[2].replace("\n ", "")[2:] == texts[2]
