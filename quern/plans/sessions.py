@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import paths as P
 from quern.functions import text as X
-from quern.operators import compare, geometry
+from quern.operators import compare, conflicts, geometry
 from quern.plans import views as V
 from quern.plans.catalogue import _SIZE, _VERDICT, _query, _with
 from quern.streaming import events as E
@@ -140,6 +140,22 @@ def viewer_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("file", compare.is_comparable(F.col("outputs"), F.col("width"), F.col("height")).alias("comparable"), F.coalesce(roles, F.lit("")).alias("roles"))
 
 
+_KEPT = """, sized AS (SELECT *, list_position(['fallback', 'webp', 'avif'], role) AS place FROM panes WHERE bytes <= input_bytes),
+    kept AS (SELECT file, role, file * 3 + place AS idx, 'img' || file % 50 AS base, CASE role WHEN 'fallback' THEN 'jpg' ELSE role END AS ext FROM sized a WHERE NOT EXISTS (SELECT 1 FROM sized b WHERE b.file = a.file AND b.place < a.place AND b.bytes <= a.bytes))
+    """
+
+
+@_query(_with(V.CANDIDATES_SQL, V.FILES_SQL, _PANES) + _KEPT + "SELECT idx, file, role, base || CASE WHEN no > 0 THEN ' (' || no || ')' ELSE '' END || '.' || ext AS name FROM (SELECT *, row_number() OVER (PARTITION BY base, ext ORDER BY idx) - 1 AS no FROM kept)")
+def saved_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kept outputs of all suites saved into one folder, each under the next free name."""
+    panes = _panes(spark, sf_dir).withColumn("saving", 1 - F.col("bytes") / F.col("input_bytes"))
+    at = F.when(F.col("role") == "fallback", 1).when(F.col("role") == "webp", 2).otherwise(3)
+    ext = F.when(F.col("role") == "fallback", "jpg").otherwise(F.col("role"))
+    name = F.concat(F.lit("img"), (F.col("file") % 50).cast("string"), F.lit("."), ext)
+    kept = compare.pane_notes(panes).where("kept").select((F.col("file") * 3 + at).alias("idx"), "file", "role", F.lit("/saved").alias("folder"), name.alias("name"))
+    return kept.select("idx", "file", "role").join(conflicts.free_names(kept.select("idx", "folder", "name")), "idx").select("idx", "file", "role", F.col("free_name").alias("name"))
+
+
 @_query(_with(V.CANDIDATES_SQL, V.FILES_SQL) + "SELECT file, ord, CASE WHEN bytes > input_bytes THEN 'E_LARGER_THAN_ORIGINAL' END AS error FROM candidates JOIN files USING (file)")
 def refused_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs that may not be saved, as they are larger than their originals."""
