@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -578,6 +579,32 @@ def strip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
+#: What a strip takes from a sample besides the packet and the name in it, by format: heads of the parts, and parts that hold the name or nothing.
+_CUTS = f"""CASE id % 4 WHEN 0 THEN 34 + {_PACKET_BYTES} + n + 20 + n WHEN 1 THEN 33 + {_PACKET_BYTES} + n + 4 + n
+    WHEN 2 THEN 18 + 8 + {_PACKET_BYTES} + n + ({_PACKET_BYTES} + n) % 2 ELSE 42 + 26 + 14 + {_PACKET_BYTES} + n END"""
+
+
+@_query(
+    _with("named AS (SELECT p_partkey AS id, p_name AS name, octet_length(encode(p_name)) AS n FROM part)")
+    + f"""SELECT id, ['png', 'jpeg', 'webp', 'avif'][id % 4 + 1] AS format, ['iTXt,tEXt', 'comment,xmp', 'EXIF,XMP', 'xmp'][id % 4 + 1] AS removed, name AS credit, CAST({_CUTS} AS BIGINT) AS cut, CAST(NULL AS VARCHAR) AS error FROM named"""
+)
+def metadata_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a strip takes from files of all four containers, and the credit that was read there."""
+    parts = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    kinds = [sniff.stripped_files(sniff.sample_files(parts.where(F.col("id") % 4 == k), kind)) for k, kind in enumerate(("png", "jpeg", "webp", "avif"))]
+    each = reduce(DataFrame.unionByName, kinds)
+    return each.select("id", "format", "removed", F.get_json_object("rights", "$.credit").alias("credit"), (F.col("bytes") - F.col("stripped_bytes")).alias("cut"), "error")
+
+
+@_query(
+    _with(_NAMED, f"s AS (SELECT id, unnest([0, 1, 2]) AS number, unnest(['ftyp', 'meta', 'mdat']) AS kind, unnest([16, {len(sniff.sample_avif(b'')) - 24 - 8 - 8 + 82}, {_PACKET_BYTES} + 2 * n]) AS bytes FROM named)")
+    + """SELECT id, number, kind, start, start + 8 + bytes AS "end", bytes FROM (SELECT *, CAST(coalesce(sum(bytes + 8) OVER (PARTITION BY id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)"""
+)
+def avif_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of AVIF files that got a packet: the item table has grown by one item, the data by the packet."""
+    return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "avif"), "avif")
+
+
 # --- text, reports and warnings --------------------------------------------------------------------------------------
 
 

@@ -244,7 +244,14 @@ def strip_webp(data: bytes) -> tuple[bytes, list[str]]:
     return build_webp(out), sorted(gone)
 
 
-STRIP = {"png": strip_png, "jpeg": strip_jpeg, "webp": strip_webp}
+def strip_avif(data: bytes) -> tuple[bytes, list[str]]:
+    """An AVIF without EXIF and XMP items and sRGB profiles."""
+    from quern.sources import avif
+
+    return avif.stripped(data)
+
+
+STRIP = {"png": strip_png, "jpeg": strip_jpeg, "webp": strip_webp, "avif": strip_avif}
 
 
 def xmp_of(data: bytes, kind: str) -> bytes | None:
@@ -259,6 +266,10 @@ def xmp_of(data: bytes, kind: str) -> bytes | None:
         return next((p.payload[len(XMP_JPEG) :] for p in jpeg_segments(data) if p.kind == "E1" and p.payload.startswith(XMP_JPEG)), None)
     elif kind == "webp":
         return next((p.payload for p in riff_chunks(data) if p.kind == "XMP "), None)
+    elif kind == "avif":
+        from quern.sources import avif
+
+        return avif.xmp_of(data)
     return None
 
 
@@ -294,6 +305,10 @@ def with_xmp(data: bytes, kind: str, packet: bytes | None, size: tuple[int, int]
         flag = lambda p: bytes([p.payload[0] & ~0b100 | (0b100 if packet is not None else 0)]) + p.payload[1:]
         body = [build_riff_chunk(p.kind, flag(p) if p.kind == "VP8X" else p.payload) for p in chunks]
         return build_webp(body + ([build_riff_chunk("XMP ", packet)] if packet is not None else []))
+    if kind == "avif":
+        from quern.sources import avif
+
+        return avif.with_xmp(data, packet)
     raise ValueError(f"no packets in {kind}")
 
 
@@ -388,6 +403,10 @@ def read_rights(data: bytes, kind: str) -> dict:
         exif = next((p.payload for p in png_chunks(data) if p.kind == "eXIf"), b"")
     elif kind == "webp":
         exif = next((p.payload for p in riff_chunks(data) if p.kind == "EXIF"), b"")
+    elif kind == "avif":
+        from quern.sources import avif
+
+        exif = avif.exif_of(data)
     packet = xmp_of(data, kind)
     return read_exif_rights(exif) | read_iim(iim) | (read_xmp(packet) if packet else {})
 

@@ -69,6 +69,20 @@ def sample_packet(name: bytes) -> bytes:
     return b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description xmlns:photoshop="http://ns.adobe.com/photoshop/1.0/" photoshop:Credit="' + name + b'"/></rdf:RDF></x:xmpmeta>'
 
 
+def sample_avif(coded: bytes) -> bytes:
+    """The boxes of an AVIF whose only item is an image of these coded bytes, one pixel wide."""
+    from quern.sources.containers import build_box as box
+
+    entry = box("infe", bytes([2, 0, 0, 0]) + b"\0\1\0\0av01\0")
+    size = box("iprp", box("ipco", box("ispe", bytes(4) + b"\0\0\0\1\0\0\0\1")) + box("ipma", bytes(4) + b"\0\0\0\1\0\1\1\1"))
+    head, body = box("ftyp", b"avif\0\0\0\0avifmif1"), b""
+    for _ in range(2):  # offsets have a fixed width: the second time the place of the data is known
+        at = len(head) + len(body) + 8
+        places = box("iloc", bytes(4) + b"\x44\0\0\1\0\1\0\0\0\1" + at.to_bytes(4, "big") + len(coded).to_bytes(4, "big"))
+        body = box("meta", bytes(4) + box("pitm", bytes(4) + b"\0\1") + places + box("iinf", bytes(4) + b"\0\1" + entry) + size)
+    return head + body + box("mdat", coded)
+
+
 def sample_files(names: DataFrame, kind: str) -> DataFrame:
     """names (id, name) to (id, format, content): a small file of the kind that carries the name as metadata."""
 
@@ -85,6 +99,8 @@ def sample_files(names: DataFrame, kind: str) -> DataFrame:
         elif kind == "jpeg":
             bare = C.JPEG_MAGIC + C.build_jpeg_segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + C.build_jpeg_segment(0xFE, name) + C.build_jpeg_segment(0xDB, b"\0" * 65) + b"\xff\xda\0\2" + name + b"\xff\xd9"
             content = C.with_xmp(bare, "jpeg", packet)
+        elif kind == "avif":
+            content = C.with_xmp(sample_avif(name), "avif", packet)
         else:
             content = C.with_xmp(C.build_webp([C.build_riff_chunk("VP8 ", name), C.build_riff_chunk("EXIF", b"II*\0\x08\0\0\0\0\0")]), "webp", packet, (4, 4))
         return [{"id": row["id"], "format": kind, "content": content}]
