@@ -60,6 +60,13 @@ def is_web_url(value: Column) -> Column:
     return F.coalesce(value.rlike("^(?i:https?)://[^/?#\\s]"), F.lit(False))
 
 
+def rights_error(name: Column, value: Column) -> Column:
+    """What is wrong with a rights option, or null; a null value is empty."""
+    trimmed = F.regexp_replace(F.coalesce(value, F.lit("")), EDGES, "")
+    wants_url = name.isin("webStatement", "licensorUrl", "digitalSourceType")
+    return F.when(trimmed == "", F.concat(name, F.lit(" is empty"))).when(wants_url & ~is_web_url(trimmed), F.concat(name, F.lit(" is not an http or https address")))
+
+
 def parsed_target(value: Column) -> Column:
     """A preset's number, or a number from 0 to 100; null for any other text."""
     out = F.when(value.rlike("^[0-9]+(\\.[0-9]+)?$"), value.try_cast("double"))

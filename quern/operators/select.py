@@ -88,3 +88,23 @@ def chosen_attempt(attempts: DataFrame, by: list[str]) -> DataFrame:
     key = F.when(F.col("passed"), F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("k"), "bytes", "quality", "score")).otherwise(F.struct(F.lit(1).alias("p"), (-F.col("score")).cast("double").alias("k"), "bytes", "quality", "score"))
     best = attempts.groupBy(*by).agg(F.min(key).alias("best"))
     return best.select(*by, F.col("best.quality").alias("quality"), F.col("best.bytes").alias("bytes"), F.col("best.score").alias("score"), (F.col("best.p") == 0).alias("reached"))
+
+
+def lowest_renders(renders: DataFrame, passing: float = 90.0) -> DataFrame:
+    """renders (file, decimals, render, score, bytes) to (file, decimals, score, bytes): the lowest score of the renders in order, up to the
+    first that does not pass; -inf where that one failed (its score is null).
+    """
+    failing = F.col("score").isNull() | (F.col("score") < passing)
+    # all before the first that does not pass are above it, so that it is the lowest
+    first = F.min_by(F.coalesce("score", F.lit(float("-inf"))), F.when(failing, F.col("render")))
+    return renders.groupBy("file", "decimals").agg(F.coalesce(first, F.min("score")).cast("double").alias("score"), F.min("bytes").alias("bytes"))
+
+
+def fewest_decimals(lowest: DataFrame, passing: float = 90.0) -> DataFrame:
+    """(file, decimals, score, bytes) to the row of each file with the fewest decimals that passes."""
+    return _first(lowest.where(F.col("score") >= passing), ["file"], "decimals")
+
+
+def svg_choice(optimised: Column, stripped: Column, own: Column) -> Column:
+    """optimised if it is smaller than the file, else strip if that is, else none; null sizes are not there."""
+    return F.when(optimised < own, "optimised").when(stripped < own, "strip").otherwise("none")

@@ -718,4 +718,4 @@ def shards_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 assert set(RIGHTS_FIELDS) == set(rights.PREFIX)
 
-from quern.plans import sessions  # noqa: E402, F401 (adds its queries)
+from quern.plans import metadata, sessions  # noqa: E402, F401 (they add their queries)
