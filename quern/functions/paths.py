@@ -94,3 +94,8 @@ def free_name(name: Column, number: Column) -> Column:
     ext = F.regexp_extract(name, "(?<=.)(\\.[^.]*)$", 1)
     bare = F.regexp_replace(name, "(?<=.)\\.[^.]*$", "")
     return F.concat(bare, F.lit(" ("), number.cast("string"), F.lit(")"), ext)
+
+
+def is_path_list(paths: Column) -> Column:
+    """Whether an array is there and holds no null."""
+    return F.coalesce(F.forall(paths, lambda p: p.isNotNull()), F.lit(False))

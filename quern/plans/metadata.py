@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from quern.functions import text as X
 from quern.operators import rights, select
 from quern.plans import views as V
 from quern.plans.catalogue import _own, _query, _with
-from quern.sources import metadata, sniff
+from quern.shared import shared_path
+from quern.sources import files, metadata, sniff
 from quern.streaming import events as E
 
 _KINDS = ("png", "jpeg", "webp", "avif")
@@ -26,8 +28,8 @@ def rights_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All wanted rights written to files of four formats in place of the packet there, and read back."""
     wanted = _own(spark, sf_dir).select(F.col("file").alias("id"), rights.xmp_packet(F.col("wanted")).alias("packet"))
     names = wanted.select("id", F.concat(F.lit("image "), "id").alias("name"))
-    files = reduce(DataFrame.unionByName, [sniff.sample_files(names.where(F.col("id") % 4 == k), kind) for k, kind in enumerate(_KINDS)])
-    written = metadata.with_packets(files.join(wanted, "id"))
+    made = reduce(DataFrame.unionByName, [sniff.sample_files(names.where(F.col("id") % 4 == k), kind) for k, kind in enumerate(_KINDS)])
+    written = metadata.with_packets(made.join(wanted, "id"))
     read = metadata.rights_read(written.where("error IS NULL")).withColumn("format", F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("id") % 4 + 1).cast("int")))
     lines = F.array_join(F.transform("rights.copyright", lambda c: F.concat(c["lang"], F.lit("="), c["value"])), "|")
     return read.select("id", "format", F.array_join("rights.creator", "|").alias("creator"), "rights.credit", lines.alias("copyright"), F.col("rights.webStatement").alias("web"), F.array_join("rights.licensorUrl", "|").alias("licensor"), "error")
@@ -39,9 +41,9 @@ def rights_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def carriers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rights from IIM before EXIF, in both byte orders; a strip leaves the orientation and a profile that is not sRGB, whose parts are out of order."""
-    files = metadata.sample_carriers(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("format", F.lit("jpeg"))
-    read = metadata.rights_read(files).select("id", F.array_join("rights.creator", "|").alias("creator"), "rights.credit", F.get("rights.copyright", F.lit(0))["value"].alias("copyright"))
-    return read.join(metadata.kept_by_strip(files).select("id", F.array_join("removed", ",").alias("removed"), "orientation", "profile"), "id")
+    made = metadata.sample_carriers(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("format", F.lit("jpeg"))
+    read = metadata.rights_read(made).select("id", F.array_join("rights.creator", "|").alias("creator"), "rights.credit", F.get("rights.copyright", F.lit(0))["value"].alias("copyright"))
+    return read.join(metadata.kept_by_strip(made).select("id", F.array_join("removed", ",").alias("removed"), "orientation", "profile"), "id")
 
 
 @_query(
@@ -61,6 +63,28 @@ def svg_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("id", F.col("viewBox").alias("view_box"), "title", F.array_join("referencedIds", ",").alias("referenced"), F.array_join("metadata", ",").alias("metadata"), F.substring_index("error", ":", 1).alias("error"))
 
 
+_PLACES = "'/' || CASE WHEN id % 9 = 0 THEN 'out/' ELSE '' END || 'd' || id % 7 || '/' || CASE WHEN id % 10 = 0 THEN '.' ELSE '' END || 'img' || id || '.' || ['png', 'JPG', 'webp', 'avif', 'txt'][CASE WHEN id % 13 = 0 THEN 5 ELSE id % 4 + 1 END]"
+
+
+@_query(
+    f"""SELECT {_PLACES} AS path, ['png', 'jpeg', 'webp', 'avif'][id % 4 + 1] AS format, '/out/d' || id % 7 AS out_dir FROM (SELECT s_suppkey AS id FROM supplier) WHERE id % 9 > 0 AND id % 10 > 0 AND id % 13 > 0"""
+)
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, written and found again by extension, in any case; not hidden ones and those of the output folder."""
+    root = re.sub("^file:/+", "/", shared_path(spark, "files"))
+    names, at = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), F.col("id")
+    made = reduce(DataFrame.unionByName, [sniff.sample_files(names.where(at % 4 == k), kind) for k, kind in enumerate(_KINDS)])
+    some = lambda n, text: F.when(at % n == 0, text).otherwise("")
+    ending = F.when(at % 13 == 0, "txt").otherwise(F.element_at(F.array(F.lit("png"), F.lit("JPG"), F.lit("webp"), F.lit("avif")), (at % 4 + 1).cast("int")))
+    path = F.concat(F.lit(f"{root}/"), some(9, "out/"), F.lit("d"), (at % 7).cast("string"), F.lit("/"), some(10, "."), F.lit("img"), at.cast("string"), F.lit("."), ending)
+    failed = sinks.write_staged(made.select(at.alias("file"), path.alias("path"), "content")).where("error IS NOT NULL").count()
+    if failed:
+        raise OSError(f"{failed} files were not written below {root}")
+    scanned = files.sniffed(files.scan_folder(spark, root, True, f"{root}/out"))
+    below = lambda c: F.substr(F.col(c), F.lit(len(root) + 1))
+    return scanned.select(below("path").alias("path"), "format", below("out_dir").alias("out_dir"))
+
+
 @_query(_with(V.EVENTS_SQL) + 'SELECT type AS event, seq, user_ AS "user", value FROM ev')
 def event_stream_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as the text of a stream, and read from it."""
@@ -100,6 +124,6 @@ def svg_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.candidates(spark, sf_dir)
     renders = c.select("file", (F.floor((F.col("ord") - 1) / 2) + 2).cast("int").alias("decimals"), ((F.col("ord") - 1) % 2).alias("render"), F.when(F.col("bytes") % 13 > 0, F.col("score")).alias("score"), "bytes")
     passed = select.fewest_decimals(select.lowest_renders(renders))
-    files = V.files(spark, sf_dir).join(passed, "file", "left")
+    inputs = V.files(spark, sf_dir).join(passed, "file", "left")
     strip = F.when(F.col("file") % 3 > 0, F.floor(F.col("input_bytes") * 9 / 10)).otherwise(F.col("input_bytes"))
-    return files.select("file", "decimals", select.svg_choice(F.col("bytes"), strip, F.col("input_bytes")).alias("choice"))
+    return inputs.select("file", "decimals", select.svg_choice(F.col("bytes"), strip, F.col("input_bytes")).alias("choice"))

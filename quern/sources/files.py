@@ -65,18 +65,46 @@ def scan_glob(spark: SparkSession, pattern: str, out_dir: str | None = None) ->
     return scan_folder(spark, base, True, out_dir).where(F.col("path").rlike(glob_regex(pattern)))
 
 
+def found(spark: SparkSession, path: str) -> str | None:
+    """folder or file, or None where nothing is there, by the file system that the path names."""
+    if not path:
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return None
+    return "folder" if system.getFileStatus(at).isDirectory() else "file"
+
+
 def read_named(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Named paths in order: (idx, path, length, content, error); a file that is not there is a row with E_READ."""
-    from pathlib import Path
-
     named = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "idx long, path string")  # a command's arguments
-    there = [p for p in dict.fromkeys(paths) if Path(p).is_file()]
+    there = [p for p in dict.fromkeys(paths) if found(spark, p) == "file"]
     if not there:
         return named.select("idx", "path", F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), F.lit("E_READ").alias("error"))
-    files = spark.read.format("binaryFile").load(there).select(_plain(F.col("path")).alias("path"), "length", "content")
+    # names are no patterns
+    literal = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in there]
+    files = spark.read.format("binaryFile").load(literal).select(_plain(F.col("path")).alias("path"), "length", "content")
     return named.join(files, "path", "left").select("idx", "path", "length", "content", F.when(F.col("length").isNull(), "E_READ").alias("error"))
 
 
+def expand_argument(spark: SparkSession, argument: str, recursive: bool = False, out_dir: str | None = None) -> DataFrame:
+    """(path, length, content, out_dir, scanned, error) of one argument: a folder's images, those of a pattern, or the file of that name.
+
+    What is there by its own name is no pattern. A pattern without matches, like a name without a file, is a row with E_READ.
+    """
+    there = found(spark, argument)
+    scanned = None
+    if there == "folder":
+        scanned = scan_folder(spark, argument, recursive, out_dir)
+    elif there is None and re.search(r"[*?\[{]", argument) and found(spark, glob_base(argument) or ".") == "folder":
+        scanned = scan_glob(spark, argument, out_dir)
+        scanned = None if scanned.select("path").isEmpty() else scanned
+    if scanned is not None:
+        return scanned.withColumn("error", F.lit(None).cast("string"))
+    return read_named(spark, [argument]).select("path", "length", "content", F.lit(out_dir).cast("string").alias("out_dir"), F.lit(False).alias("scanned"), "error")
+
+
 def sniffed(files: DataFrame) -> DataFrame:
     """files with format by their bytes and version, a key that changes when they do."""
     out = files.withColumn("format", detected_format(F.col("content")))

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quern.functions import paths as P
 from quern.functions import text as X
 from quern.operators import select
 from quern.sources import metadata
@@ -41,3 +42,8 @@ def test_an_svg_is_replaced_by_what_is_smaller(spark, optimised, stripped, choic
 def test_rights_options(spark):
     rows = spark.createDataFrame([("credit", " me "), ("credit", " "), ("credit", None), ("licensorUrl", "HTTPS://a.b"), ("licensorUrl", "a.b")], "name string, value string")
     assert [r[0] for r in rows.select(X.rights_error(rows["name"], rows["value"])).collect()] == [None, "credit is empty", "credit is empty", None, "licensorUrl is not an http or https address"]
+
+
+def test_path_lists(spark):
+    rows = spark.createDataFrame([(["a", "b"],), ([],), (["a", None],), (None,)], "paths array<string>")
+    assert [r[0] for r in rows.select(P.is_path_list(rows["paths"])).collect()] == [True, True, False, False]

@@ -91,6 +91,20 @@ def test_scans_and_named_files(spark, tmp_path):
     assert files.sniffed(files.scan_folder(spark, root)).first()["format"] == "png"
 
 
+def test_an_argument_is_a_folder_a_pattern_or_a_name(spark, tmp_path):
+    for name in ("a.png", "sub/b.webp", "odd[1].png"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(samples()["png"])
+    root = str(tmp_path)
+    rows = lambda argument, **more: sorted((os.path.relpath(r["path"], root), r["scanned"], r["error"]) for r in files.expand_argument(spark, argument, **more).collect())
+    assert rows(root) == [("a.png", True, None), ("odd[1].png", True, None)]
+    assert rows(f"{root}/**/*.webp") == [("sub/b.webp", True, None)]
+    assert rows(f"{root}/a.png") == [("a.png", False, None)]
+    assert rows(f"{root}/odd[1].png") == [("odd[1].png", False, None)]
+    assert rows(f"{root}/*.gif") == [("*.gif", False, "E_READ")] and rows(f"{root}/none/*.png") == [("none/*.png", False, "E_READ")] and rows(f"{root}/b.png") == [("b.png", False, "E_READ")]
+
+
 def test_staged_writes_are_all_or_nothing(spark, tmp_path):
     good, bad = str(tmp_path / "x" / "a.bin"), str(tmp_path / "file" / "b.bin")
     (tmp_path / "file").write_bytes(b"")
