@@ -67,6 +67,8 @@ def inspected(files: DataFrame, codecs: Sequence[Codec] = (PngCodec(),)) -> Data
                 return
             if kind not in containers.STRIP:
                 raise ValueError("E_UNSUPPORTED_FORMAT: no parser for this format")
+            if kind == "avif" and (top := list(containers.boxes(data))) and top[-1].end == len(data) and all(p.kind != "meta" for p in top):
+                raise ValueError("E_UNSUPPORTED_FORMAT: there are no items in this file")
             stripped, removed = containers.STRIP[kind](data)
             own = {k: v for k, v in containers.read_rights(data, kind).items() if k in RIGHTS_FIELDS}
             reader = next((c for c in codecs if c.format == kind), None)

@@ -137,3 +137,16 @@ def test_damaged_files_are_named_so():
     lost = far.written([], tuple(avif.replace(i, extents=((0, 10**6, 4),)) if i.id == 3 else i for i in far.table.items))
     with pytest.raises(C.Damaged):
         C.STRIP["avif"](lost)
+
+
+def test_a_run_strips_an_avif_and_carries_its_rights(spark, tmp_path):
+    from quern import run
+    from quern.settings import Settings
+
+    bare, out = sample_avif(b"coded" * 50), str(tmp_path / "o")
+    rows = [("/none/a.avif", build()), ("/none/b.avif", C.with_xmp(bare, "avif", PACKET)), ("/none/c.avif", bare[:40])]
+    found = {r["path"][6:]: r for r in run.optimise(spark.createDataFrame(rows, "path string, content binary"), Settings(out_dir=out)).collect()}
+    assert found["a.avif"]["status"] == "optimised" and found["c.avif"]["error"].startswith("E_DECODE")
+    assert seen((tmp_path / "o" / "a.avif").read_bytes())[0][1] == [b"first", b"second"]
+    whole = (tmp_path / "o" / "b.avif").read_bytes() if found["b.avif"]["status"] == "optimised" else rows[1][1]
+    assert C.read_rights(whole, "avif")["creator"] == ["A", "B"]
