@@ -45,9 +45,21 @@ def materialised(df: DataFrame, name: str, block_bytes: int | None = None) -> Da
 
     block_bytes: the size of a file's parts that tasks can read apart, for tables whose readers do more work than their writer.
     """
+    return materialised_at(df, name, block_bytes)[0]
+
+
+def materialised_at(df: DataFrame, name: str, block_bytes: int | None = None) -> tuple[DataFrame, str]:
+    """materialised(), and where it is, for discard()."""
     path = shared_path(df.sparkSession, name)
     (df.write.option("parquet.block.size", block_bytes) if block_bytes else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove tables that nothing reads any more, on whatever file system they are."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def looked_up(left: DataFrame, right: DataFrame, on: list[str], salt: F.Column, how: str = "left", rows: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import reachable
-from quern.llm import decontaminate, lm, mixing, neighbours, quality, rans, secrets, simhash, urls, warc
+from quern.llm import centroids, decontaminate, lm, mixing, neighbours, quality, rans, secrets, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,11 +60,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, op9_simhash, op10_warc)}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, op9_simhash, op10_warc, op13_centroids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.oracle_sql(),
     "op8_url_filter": urls.oracle_sql(),
+    "op13_centroids": centroids.oracle_sql(),
     "op4_nearest": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
