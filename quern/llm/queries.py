@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import reachable
-from quern.llm import centroids, decontaminate, lm, mixing, neighbours, periods, quality, rans, secrets, simhash, urls, warc
+from quern.llm import centroids, decontaminate, lm, minhash, mixing, neighbours, periods, quality, rans, secrets, simhash, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.scanned(_table(spark, sf_dir, "documents"), order=periods.looped))
 
@@ -68,11 +72,12 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, op9_simhash, op10_warc, op12_periodic_runs, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_mix_sources, op4_nearest, op5_quality, op6_language_model, op7_token_files, op8_url_filter, op9_simhash, op10_warc, op11_minhash, op12_periodic_runs, op13_centroids)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secrets": secrets.oracle_sql(),
     "op8_url_filter": urls.oracle_sql(),
+    "op11_minhash": minhash.oracle_sql(),
     "op13_centroids": centroids.oracle_sql(),
     "op4_nearest": """
         WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
