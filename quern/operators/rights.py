@@ -49,9 +49,11 @@ _FORMS = {
 }
 
 
-def _tag(name: Column | str, attributes: Column | str, inner: Column) -> Column:
-    opened, closed = F.concat(F.lit(f"<{name}"), F.lit(attributes) if isinstance(attributes, str) else attributes), F.lit(f"</{name}>")
-    return F.when(inner == "", F.concat(opened, F.lit("/>"))).otherwise(F.concat(opened, F.lit(">"), inner, closed))
+def _tag(name: str, attributes: Column | str, inner: Column, empty: Column | None = None) -> Column:
+    """empty: whether there is nothing inside, told from what `inner` is made of, so that it is there once; None: never."""
+    opened, full = F.lit(f"<{name}"), F.concat(F.lit(">"), inner, F.lit(f"</{name}>"))
+    rest = full if empty is None else F.when(empty, F.lit("/>")).otherwise(full)
+    return F.concat(opened, F.lit(attributes) if isinstance(attributes, str) else attributes, rest)
 
 
 def _attribute(name: str, value: Column) -> Column:
@@ -60,10 +62,15 @@ def _attribute(name: str, value: Column) -> Column:
 
 def _item(form: str, value: Column) -> Column:
     if form == "lang":
-        return _tag("rdf:li", _attribute("xml:lang", value["lang"]), escape_xml(value["value"]))
+        return _tag("rdf:li", _attribute("xml:lang", value["lang"]), escape_xml(value["value"]), value["value"] == "")
     if form == "text":
-        return _tag("rdf:li", "", escape_xml(value))
-    return _tag("rdf:li", ' rdf:parseType="Resource"', _tag(form, "", escape_xml(value)))
+        return _tag("rdf:li", "", escape_xml(value), value == "")
+    return _tag("rdf:li", ' rdf:parseType="Resource"', _tag(form, "", escape_xml(value), value == ""))
+
+
+def _void(form: str, values: Column) -> Column:
+    """Whether none of the values makes an item."""
+    return F.forall(values, (lambda v: v["lang"].isNull() | v["value"].isNull()) if form == "lang" else (lambda v: v.isNull()))
 
 
 def xmp_packet(rights: Column) -> Column:
@@ -72,8 +79,9 @@ def xmp_packet(rights: Column) -> Column:
     there = {f: rights[f].isNotNull() for f in _FORMS}
     spaces = [F.when(reduce(Column.__or__, [there[f] for f in _FORMS if PREFIX[f] == p]), F.lit(f' xmlns:{p}="{NAMESPACE[p]}"')) for p in dict.fromkeys(PREFIX.values())]
     short = [F.when(there[f], _attribute(name, rights[f])) for f, (name, kind, _) in _FORMS.items() if kind is None]
-    lists = [F.when(there[f], _tag(name, "", _tag(f"rdf:{kind}", "", F.array_join(F.transform(rights[f], partial(_item, form)), "")))) for f, (name, kind, form) in _FORMS.items() if kind is not None]
-    described = _tag("rdf:Description", joined([F.lit(' rdf:about=""'), *spaces, *short]), joined(lists))
+    listed = {f: form for f, form in _FORMS.items() if form[1] is not None}
+    lists = [F.when(there[f], _tag(name, "", _tag(f"rdf:{kind}", "", F.array_join(F.transform(rights[f], partial(_item, form)), ""), _void(form, rights[f])))) for f, (name, kind, form) in listed.items()]
+    described = _tag("rdf:Description", joined([F.lit(' rdf:about=""'), *spaces, *short]), joined(lists), ~reduce(Column.__or__, [there[f] for f in listed]))
     return F.when(F.size(fields_of(rights)) > 0, F.concat(F.lit(PACKET[0]), described, F.lit(PACKET[1])))
 
 
@@ -81,15 +89,20 @@ def tiers(own: Column, full: Column, strip_all: bool, only_rights: Column) -> Co
     """array<struct<tier, fields, packet>>: all wanted fields; the file's own, if others were added and it has some; none, unless the
     last has no packet or the input is already only its rights. packet is the packet's size in bytes, null for none.
     """
-    size = lambda r: F.octet_length(xmp_packet(r))
-    tier = lambda n, r: F.struct(n.cast("int").alias("tier"), fields_of(r).alias("fields"), size(r).alias("packet"))
-    nothing = F.struct(F.lit(0).alias("tier"), F.array().cast("array<string>").alias("fields"), F.lit(None).cast("int").alias("packet"))
+    nothing = F.array().cast("array<string>")
+    row = lambda n, fields, size: F.struct(n.cast("int").alias("tier"), fields.alias("fields"), size.cast("int").alias("packet"))
     if strip_all:
-        return F.array(nothing)
-    adds = (F.size(added_fields(own, full)) > 0) & (F.size(fields_of(own)) > 0)
-    last = F.when(adds, size(own)).otherwise(size(full))
-    none = F.struct(F.when(adds, 2).otherwise(1).alias("tier"), F.array().cast("array<string>").alias("fields"), F.lit(None).cast("int").alias("packet"))
-    return F.array_compact(F.array(tier(F.lit(0), full), F.when(adds, tier(F.lit(1), own)), F.when(last.isNotNull() & ~only_rights, none)))
+        return F.array(row(F.lit(0), nothing, F.lit(None)))
+    sizes = F.struct(fields_of(own).alias("own"), fields_of(full).alias("full"), F.octet_length(xmp_packet(own)).alias("own_size"), F.octet_length(xmp_packet(full)).alias("full_size"))
+
+    def listed(s: Column) -> Column:
+        adds = (F.size(F.array_except(s["full"], s["own"])) > 0) & (F.size(s["own"]) > 0)
+        last = F.when(adds, s["own_size"]).otherwise(s["full_size"])
+        none = row(F.when(adds, 2).otherwise(1), nothing, F.lit(None))
+        return F.array_compact(F.array(row(F.lit(0), s["full"], s["full_size"]), F.when(adds, row(F.lit(1), s["own"], s["own_size"])), F.when(last.isNotNull() & ~only_rights, none)))
+
+    # packets are long expressions: they stand in one row of an array, which the tiers are made from
+    return F.transform(F.array(sizes), listed)[0]
 
 
 def missing_fields(outputs: DataFrame) -> DataFrame:

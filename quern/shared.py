@@ -19,6 +19,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/quern-{name}-{uuid.uuid4().hex}"
 
 
+def local_path(uri: str) -> str:
+    """A file: URI as a plain path; others stay."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+
+
+def open_fs(uri: str):
+    """The file system and the path on it of a URI or a local path, in tasks too."""
+    from pyarrow import fs
+
+    uri = local_path(uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and there when executors are lost."""
     path = shared_path(df.sparkSession, name)
