@@ -30,8 +30,8 @@ from quern.llm.graph import components
 SHINGLE, PERCENT = 3, 85
 #: Values of a signature and bits of each; the chance, at most, that a pair just alike enough differs in more values than are allowed.
 VALUES, BITS, MISS = 48, 16, 1.2e-4
-#: A key with more members is looked up apart; members of one block.
-HOT_ROWS, BLOCK_ROWS = 4096, 2048
+#: A key with more members is looked up apart; members of a key in one block; shingles of a group in one.
+HOT_ROWS, BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2048, 1 << 18
 #: Bits of the filter of sets that are asked for are 2 to the power of this, 8 MB, however many they are.
 FILTER_BITS = 26
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -231,53 +231,97 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "s_u", "s_v").mapInArrow(run, "u long, v long")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """rows (key, node, root, n, signature, many) to (x, y): blocks of members of a key that meet, y null where a block meets itself."""
-    parts = F.ceil(F.col("many") / BLOCK_ROWS)
-    member = F.struct("node", "root", "n", "signature")
-    blocks = rows.groupBy("key", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).agg(F.collect_list(member).alias("x"))
-    blocks = materialised(blocks, "blocks")
+def _met(blocks: DataFrame, by: str) -> DataFrame:
+    """blocks (by, part, parts, x) to (x, y): each two parts of a group, y null where a part meets itself."""
     alone = blocks.select("x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
     large = blocks.where("parts > 1")
     if large.isEmpty():
         return alone
-    left = large.where(F.col("part") + 1 < F.col("parts")).select("key", "x", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
-    return alone.unionByName(left.join(large.select("key", "part", F.col("x").alias("y")), ["key", "part"]).select("x", "y"))
+    left = large.where(F.col("part") + 1 < F.col("parts")).select(by, "x", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
+    return alone.unionByName(left.join(large.select(by, "part", F.col("x").alias("y")), [by, "part"]).select("x", "y"))
 
 
-def _crossing(x, y, percent: int, errors: int, values: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of two blocks (y None: of one) that are of different components, and close by size and signature."""
-    same = y is None
-    y = x if same else y
-    (na, ra, sa, va), (nb, rb, sb, vb) = ((*(s.field(k).to_numpy() for k in range(3)), _rows(s.field(3), values)) for s in (x, y))
-    left, right = [], []
-    step = max(1, (1 << 21) // max(1, len(nb) * values // 8))
+def _sides(batch: pa.RecordBatch, row: int, values: int) -> tuple[list, list | None]:
+    """The blocks x and y (None: x itself) of a row: nodes, roots, sizes, signatures, and sets if they are there."""
+
+    def side(column: pa.Array) -> list:
+        s = column.flatten()
+        return [*(s.field(k).to_numpy() for k in range(3)), _rows(s.field(3), values), *([s.field(4)] if s.type.num_fields > 4 else [])]
+
+    x, y = (batch.column(c).slice(row, 1) for c in (0, 1))
+    return side(x), None if y.null_count else side(y)
+
+
+def _crossing(x: list, y: list | None, percent: int, errors: int) -> np.ndarray:
+    """Nodes of two blocks (y None: of one) that are close, by size and signature, to one of another component."""
+    (na, ra, sa, va), (nb, rb, sb, vb) = x, y or x
+    found = [np.empty(0, np.int64)]
+    step = max(1, (1 << 20) // max(1, len(nb)))
     for i in range(0, len(na), step):
-        open_ = (ra[i : i + step, None] != rb[None, :]) & (100 * np.minimum(sa[i : i + step, None], sb[None, :]) >= percent * np.maximum(sa[i : i + step, None], sb[None, :]))
-        if same:
-            open_ &= na[i : i + step, None] < nb[None, :]
-        p, q = np.nonzero(open_)
-        near = (va[i + p] != vb[q]).sum(axis=1) <= errors
-        left.append(na[i + p[near]])
-        right.append(nb[q[near]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
-
-
-def _crossing_pairs(blocks: DataFrame, percent: int, values: int, ends: bool) -> DataFrame:
-    """The pairs (u, v) that _crossing() finds, or the nodes alone (u) that are an end of any."""
+        p, q = np.nonzero((ra[i : i + step, None] != rb[None, :]) & (100 * np.minimum(sa[i : i + step, None], sb[None, :]) >= percent * np.maximum(sa[i : i + step, None], sb[None, :])))
+        for k in range(0, len(p), 1 << 18):
+            near = (va[i + p[k : k + (1 << 18)]] != vb[q[k : k + (1 << 18)]]).sum(axis=1) <= errors
+            found += [np.unique(na[i + p[k : k + (1 << 18)][near]]), np.unique(nb[q[k : k + (1 << 18)][near]])]
+    return np.unique(np.concatenate(found))
+
+
+def _close_nodes(rows: DataFrame, percent: int, values: int) -> DataFrame:
+    """Of rows (key, node, root, n, signature, many) the nodes (u) that have a close one of another component under a key."""
+    errors, parts = errors_allowed(percent, values), F.ceil(F.col("many") / BLOCK_ROWS)
+    blocks = rows.groupBy("key", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).alias("part")).agg(F.collect_list(F.struct("node", "root", "n", "signature")).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(_crossing(*_sides(batch, k, values), percent, errors))], names=["u"])
+
+    return _met(materialised(blocks, "blocks"), "key").mapInArrow(run, "u long").distinct()
+
+
+def exact_links(x: list, y: list | None, percent: int, errors: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes of two blocks (y None: of one) that join all that are alike; of components that are joined already no more.
+
+    A set is compared with all of the other block at once: its shingles are marked, and marks are counted for each set.
+    """
+    (na, ra, sa, va, xa), (nb, rb, sb, vb, xb) = x, y or x
+    roots, label = np.unique(np.concatenate([ra, rb]), return_inverse=True)
+    at_a, at_b, label = label[: len(ra)], label[len(ra) :], np.arange(len(roots))
+    flat = lambda sets: np.frombuffer(b"".join(sets.to_pylist()), np.uint64)
+    _, codes = np.unique(np.concatenate([flat(xa), flat(xb)]), return_inverse=True)
+    codes_a, codes_b = codes[: sa.sum()], codes[sa.sum() :]
+    starts_a, starts_b = np.cumsum(sa) - sa, np.cumsum(sb) - sb
+    mark, left, right = np.zeros(len(codes) and codes.max() + 1, bool), [], []
+    for i in range(len(na)):
+        open_ = np.flatnonzero((label[at_a[i]] != label[at_b]) & (100 * np.minimum(sa[i], sb) >= percent * np.maximum(sa[i], sb)))
+        open_ = open_[(va[i] != vb[open_]).sum(axis=1) <= errors]
+        if not len(open_):
+            continue
+        own = codes_a[starts_a[i] : starts_a[i] + sa[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[codes_b], starts_b, dtype=np.int64)[open_]
+        mark[own] = False
+        for j in open_[100 * common >= percent * (sa[i] + sb[open_] - common)].tolist():
+            p, q = label[at_a[i]], label[at_b[j]]
+            if p != q:
+                left.append(na[i])
+                right.append(nb[j])
+                label[label == max(p, q)] = min(p, q)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def _group_links(rows: DataFrame, sizes: DataFrame, percent: int, values: int) -> DataFrame:
+    """Links (u, v) within groups of rows (group, node, root, n, signature, shingles); sizes (group, parts): what they are cut into."""
     errors = errors_allowed(percent, values)
+    member = F.struct("node", "root", "n", "signature", "shingles")
+    blocks = rows.join(sizes, "group").groupBy("group", "parts", F.pmod(F.xxhash64("node"), "parts").alias("part")).agg(F.collect_list(member).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = (batch.column(c).slice(k, 1) for c in (0, 1))
-                u, v = _crossing(x.flatten(), None if y.null_count else y.flatten(), percent, errors, values)
-                if ends:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([u, v])))], names=["u"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                u, v = exact_links(*_sides(batch, k, values), percent, errors)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    return blocks.mapInArrow(run, "u long" if ends else "u long, v long").distinct()
+    return _met(materialised(blocks, "groups"), "group").mapInArrow(run, "u long, v long")
 
 
 def _supported(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -313,14 +357,20 @@ def links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, shingle:
     rooted = materialised(rooted, "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     open_ = materialised(rooted.join(mixed, "key", "left_semi"), "open")
-    full = lambda rows: rows.join(classes.select("node", "n", "signature"), "node").select("key", "node", "root", "n", "signature", "many")
-    nodes = materialised(_crossing_pairs(_blocks(full(open_)), percent, values, ends=True), "open-nodes")
+    facts = classes.select("node", "n", "signature")
+    nodes = materialised(_close_nodes(open_.join(facts, "node"), percent, values), "open-nodes")
     if nodes.isEmpty():
         return first
     sets = materialised(_sets(texts, materialised(of(nodes.select(F.col("u").alias("node"))), "asked"), shingle), "sets")
     alive = materialised(_supported(nodes, sets, percent), "alive")
-    pairs = materialised(_crossing_pairs(_blocks(full(open_.join(alive, "node", "left_semi"))), percent, values, ends=False), "pairs")
-    return first.unionByName(_confirmed(pairs, sets, percent))
+    # nodes that share an open key, directly or over others, are a group; its sets meet part by part
+    shared = open_.join(alive, "node", "left_semi").select("key", "node", "root")
+    least = shared.groupBy("key").agg(F.min("node").alias("least"))
+    groups = components(shared.join(least, "key").select(F.col("least").alias("u"), F.col("node").alias("v")).where("u <> v").distinct())
+    rows = sets.join(groups.select("node", F.col("root").alias("group")), "node").join(facts, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = materialised(rows.select("group", "node", "root", "n", "signature", "shingles"), "group-rows")
+    sizes = rows.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    return first.unionByName(_group_links(rows, sizes, percent, values))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, values: int = VALUES) -> DataFrame:

@@ -77,6 +77,7 @@ def test_chance_to_lose_a_link_is_bounded():
 def test_groups_of_copies_are_those_of_every_pair(spark, seed, monkeypatch):
     monkeypatch.setattr(M, "HOT_ROWS", 20)
     monkeypatch.setattr(M, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 700)
     r, rows = random.Random(seed), []
     for group, size in enumerate((90, 40, 12, 1, 1, 1)):
         base = [f"w{r.randrange(400)}" for _ in range(80)]
