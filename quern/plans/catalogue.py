@@ -718,4 +718,4 @@ def shards_largest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 assert set(RIGHTS_FIELDS) == set(rights.PREFIX)
 
-from quern.plans import headers, metadata, sessions  # noqa: E402, F401 (they add their queries)
+from quern.plans import headers, metadata, sessions, streams  # noqa: E402, F401 (they add their queries)

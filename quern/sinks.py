@@ -59,6 +59,15 @@ def existing(paths: DataFrame) -> DataFrame:
     return paths.select("path").distinct().mapInArrow(run, "path string")
 
 
+def batch_writer(path: str):
+    """For foreachBatch: each batch as a table below path, by its number. A batch that runs again after a failure replaces itself, so that its rows are there once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def json_documents(results: DataFrame) -> DataFrame:
     """A JSON document a row; fields that are null are left out."""
     return results.select(F.to_json(F.struct(*results.columns)).alias("value"))
