@@ -23,8 +23,8 @@ NEIGHBOURS, EVERY, FACTOR = 20, 20, 1.0
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 4096, 2048, 64
 #: Points among which a vantage point is chosen, and those by which it is judged.
 TRIED, JUDGES = 8, 256
-#: How many more candidates than asked for are measured anew, so that rounding can't order them.
-SPARE = 12
+#: Queries that are measured anew at a time, and what rounding of a squared distance is held to be, as a share of its terms.
+MEASURED_ROWS, ROUNDING = 256, 1e-11
 
 
 class Tree:
@@ -100,6 +100,32 @@ class Tree:
         visit(self.root, np.arange(len(queries)))
         return found, best
 
+    def within(self, queries: np.ndarray, bound: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all points no farther from a query than the square root of its bound, however many there are."""
+        points = np.hstack([queries, np.zeros((len(queries), 1))])
+        norms = np.einsum("ij,ij->i", points, points)
+        bound = bound + ROUNDING * (norms + self.top)
+        reach = np.sqrt(np.maximum(bound, 0.0)) / factor + 1e-7
+        asked, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def visit(node, active: np.ndarray) -> None:
+            if not len(active) or not len(node):
+                return
+            if isinstance(node, np.ndarray):
+                distance = norms[active, None] + self.top - 2.0 * (points[active] @ self.points[node].T)
+                q, r = np.nonzero(distance <= bound[active, None])
+                asked.append(active[q])
+                rows.append(node[r])
+                return
+            vantage, low, high, near, far = node
+            distance = np.sqrt(np.maximum(norms[active] + self.top - 2.0 * (points[active] @ self.points[vantage]), 0.0))
+            inside = distance <= (low + high) / 2
+            visit(near, active[inside | (distance - low <= reach[active])])
+            visit(far, active[~inside | (high - distance <= reach[active])])
+
+        visit(self.root, np.arange(len(queries)))
+        return np.concatenate(asked), np.concatenate(rows)
+
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id long, vector array<double>, width) of the rows whose vector is neither null nor zero and whose components are all finite."""
@@ -123,20 +149,31 @@ def _packed(df: DataFrame, rows: int, salt: int) -> DataFrame:
     return dealt.select("width", "part", "vec_id", "vector").groupBy("width", "part").applyInArrow(run, "width int, part long, ids binary, data binary")
 
 
-def _nearest(tree: Tree, distinct: np.ndarray, groups: list[np.ndarray], query_ids: np.ndarray, queries: np.ndarray, count: int, factor: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, vec_ids, scores) of each query's `count` nearest of a shard, measured anew on the original vectors; ties to the smaller id."""
-    rows, _ = tree.search(queries, min(len(distinct), count + 1 + SPARE), factor)
-    for k, query_id in enumerate(query_ids.tolist()):
-        near = rows[k][rows[k] >= 0]
+def _nearest(tree: Tree, distinct: np.ndarray, ids: np.ndarray, starts: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, count: int, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(queries' ids, vec_ids, scores) of each query's `count` nearest of a shard, on the original vectors; ties to the smaller id.
+
+    The ids of distinct vector r are ids[starts[r] : starts[r + 1]], rising. The search gives the distance of the last that
+    can count, one more as a query's own id is none; then all vectors as near as that are measured, so that of any number
+    that tie the smallest ids are found.
+    """
+    sizes = np.minimum(np.diff(starts), count + 1)
+    for k in range(0, len(queries), MEASURED_ROWS):
+        asked, own = queries[k : k + MEASURED_ROWS], query_ids[k : k + MEASURED_ROWS]
+        _, best = tree.search(asked, min(len(distinct), count + 1), factor)
+        q, r = tree.within(asked, best.max(axis=1), factor)
         # summed from the first component to the last wherever a vector stands, so that equal ones tie
-        measured = np.cumsum(distinct[near] * queries[k], axis=1)[:, -1] if len(near) else np.empty(0)
-        ids = [groups[r][: count + 1] for r in near.tolist()]
-        scores = np.repeat(measured, [len(g) for g in ids])
-        ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        other = ids != query_id
-        ids, scores = ids[other], scores[other]
-        order = np.lexsort((ids, -scores))[:count]
-        yield query_id, ids[order], scores[order]
+        step = max(1, (1 << 22) // max(1, distinct.shape[1]))
+        measured = [np.cumsum(distinct[r[i : i + step]] * asked[q[i : i + step]], axis=1)[:, -1] for i in range(0, len(r), step)]
+        scores = np.repeat(np.concatenate([np.empty(0), *measured]), sizes[r])
+        at = np.repeat(starts[r] - (np.cumsum(sizes[r]) - sizes[r]), sizes[r]) + np.arange(sizes[r].sum())
+        q, found = np.repeat(q, sizes[r]), ids[at]
+        other = found != own[q]
+        q, found, scores = q[other], found[other], scores[other]
+        order = np.lexsort((found, -scores, q))
+        q, found, scores = q[order], found[order], scores[order]
+        first = np.searchsorted(q, np.arange(len(asked)))
+        kept = np.arange(len(q)) - first[q] < count
+        yield own[q[kept]], found[kept], scores[kept]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, count: int = NEIGHBOURS, factor: float = FACTOR, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -165,14 +202,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, count: int = NEIGHBOURS, fac
                     data = np.frombuffer(row["shard_data"], np.float64).reshape(len(ids), -1)
                     distinct, inverse = np.unique(data, axis=0, return_inverse=True)
                     order = np.lexsort((ids, inverse.ravel()))
-                    groups = np.split(ids[order], np.cumsum(np.bincount(inverse.ravel()))[:-1])
-                    held, last = (Tree(distinct), distinct, groups), (row["width"], row["shard"])
+                    starts = np.concatenate([[0], np.cumsum(np.bincount(inverse.ravel()))])
+                    held, last = (Tree(distinct), distinct, ids[order], starts), (row["width"], row["shard"])
                 query_ids = np.frombuffer(row["ids"], np.int64)
                 asked = np.frombuffer(row["data"], np.float64).reshape(len(query_ids), -1)
-                for query_id, found, scores in _nearest(*held, query_ids, asked, count, factor):
-                    out[0].append(np.full(len(found), query_id))
-                    out[1].append(found)
-                    out[2].append(scores)
+                for columns in _nearest(*held, query_ids, asked, count, factor):
+                    for c, column in zip(out, columns, strict=True):
+                        c.append(column)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 

@@ -8,7 +8,7 @@ compared with exclusive-or and bit counts in numpy. Equal fingerprints stand in
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from quern.llm._shared import looked_up, materialised, split_words, string_parts, text_slices
 from quern.llm.graph import components
+from quern.llm.minhash import shingle_sets
 
 #: Words of a shingle, differing bits of a link, seed of a shingle's hash.
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one row of a tile holds at most, about.
 TILE_ROWS = 4096
+#: Near copies: words of a shingle, fingerprints of 64 bits, differing bits of the first one and of all, and least share of the smaller set's size.
+COPY_SHINGLE, WIDE, COPY_NEAR, COPY_RADIUS, COPY_PERCENT = 5, 4, 15, 48, 80
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -177,9 +180,119 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return grouped(docs, id_column, text_column, radius).drop("root")
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with the row of the smallest id of each group of near-duplicates. Of rows that repeat that id in the group one stays; rows without an id stay."""
-    found = materialised(grouped(docs, id_column, text_column, radius).where("doc_id IS NOT NULL"), "near-duplicates")
+def _majorities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of WIDE fingerprints for each set of shingle hashes."""
+    counts = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([np.empty(0, np.uint64), *sets])
+    rows = []
+    for k in range(WIDE):
+        x = (flat ^ (flat >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        rows.append(bit_majorities(x ^ (x >> np.uint64(29)), counts))
+    return np.stack(rows, axis=1)
+
+
+def _set_names(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+
+
+def wide_tile_links(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], near: int, radius: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two blocks (fp, size, WIDE columns of fingerprints)."""
+    (ia, na, *fa), (ib, nb, *fb) = a, b
+    names, inverse = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+    at_a, at_b, label = inverse[: len(ia)], inverse[len(ia) :], np.arange(len(names))
+    left, right = [], []
+    step = max(1, (1 << 20) // max(1, len(ib)))
+    for i in range(0, len(ia), step):
+        x, y = np.nonzero(np.bitwise_count(fa[0][i : i + step, None] ^ fb[0][None, :]) <= near)
+        x += i
+        open_ = label[at_a[x]] != label[at_b[y]]
+        x, y = x[open_], y[open_]
+        apart = sum(np.bitwise_count(fa[k][x] ^ fb[k][y]).astype(np.int64) for k in range(WIDE))
+        linked = (apart <= radius) & (100 * np.minimum(na[x], nb[y]) >= percent * np.maximum(na[x], nb[y]))
+        x, y = at_a[x[linked]], at_b[y[linked]]
+        if len(x):
+            # what is joined already is told by labels, so that few links of a large group are walked
+            ends = np.unique(np.stack([label[x], label[y]], axis=1), axis=0)
+            u, v = forest(ends[:, 0], ends[:, 1])
+            left.append(names[u])
+            right.append(names[v])
+            parent = np.arange(len(names))
+            for p, q in zip(u.tolist(), v.tolist(), strict=True):
+                while parent[p] != p:
+                    p = parent[p]
+                while parent[q] != q:
+                    q = parent[q]
+                parent[max(p, q)] = min(p, q)
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+            label = parent[label]
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
+
+
+def wide_links(fps: DataFrame, near: int, radius: int, percent: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """fps (fp, size, w0, ...) to (u, v): links that join all sets within the radius and alike in size.
+
+    A tile holds sets of like sizes and like population counts of w0; tiles that are too far apart in either are skipped.
+    """
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / np.log(100 / percent)).cast("int")
+    count = F.floor(F.bit_count("w0") / (near + 1)).cast("int")
+    keyed = fps.withColumn("tile", F.struct(band.alias("band"), count.alias("count")))
+    sizes = materialised(keyed.groupBy("tile").agg(F.count("*").alias("n")), "tiles")  # some bands of sizes times some of counts
+    parts = F.ceil(F.col("n") / tile_rows)
+    member = F.struct("fp", "size", *[f"w{k}" for k in range(WIDE)])
+    blocks = materialised(keyed.join(F.broadcast(sizes), "tile").groupBy("tile", F.pmod(F.xxhash64("fp", F.lit(7)), parts).alias("part")).agg(F.collect_list(member).alias("rows")), "blocks")
+    offsets = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+    others = F.array(*[F.struct((F.col("tile.band") + d).alias("band"), (F.col("tile.count") + c).alias("count")) for d, c in offsets])
+    other = sizes.select(F.col("tile").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part_b"))
+    left = blocks.select("tile", F.col("part").alias("part_a"), F.col("rows").alias("a"), F.explode(others).alias("other")).join(F.broadcast(other), "other").where("tile <> other OR part_a <= part_b")
+    pairs = left.join(blocks.select(F.col("tile").alias("other"), F.col("part").alias("part_b"), F.col("rows").alias("b")), ["other", "part_b"]).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(k).slice(i, 1).flatten() for k in (0, 1))
+                a, b = ([s.field(0).to_numpy(), s.field(1).to_numpy(), *(s.field(2 + k).to_numpy().view(np.uint64) for k in range(WIDE))] for s in (a, b))
+                u, v = wide_tile_links(a, b, near, radius, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def copies_grouped(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = COPY_SHINGLE, near: int = COPY_NEAR, radius: int = COPY_RADIUS, percent: int = COPY_PERCENT) -> DataFrame:
+    """grouped() for near copies: sets of 5-word shingles that are alike by 0.8 or more, told by WIDE fingerprints of 64 bits.
+
+    fp names a text's set. Two sets that are alike by just 0.8 differ in 0.15 of all bits on average; radius leaves room for
+    chance, near is the same for the first fingerprint, which alone is compared with all others of its tiles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, "text"):
+                sets = shingle_sets(texts, shingle)
+                wide = _majorities(sets).view(np.int64)
+                columns = [part.column(0), pa.array(_set_names(sets)), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(np.ascontiguousarray(wide[:, k])) for k in range(WIDE)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "size", *[f"w{k}" for k in range(WIDE)]])
+
+    names = [f"w{k}" for k in range(WIDE)]
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    each = materialised(texts.mapInArrow(run, "doc_id long, fp long, size long, " + ", ".join(f"{n} long" for n in names)), "copies")
+    fps = materialised(each.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *names)]), "distinct")
+    roots = materialised(components(wide_links(fps.select("fp", "size", *names), near, radius, percent)).select(F.col("node").alias("fp"), "root"), "roots")
+    linked = fps.select("fp", "lead").join(roots, "fp")
+    least = linked.groupBy("root").agg(F.min("lead").alias("component_id"))
+    known = linked.join(least, "root").select("fp", "root", "component_id").union(fps.where("n > 1").join(roots, "fp", "left_anti").select("fp", "fp", F.col("lead").alias("component_id")))
+    known = materialised(known, "known")
+    each = looked_up(each.select("doc_id", "fp"), known, ["fp"], F.hash("doc_id"))
+    return each.select("doc_id", "fp", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def _first_of_groups(docs: DataFrame, found: DataFrame, marks: Callable[[pa.Array], np.ndarray], id_column: str, text_column: str) -> DataFrame:
+    """docs with the row of the smallest id of each group of found (doc_id, fp, component_id, root); marks gives the fp of texts.
+
+    Of rows that repeat that id in the group one stays; rows without an id stay.
+    """
+    found = materialised(found.where("doc_id IS NOT NULL"), "near-duplicates")
     repeated = materialised(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__quern_id")), "repeated")
     key = F.col(id_column).cast("long")
     # ids that go are fewer than those that stay: one join moves the texts, or none if they can be broadcast
@@ -193,10 +306,24 @@ def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     def with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, text_column):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_fingerprints(texts).view(np.int64))], names=[*part.schema.names, "__quern_fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks(texts))], names=[*part.schema.names, "__quern_fp"])
 
     same = same.mapInArrow(with_fingerprint, same.select("*", F.lit(0).cast("long").alias("__quern_fp")).schema)
     leads = found.where("doc_id = component_id").select(F.col("doc_id").alias("__quern_id"), F.col("fp").alias("__quern_lead"), F.col("root").alias("__quern_root")).distinct()
     again = same.join(leads, (key == F.col("__quern_id")) & (F.col("__quern_fp") == F.col("__quern_lead"))).dropDuplicates([id_column, "__quern_root"])
     again = again.select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.unionByName(again)
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each group of near_duplicates(), that of the smallest id; rows without an id stay."""
+    return _first_of_groups(docs, grouped(docs, id_column, text_column, radius), lambda texts: text_fingerprints(texts).view(np.int64), id_column, text_column)
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = COPY_PERCENT) -> DataFrame:
+    """docs with one row of each group of copies_grouped(), that of the smallest id.
+
+    Texts without words are one group. Rows without an id stay, as do both of two texts that share an id and are not alike; an
+    empty table gives an empty one; other columns, whatever their names, stay as they are.
+    """
+    return _first_of_groups(docs, copies_grouped(docs, id_column, text_column, percent=percent), lambda texts: _set_names(shingle_sets(texts, COPY_SHINGLE)), id_column, text_column)

@@ -34,6 +34,22 @@ def test_factor_one_is_exact_with_ties_to_the_smaller_id(spark, vectors):
     assert found(N.searched(frame)) == plain(vectors, asked, 20)
 
 
+@pytest.mark.parametrize("width", [16, 24])
+def test_of_any_number_of_ties_the_smallest_ids_come(spark, width):
+    r = np.random.default_rng(width)
+    rows = [(int(i), x) for i, x in zip(r.permutation(3000), r.choice([-1.0, 1.0], (3000, width)).tolist(), strict=True)]
+    rows += [(i, rows[i % 7][1]) for i in range(3000, 3040)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(N.searched(frame)) == plain(rows, [v for v in rows if v[0] % 20 == 0], 20)
+
+
+def test_ids_that_repeat_in_the_queries_rank_together(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 9.0]), (3, [0.25, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in N.searched(frame, count=3).orderBy("query_id", "rank").collect()]
+    assert got == [(20, 1, 1, 0.5), (20, 2, 1, 0.5), (20, 3, 1, 0.5)]
+
+
 def test_a_larger_factor_visits_less_and_finds_less(spark):
     r = np.random.default_rng(4)
     points = np.array([r.normal(size=4) + (i % 9) * 4 for i in range(3000)])
