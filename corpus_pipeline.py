@@ -22,9 +22,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near copies (0.8 or more of their 5-word shingles shared) the document with the smallest id stays; documents without an id stay."""
     reachable(spark)
-    return simhash.deduplicated(docs)
+    return simhash.without_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
