@@ -26,7 +26,7 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Fingerprints that one row of a tile holds at most, about.
 TILE_ROWS = 4096
 #: Near copies: words of a shingle, fingerprints of 64 bits, differing bits of the first one and of all, and least share of the smaller set's size.
-COPY_SHINGLE, WIDE, COPY_NEAR, COPY_RADIUS, COPY_PERCENT = 5, 4, 15, 48, 80
+COPY_SHINGLE, WIDE, COPY_NEAR, COPY_RADIUS, COPY_PERCENT = 5, 8, 15, 92, 80
 _LANES = np.uint64(0x0101010101010101)
 
 

@@ -105,3 +105,58 @@ def test_tiles_of_many_parts_lose_no_link(spark):
     frame = spark.createDataFrame([(x,) for x in fps], "fp long").distinct()
     found = graph.components(simhash.links(frame, radius=2, tile_rows=20)).collect()
     assert len(found) == 256 and len({r["root"] for r in found}) == 1
+
+
+def five_word_sets(rows):
+    out = {}
+    for doc_id, text in rows:
+        w = [x for x in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").translate({k: " " for k in range(9, 14)}).split(" ") if x]
+        out[doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return out
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_found_and_others_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    sets = five_word_sets(docs.select("doc_id", "text").collect())
+    found = {r["doc_id"]: r["component_id"] for r in simhash.copies_grouped(docs).collect()}
+    ids = sorted(sets)
+    pairs = [(alike(sets[a], sets[b]), a, b) for i, a in enumerate(ids) for b in ids[:i] if sets[a] & sets[b]]
+    near = [found[a] == found[b] for share, a, b in pairs if share >= 0.8]
+    assert len(near) > 50 and np.mean(near) >= 0.9
+    # a document that is alike to no other by half stays by itself
+    close = {x for share, a, b in pairs if share >= 0.5 for x in (a, b)}
+    assert all(found[x] == x and list(found.values()).count(x) == 1 for x in ids if x not in close and sets[x])
+    assert sorted(r["doc_id"] for r in simhash.without_copies(docs).collect()) == sorted({c for c in found.values()})
+
+
+@pytest.mark.parametrize("edits", [1, 3, 5])
+def test_copies_with_some_words_changed_are_one_group(spark, edits):
+    r, rows = np.random.default_rng(edits), []
+    for k in range(40):
+        words = [f"w{x}" for x in r.integers(0, 5000, 300)]
+        rows.append((2 * k, " ".join(words)))
+        for at in r.integers(0, 300, edits):
+            words[at] = "changed"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = five_word_sets(rows)
+    found = {x["doc_id"]: x["component_id"] for x in simhash.copies_grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [found[2 * k] == found[2 * k + 1] for k in range(40) if alike(sets[2 * k], sets[2 * k + 1]) >= 0.8]
+    assert len(near) == 40 and np.mean(near) >= 0.9 and len(set(found.values())) <= 44 and all(c // 2 == d // 2 for d, c in found.items())
+
+
+def test_many_blocks_and_edge_rows_of_copies(spark, edges, empty, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_ROWS", 4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*base[: k % 199], f"x{k}", *base[k % 199 + 1 :]])) for k in range(60)] + [(100 + k, " ".join(f"y{k}_{i}" for i in range(200))) for k in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = simhash.copies_grouped(frame)
+    assert {r["component_id"] for r in wide.collect() if r["doc_id"] < 100} == {0} and wide.where("doc_id >= 100 AND doc_id = component_id").count() == 20
+    edges = edges.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("size", F.lit("x"))
+    kept = simhash.without_copies(edges)
+    assert kept.columns == edges.columns and kept.where("doc_id IS NULL").count() == 2
+    assert sorted((r["doc_id"], r["text"] is not None and len(r["text"])) for r in kept.where("doc_id IS NOT NULL").collect()) == [(-6, 21), (1, 29), (1, 32), (2, False), (5, 200000)]
+    assert simhash.without_copies(empty).count() == 0
