@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import format_bytes, format_percent, half_up, verdict
 from quern.operators.geometry import is_scorable
 from quern.operators.totals import ranked
+from quern.shared import written
 from quern.schemas import ROLES
 
 
@@ -54,6 +55,36 @@ def relabelled(message: Column, refs: dict[str, str]) -> Column:
     return message
 
 
+def relabelled_by(messages: DataFrame, refs: DataFrame) -> DataFrame:
+    """messages (id, message) with the paths of refs (path, ref) in them replaced by their refs, in one pass: from left to right, at each place the longest path.
+
+    Every piece of a message that begins as some path does and is as long as one meets the table of paths, so that the number
+    of paths costs a join alone. Only the paths' lengths and first characters reach the driver. A path that repeats has its
+    smallest ref; empty and null paths are none. Ids may repeat; null messages stay.
+    """
+    paths = refs.where("path <> ''").groupBy("path").agg(F.min("ref").alias("__ref"))
+    facts = paths.agg(F.collect_set(F.length("path")).alias("lengths"), F.collect_set(F.substring("path", 1, 1)).alias("heads")).first()
+    if not facts["lengths"]:
+        return messages
+    each = written(messages.withColumn("__row", F.monotonically_increasing_id()), "messages")  # rows keep their numbers
+    heads, lengths = (F.array(*[F.lit(x) for x in sorted(facts[c])]) for c in ("heads", "lengths"))
+    size = F.length("message")
+    begins = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda p: F.array_contains(heads, F.substr("message", p, F.lit(1))))
+    pieces = each.select("__row", "message", F.explode(begins).alias("p")).select("__row", "message", "p", F.explode(lengths).alias("n")).where(F.col("p") + F.col("n") <= F.length("message") + 1)
+    hits = pieces.select("__row", "p", "n", F.substr("message", F.col("p"), F.col("n")).alias("path")).join(paths, "path")
+    # of each place the longest; no more than a message has characters
+    longest = hits.groupBy("__row", "p").agg(F.max_by(F.struct("n", "__ref"), "n").alias("h")).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("p", "h.n", "h.__ref"))).alias("hits"))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, hit: Column) -> Column:
+        before = F.substr("message", acc["at"], hit["p"] - acc["at"])
+        return F.when(hit["p"] < acc["at"], acc).otherwise(F.struct((hit["p"] + hit["n"]).alias("at"), F.concat(acc["out"], before, hit["__ref"]).alias("out")))
+
+    done = F.aggregate("hits", start, step, lambda acc: F.concat(acc["out"], F.substr("message", acc["at"], F.length("message"))))
+    out = each.join(longest, "__row", "left").withColumn("message", F.when(F.col("hits").isNull(), F.col("message")).otherwise(done))
+    return out.select(*[F.col(f"`{c}`") for c in messages.columns])
+
+
 def upserted(known: DataFrame, new: DataFrame) -> DataFrame:
     """known and new (ref, version, state) with each ref's row of the larger version; new ones win ties."""
     both = known.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -134,8 +165,3 @@ def requests_made(requests: DataFrame) -> DataFrame:
     """requests (key, ts, seq, ok) with made: a key is asked for again only while all its requests before have failed."""
     earlier = Window.partitionBy("key").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return requests.withColumn("made", F.count_if("ok").over(earlier) == 0)
-
-
-def spare_attempts(scorers: Column, searches: Column, backgrounds: Column) -> Column:
-    """How many attempts each search may make ahead of need: scorers left once all needed pairs have one, split evenly."""
-    return F.greatest(F.lit(0).cast("long"), F.floor(scorers / (searches * backgrounds)) - 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,34 +82,98 @@ def write_plan(outputs: DataFrame, existing: DataFrame, in_place: bool, overwrit
     return plan.select("file", action.alias("action"), F.coalesce("a", "b").alias("blocked_path"), F.when(action == "write", F.col("writes")).otherwise(0).cast("long").alias("writes"))
 
 
-def free_names(names: DataFrame) -> DataFrame:
-    """names (idx, folder, name) with free_name: the name itself where it comes first in its folder, else with the next count.
+_GROUP = ["folder", "base", "ext"]
 
-    Counts that other names in the folder already have are passed over. Where all names of a folder, base and extension ask
-    for one count, their ranks are the counts; one fold, in order, decides the groups that ask for several.
+
+def _name_parts(names: DataFrame, ignore_case: bool) -> DataFrame:
+    """names (idx, folder, name, mine) with key, base, ext and count: "a (3).png" is the count 3 of "a" and ".png"; other names are their own base with count 0.
+
+    A count is written as it is counted: of "a (03)" and a count of more than nine digits the whole is the base.
+    """
+    stem_of, ext = F.regexp_replace("name", "(?<=.)\\.[^.]*$", ""), F.regexp_extract("name", "(?<=.)(\\.[^.]*)$", 1)
+    pattern = "(?s)^(.*) \\(([1-9]\\d{0,8})\\)$"
+    counted = F.regexp_extract(stem_of, pattern, 2)
+    base = F.when(counted != "", F.regexp_extract(stem_of, pattern, 1)).otherwise(stem_of)
+    count = F.when(counted != "", counted.cast("long")).otherwise(F.lit(0).cast("long"))
+    key = lambda c: F.lower(c) if ignore_case else c
+    return names.select("idx", "folder", "name", "mine", base.alias("shown"), key(base).alias("base"), key(ext).alias("ext"), ext.alias("shown_ext"), count.alias("count"))
+
+
+def free_names(names: DataFrame, existing: DataFrame | None = None, ignore_case: bool = False) -> DataFrame:
+    """names (idx, folder, name) with free_name: the name itself if it is free in its folder, else with the next count that is.
+
+    existing (folder, name): what is there already. Names are decided by idx, and one that is given counts as taken;
+    ignore_case: by their lower-case form. Null folders are one folder; null names stay null.
+
+    Which counts of a base are taken in the end does not depend on the order, so that they fall into stretches that sorted
+    counts and a running maximum tell apart. A name alone in its stretch keeps its count, and where all of a stretch ask for
+    one count their ranks are the counts; other stretches are walked, with a forest of next free counts, in near-linear time.
+    """
+    mine = names.where("name IS NOT NULL").select("idx", "folder", "name", F.lit(True).alias("mine"))
+    parts = _name_parts(mine, ignore_case)
+    if existing is not None:
+        there = existing.where("name IS NOT NULL").select(F.lit(None).cast(names.schema["idx"].dataType).alias("idx"), "folder", "name", F.lit(False).alias("mine"))
+        parts = parts.unionByName(_name_parts(there, ignore_case).dropDuplicates([*_GROUP, "count"]))
+    parts = parts.withColumn("folder", F.struct(F.col("folder").isNull().alias("none"), "folder"))
+    by_count = Window.partitionBy(*_GROUP).orderBy("count", "mine", "idx")
+    ranked = parts.withColumn("__gap", F.col("count") - F.row_number().over(by_count))
+    ranked = ranked.withColumn("__stretch", F.max("__gap").over(by_count.rowsBetween(Window.unboundedPreceding, 0)))
+    stretch = [*_GROUP, "__stretch"]
+    whole = Window.partitionBy(*stretch)
+    turn = F.row_number().over(whole.orderBy("mine", "idx", "name")) - 1
+    sized = ranked.withColumn("__most", F.max("count").over(whole)).withColumn("__least", F.min("count").over(whole)).withColumn("__turn", turn)
+    same = sized.where("__most = __least").select("idx", "folder", "shown", "shown_ext", "mine", (F.col("__least") + F.col("__turn")).alias("given"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        turn = np.argsort(table.column("__turn").to_numpy(), kind="stable")
+        wanted, given, after = table.column("count").to_numpy(), np.empty(table.num_rows, np.int64), {}
+
+        def free(c: int) -> int:
+            path = []
+            while c in after:
+                path.append(c)
+                c = after[c]
+            for p in path:
+                after[p] = c
+            return c
+
+        for k in turn.tolist():
+            given[k] = c = free(int(wanted[k]))
+            after[c] = c + 1
+        return table.select(["idx", "folder", "shown", "shown_ext", "mine"]).append_column("given", pa.array(given))
+
+    mixed = sized.where("__most > __least").select(*stretch, "idx", "shown", "shown_ext", "mine", "count", "__turn")
+    walked = mixed.groupBy(*stretch).applyInArrow(walk, same.schema)
+    out = same.unionByName(walked).where("mine")
+    name = F.concat("shown", F.when(F.col("given") > 0, F.concat(F.lit(" ("), F.col("given").cast("string"), F.lit(")"))).otherwise(F.lit("")), "shown_ext")
+    return out.select("idx", F.col("folder.folder").alias("folder"), name.alias("free_name")).unionByName(names.where("name IS NULL").select("idx", "folder", F.lit(None).cast("string").alias("free_name")))
+
+
+def finder_names(names: DataFrame, existing: DataFrame | None = None, ignore_case: bool = True) -> DataFrame:
+    """free_names() as macOS counts: "a.png", then "a 2.png" and "a 3.png"; a count in a name that is given is not read.
+
+    "a 2.png" may be what is counted of "a.png" or a name of its own, so that names whose stems differ in trailing counts alone are decided together, in order.
     """
-    base = F.regexp_replace("name", "(?<=.)\\.[^.]*$", "")
-    ext = F.regexp_extract("name", "(?<=.)(\\.[^.]*)$", 1)
-    counted = F.regexp_extract(base, "^(.*) \\((\\d+)\\)$", 1)
-    parts = names.select("idx", "folder", "name", F.when(counted != "", counted).otherwise(base).alias("base"), F.when(counted != "", F.regexp_extract(base, "^(.*) \\((\\d+)\\)$", 2).cast("int")).otherwise(0).alias("count"), ext.alias("ext"))
-    row = F.struct("idx", "name", "count")
-    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<struct<idx:bigint,count:int>>").alias("out"))
-
-    def step(acc, r):
-        # the first count from its own on that no earlier row has; one of the next size+1 is free
-        tries = F.sequence(r["count"], r["count"] + F.size(acc["taken"]))
-        number = F.get(F.filter(tries, lambda n: ~F.array_contains(acc["taken"], n)), F.lit(0))
-        return F.struct(F.array_append(acc["taken"], number).alias("taken"), F.array_append(acc["out"], F.struct(r["idx"].alias("idx"), number.alias("count"))).alias("out"))
-
-    group = ["folder", "base", "ext"]
-    mixed = parts.groupBy(*group).agg((F.min("count") < F.max("count")).alias("mixed"))
-    for key in group:
-        mixed = mixed.withColumnRenamed(key, f"of_{key}")
-    same_group = F.col("folder").eqNullSafe(F.col("of_folder")) & F.col("base").eqNullSafe(F.col("of_base")) & F.col("ext").eqNullSafe(F.col("of_ext"))
-    parts = parts.join(mixed, same_group).select(*group, "idx", "name", "count", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("idx", "name", "count")) - 1
-    ranked = parts.where(~F.col("mixed")).select(*group, F.struct("idx", (F.col("count") + rank).alias("count")).alias("o"))
-    folded = parts.where("mixed").groupBy(*group).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    out = folded.select(*group, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("o")).unionByName(ranked)
-    name = F.concat("base", F.when(F.col("o.count") > 0, F.concat(F.lit(" ("), F.col("o.count").cast("string"), F.lit(")"))).otherwise(F.lit("")), "ext")
-    return out.select("o.idx", "folder", name.alias("free_name"))
+    at = names.schema["idx"].dataType
+    mine = names.where("name IS NOT NULL").select("idx", "folder", "name", F.lit(True).alias("mine"))
+    rows = mine if existing is None else mine.unionByName(existing.where("name IS NOT NULL").select(F.lit(None).cast(at).alias("idx"), "folder", "name", F.lit(False).alias("mine")))
+    stem_of, ext = F.regexp_replace("name", "(?<=.)\\.[^.]*$", ""), F.regexp_extract("name", "(?<=.)(\\.[^.]*)$", 1)
+    key = lambda c: F.lower(c) if ignore_case else c
+    rows = rows.withColumn("stem", stem_of).withColumn("ext", ext).withColumn("__root", key(F.concat(F.regexp_replace("stem", "( \\d+)+$", ""), F.col("ext"))))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("mine", "ascending"), ("idx", "ascending")])
+        form = str.lower if ignore_case else str
+        taken, following, given = set(), {}, []
+        for name, stem_, ext_, mine_ in zip(*(table.column(c).to_pylist() for c in ("name", "stem", "ext", "mine")), strict=True):
+            count, start = following.get(form(stem_ + "/" + ext_), 2), name
+            while form(name) in taken and mine_:
+                name, count = f"{stem_} {count}{ext_}", count + 1
+            if name != start:
+                following[form(stem_ + "/" + ext_)] = count
+            taken.add(form(name))
+            given.append(name)
+        return table.select(["idx", "folder", "mine"]).append_column("free_name", pa.array(given, pa.string()))
+
+    done = rows.groupBy("folder", "__root").applyInArrow(run, rows.select("idx", "folder", "mine", F.col("name").alias("free_name")).schema)
+    return done.where("mine").drop("mine").unionByName(names.where("name IS NULL").select("idx", "folder", F.lit(None).cast("string").alias("free_name")))

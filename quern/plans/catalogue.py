@@ -322,18 +322,18 @@ def expand_without_earlier_outputs(spark: SparkSession, sf_dir: str) -> DataFram
     return conflicts.expanded(V.paths(spark, sf_dir), "suite").select("idx", "path")
 
 
-#: A folder and stem has four paths and some repeats of them, so that inputs clash in every way.
-_DENSE_SQL = V.PATHS_SQL.replace("'/in/d' || (page_id % 5) || '/img' || (page_id // 7 % 40)", "'/in/d' || (page_id % 3) || '/img' || (page_id // 4 % 7 + page_id // 168 * 7)")
+#: A folder and stem has inputs that grow with the pages.
+_DENSE_SQL = V.PATHS_SQL.replace("m // 21", "m % 4")
 
 
 def _dense_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("idx")
-    path = F.concat(F.lit("/in/d"), (n % 3).cast("string"), F.lit("/img"), (F.floor(n / 4) % 7 + F.floor(n / 168) * 7).cast("string"), F.lit("."), F.substring_index("path", ".", -1))
-    return V.paths(spark, sf_dir).withColumn("path", path)
+    paths = V.paths(spark, sf_dir)
+    m = F.col("idx") - F.when(F.col("idx") % 50 == 49, 14).otherwise(0)
+    return paths.withColumn("path", F.concat(P.folder(F.col("path")), F.lit("/img"), (m % 4).cast("string"), F.lit("."), F.substring_index("path", ".", -1)))
 
 
 @_query(
-    _with(_DENSE_SQL, V.CLAIMS_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    _with(V.PATHS_SQL, V.CLAIMS_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
     + """, grouped AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY idx) AS no, min(idx) OVER (PARTITION BY path) AS first, list(path) OVER (PARTITION BY dir, stem) AS inputs FROM claims),
     walk AS (
         SELECT dir, stem, CAST(0 AS BIGINT) AS no, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS VARCHAR) AS reason, CAST([] AS VARCHAR[]) AS taken FROM grouped GROUP BY dir, stem
@@ -345,13 +345,14 @@ def _dense_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT idx, reason FROM walk WHERE reason IS NOT NULL"""
 )
 def conflicts_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.conflicting(_dense_paths(spark, sf_dir), "suite")
+    """Paths as they are: of each folder and stem a file in seven formats, and some paths twice."""
+    return conflicts.conflicting(V.paths(spark, sf_dir), "suite")
 
 
-@_query(ORACLE_SQL["conflicts_greedy"].replace(_DENSE_SQL, V.PATHS_SQL))
+@_query(ORACLE_SQL["conflicts_greedy"].replace(V.PATHS_SQL, _DENSE_SQL))
 def conflicts_of_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths as they are: a folder and stem has inputs that grow with the pages."""
-    return conflicts.conflicting(V.paths(spark, sf_dir), "suite")
+    """A dozen folders and stems, which all inputs share."""
+    return conflicts.conflicting(_dense_paths(spark, sf_dir), "suite")
 
 
 @_query(
@@ -369,18 +370,43 @@ def write_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.write_plan(outputs, p.where("idx % 2 = 0").select("path"), in_place=False, overwrite=False)
 
 
+_NAMES_SQL = """n AS (SELECT l_orderkey * 10 + l_linenumber AS idx, '/d' || l_suppkey % 3 AS folder, 'img' || l_partkey % 200 AS base, CASE WHEN l_linenumber % 3 = 0 THEN l_quantity % 4 ELSE 0 END AS count, CASE WHEN l_tax > 0.04 THEN '.png' ELSE '.jpg' END AS ext FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
+    there AS (SELECT DISTINCT '/d' || l_suppkey % 3 AS folder, 'img' || l_partkey % 200 AS base, CAST(l_quantity % 9 AS BIGINT) AS count, CASE WHEN l_tax > 0.04 THEN '.png' ELSE '.jpg' END AS ext FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')"""
+
+
 @_query(
     _with(V.PATHS_SQL)
     + """SELECT idx, folder, base || CASE WHEN no > 0 THEN ' (' || no || ')' ELSE '' END || '.' || ext AS free_name FROM (
         SELECT *, row_number() OVER (PARTITION BY folder, base, ext ORDER BY idx) - 1 AS no FROM (
-            SELECT idx, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '')[:4] AS base, lower(split_part(path, '.', -1)) AS ext FROM paths))"""
+            SELECT idx, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS base, split_part(path, '.', -1) AS ext FROM paths))"""
 )
 def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names within a folder, each with the next free count."""
-    p = V.paths(spark, sf_dir).select("idx", P.folder(F.col("path")).alias("folder"), F.concat(F.substring(P.stem(F.col("path")), 1, 4), F.lit("."), P.extension(F.col("path"))).alias("name"))
+    """Whole names within a folder, each with the next free count."""
+    p = V.paths(spark, sf_dir).select("idx", P.folder(F.col("path")).alias("folder"), F.substring_index("path", "/", -1).alias("name"))
     return conflicts.free_names(p)
 
 
+@_query(
+    _with(_NAMES_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, o AS (SELECT *, row_number() OVER (PARTITION BY folder, base, ext ORDER BY idx) AS no FROM n),
+    walk AS (SELECT folder, base, ext, CAST(0 AS BIGINT) AS no, CAST(NULL AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS given, coalesce(t.taken, []) AS taken FROM (SELECT DISTINCT folder, base, ext FROM n) LEFT JOIN (SELECT folder, base, ext, list(count) AS taken FROM there GROUP BY ALL) t USING (folder, base, ext)
+        UNION ALL SELECT folder, base, ext, no, idx, given, list_append(taken, given) FROM (
+            SELECT o.folder, o.base, o.ext, o.no, o.idx, w.taken, list_filter(range(CAST(o.count AS BIGINT), CAST(o.count AS BIGINT) + len(w.taken) + 1), lambda c: NOT list_contains(w.taken, c))[1] AS given
+            FROM walk w JOIN o ON o.folder = w.folder AND o.base = w.base AND o.ext = w.ext AND o.no = w.no + 1))
+    SELECT idx, folder, base || CASE WHEN given > 0 THEN ' (' || given || ')' ELSE '' END || ext AS free_name FROM walk WHERE idx IS NOT NULL"""
+)
+def free_names_in_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that ask for several counts of a base, beside those that are in their folders already."""
+    lines = V.table(spark, sf_dir, "lineitem")
+    counted = lambda count: F.concat(F.lit("img"), (F.col("l_partkey") % 200).cast("string"), F.when(count > 0, F.concat(F.lit(" ("), count.cast("long").cast("string"), F.lit(")"))).otherwise(F.lit("")), F.when(F.col("l_tax") > 0.04, ".png").otherwise(".jpg"))
+    folder = F.concat(F.lit("/d"), (F.col("l_suppkey") % 3).cast("string")).alias("folder")
+    before = lambda day: F.col("l_shipdate") < F.lit(day).cast("timestamp_ntz")
+    wanted = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_quantity") % 4).otherwise(0)
+    names = lines.where(before("1998-01-01")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx"), folder, counted(wanted).alias("name"))
+    there = lines.where(~before("1998-01-01")).select(folder, counted(F.col("l_quantity") % 9).alias("name"))
+    return conflicts.free_names(names, there)
+
+
 # --- rights ----------------------------------------------------------------------------------------------------------
 
 
@@ -655,15 +681,6 @@ def no_rights_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.count_if("n").alias("without_rights"), F.count("*").alias("files"))
 
 
-@_query("WITH g AS (SELECT a.range AS concurrency, b.range AS files FROM range(1, 21) a, range(1, 41) b) SELECT concurrency, files, lane, concurrency // lanes + CASE WHEN lane < concurrency % lanes THEN 1 ELSE 0 END AS scorers FROM (SELECT *, least(concurrency, files) AS lanes, unnest(range(least(concurrency, files))) AS lane FROM g)")
-def lane_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How a batch's concurrency is split over its lanes."""
-    grid = spark.range(1, 21).select(F.col("id").alias("concurrency"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long"))).alias("files"))
-    lanes = F.least("concurrency", "files")
-    each = grid.withColumn("lanes", lanes).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), lanes - 1)))
-    return each.select("concurrency", "files", "lane", (F.floor(F.col("concurrency") / F.col("lanes")) + F.when(F.col("lane") < F.col("concurrency") % F.col("lanes"), 1).otherwise(0)).cast("long").alias("scorers"))
-
-
 # --- events ----------------------------------------------------------------------------------------------------------
 
 

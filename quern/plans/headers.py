@@ -160,3 +160,21 @@ def folder_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, _ = _stored(spark, _suppliers(spark, sf_dir), "folder")
     found = ranges.heads_below(spark, root)
     return found.select(F.substr("path", F.lit(len(root) + 1)).alias("path"), detected_format(F.col("head")).alias("format"))
+
+
+@_query("SELECT s_suppkey AS file, CASE WHEN s_suppkey % 2 = 0 THEN md5(s_name || ' new') WHEN s_suppkey % 5 = 1 THEN md5(s_name || ' old') END AS content, CASE WHEN s_suppkey % 2 = 1 AND s_suppkey % 5 <> 1 THEN 'E_READ' END AS error, NULL AS first, 'E_WRITE' AS second FROM supplier")
+def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two saves of files over others: that of even numbers takes place, that of odd ones meets a folder in a file's place and changes nothing."""
+    s = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file"), F.col("s_name").alias("name"))
+    root = local_path(shared_path(spark, "committed"))
+    path = F.concat(F.lit(f"{root}/"), F.col("file").cast("string"), F.lit(".bin"))
+    content = lambda word: F.concat("name", F.lit(word)).cast("binary").alias("content")
+    before = sinks.write_all(s.where("file % 5 = 1").select(path.alias("path"), content(" old")))
+    first = sinks.write_all(s.where("file % 2 = 0").select(path.alias("path"), content(" new")))
+    odd = s.where("file % 2 = 1").select(path.alias("path"), content(" odd"))
+    folder = spark.createDataFrame([(root, b"")], "path string, content binary")
+    second = sinks.write_all(odd.unionByName(folder))
+    if before:
+        raise OSError(f"files were not written below {root}")
+    read = ranges.read_heads(s.select("file", path.alias("path")))
+    return read.select("file", F.md5("head").alias("content"), "error", F.lit(first).cast("string").alias("first"), F.lit(second).alias("second"))

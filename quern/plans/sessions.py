@@ -41,16 +41,29 @@ def relabelled_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.paths(spark, sf_dir).select("idx", compare.relabelled(message, {"/in": "file/0", "/in/d1": "file/1", "/in/d1/img1": "file/2"}).alias("message"))
 
 
+@_query(
+    _with(V.PATHS_SQL)
+    + """, f AS (SELECT path, 'file/' || row_number() OVER (ORDER BY min(idx), path) || '/' || split_part(path, '/', -1) AS ref FROM paths GROUP BY path)
+    SELECT idx, 'cannot read ' || ref || ', ' || ref || '.bak and ' || regexp_extract(path, '^(.*)/[^/]*$', 1) || '; not' || ref || path[1:4] AS message FROM paths JOIN f USING (path)"""
+)
+def relabelled_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the paths of all opened files in them replaced by their refs."""
+    paths = V.paths(spark, sf_dir)
+    p = F.col("path")
+    message = F.concat(F.lit("cannot read "), p, F.lit(", "), p, F.lit(".bak and "), P.folder(p), F.lit("; not"), p, F.substring(p, 1, 4))
+    return compare.relabelled_by(paths.select("idx", message.alias("message")), compare.opened_files(paths.select("idx", "path")).select("path", "ref"))
+
+
 @_query(
     _with(V.FILES_SQL)
     + """SELECT coalesce(k.ref, n.ref) AS ref, CASE WHEN n.ref IS NOT NULL AND (k.ref IS NULL OR n.version >= k.version) THEN n.version ELSE k.version END AS version, CASE WHEN n.ref IS NOT NULL AND (k.ref IS NULL OR n.version >= k.version) THEN n.state ELSE k.state END AS state
-    FROM (SELECT file AS ref, width % 50 AS version, 'known' AS state FROM files WHERE file % 3 <> 0) k FULL JOIN (SELECT file AS ref, height % 50 AS version, 'new' AS state FROM files WHERE file % 2 = 0) n USING (ref)"""
+    FROM (SELECT file AS ref, width % 50 AS version, 'known' AS state FROM files WHERE file % 3 <> 0) k FULL JOIN (SELECT file AS ref, height % 50 AS version, 'new' AS state FROM files WHERE file % 3 <> 1) n USING (ref)"""
 )
 def upserted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opened files meet those that are known: the larger version stays, the new one of equal ones."""
+    """Opened files meet those that are known, a third on both sides: the larger version stays, the new one of equal ones."""
     f = V.files(spark, sf_dir)
     row = lambda side, state: (F.col("file").alias("ref"), (F.col(side) % 50).alias("version"), F.lit(state).alias("state"))
-    return compare.upserted(f.where("file % 3 <> 0").select(*row("width", "known")), f.where("file % 2 = 0").select(*row("height", "new")))
+    return compare.upserted(f.where("file % 3 <> 0").select(*row("width", "known")), f.where("file % 3 <> 1").select(*row("height", "new")))
 
 
 @_query(_with(V.CANDIDATES_SQL) + "SELECT file, array_to_string(list(CASE WHEN ord % 2 = 0 THEN bytes // 2 ELSE bytes END ORDER BY ord), ',') AS outputs FROM candidates GROUP BY file")
@@ -209,14 +222,6 @@ def queued_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.image_states(V.events(spark, sf_dir)).where("state = 'queued'").select("user", "version")
 
 
-@_query("SELECT s.range AS scorers, n.range AS searches, b.range AS backgrounds, CAST(greatest(0, s.range // (n.range * b.range) - 1) AS BIGINT) AS spare FROM range(0, 33) s, range(1, 9) n, range(1, 3) b")
-def spare_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far searches may run ahead, for all small pools."""
-    up_to = lambda a, b: F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long")))
-    grid = spark.range(33).select(F.col("id").alias("scorers"), up_to(1, 8).alias("searches")).withColumn("backgrounds", up_to(1, 2))
-    return grid.withColumn("spare", compare.spare_attempts(F.col("scorers"), F.col("searches"), F.col("backgrounds")))
-
-
 # --- settings, names and terminal text -------------------------------------------------------------------------------
 
 

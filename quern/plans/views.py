@@ -58,25 +58,24 @@ FILES_SQL = """files AS (
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(idx, path, format, scanned) from pages: names collide, extensions vary in case, a seventh has no known format."""
-    number = F.col("page_id")
+    """(idx, path, format, scanned) from pages: each name stands in three folders and seven extensions, of which one has no known format; every fiftieth path is an earlier one."""
+    m = F.col("page_id") - F.when(F.col("page_id") % 50 == 49, 14).otherwise(0)
     ext = F.array(*[F.lit(x) for x in ("png", "JPG", "jpeg", "webp", "avif", "svg", "txt")])
-    named = F.get(ext, (number % 7).cast("int"))
-    path = F.concat(F.lit("/in/d"), (number % 5).cast("string"), F.lit("/"), F.lit("img"), (F.floor(number / 7) % 40).cast("string"), F.lit("."), named)
-    kind = F.when(number % 7 == 0, "png").when((number % 7).isin(1, 2), "jpeg").when(number % 7 == 3, "webp").when(number % 7 == 4, "avif").when(number % 7 == 5, "svg")
-    return table(spark, sf_dir, "pages").select(number.alias("idx"), path.alias("path"), kind.alias("format"), (number % 3 == 0).alias("scanned"))
+    path = F.concat(F.lit("/in/d"), (F.floor(m / 7) % 3).cast("string"), F.lit("/img"), F.floor(m / 21).cast("string"), F.lit("."), F.get(ext, (m % 7).cast("int")))
+    kind = F.when(m % 7 == 0, "png").when((m % 7).isin(1, 2), "jpeg").when(m % 7 == 3, "webp").when(m % 7 == 4, "avif").when(m % 7 == 5, "svg")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), path.alias("path"), kind.alias("format"), (F.col("page_id") % 3 == 0).alias("scanned"))
 
 
 PATHS_SQL = """paths AS (
-    SELECT page_id AS idx, '/in/d' || (page_id % 5) || '/img' || (page_id // 7 % 40) || '.' || (['png', 'JPG', 'jpeg', 'webp', 'avif', 'svg', 'txt'])[page_id % 7 + 1] AS path,
-        (['png', 'jpeg', 'jpeg', 'webp', 'avif', 'svg', NULL])[page_id % 7 + 1] AS format, page_id % 3 = 0 AS scanned
-    FROM pages)"""
+    SELECT page_id AS idx, '/in/d' || (m // 7 % 3) || '/img' || (m // 21) || '.' || (['png', 'JPG', 'jpeg', 'webp', 'avif', 'svg', 'txt'])[m % 7 + 1] AS path,
+        (['png', 'jpeg', 'jpeg', 'webp', 'avif', 'svg', NULL])[m % 7 + 1] AS format, page_id % 3 = 0 AS scanned
+    FROM (SELECT page_id, page_id - CASE WHEN page_id % 50 = 49 THEN 14 ELSE 0 END AS m FROM pages))"""
 
 #: A path's folder, stem and claimed paths in suite mode.
 CLAIMS_SQL = """claims AS (
-    SELECT idx, path, format, scanned, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS stem, kinds,
-        list_distinct(list_transform(kinds, lambda k: regexp_extract(path, '^(.*)\\.[^.]*$', 1) || '.' || CASE WHEN k = format THEN regexp_extract(path, '\\.([^.]*)$', 1) WHEN k = 'jpeg' THEN 'jpg' ELSE k END)) AS claims
-    FROM (SELECT *, CASE WHEN format IS NULL THEN [] WHEN format = 'svg' THEN ['svg'] ELSE ['avif', 'webp', 'jpeg', 'png'] END AS kinds FROM paths))"""
+    SELECT idx, path, format, scanned, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', '') AS stem, kinds, list_filter(named, lambda c, i: list_position(named, c) = i) AS claims
+    FROM (SELECT *, list_transform(kinds, lambda k: regexp_extract(path, '^(.*)\\.[^.]*$', 1) || '.' || CASE WHEN k = format THEN regexp_extract(path, '\\.([^.]*)$', 1) WHEN k = 'jpeg' THEN 'jpg' ELSE k END) AS named
+        FROM (SELECT *, CASE WHEN format IS NULL THEN [] WHEN format = 'svg' THEN ['svg'] ELSE ['avif', 'webp', 'jpeg', 'png'] END AS kinds FROM paths)))"""
 
 
 def rights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+
+from quern.shared import open_fs
 
 
 def write_staged(outputs: DataFrame) -> DataFrame:
@@ -49,6 +54,108 @@ def write_staged(outputs: DataFrame) -> DataFrame:
     return outputs.select("file", "path", "content").groupBy("file").applyInArrow(run, f"file {kind}, written long, error string")
 
 
+@dataclass
+class _Staged(WriterCommitMessage):
+    """What a task has written: (staged, target) for each file."""
+
+    files: list[tuple[str, str]]
+
+
+class FileSink(DataSource):
+    """df.write.format("quern_files").mode("append").save(): rows (path, content) as files, on the file systems that paths name, all of them or none.
+
+    Tasks write each file beside its place, under a hidden name of their own. When all tasks have ended well, the driver
+    renames them; should one fail to take its place, those before it leave theirs and what stood there comes back. A failed
+    or lost task leaves hidden files at most, which abort() removes. Of rows that repeat a path one is written. Where several
+    files have a path that can't be written nothing is, and the write raises E_WRITE.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "quern_files"
+
+    def schema(self) -> str:
+        return "path string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FileWriter([f.name for f in schema.fields])
+
+
+class _FileWriter(DataSourceWriter):
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        done: dict[str, str] = {}
+        try:
+            for row in iterator:
+                path, content = row["path"], bytes(row["content"] or b"")
+                fs, target = open_fs(path)
+                staged = os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.{uuid.uuid4().hex}.part")
+                fs.create_dir(os.path.dirname(target), recursive=True)
+                if path in done:
+                    continue
+                done[path] = staged
+                with fs.open_output_stream(staged) as out:
+                    out.write(content)
+        except Exception as e:
+            self._remove(done.items())
+            raise OSError(f"E_WRITE: {e}") from e
+        return _Staged([(staged, path) for path, staged in done.items()])
+
+    def _remove(self, files) -> None:
+        for path, staged in files:
+            with contextlib.suppress(OSError):
+                open_fs(path)[0].delete_file(staged)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow.fs import FileType
+
+        files = {path: staged for m in messages if m is not None for staged, path in m.files}
+        moved: list[tuple] = []
+        try:
+            for path, staged in files.items():
+                fs, target = open_fs(path)
+                kind = fs.get_file_info(target).type
+                if kind == FileType.Directory:
+                    raise OSError(f"{path} is a folder")
+                old = f"{staged}.old" if kind == FileType.File else None
+                if old:
+                    fs.move(target, old)
+                moved.append((fs, old, target))
+                fs.move(staged, target)
+        except Exception as e:
+            for fs, old, target in reversed(moved):
+                with contextlib.suppress(OSError):
+                    fs.delete_file(target)
+                if old:
+                    fs.move(old, target)
+            self._remove(files.items())
+            raise OSError(f"E_WRITE: {e}") from e
+        for fs, old, _ in moved:
+            if old:
+                with contextlib.suppress(OSError):
+                    fs.delete_file(old)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._remove([(path, staged) for m in messages if m is not None for staged, path in m.files])
+
+
+def write_all(outputs: DataFrame) -> str | None:
+    """Write the files of outputs (path, content), all of them or none; E_WRITE if they could not be. Their number alone bounds what the driver holds: a path each."""
+    from quern import reachable
+
+    reachable(outputs.sparkSession)
+    outputs.sparkSession.dataSource.register(FileSink)
+    try:
+        outputs.select("path", "content").write.format("quern_files").mode("append").save()
+    except Exception as e:
+        if "E_WRITE" in str(e):
+            return "E_WRITE"
+        raise
+    return None
+
+
 def existing(paths: DataFrame) -> DataFrame:
     """The rows of paths (path) that are files or folders now, as tasks see them."""
 

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -179,3 +181,53 @@ def test_wrapped_lines_fit(spark):
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(X.wrapped(F.col("t"))).collect()]
     assert got[:2] == ["  ", "  one"] and got[3] == "  " + "x" * 100 + "\n  y"
     assert all(len(line) <= 80 for line in got[2].split("\n")) and got[2].replace("\n ", "")[2:] == texts[2]
+
+
+def plain_free_names(names, existing, finder, ignore_case):
+    """Names one after the other, as they are asked for."""
+    form = str.lower if ignore_case else str
+    taken = {(f, form(n)) for f, n in existing}
+    out = []
+    for folder, name in names:
+        stem, dot, ext = name.rpartition(".") if name.rfind(".") > 0 else (name, "", "")
+        counted = None if finder else re.match(r"(?s)^(.*) \(([1-9]\d{0,8})\)$", stem)
+        base, count = (counted[1], int(counted[2]) + 1) if counted else (stem, 2 if finder else 1)
+        free = name
+        while (folder, form(free)) in taken:
+            free, count = (f"{base} {count}{dot}{ext}" if finder else f"{base} ({count}){dot}{ext}"), count + 1
+        taken.add((folder, form(free)))
+        out.append(free)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("finder", [False, True])
+def test_free_names_are_those_of_one_after_the_other(spark, seed, finder):
+    r = random.Random(seed)
+    count = lambda: r.choice(["", "", *([f" {r.randrange(2, 5)}", f" {r.randrange(2, 5)} 2"] if finder else [f" ({r.randrange(1, 6)})", " (02)"])])
+    some = lambda n: [(r.choice("de"), r.choice(["a", "A", "b.c", ".x", "a (1) (2)"]) + count() + r.choice([".png", ".PNG", ""])) for _ in range(n)]
+    names, there = some(150), some(40)
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(names)], "idx long, folder string, name string")
+    existing = spark.createDataFrame(there, "folder string, name string")
+    give = conflicts.finder_names if finder else conflicts.free_names
+    for ignore_case in (False, True):
+        got = [x["free_name"] for x in give(frame, existing, ignore_case).orderBy("idx").collect()]
+        assert got == plain_free_names(names, there, finder, ignore_case)
+    assert [x["free_name"] for x in give(frame, ignore_case=False).orderBy("idx").collect()] == plain_free_names(names, [], finder, False)
+    odd = spark.createDataFrame([(0, None, "a"), (1, None, "a"), (2, "d", None)], "idx long, folder string, name string")
+    assert [x["free_name"] for x in give(odd).orderBy("idx").collect()] == ["a", "a 2" if finder else "a (1)", None]
+
+
+def test_a_large_mixed_group_of_names_takes_time_in_proportion(spark):
+    names = spark.range(100_000).selectExpr("id AS idx", "'d' AS folder", "concat('a', CASE WHEN id % 3 = 0 THEN concat(' (', id % 7 + 1, ')') ELSE '' END, '.png') AS name")
+    began = time.time()
+    got = conflicts.free_names(names)
+    assert got.select("free_name").distinct().count() == 100_000 and time.time() - began < 60
+
+
+def test_paths_of_a_table_are_replaced_in_one_pass(spark):
+    refs = [("/a/b.png", "file/1"), ("/a/b.png.png", "file/2"), ("/a", "A"), ("file", "no"), ("/a/b.png", "file/0"), ("", "x"), (None, "y")]
+    messages = [(1, "x /a/b.png, /a/b.png.png /a/b.pn"), (2, "/a/a//a"), (3, ""), (4, None), (5, "no path"), (1, "file/a/b.png")]
+    got = compare.relabelled_by(spark.createDataFrame(messages, "id long, message string"), spark.createDataFrame(refs, "path string, ref string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "x file/0, file/2 A/b.pn"), (2, "AA/A"), (3, ""), (4, None), (5, "no path"), (1, "nofile/0")], key=repr)
+    assert compare.relabelled_by(got, spark.createDataFrame([], "path string, ref string")).count() == 6
