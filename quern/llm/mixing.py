@@ -3,7 +3,8 @@
 Every document of a source has the same fractional number of copies. Its whole part is taken; the fraction, as a mass of
 words, is rounded in pairs: mass moves from one of the two to the other, in a direction drawn so that neither gains on
 average, until one is integral, and the other meets the next. Leaves of a source are rounded on their own, and the documents
-they leave open are combined through a tree. At its root the last one is drawn, and a few small documents make up for it.
+they leave open are combined through a tree. At its root the largest are settled first, against all smaller ones together, so
+that the one document that is drawn at last is small.
 """
 
 from __future__ import annotations
@@ -26,19 +27,21 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def capped_targets(sizes: list[float], weights: list[float], cap: float = MOST_COPIES) -> list[float]:
-    """Shares of sum(sizes) by weight, none above cap times its size; the excess of those is shared by weight among the rest."""
-    total, out, open_ = float(sum(sizes)), [0.0] * len(sizes), [i for i in range(len(sizes)) if sizes[i] > 0]
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        over = [i for i in open_ if total * weights[i] / weight > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = total * weights[i] / weight
+    """Shares of sum(sizes) by weight, none above cap times its size; the excess of those is shared by weight among the rest.
+
+    What a unit of weight gets only rises as sources stop at their caps, so that they do so in order of size by weight: one pass over them, sorted.
+    """
+    out, total = [0.0] * len(sizes), float(sum(sizes))
+    order = sorted((i for i in range(len(sizes)) if sizes[i] > 0), key=lambda i: cap * sizes[i] / weights[i])
+    weight = sum(weights[i] for i in order)
+    for at, i in enumerate(order):
+        if total * weights[i] / weight <= cap * sizes[i]:
+            for j in order[at:]:
+                out[j] = total * weights[j] / weight
             break
-        for i in over:
-            out[i] = cap * sizes[i]
-            total -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
+        out[i] = cap * sizes[i]
+        total -= out[i]
+        weight -= weights[i]
     return out
 
 
@@ -67,14 +70,14 @@ def pivot(size: np.ndarray, mass: np.ndarray, chance: np.ndarray, keep: np.ndarr
     """
     up, mass, left = np.full(len(size), -1, np.int8), mass.astype(float).copy(), -1
 
-    def settle(i: int) -> bool:
+    def integral(i: int) -> bool:
         if mass[i] <= _EXACT or mass[i] >= size[i] - _EXACT:
             up[i] = size[i] > 0 and mass[i] >= size[i] - _EXACT
             return True
         return False
 
     for j in np.flatnonzero(~keep).tolist():
-        if settle(j):
+        if integral(j):
             continue
         if left < 0:
             left = j
@@ -83,23 +86,34 @@ def pivot(size: np.ndarray, mass: np.ndarray, chance: np.ndarray, keep: np.ndarr
         move = gain if chance[j] < loss / (gain + loss) else -loss
         mass[left] += move
         mass[j] -= move
-        done = settle(j)
-        if settle(left):
+        done = integral(j)
+        if integral(left):
             left = -1 if done else j
     return up, mass
 
 
-def finish(size: np.ndarray, before: np.ndarray, mass: np.ndarray, up: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Draw what pivot() left over; then documents that can be either way change, the largest that fit first, until what it missed is made up."""
-    up = up.copy()
-    for i in np.flatnonzero(up < 0).tolist():
-        up[i] = chance[i] * 9973 % 1 < mass[i] / size[i]
-        missed = mass[i] - size[i] * up[i]
-        for j in np.flatnonzero((before > _EXACT) & (before < size - _EXACT)).tolist():
-            if j != i and size[j] <= abs(missed) and up[j] == (missed < 0):
-                missed -= size[j] if missed > 0 else -size[j]
-                up[j] = 1 - up[j]
-    return up
+def settle(size: np.ndarray, mass: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Round all masses (of documents in order of falling size) to 1 or 0, the largest first, each on average as it is.
+
+    A document is paired with all smaller open ones together: mass moves between it and them, shared out by what each can
+    give and take, in a direction drawn so that none gains on average, until it is integral. So what is open at last is small,
+    and only that one document's draw moves the sum.
+    """
+    mass, left = mass.astype(float).copy(), np.random.default_rng(np.frombuffer(chance.tobytes(), np.uint32))
+    for i in range(len(size)):
+        while _EXACT < mass[i] < size[i] - _EXACT:
+            rest, full = mass[i + 1 :], size[i + 1 :]
+            room = np.minimum(rest, full - rest)
+            room[room <= _EXACT] = 0
+            all_of = room.sum()
+            if all_of <= _EXACT:
+                mass[i] = size[i] if left.random() < mass[i] / size[i] else 0.0
+                break
+            up, down = min(size[i] - mass[i], all_of), min(mass[i], all_of)
+            move = up if left.random() < down / (up + down) else -down
+            mass[i] += move
+            rest -= room * (move / all_of)
+    return ((size > 0) & (mass >= size - _EXACT)).astype(np.int8)
 
 
 def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: int = 17) -> DataFrame:
@@ -126,10 +140,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         order = np.lexsort((table.column("doc_id").fill_null(-1).to_numpy(), chance, -size))
         s, m, u, root = size[order], mass[order], chance[order], table.column("leaves")[0].as_py() <= 1
         keep = np.zeros(len(s), bool)
-        if not root:
-            keep[np.linspace(0, len(s) - 1, min(OPEN_ROWS, len(s))).astype(int)] = True
-        up, after = pivot(s, m, u, keep)
-        up = finish(s, m, after, up, u) if root else up
+        keep[np.linspace(0, len(s) - 1, min(OPEN_ROWS, len(s))).astype(int)] = True
+        up, after = pivot(s, m, u, keep) if not root else (settle(s, m, u), m)
         out, masses = np.empty_like(up), np.empty_like(after)
         out[order], masses[order] = up, after
         return table.set_column(table.schema.get_field_index("mass"), "mass", pa.array(masses)).append_column("up", pa.array(out))

@@ -22,26 +22,63 @@ def test_pairs_keep_their_mass():
     assert (up[keep] == -1).all() and (up[~keep] == -1).sum() <= 1
 
 
-def test_what_the_last_pair_misses_is_made_up():
+def test_targets_are_those_of_plain_rounds():
+    def plain(sizes, weights, cap=3.0):
+        total, out, open_ = float(sum(sizes)), [0.0] * len(sizes), {i for i in range(len(sizes)) if sizes[i] > 0}
+        while open_:
+            weight = sum(weights[i] for i in open_)
+            over = {i for i in open_ if total * weights[i] / weight > cap * sizes[i]}
+            if not over:
+                return [total * weights[i] / weight if i in open_ else out[i] for i in range(len(sizes))]
+            for i in over:
+                out[i] = cap * sizes[i]
+            total -= sum(out[i] for i in over)
+            open_ -= over
+        return out
+
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(r.integers(1, 30))
+        sizes, weights = np.floor(10 ** r.uniform(0, 5, n)).tolist(), [1.0 + i % 3 for i in range(n)]
+        assert mixing.capped_targets(sizes, weights) == pytest.approx(plain(sizes, weights))
+    many = np.floor(10 ** r.uniform(0, 5, 200_000)).tolist()
+    assert sum(mixing.capped_targets(many, [1.0 + i % 3 for i in range(len(many))])) == pytest.approx(sum(many))
+
+
+def test_what_is_drawn_at_last_is_small():
     r = np.random.default_rng(3)
     for share in (0.3, 0.4, 0.7):
-        size = np.sort(np.append(r.integers(1, 60, 200), 900).astype(float))[::-1]
-        up, mass = mixing.pivot(size, size * share, r.random(201), np.zeros(201, bool))
-        up = mixing.finish(size, size * share, mass, up, r.random(201))
-        assert set(up.tolist()) <= {0, 1} and abs((up * size).sum() - size.sum() * share) <= 60
+        for _ in range(20):
+            size = np.sort(np.append(r.integers(1, 60, 200), (900, 700)).astype(float))[::-1]
+            up = mixing.settle(size, size * share, r.random(202))
+            assert set(up.tolist()) <= {0, 1} and abs((up * size).sum() - size.sum() * share) <= 60
+    assert mixing.settle(np.array([0.0, 0.0]), np.zeros(2), r.random(2)).tolist() == [0, 0]
 
 
 def test_rounding_is_fair():
     r = np.random.default_rng(2)
-    # making up for the last document moves a little between documents of unlike sizes
-    for size, most in ((np.full(4, 10.0), 0.03), (np.array([30.0, 20.0, 19.0, 18.0]), 0.06)):
-        none = np.zeros(4, bool)
-        ups = []
-        for _ in range(4000):
-            u = r.random(4)
-            up, mass = mixing.pivot(size, size * 0.3, u, none)
-            ups.append(mixing.finish(size, size * 0.3, mass, up, r.random(4)))
-        assert np.abs(np.mean(ups, axis=0) - 0.3).max() < most
+    for size, mass in ((np.full(4, 10.0), np.full(4, 3.0)), (np.array([30.0, 20.0, 19.0, 18.0]), np.array([9.0, 15.0, 1.0, 6.0])), (np.array([900.0, 20.0, 19.0, 1.0]), np.array([500.0, 3.0, 4.0, 0.5]))):
+        ups = np.array([mixing.settle(size, mass, r.random(4)) for _ in range(6000)])
+        assert np.abs(ups.mean(axis=0) - mass / size).max() < 0.025
+        pairs = np.array([(u == 1) + 0.0 + (u < 0) * m / size for u, m in (mixing.pivot(size, mass, r.random(4), np.zeros(4, bool)) for _ in range(6000))])
+        assert np.abs(pairs.mean(axis=0) - mass / size).max() < 0.025
+
+
+def test_a_source_is_fair_over_its_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 8)
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    monkeypatch.setattr(mixing, "OPEN_ROWS", 2)
+    docs = spark.createDataFrame([(i, "a" if i < 60 else "b", "w " * (1 + i % 17)) for i in range(80)], "doc_id long, source string, text string")
+    ups, sums = np.zeros(80), []
+    for seed in range(25):
+        got = sorted(mixing.mixed(docs, seed=seed).collect(), key=lambda x: x["doc_id"])
+        ups += [x["copies"] for x in got]
+        sums.append([sum(x["taken"] for x in got if x["source"] == s) for s in "ab"])
+    rates = [x["target"] / x["source_size"] for x in got]
+    targets = [next(x["target"] for x in got if x["source"] == s) for s in "ab"]
+    # each document as often as its source asks for, within four standard errors of its sum over runs; no run far from its target
+    assert np.abs(ups / 25 - rates).max() < 4 * 0.5 / 5 and abs((ups / 25 - rates).mean()) < 0.05
+    assert np.abs(np.array(sums) - targets).max() <= 17
 
 
 def test_sources_come_near_their_targets_over_many_leaves(spark):
