@@ -121,6 +121,12 @@ def zoomed_about(centre: Column, point: Column, zoom: Column, new_zoom: Column)
     return point + (centre - point) * zoom / new_zoom
 
 
+def capped_width(widths: Column, width: Column) -> Column:
+    """The narrowest of a file's outputs where a run made it narrower than the original, else null."""
+    narrowest = F.array_min(widths)
+    return F.when(narrowest < width, narrowest)
+
+
 def is_comparable(outputs: Column, width: Column, height: Column) -> Column:
     """Whether a result has outputs and a known size."""
     return (F.coalesce(F.size(outputs), F.lit(0)) > 0) & width.isNotNull() & height.isNotNull()

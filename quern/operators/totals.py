@@ -36,6 +36,26 @@ def report_rows(outputs: DataFrame) -> DataFrame:
     return outputs.withColumn("shown", F.when(F.row_number().over(order) == 1, F.col("name")).otherwise("")).join(F.broadcast(width)).withColumn("cell", F.rpad("shown", F.col("width"), F.lit(" "))).drop("shown")
 
 
+def report_lines(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """rows with line: the columns as text, two spaces apart, each as wide as its longest value; columns gives "left" or "right" by name. Nulls are empty; blanks at a line's end go."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+    widths = rows.agg(*[F.coalesce(F.max(F.length(t)), F.lit(0)).alias(f"__{c}") for c, t in text.items()])  # one row
+    pad = {"left": F.rpad, "right": F.lpad}
+    cells = [pad[side](text[c], F.col(f"__{c}"), F.lit(" ")) for c, side in columns.items()]
+    return rows.join(F.broadcast(widths)).withColumn("line", F.rtrim(F.concat_ws("  ", *cells))).drop(*[f"__{c}" for c in columns])
+
+
+def without_code(warnings: Column, code: str) -> Column:
+    """Warnings (an array of struct(code, message)) but those of one code, which a summary tells of."""
+    return F.filter(warnings, lambda w: w["code"] != code)
+
+
+def notes(warnings: Column, hints: dict[str, str]) -> Column:
+    """A line for each warning, after two blanks, with a hint where its code has one; repeats once."""
+    hint = lambda w: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in hints.items() for x in pair]), w["code"]), F.lit("")) if hints else F.lit("")
+    return F.array_join(F.transform(F.array_distinct(warnings), lambda w: F.concat(F.lit("  "), w["message"], F.when(hint(w) != "", F.concat(F.lit(" ("), hint(w), F.lit(")"))).otherwise(F.lit("")))), "\n")
+
+
 def warnings_by_code(files: DataFrame) -> DataFrame:
     """files (file, warnings array of struct(code, message)) to (code, files, warnings): repeats within a file count once."""
     each = files.select("file", F.explode(F.array_distinct("warnings")).alias("w"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import paths as P
 from quern.functions import text as X
-from quern.operators import conflicts, geometry, ranges, rights, search, select, totals
+from quern.operators import compare, conflicts, geometry, ranges, rights, search, select, totals
 from quern.plans import views as V
 from quern.schemas import DEFAULT_TARGET, QUALITIES, RIGHTS_FIELDS
 from quern.sources import sniff
@@ -675,6 +675,31 @@ def warnings_with_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _warned(spark, sf_dir).select("file", F.concat("w.message", F.coalesce(hint, F.lit(""))).alias("text")).distinct()
 
 
+_SHOWN = "code <> 'W_NO_RIGHTS'"
+
+
+@_query(_with(_WARN) + f"""SELECT file, string_agg('  ' || message || CASE code WHEN 'W_OUTPUT_EXISTS' THEN ' ({HINTS["W_OUTPUT_EXISTS"]})' ELSE '' END, chr(10) ORDER BY code, message) FILTER ({_SHOWN}) AS notes FROM (SELECT DISTINCT file, code, message FROM warned) GROUP BY file""")
+def notes_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes below each file of a report, without the code that its last line counts."""
+    files = _warned(spark, sf_dir).groupBy("file").agg(F.array_sort(F.collect_set("w")).alias("warnings"))  # a file's warnings
+    return files.select("file", F.nullif(totals.notes(totals.without_code(F.col("warnings"), "W_NO_RIGHTS"), HINTS), F.lit("")).alias("notes"))
+
+
+@_query(_with(V.FILES_SQL) + ", w AS (SELECT max(length(input_format)) AS a, max(length(file)) AS b, max(length(width)) AS c FROM (SELECT CAST(file AS VARCHAR) AS file, input_format, CAST(width AS VARCHAR) AS width FROM files)) SELECT file, rtrim(rpad(input_format, CAST(a AS INTEGER), ' ') || '  ' || lpad(CAST(file AS VARCHAR), CAST(b AS INTEGER), ' ') || '  ' || CASE WHEN file % 7 = 0 THEN '' ELSE CAST(width AS VARCHAR) END) AS line FROM files, w")
+def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a table, one column to the left, one to the right, one that is empty at times."""
+    rows = V.files(spark, sf_dir).select("file", "input_format", F.when(F.col("file") % 7 != 0, F.col("width")).alias("shown"))
+    return totals.report_lines(rows, {"input_format": "left", "file": "right", "shown": "left"}).select("file", "line")
+
+
+@_query(_with(V.CANDIDATES_SQL, V.FILES_SQL) + "SELECT file, CASE WHEN min(w) < any_value(width) THEN min(w) END AS capped FROM (SELECT file, width, least(width, 4000 + bytes % 9000) AS w FROM candidates JOIN files USING (file)) GROUP BY file")
+def capped_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The width that a file's outputs were capped at."""
+    w = V.candidates(spark, sf_dir).join(V.files(spark, sf_dir), "file").select("file", "width", F.least("width", 4000 + F.col("bytes") % 9000).alias("w"))
+    outputs = w.groupBy("file", "width").agg(F.collect_list("w").alias("widths"))  # an order's lines, seven at most
+    return outputs.select("file", compare.capped_width(F.col("widths"), F.col("width")).alias("capped"))
+
+
 @_query(_with(_WARN) + "SELECT count(*) FILTER (n) AS without_rights, count(*) AS files FROM (SELECT file, bool_or(code = 'W_NO_RIGHTS') AS n FROM warned GROUP BY file)")
 def no_rights_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _warned(spark, sf_dir).groupBy("file").agg(F.bool_or(F.col("w.code") == "W_NO_RIGHTS").alias("n"))

@@ -10,7 +10,8 @@ from quern.plans import views as V
 from quern.plans.catalogue import _query, _with
 from quern.shared import local_path, shared_path
 from quern.sources import headers, ranges
-from quern.sources.sniff import detected_format
+from quern.sources.files import expand_arguments
+from quern.sources.sniff import container_rows, detected_format
 
 
 def _be(value, width: int) -> Column:
@@ -178,3 +179,34 @@ def committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise OSError(f"files were not written below {root}")
     read = ranges.read_heads(s.select("file", path.alias("path")))
     return read.select("file", F.md5("head").alias("content"), "error", F.lit(first).cast("string").alias("first"), F.lit(second).alias("second"))
+
+
+@_query(
+    _with(V.FILES_SQL, _FACTS_SQL)
+    + """, parts AS (SELECT file, list_filter([{'kind': 'IHDR', 'n': 13}, CASE WHEN k = 0 AND m % 3 = 0 THEN {'kind': 'tRNS', 'n': 6} END, CASE WHEN k = 0 AND m % 2 = 0 THEN {'kind': 'tEXt', 'n': 12} END, CASE WHEN k = 0 AND m % 2 = 1 THEN {'kind': 'iTXt', 'n': 26} END,
+        CASE WHEN k = 0 AND m % 9 > 0 THEN {'kind': 'eXIf', 'n': 26} END, CASE WHEN k = 0 AND m % 11 = 0 THEN {'kind': 'acTL', 'n': 8} END, CASE WHEN k = 0 THEN {'kind': 'IDAT', 'n': 2} END, CASE WHEN k = 0 THEN {'kind': 'IEND', 'n': 0} END], lambda x: x IS NOT NULL) AS p FROM facts WHERE k IN (0, 6))
+    SELECT file AS id, CAST(i - 1 AS INTEGER) AS number, p[i].kind AS kind, CAST(8 + list_sum(list_transform(p[1:i], lambda x: x.n + 12)) - p[i].n - 12 AS BIGINT) AS start, CAST(8 + list_sum(list_transform(p[1:i], lambda x: x.n + 12)) AS BIGINT) AS "end", CAST(p[i].n AS BIGINT) AS bytes
+    FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM parts)"""
+)
+def png_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of PNGs that were put together from columns."""
+    made = _made(spark, sf_dir).where("file % 8 IN (0, 6)").withColumnRenamed("file", "id")
+    return container_rows(made, "png")
+
+
+@_query(
+    """WITH f AS (SELECT s_suppkey AS id, '/d' || s_suppkey % 4 || '/' || s_suppkey || '.' || ['png', 'WEBP', 'txt'][s_suppkey % 3 + 1] AS path, CAST(octet_length(encode(s_name)) AS BIGINT) AS length FROM supplier)
+    SELECT 0 AS argument, path, length, 'o' AS out_dir, true AS scanned, NULL AS error FROM f WHERE id % 4 = 1 AND id % 3 < 2
+    UNION ALL SELECT 1, path, length, 'o/d' || id % 4, true, NULL FROM f WHERE id % 4 IN (0, 2) AND id % 3 = 1
+    UNION ALL SELECT 2, path, length, 'o', false, NULL FROM f WHERE id = 2 UNION ALL SELECT 3, '/none.png', NULL, 'o', false, 'E_READ' UNION ALL SELECT 4, '/d9/*.png', NULL, 'o', false, 'E_READ'"""
+)
+def arguments_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder, a pattern, a name and two that nothing answers to, as one list of inputs."""
+    root = local_path(shared_path(spark, "arguments"))
+    at = F.col("s_suppkey")
+    path = F.concat(F.lit(f"{root}/d"), (at % 4).cast("string"), F.lit("/"), at.cast("string"), F.lit("."), F.element_at(F.array(F.lit("png"), F.lit("WEBP"), F.lit("txt")), (at % 3 + 1).cast("int")))
+    if sinks.write_all(V.table(spark, sf_dir, "supplier").select(path.alias("path"), F.col("s_name").cast("binary").alias("content"))):
+        raise OSError(f"files were not written below {root}")
+    arguments = [f"{root}/d1", f"{root}/{{d0,d2}}/*.WEBP", f"{root}/d2/2.txt", f"{root}/none.png", f"{root}/d9/*.png"]
+    found = expand_arguments(spark, arguments, out_dir="o")
+    return found.select("argument", F.substr("path", F.lit(len(root) + 1)).alias("path"), "length", "out_dir", "scanned", "error")

@@ -19,7 +19,8 @@ from quern.pixels import Codec, Metric, PngCodec, fit_to_width, is_opaque, peak_
 from quern.schemas import RIGHTS_FIELDS
 from quern.settings import Settings
 from quern.shared import written
-from quern.sources import containers, svg
+from quern.sources import containers, headers, svg
+from quern.sources.ranges import Ranges
 from quern.sources.sniff import detected_format
 
 #: A score below which an output's loss is likely to show.
@@ -54,8 +55,8 @@ def _rows(files: DataFrame, columns: Sequence[str], added: str, of) -> DataFrame
     return files.select(*columns).mapInArrow(run, schema)
 
 
-def inspected(files: DataFrame, codecs: Sequence[Codec] = (PngCodec(),)) -> DataFrame:
-    """files (file, format, content) with size where a codec can read it, rights, and unread: why the file cannot be used."""
+def inspected(files: DataFrame) -> DataFrame:
+    """files (file, format, content) with the size that the header says, rights, and unread: why the file cannot be used. Pixels are not decoded here."""
     empty = dict.fromkeys(("width", "height", "own", "only_rights", "keeps_profile", "unread"))
 
     def of(row: dict) -> Iterator[dict]:
@@ -69,11 +70,12 @@ def inspected(files: DataFrame, codecs: Sequence[Codec] = (PngCodec(),)) -> Data
                 raise ValueError("E_UNSUPPORTED_FORMAT: no parser for this format")
             if kind == "avif" and (top := list(containers.boxes(data))) and top[-1].end == len(data) and all(p.kind != "meta" for p in top):
                 raise ValueError("E_UNSUPPORTED_FORMAT: there are no items in this file")
+            head = headers.inspect(Ranges.of(data or b""))
+            if head["error"] == "E_ANIMATED":
+                raise ValueError("E_ANIMATED: animated images are not supported")
             stripped, removed = containers.STRIP[kind](data)
             own = {k: v for k, v in containers.read_rights(data, kind).items() if k in RIGHTS_FIELDS}
-            reader = next((c for c in codecs if c.format == kind), None)
-            shape = reader.decode(data).shape if reader else (None, None)
-            yield {"width": shape[1], "height": shape[0], "own": own, "only_rights": removed == ["xmp"], "keeps_profile": b"ICC_PROFILE" in stripped or b"iCCP" in stripped or b"ICCP" in stripped, "unread": None}
+            yield {"width": head.get("width"), "height": head.get("height"), "own": own, "only_rights": removed == ["xmp"], "keeps_profile": b"ICC_PROFILE" in stripped or b"iCCP" in stripped or b"ICCP" in stripped, "unread": None}
         except (ValueError, TypeError, KeyError, IndexError) as e:
             yield empty | {"unread": _message(e)}
 
@@ -139,13 +141,14 @@ def _warning(code: str, message: Column | str) -> Column:
     return F.struct(F.lit(code).alias("code"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
 
 
-def optimise(files: DataFrame, settings: Settings, codecs: Sequence[Codec] = (PngCodec(),), metric: Metric = peak_signal_score, write: bool = True, existing: DataFrame | None = None) -> DataFrame:
+def optimise(files: DataFrame, settings: Settings, codecs: Sequence[Codec] = (PngCodec(),), metric: Metric = peak_signal_score, write: bool = True, existing: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
     """files (path, content) to (path, status, format, method, bytes, output_bytes, score, output, carried, warnings, error), a row for each output or file without one.
 
     idx, if files has it, is unique and orders inputs; without it they go by path, and a path's repeats after its first.
     existing (path) lists what is there already; without it tasks look. An output on its input needs in_place (else the file
     failed), one on another existing file needs overwrite (else it is skipped); both are checked before any work for the
-    formats aimed for, and again for what was chosen. Null contents are E_READ. Empty tables give no rows.
+    formats aimed for, and again for what was chosen. Null contents are E_READ. failures (idx, error) tells of inputs that
+    failed before the run: they take their places in it as failed files, without any work. Empty tables give no rows.
     """
     number = F.col("idx") if "idx" in files.columns else F.concat_ws("\0", F.coalesce("path", F.lit("")), F.lpad(F.row_number().over(Window.partitionBy("path").orderBy(F.xxhash64("content"))).cast("string"), 10, "0"))
     each = files.select(number.alias("file"), "path", "content").withColumn("format", F.when(F.col("content").isNotNull(), detected_format(F.col("content"))))
@@ -153,8 +156,10 @@ def optimise(files: DataFrame, settings: Settings, codecs: Sequence[Codec] = (Pn
     out_dir = F.lit(settings.out_dir) if settings.out_dir else None
     there = lambda paths: existing.select("path") if existing is not None else sinks.existing(paths)
     clashes = conflicts.conflicting(each.select(F.col("file").alias("idx"), "path", "format"), settings.mode).select(F.col("idx").alias("file"), F.concat(F.lit("E_OUTPUT_CONFLICT: "), "reason").alias("conflict"))
-    facts = written(inspected(each, codecs).drop("format"), "run-facts")
+    facts = written(inspected(each).drop("format"), "run-facts")
     ready = each.drop("content").join(facts, "file").join(clashes, "file", "left").withColumn("unread", F.when(F.col("bytes").isNull(), "E_READ: the file cannot be read").otherwise(F.col("unread")))
+    if failures is not None:
+        ready = ready.join(failures.groupBy(F.col("idx").alias("file")).agg(F.min("error").alias("before")), "file", "left").withColumn("unread", F.coalesce("before", "unread")).withColumn("conflict", F.when(F.col("before").isNull(), F.col("conflict"))).drop("before")
 
     is_input = comparable(F.col("path")) == comparable(F.col("own_path"))
     aimed = ready.where("conflict IS NULL AND unread IS NULL").select("file", F.col("path").alias("own_path"), F.posexplode(F.transform(primary_formats(F.col("format"), settings.mode), lambda f: output_path(F.col("path"), f, out_dir))).alias("ord", "path"))

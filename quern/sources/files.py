@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.functions.paths import extension, folder, mirrored, relative_inside
 from quern.schemas import EXTENSIONS
+from quern.sources.ranges import with_file
 from quern.sources.sniff import detected_format
 
 
@@ -76,16 +81,26 @@ def found(spark: SparkSession, path: str) -> str | None:
     return "folder" if system.getFileStatus(at).isDirectory() else "file"
 
 
+def read_contents(paths: DataFrame) -> DataFrame:
+    """paths (path, ...) with length, content and error: whole files, read where the rows are; one that can't be read is a row with E_READ. Other columns stay."""
+    paths = paths.drop("length", "content", "error")
+    schema = StructType([*paths.schema.fields, *StructType.fromDDL("length long, content binary, error string").fields])
+    at = paths.columns.index("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a file at a time, as it may be large
+                row = with_file(batch.column(at)[k].as_py(), lambda r: {"length": r.size, "content": r.read(0, r.size)})
+                added = [pa.array([row.get(c)], t) for c, t in (("length", pa.int64()), ("content", pa.binary()), ("error", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *added], names=[*batch.schema.names, "length", "content", "error"])
+
+    return paths.mapInArrow(run, schema)
+
+
 def read_named(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Named paths in order: (idx, path, length, content, error); a file that is not there is a row with E_READ."""
+    """Named paths in order: (idx, path, length, content, error); a file that is not there is a row with E_READ. Nothing is asked of a file on the driver."""
     named = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "idx long, path string")  # a command's arguments
-    there = [p for p in dict.fromkeys(paths) if found(spark, p) == "file"]
-    if not there:
-        return named.select("idx", "path", F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"), F.lit("E_READ").alias("error"))
-    # names are no patterns
-    literal = [re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in there]
-    files = spark.read.format("binaryFile").load(literal).select(_plain(F.col("path")).alias("path"), "length", "content")
-    return named.join(files, "path", "left").select("idx", "path", "length", "content", F.when(F.col("length").isNull(), "E_READ").alias("error"))
+    return read_contents(named.repartition(max(1, min(len(paths), 200)), "idx")).select("idx", "path", "length", "content", "error")
 
 
 def expand_argument(spark: SparkSession, argument: str, recursive: bool = False, out_dir: str | None = None) -> DataFrame:
@@ -105,6 +120,17 @@ def expand_argument(spark: SparkSession, argument: str, recursive: bool = False,
     return read_named(spark, [argument]).select("path", "length", "content", F.lit(out_dir).cast("string").alias("out_dir"), F.lit(False).alias("scanned"), "error")
 
 
+def expand_arguments(spark: SparkSession, arguments: list[str], recursive: bool = False, out_dir: str | None = None) -> DataFrame:
+    """The rows of expand_argument() for several arguments, with argument: the place of the one that gave a row.
+
+    Inputs that several give stay as often; `operators.conflicts.expanded` takes the first of each and puts them in order.
+    """
+    parts = [expand_argument(spark, a, recursive, out_dir).withColumn("argument", F.lit(k)) for k, a in enumerate(arguments)]  # a command's arguments
+    if not parts:
+        return expand_argument(spark, "", recursive, out_dir).withColumn("argument", F.lit(0)).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sniffed(files: DataFrame) -> DataFrame:
     """files with format by their bytes and version, a key that changes when they do."""
     out = files.withColumn("format", detected_format(F.col("content")))

@@ -195,3 +195,21 @@ def test_a_failed_rename_leaves_what_was_there(spark, tmp_path):
     outputs = spark.createDataFrame([(1, str(tmp_path / "a"), b"new"), (1, str(tmp_path / "b" / "full" / "c"), b"new")], "file long, path string, content binary")
     row = sinks.write_staged(outputs).first()
     assert row["written"] == 0 and row["error"].startswith("E_WRITE") and (tmp_path / "a").read_bytes() == b"old" and sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_failures_from_before_and_animations_take_no_work(spark):
+    import struct
+    import zlib
+
+    from quern.run import optimise
+    from quern.sources import containers as C
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    whole = C.png_of(np.zeros((9, 9, 3), np.uint8))
+    moving = whole[:33] + chunk(b"acTL", b"\0" * 8) + whole[33:]
+    rows = [(1, "/in/a.png", bytearray(whole)), (2, "/in/b.png", bytearray(moving)), (3, "/in/c.png", bytearray(whole))]
+    files = spark.createDataFrame(rows, "idx long, path string, content binary")
+    failures = spark.createDataFrame([(3, "E_READ: gone"), (9, "E_READ: no such input")], "idx long, error string")
+    none = spark.createDataFrame([], "path string")
+    got = {r["path"]: (r["status"], (r["error"] or "").split(":")[0]) for r in optimise(files, Settings(mode="same"), write=False, existing=none, failures=failures).collect()}
+    assert got["/in/b.png"] == ("failed", "E_ANIMATED") and got["/in/c.png"] == ("failed", "E_READ") and got["/in/a.png"][1] == "" and len(got) == 3
