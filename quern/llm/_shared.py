@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds as words at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of some dozen bytes that are broadcast, at most, once they are counted; parts by which a frequent key is spread otherwise.
 BROADCAST_ROWS, SALTS = 100_000, 16
 
@@ -114,6 +115,16 @@ def attempt_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{task.partitionId():06d}-{task.taskAttemptId()}{suffix}"
 
 
+_C = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return memory that a worker's allocators hold on to: workers live on from task to task, two beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def fresh(strings: pa.Array) -> pa.Array:
     """The strings as large_string (null: empty) in buffers of their own: some kernels misread those of a slice."""
     return pc.fill_null(strings.take(pa.array(np.arange(len(strings)))), "").cast(pa.large_string())
@@ -129,6 +140,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         end = max(start + 1, int(np.searchsorted(sizes, base + limit, side="right")))
         yield batch.slice(start, end - start), fresh(texts.slice(start, end - start))
         start = end
+    give_back()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:

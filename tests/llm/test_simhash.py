@@ -158,5 +158,5 @@ def test_many_blocks_and_edge_rows_of_copies(spark, edges, empty, monkeypatch):
     edges = edges.withColumn("fp", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("size", F.lit("x"))
     kept = simhash.without_copies(edges)
     assert kept.columns == edges.columns and kept.where("doc_id IS NULL").count() == 2
-    assert sorted((r["doc_id"], r["text"] is not None and len(r["text"])) for r in kept.where("doc_id IS NOT NULL").collect()) == [(-6, 21), (1, 29), (1, 32), (2, False), (5, 200000)]
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [-6, 1, 1, 2, 5]
     assert simhash.without_copies(empty).count() == 0
