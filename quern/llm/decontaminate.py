@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm._shared import looked_up, materialised, string_parts, text_slices
@@ -150,7 +150,7 @@ def _seeds(items: DataFrame) -> DataFrame:
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
-    """A bit for each of the first FILTER_BITS bits of a seed; a row for each 64 of them reaches the driver at most."""
+    """A bit for each of the first FILTER_BITS bits of a seed; a row of 16 bytes for each 64 of them reaches the driver at most, 16 MB in all."""
     bits = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
     rows = seeds.select(F.shiftrightunsigned(bits, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
@@ -199,16 +199,36 @@ def _tiled(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc", "item", "text", "item_text").mapInArrow(run, f"doc {_KEY}, item {_KEY}, share double")
 
 
+def _candidates(found: DataFrame, seeds: DataFrame, coverage: float) -> DataFrame:
+    """(doc, item) of texts whose seeds (doc, seed) cover enough of an item's (item, seed, places, words) that tiles, which lie within seeds, could.
+
+    An item's most frequent seeds, as many as do not cover enough by themselves, can't make a pair alone. So texts and items
+    meet over its other seeds, and the frequent ones are counted for the pairs that come of that: a seed that many texts and
+    many items share never makes a pair of each.
+    """
+    frequent = found.groupBy("seed").agg(F.count("*").alias("many"))
+    enough = F.col("words") * F.lit(float(coverage))
+    # an item's seeds, as many as its words at most
+    hottest = Window.partitionBy("item").orderBy(F.col("many").desc(), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = seeds.join(frequent, "seed").withColumn("hot", F.sum("places").over(hottest) * SEED_WORDS < enough)
+    ranked = materialised(ranked.select("item", "seed", "places", "words", "hot"), "ranked-seeds")
+    met = found.join(ranked.where("NOT hot"), "seed").groupBy("doc", "item").agg(F.sum("places").alias("places"), F.max("words").alias("words"))
+    hot = ranked.where("hot")
+    most = hot.groupBy("item").agg(F.sum("places").alias("most"))
+    met = materialised(met.join(most, "item", "left").withColumn("most", F.coalesce("most", F.lit(0))).where((F.col("places") + F.col("most")) * SEED_WORDS >= enough), "met")
+    more = met.where("most > 0").select("doc", "item").join(hot.select("item", "seed", F.col("places").alias("hot_places")), "item").join(found, ["doc", "seed"]).groupBy("doc", "item").agg(F.sum("hot_places").alias("hot_places"))
+    return met.join(more, ["doc", "item"], "left").where((F.col("places") + F.coalesce("hot_places", F.lit(0))) * SEED_WORDS >= enough).select("doc", "item")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
     """docs (doc, text) and benchmark (id, text) to (doc, leaked, best, share): a row for each distinct text that leaks an item."""
     # items with the same text are tiled once
     items = benchmark.where("text IS NOT NULL").groupBy("text").agg(F.count("*").alias("n"), F.min("id").alias("best")).withColumn("item", _key(F.col("text")))
     items = materialised(items, "items")
     seeds = materialised(_seeds(items), "item-seeds")
-    # repeated texts meet before the join; a seed that many texts have is split by the join's skew handling, as nothing above needs it whole
-    found = _doc_seeds(docs, _filter(seeds)).distinct().join(seeds, "seed").groupBy("doc", "item").agg(F.sum("places").alias("places"), F.max("words").alias("words"))
-    # tiles lie within seeds, so what seeds cover bounds what tiles can
-    pairs = materialised(found.where(F.col("places") * SEED_WORDS >= F.col("words") * coverage).select("doc", "item"), "pairs")
+    # repeated texts meet before the join
+    found = materialised(_doc_seeds(docs, _filter(seeds)).distinct(), "text-seeds")
+    pairs = materialised(_candidates(found, seeds, coverage), "pairs")
     texts = docs.join(pairs.select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text"))
     tiled = _tiled(pairs.join(texts, "doc").join(items.select("item", F.col("text").alias("item_text")), "item")).where(F.col("share") >= coverage)
     rank = F.struct(-F.col("share"), F.col("best").isNull().alias("unnamed"), "best")

@@ -108,3 +108,21 @@ def test_edge_rows(spark, edges, empty):
     clash = edges.withColumnRenamed("score", "Coverage").withColumn("copies", F.lit(1)).withColumn("component_id", F.lit(2))
     assert D.flagged(clash, bench).columns == [*edges.columns[:4], "copies", "component_id", "leaked_items", "best_item", "coverage"]
     assert D.decontaminated(clash, bench).columns == clash.columns
+
+
+def test_seeds_that_all_share_make_no_pairs_of_all(spark):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    shared = words("common", 6)
+    items = [(i, f"{shared} {words(f'item{i}x', 20)}") for i in range(30)]
+    texts = [(f"{shared} {words(f'text{t}x', 40)}" if t % 10 else f"{items[t // 10][1]} {words(f'text{t}x', 9)}") for t in range(100)]
+    texts += [words("item5x", 20), " ".join(items[6][1].split()[20:] + ["z"] + items[6][1].split()[:20]), shared]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda c: D._key(F.col(c))
+    seeds = D._seeds(bench.select(key("text").alias("item"), "text"))
+    found = D._doc_seeds(docs.select(key("text").alias("doc"), "text"), D._filter(seeds)).distinct()
+    pairs = D._candidates(found, seeds, D.COVERAGE)
+    plain = found.join(seeds, "seed").groupBy("doc", "item").agg(F.sum("places").alias("places"), F.max("words").alias("words")).where(F.col("places") * D.SEED_WORDS >= F.col("words") * D.COVERAGE).select("doc", "item")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, plain.collect())) and pairs.count() < 50
+    got = {r["doc_id"]: r["best_item"] for r in D.flagged(docs, bench).where("leaked_items > 0").collect()}
+    assert got == {**{10 * k: k for k in range(10)}, 100: 5, 101: 6}
