@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._shared import materialised
+from quern.llm._shared import looked_up, materialised
 
 
 @dataclass(frozen=True)
@@ -120,25 +120,29 @@ def templates(pages: DataFrame, strength: float = STRENGTH, errors: float = ERRO
     return known.join(merged.select("host", "template", "branch"), ["host", "template"]).join(pure, ["host", "branch"]).select("host", "shape", F.col("branch").alias("template"), "purity")
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelling: tuple[Rule, ...] = (), rejected: float = REJECTED, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelling: tuple[Rule, ...] = (), rejected: float = REJECTED, id_column: str = "page_id", url_column: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity): a row for each row of pages; other columns are ignored.
 
     rule is the longest that fits, by host and path together; its verdict holds. Other pages are judged by their template:
     block from a purity of `rejected` on, else allow. Labels are the verdicts of the rules, and of labelling, which are
-    rules that label pages without judging them, where no other fits. Null urls and those without :// have an empty host and path and
+    rules that label pages without judging them, where no other fits; then those of labels (id, bad: 0 or 1; the larger of
+    several), which judge no page by themselves either. Null urls and those without :// have an empty host and path and
     are judged together. Repeated rows and null ids give rows of their own; an empty table gives none.
     """
     url = F.col(url_column).cast("string")
     each = pages.select(F.col(id_column).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     each = each.withColumn("place", ruled(F.col("host"), F.col("path"), rules)).withColumn("shape", segments(F.col("path")))
+    if labels is not None:
+        each = each.join(labels.select(F.col("id").cast("long").alias("page_id"), F.col("bad").cast("int").alias("told")).groupBy("page_id").agg(F.max("told").alias("told")), "page_id", "left")
     each = materialised(each, "urls")
     verdicts, names = (F.array(*[F.lit(getattr(r, k)) for r in rules]) for k in ("verdict", "name"))
     marks = F.array(*[F.lit(int(r.verdict == "block")) for r in (*rules, *labelling)])
     bad = F.get(marks, F.coalesce("place", ruled(F.col("host"), F.col("path"), labelling) + len(rules)))
-    found = templates(each.select("host", "shape", bad.alias("bad")))
-    # a row for each host and shape of wildcards: few, and joined by whichever way their measured size allows
+    bad = F.coalesce(bad, "told") if labels is not None else bad
+    found = materialised(templates(each.select("host", "shape", bad.alias("bad"))), "templates")
     by_tree = F.when(F.col("purity") >= rejected, "block").otherwise("allow")
-    out = each.join(found, ["host", "shape"], "left")
+    # a host that a third of all pages have meets its templates in many tasks
+    out = looked_up(each, found, ["host", "shape"], F.hash("page_id"))
     return out.select("page_id", "host", "path", F.get(names, F.col("place")).alias("rule"), F.when(F.col("place").isNotNull(), F.get(verdicts, F.col("place"))).otherwise(by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 

@@ -79,3 +79,15 @@ def test_most_pages_without_a_rule_are_judged_by_labels(spark):
     out = urls.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule IS NULL").cache()
     assert out.where("purity IS NULL").count() == 0 and out.where("verdict = 'block'").count() > 0.05 * out.count()
     assert out.where("verdict = 'allow'").count() > 0.2 * out.count()
+
+
+def test_labels_of_a_table_reject_templates(spark):
+    rows = [(i, f"http://a.net/shop/item{i}/buy") for i in range(60)] + [(100 + i, f"http://a.net/news/{i}") for i in range(60)] + [(300, None), (301, "http://b.com/de/x")]
+    labels = [(i, 1) for i in range(0, 60, 2)] + [(100 + i, 0) for i in range(0, 60, 2)] + [(0, 0), (999, 1), (None, 1), (300, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("told", F.lit("x"))
+    table = spark.createDataFrame(labels, "id long, bad int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judged(pages, labels=table).collect()}
+    assert all(got[i][3] == "block" for i in range(60)) and all(got[100 + i][3] == "allow" for i in range(60))
+    assert got[300] == ("", "", None, "allow") and got[301] == ("b.com", "/de/x", "com/de/", "block") and got[7] == ("a.net", "/shop/item7/buy", None, "block")
+    plain = {r["page_id"]: r["verdict"] for r in urls.judged(pages).collect()}
+    assert plain[301] == "block" and len(plain) == 122
