@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Every stage takes any columns besides its own (clashing names among them), null ids and texts, repeated rows and an empty
+table, which gives an empty one; all but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def _beside(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on `labels`, rejects go."""
+    """Documents that the classifier, trained on `labels`, rejects go. Null and empty texts are scored like any other; rows that share an id are scored each by its text."""
     reachable(spark)
     return quality.kept(docs, _beside(spark, sf_dir, "labels"))
 
@@ -28,19 +32,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak an item of `benchmark` go."""
+    """Documents that leak an item of `benchmark` go. Null and empty texts leak nothing; of repeated rows all go or stay."""
     reachable(spark)
     return decontaminate.decontaminated(docs, _beside(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for."""
+    """Each document as often as its source's target weight asks for, up to three times. Null is a source of its own; texts without words have the whole copies of their source alone."""
     reachable(spark)
     return mixing.remixed(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-id files of all documents; what is read back from them."""
+    """Token-id files of all documents, in ascending order of ids; what is read back from them. Null texts are empty ones; repeated rows are written each."""
     reachable(spark)
     return rans.token_round_trip(docs)
 
