@@ -41,3 +41,41 @@ def test_edge_rows(spark, edges, empty):
     assert quality.scored(empty, labels).count() == 0
     assert {r["score"] for r in quality.scored(frame, labels.limit(0)).collect()} == {0.5}
     assert quality.kept(edges, labels).columns == edges.columns
+
+
+def test_training_is_that_of_plain_steps():
+    """Weight by weight, one n-gram at a time, as the learner is defined."""
+    r = np.random.default_rng(6)
+    texts = [" ".join(r.choice(list("abcdefgh"), r.integers(0, 12))) for _ in range(60)] + ["", None]
+    labels = [int("a" in (t or "")) for t in texts]
+    size = 1 << 8
+    z, n = {}, {}
+    share = {v: len(labels) / (2 * max(1, labels.count(v))) for v in (0, 1)}
+
+    def weight(k):
+        a = z.get(k, 0.0)
+        return 0.0 if abs(a) <= quality.L1 else -(a - np.sign(a) * quality.L1) / ((quality.BETA + np.sqrt(n.get(k, 0.0))) / quality.ALPHA + quality.L2)
+
+    for _ in range(3):
+        for text, label in zip(texts, labels, strict=True):
+            _, places = quality.features(pa.array([text or ""], pa.large_string()), size)
+            x = {size: 1.0} | {int(k): quality.SCALE * float((places == k).sum()) / len(places) for k in set(places.tolist())}
+            now = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-min(35, max(-35, sum(now[k] * v for k, v in x.items())))))
+            for k, v in x.items():
+                g = share[label] * (p - label) * v
+                step = (np.sqrt(n.get(k, 0.0) + g * g) - np.sqrt(n.get(k, 0.0))) / quality.ALPHA
+                z[k] = z.get(k, 0.0) + g - step * now[k]
+                n[k] = n.get(k, 0.0) + g * g
+    weights, bias = quality.train(texts, labels, size, passes=3)
+    assert np.allclose(weights, [weight(k) for k in range(size)], atol=1e-5) and abs(bias - weight(size)) < 1e-6
+
+
+def test_edge_rows_score_as_their_texts_do(spark, edges):
+    texts = [t for t, in edges.select("text").collect()]
+    labels = spark.createDataFrame([(1, 1), (3, 0), (7, 1), (5, 0), (-6, 0)], "doc_id long, quality int")
+    model = quality.train(*quality.sample(edges, labels))
+    want = {t: float(quality.scores(pa.array([t or ""], pa.large_string()), *model)[0]) for t in texts}
+    got = quality.scored(edges, labels).select("text", "score", "predicted").collect()
+    assert all(abs(r["score"] - want[r["text"]]) < 1e-9 and r["predicted"] == (want[r["text"]] >= 0.7) for r in got)
+    assert want[""] == want[None] == want[" \t\n "]
