@@ -19,7 +19,7 @@ def test_each_stage_takes_effect_on_its_input(spark, sf_dir, tmp_path):
     before, after = seen["quality"]
     assert ids(after) == ids(quality.scored(before, labels).where("predicted = 1")) and after.join(labels, "doc_id").where("quality = 1").count() == before.join(labels, "doc_id").where("quality = 1").count()
     before, after = seen["near_duplicates"]
-    assert ids(after) == sorted({r["component_id"] for r in simhash.near_duplicates(before).collect()})
+    assert ids(after) == sorted({r["component_id"] for r in simhash.copies_grouped(before).collect()})
     before, after = seen["decontamination"]
     assert ids(after) == ids(decontaminate.flagged(before, bench).where("leaked_items = 0")) and decontaminate.flagged(after, bench).where("leaked_items > 0").count() == 0
     before, after = seen["mixing"]
