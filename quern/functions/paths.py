@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +42,23 @@ def comparable(path: Column, ignore_case: bool = False) -> Column:
     return F.lower(path) if ignore_case else path
 
 
+def composed(path: Column) -> Column:
+    """A path in Unicode's form C, in which file systems that write letters and marks apart compare names; in Arrow batches, as Spark has no function for it."""
+
+    def run(names: pa.Array) -> pa.Array:
+        plain = pc.string_is_ascii(names)
+        if pc.all(plain).as_py() is not False:
+            return names
+        return pa.array([n if n is None else unicodedata.normalize("NFC", n) for n in names.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(path)
+
+
+def comparable_anywhere(path: Column, ignore_case: bool = False) -> Column:
+    """comparable() for names of any letters."""
+    return comparable(composed(path), ignore_case)
+
+
 def relative_inside(parent: Column, child: Column) -> Column:
     """The part of child below parent, or null."""
     return F.when(child.startswith(F.concat(parent, F.lit("/"))), F.substr(child, F.length(parent) + 2))

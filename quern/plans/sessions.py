@@ -236,6 +236,19 @@ def comparable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", path.alias("path")).withColumn("key", P.comparable(F.col("path")))
 
 
+_APART = (("ê", "e", 770), ("ö", "o", 776), ("ä", "a", 776), ("é", "e", 769))
+
+
+@_query("SELECT doc_id, lower(nfc_normalize('/in/' || replace(" + "".join("replace(" for _ in _APART) + "text" + "".join(f", '{c}', '{a}' || chr({m}))" for c, a, m in _APART) + ", '/', '_') || chr(8491))) AS key FROM documents")
+def comparable_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of names whose marks stand apart from their letters: each document's text as one name."""
+    name = F.col("text")
+    for whole, letter, mark in _APART:
+        name = F.replace(name, F.lit(whole), F.lit(letter + chr(mark)))
+    name = F.concat(F.lit("/in/"), F.replace(name, F.lit("/"), F.lit("_")), F.lit(chr(8491)))
+    return V.table(spark, sf_dir, "documents").select("doc_id", P.comparable_anywhere(name, ignore_case=True).alias("key"))
+
+
 @_query(_with(V.PATHS_SQL) + "SELECT idx, part, part NOT IN ('', '.', '..') AND NOT contains(part, '\\') AS plain FROM (SELECT idx, unnest(list_concat(string_split(path, '/'), ['.', '..', 'a\\' || idx])) AS part FROM paths)")
 def plain_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of paths that stay in their folder."""
