@@ -32,18 +32,22 @@ def _when(condition: Column, digits: Column) -> Column:
     return F.when(condition, digits).otherwise("")
 
 
+def _with_size(body: Column, made) -> Column:
+    """made(size in bytes, body): body is a long expression, which stands once, in a row of an array."""
+    return F.transform(F.array(body), lambda x: made((F.length(x) / 2).cast("long"), x))[0]
+
+
 def _chunk(kind: str, body: Column) -> Column:
     """Of a PNG; its checksum is not looked at."""
-    return F.concat(_be(F.length(body) / 2, 4), _text(kind), body, F.lit("00000000"))
+    return _with_size(body, lambda n, x: F.concat(_be(n, 4), _text(kind), x, F.lit("00000000")))
 
 
 def _riff(kind: str, body: Column) -> Column:
-    return F.concat(_text(kind), _le((F.length(body) / 2).cast("long"), 4), body, _when(F.length(body) % 4 == 2, F.lit("00")))
+    return _with_size(body, lambda n, x: F.concat(_text(kind), _le(n, 4), x, _when(n % 2 == 1, F.lit("00"))))
 
 
 def _box(kind: str, *body: Column) -> Column:
-    inside = F.concat(*body)
-    return F.concat(_be((F.length(inside) / 2 + 8).cast("long"), 4), _text(kind), inside)
+    return _with_size(F.concat(*body), lambda n, x: F.concat(_be(n + 8, 4), _text(kind), x))
 
 
 def _exif(orientation: Column) -> Column:
@@ -60,13 +64,13 @@ def _contents(n: Column, w: Column, h: Column) -> Column:
     extra = F.concat(_when(alpha, _chunk("tRNS", F.lit("000000000000"))), _when(noted, _chunk("tEXt", _text("Title\0a file"))), _when(~noted, _chunk("iTXt", _text("XML:com.adobe.xmp\0\0\0\0\0<x/>"))), _when(turn > 0, _chunk("eXIf", _exif(turn))), _when(twice, _chunk("acTL", F.lit("0000000200000000"))))
     png = F.concat(head, extra, _chunk("IDAT", F.lit("78da")), _chunk("IEND", F.lit("")))
 
-    segment = lambda marker, body: F.concat(F.lit(marker), _be((F.length(body) / 2 + 2).cast("long"), 2), body)
+    segment = lambda marker, body: _with_size(body, lambda n, x: F.concat(F.lit(marker), _be(n + 2, 2), x))
     jpeg = F.concat(
         F.lit("ffd8"), segment("ffe0", _text("JFIF\0\x01\x01\0\0\x01\0\x01\0\0")), _when(turn > 0, segment("ffe1", F.concat(_text("Exif\0\0"), _exif(turn)))), _when(noted, segment("fffe", _text("a note"))), _when(alpha, segment("ffed", _text("Photoshop 3.0\0"))),
         F.lit("ffff"), segment("ffc2", F.concat(_be(F.when(deep, 12).otherwise(8), 1), _be(h, 2), _be(w, 2), F.lit("03012200021101031101"))), F.lit("ffda0008010100003f00"), F.lit("ab" * 40), F.lit("ffd9"),
     )
 
-    riff = lambda *chunks: F.concat(_text("RIFF"), _le(((sum(F.length(c) for c in chunks) + 8) / 2).cast("long"), 4), _text("WEBP"), *chunks)
+    riff = lambda *chunks: _with_size(F.concat(_text("WEBP"), *chunks), lambda n, x: F.concat(_text("RIFF"), _le(n, 4), x))
     vp8 = _riff("VP8 ", F.concat(F.lit("100000"), F.lit("9d012a"), _le(w, 2), _le(h, 2), F.lit("00" * 7)))
     frames = F.concat(_riff("ANIM", F.lit("00" * 6)), _riff("ANMF", F.lit("00" * 16)), _riff("ANMF", F.lit("00" * 16)))
     flags = F.when(alpha, 0x10).otherwise(0).bitwiseOR(F.when(turn > 0, 0x08).otherwise(0)).bitwiseOR(F.when(twice, 0x02).otherwise(0))
