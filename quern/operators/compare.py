@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import format_bytes, format_percent, half_up, verdict
 from quern.operators.geometry import is_scorable
 from quern.operators.totals import ranked
-from quern.shared import written
+from quern.shared import spread, written
 from quern.schemas import ROLES
 
 
@@ -45,7 +45,8 @@ def opened_files(files: DataFrame) -> DataFrame:
     """
     numbered = ranked(files.groupBy("path").agg(F.min("idx").alias("first")), F.col("first"), F.col("path"))
     ref = F.concat_ws("/", F.lit("file"), (F.col("rank") + 1).cast("string"), F.substring_index("path", "/", -1))
-    return files.join(numbered.select("path", ref.alias("ref")), "path").select("idx", "path", "ref")
+    # files of short rows look small to the planner, which would send them through the driver
+    return files.join(numbered.select("path", ref.alias("ref")).hint("merge"), "path").select("idx", "path", "ref")
 
 
 def relabelled(message: Column, refs: dict[str, str]) -> Column:
@@ -55,11 +56,16 @@ def relabelled(message: Column, refs: dict[str, str]) -> Column:
     return message
 
 
+#: Messages whose pieces one task makes.
+_TASK_MESSAGES = 50_000
+
+
 def relabelled_by(messages: DataFrame, refs: DataFrame) -> DataFrame:
     """messages (id, message) with the paths of refs (path, ref) in them replaced by their refs, in one pass: from left to right, at each place the longest path.
 
     Every piece of a message that begins as some path does and is as long as one meets the table of paths, so that the number
-    of paths costs a join alone. Only the paths' lengths and first characters reach the driver. A path that repeats has its
+    of paths costs a join alone. Only the paths' lengths and first characters reach the driver; pieces, dozens for each message
+    that the planner does not count, are merged with the paths and never broadcast. A path that repeats has its
     smallest ref; empty and null paths are none. Ids may repeat; null messages stay.
     """
     paths = refs.where("path <> ''").groupBy("path").agg(F.min("ref").alias("__ref"))
@@ -67,11 +73,12 @@ def relabelled_by(messages: DataFrame, refs: DataFrame) -> DataFrame:
     if not facts["lengths"]:
         return messages
     each = written(messages.withColumn("__row", F.monotonically_increasing_id()), "messages")  # rows keep their numbers
+    each = spread(each, each.count(), "__row", task_rows=_TASK_MESSAGES)
     heads, lengths = (F.array(*[F.lit(x) for x in sorted(facts[c])]) for c in ("heads", "lengths"))
     size = F.length("message")
     begins = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda p: F.array_contains(heads, F.substr("message", p, F.lit(1))))
     pieces = each.select("__row", "message", F.explode(begins).alias("p")).select("__row", "message", "p", F.explode(lengths).alias("n")).where(F.col("p") + F.col("n") <= F.length("message") + 1)
-    hits = pieces.select("__row", "p", "n", F.substr("message", F.col("p"), F.col("n")).alias("path")).join(paths, "path")
+    hits = pieces.select("__row", "p", "n", F.substr("message", F.col("p"), F.col("n")).alias("path")).join(paths.hint("merge"), "path")
     # of each place the longest; no more than a message has characters
     longest = hits.groupBy("__row", "p").agg(F.max_by(F.struct("n", "__ref"), "n").alias("h")).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("p", "h.n", "h.__ref"))).alias("hits"))
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
@@ -81,7 +88,7 @@ def relabelled_by(messages: DataFrame, refs: DataFrame) -> DataFrame:
         return F.when(hit["p"] < acc["at"], acc).otherwise(F.struct((hit["p"] + hit["n"]).alias("at"), F.concat(acc["out"], before, hit["__ref"]).alias("out")))
 
     done = F.aggregate("hits", start, step, lambda acc: F.concat(acc["out"], F.substr("message", acc["at"], F.length("message"))))
-    out = each.join(longest, "__row", "left").withColumn("message", F.when(F.col("hits").isNull(), F.col("message")).otherwise(done))
+    out = each.join(longest.hint("merge"), "__row", "left").withColumn("message", F.when(F.col("hits").isNull(), F.col("message")).otherwise(done))
     return out.select(*[F.col(f"`{c}`") for c in messages.columns])
 
 

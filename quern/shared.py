@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -37,3 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: The rows of a group-by-group step that one task holds.
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *by: Column | str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """df, of about `rows` rows, dealt by its keys (or evenly) over tasks of some task_rows rows, and over all cores: what a task sorts or works through does not grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)), *by)
