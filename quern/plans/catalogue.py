@@ -154,7 +154,7 @@ _HARD = 95
 
 
 def _tried(spark: SparkSession, sf_dir: str, target: float = DEFAULT_TARGET) -> DataFrame:
-    part = V.table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    part = V.parts(spark, sf_dir).select("p_partkey", "p_size")
     path = search.search_path(_LOW, _HIGH, _curve, target)
     return part.select("p_partkey", F.posexplode(path).alias("n", "t")).select("p_partkey", (F.col("n") + 1).alias("n"), "t.*")
 
@@ -573,7 +573,7 @@ def gzip_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of PNG files made of parts' names, as rows."""
-    return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "png"), "png")
+    return sniff.container_rows(sniff.sample_files(V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "png"), "png")
 
 
 _NAMED = "named AS (SELECT p_partkey AS id, octet_length(encode(p_name)) AS n FROM part)"
@@ -586,7 +586,7 @@ _PACKET_BYTES = len(sniff.sample_packet(b""))
     + """SELECT id, number, kind, start, start + 4 + bytes AS "end", bytes FROM (SELECT *, CAST(2 + coalesce(sum(bytes + 4) OVER (PARTITION BY id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)"""
 )
 def jpeg_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "jpeg"), "jpeg")
+    return sniff.container_rows(sniff.sample_files(V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "jpeg"), "jpeg")
 
 
 @_query(
@@ -594,13 +594,13 @@ def jpeg_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """SELECT id, number, kind, start, start + 8 + bytes + bytes % 2 AS "end", bytes FROM (SELECT *, CAST(12 + coalesce(sum(8 + bytes + bytes % 2) OVER (PARTITION BY id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM s)"""
 )
 def riff_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "webp"), "webp")
+    return sniff.container_rows(sniff.sample_files(V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "webp"), "webp")
 
 
 @_query()
 def strip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata removed from PNG, JPEG and WebP files, and the rights read from what was there."""
-    parts = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    parts = V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     kinds = [sniff.stripped_files(sniff.sample_files(parts.where(F.col("id") % 3 == k), kind)) for k, kind in enumerate(("png", "jpeg", "webp"))]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
@@ -616,7 +616,7 @@ _CUTS = f"""CASE id % 4 WHEN 0 THEN 34 + {_PACKET_BYTES} + n + 20 + n WHEN 1 THE
 )
 def metadata_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a strip takes from files of all four containers, and the credit that was read there."""
-    parts = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    parts = V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     kinds = [sniff.stripped_files(sniff.sample_files(parts.where(F.col("id") % 4 == k), kind)) for k, kind in enumerate(("png", "jpeg", "webp", "avif"))]
     each = reduce(DataFrame.unionByName, kinds)
     return each.select("id", "format", "removed", F.get_json_object("rights", "$.credit").alias("credit"), (F.col("bytes") - F.col("stripped_bytes")).alias("cut"), "error")
@@ -628,7 +628,7 @@ def metadata_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def avif_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of AVIF files that got a packet: the item table has grown by one item, the data by the packet."""
-    return sniff.container_rows(sniff.sample_files(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "avif"), "avif")
+    return sniff.container_rows(sniff.sample_files(V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "avif"), "avif")
 
 
 # --- text, reports and warnings --------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def rights_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def carriers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rights from IIM before EXIF, in both byte orders; a strip leaves the orientation and a profile that is not sRGB, whose parts are out of order."""
-    made = metadata.sample_carriers(V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("format", F.lit("jpeg"))
+    made = metadata.sample_carriers(V.parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))).withColumn("format", F.lit("jpeg"))
     read = metadata.rights_read(made).select("id", F.array_join("rights.creator", "|").alias("creator"), "rights.credit", F.get("rights.copyright", F.lit(0))["value"].alias("copyright"))
     return read.join(metadata.kept_by_strip(made).select("id", F.array_join("removed", ",").alias("removed"), "orientation", "profile"), "id")
 
@@ -59,7 +59,7 @@ def svg_references(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<svg xmlns="http://www.w3.org/2000/svg" xmlns:i="http://www.inkscape.org/namespaces/inkscape" viewBox="0 0 '), F.col("p_size").cast("string"), F.lit(' 9"'), some(5, ' i:version="1"'), F.lit("><title>"), X.escape_xml(F.col("p_name")), F.lit("</title>"),
         some(3, "<!-- note -->"), some(7, "<metadata>x</metadata>"), F.lit('<g id="a'), number, F.lit('"/><g id="b"/><g id="unused"/><use href="#a'), number, F.lit('"/><use href="#gone"/>'), some(2, '<path fill="url(#b)"/>'), F.when(at % 11 == 0, "").otherwise("</svg>"),
     ]
-    facts = metadata.svg_facts(V.table(spark, sf_dir, "part").select(at.alias("id"), F.concat(*parts).alias("text")))
+    facts = metadata.svg_facts(V.parts(spark, sf_dir).select(at.alias("id"), F.concat(*parts).alias("text")))
     return facts.select("id", F.col("viewBox").alias("view_box"), "title", F.array_join("referencedIds", ",").alias("referenced"), F.array_join("metadata", ",").alias("metadata"), F.substring_index("error", ":", 1).alias("error"))
 
 

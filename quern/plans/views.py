@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern import reachable
+from quern.shared import spread
+
+#: Parts, or other rows that are work of their own, that one task makes files of.
+_TASK_PARTS = 50_000
 
 LINEITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
@@ -15,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, dealt by key: a row is work of its own, and a file of millions of rows is but one task's."""
+    rows = table(spark, sf_dir, "part")
+    return spread(rows, rows.count(), "p_partkey", task_rows=_TASK_PARTS)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, ord, format, role, method, bytes, score) from lineitem; ord numbers an order's lines by all their columns."""
     order = Window.partitionBy("l_orderkey").orderBy(*LINEITEM)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import compare
+from quern.shared import TASK_ROWS, spread
 
 
 def plan_of(frame, capsys):
@@ -15,3 +16,22 @@ def test_pieces_of_messages_are_never_broadcast(spark, capsys):
     got = compare.relabelled_by(messages, spark.createDataFrame([("/in/a.png", "file/1/a.png")], "path string, ref string"))
     assert "BroadcastExchange" not in plan_of(got, capsys)
     assert sorted(got.collect()) == [(1, "cannot read file/1/a.png"), (2, None)]
+
+
+def test_rows_that_are_work_of_their_own_are_dealt_over_all_cores(spark, sf_dir):
+    from quern.plans import views as V
+    from quern.plans.catalogue import QUERIES
+
+    cores = spark.sparkContext.defaultParallelism
+    for name in ("avif_boxes", "metadata_cut", "carriers_read", "search_choice"):
+        # a small file of parts was one task's, whatever its rows cost
+        frame = QUERIES[name](spark, sf_dir)
+        parts = frame.groupBy(F.spark_partition_id()).count().count()
+        assert parts >= cores, name
+    assert V.parts(spark, sf_dir).count() == V.table(spark, sf_dir, "part").count()
+
+
+def test_tasks_grow_with_the_rows(spark):
+    rows = spark.range(100)
+    assert spread(rows, 20_000_000, "id").rdd.getNumPartitions() == 20_000_000 // TASK_ROWS
+    assert spread(rows, 100, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
