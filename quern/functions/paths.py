@@ -42,14 +42,27 @@ def comparable(path: Column, ignore_case: bool = False) -> Column:
     return F.lower(path) if ignore_case else path
 
 
+#: Bytes of names that are composed at once.
+_SLICE_BYTES = 2 << 20
+
+
 def composed(path: Column) -> Column:
-    """A path in Unicode's form C, in which file systems that write letters and marks apart compare names; in Arrow batches, as Spark has no function for it."""
+    """A path in Unicode's form C, in which file systems that write letters and marks apart compare names; in Arrow batches, as Spark has no function for it.
+
+    Slices of some 2 MB are Python objects at a time, so that a worker holds a batch, whose bytes Spark bounds, and its result.
+    Arrow's own function leaves letters and marks apart.
+    """
+
+    def composed_slice(names: pa.Array) -> pa.Array:
+        return pa.array([n if n is None else unicodedata.normalize("NFC", n) for n in names.to_pylist()], pa.string())
 
     def run(names: pa.Array) -> pa.Array:
-        plain = pc.string_is_ascii(names)
-        if pc.all(plain).as_py() is not False:
+        if pc.all(pc.string_is_ascii(names)).as_py() is not False:
             return names
-        return pa.array([n if n is None else unicodedata.normalize("NFC", n) for n in names.to_pylist()], pa.string())
+        rows = max(1, len(names) * _SLICE_BYTES // max(1, names.nbytes))
+        out = pa.concat_arrays([composed_slice(names.slice(at, rows)) for at in range(0, len(names), rows)])
+        pa.default_memory_pool().release_unused()
+        return out
 
     return F.arrow_udf(run, "string")(path)
 

@@ -1,5 +1,6 @@
 """How plans deal rows over tasks: what must not grow in one task or reach the driver."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.operators import compare
@@ -35,3 +36,16 @@ def test_tasks_grow_with_the_rows(spark):
     rows = spark.range(100)
     assert spread(rows, 20_000_000, "id").rdd.getNumPartitions() == 20_000_000 // TASK_ROWS
     assert spread(rows, 100, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_names_are_composed_in_small_slices(spark, monkeypatch):
+    from quern.functions import paths
+
+    # the largest slice of a batch that was made into Python objects
+    seen = []
+    monkeypatch.setattr(paths.F, "arrow_udf", lambda run, _: lambda names: run(names))
+    normalize = paths.unicodedata.normalize
+    monkeypatch.setattr(paths, "pa", type("Arrow", (), {**vars(paths.pa), "array": staticmethod(lambda rows, kind: (seen.append(len(rows)), pa.array(rows, kind))[1])}))
+    names = pa.array(["e\u0301" * 100_000, None, "a"] * 20)
+    assert paths.composed(names).to_pylist() == [n if n is None else normalize("NFC", n) for n in names.to_pylist()]
+    assert sum(seen) == 60 and max(seen) < 60
