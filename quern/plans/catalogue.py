@@ -509,7 +509,7 @@ _RANGES = "ranges AS (SELECT l_orderkey AS file, CAST(l_linenumber * 1000 + l_pa
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 700).cast("long")
-    return V.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), start.alias("start"), (start + F.col("l_quantity") * 12).cast("long").alias("end"))
+    return V.lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), start.alias("start"), (start + F.col("l_quantity") * 12).cast("long").alias("end"))
 
 
 _MERGED = """merged AS (SELECT file, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
@@ -525,7 +525,8 @@ def merge_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def offset_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _ranges(spark, sf_dir)
     offsets = r.select("file", (F.col("start") + 37).alias("offset")).distinct()
-    return ranges.moved_offsets(offsets, ranges.merged_ranges(r, ["file"]), ["file"])
+    rows = 2 * V.table(spark, sf_dir, "lineitem").count()
+    return ranges.moved_offsets(offsets, ranges.merged_ranges(r, ["file"]), ["file"], rows)
 
 
 @_query("SELECT l_orderkey AS file, l_linenumber AS pixel, CAST(floor((v * a + 255 * (255 - a)) / 255 + 0.5) AS BIGINT) AS on_white, CAST(floor(v * a / 255 + 0.5) AS BIGINT) AS on_black FROM (SELECT *, l_partkey % 256 AS v, l_suppkey * 7 % 256 AS a FROM lineitem)")

@@ -25,10 +25,16 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(rows, rows.count(), "p_partkey", task_rows=_TASK_PARTS)
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem, dealt by order over as many tasks as its rows ask for: what is sorted, grouped or joined by order stays there."""
+    rows = table(spark, sf_dir, "lineitem")
+    return spread(rows, rows.count(), "l_orderkey")
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, ord, format, role, method, bytes, score) from lineitem; ord numbers an order's lines by all their columns."""
     order = Window.partitionBy("l_orderkey").orderBy(*LINEITEM)
-    return table(spark, sf_dir, "lineitem").select(
+    return lines(spark, sf_dir).select(
         F.col("l_orderkey").alias("file"),
         F.row_number().over(order).alias("ord"),
         F.when(F.col("l_returnflag") == "A", "avif").when(F.col("l_returnflag") == "N", "webp").otherwise("jpeg").alias("format"),

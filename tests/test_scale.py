@@ -49,3 +49,25 @@ def test_names_are_composed_in_small_slices(spark, monkeypatch):
     names = pa.array(["e\u0301" * 100_000, None, "a"] * 20)
     assert paths.composed(names).to_pylist() == [n if n is None else normalize("NFC", n) for n in names.to_pylist()]
     assert sum(seen) == 60 and max(seen) < 60
+
+
+def test_lines_of_an_order_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    from quern.plans import views as V
+    from quern.plans.catalogue import QUERIES
+
+    few, counted = lambda name: QUERIES[name](spark, sf_dir).rdd.getNumPartitions(), V.table(spark, sf_dir, "lineitem").count()
+    for f in (V.spread,):
+        monkeypatch.setattr(V, "spread", lambda df, rows, *by, **_: f(df, rows, *by, task_rows=counted // 20))
+    for name in ("merge_ranges", "pane_notes", "viewer_outputs"):
+        assert few(name) >= 20, name
+
+
+def test_a_base_s_names_meet_no_window_over_them_all(spark, capsys):
+    from quern.operators import conflicts
+
+    names = spark.createDataFrame([(2, None, "a.png"), (1, None, "a.png"), (3, "", "a.png"), (4, "/d", None)], "idx long, folder string, name string")
+    got = conflicts.free_names(names)
+    # maxima over a whole stretch are taken over counts, which are grouped first
+    plan = plan_of(got, capsys)
+    assert all("idx" not in line for line in plan.splitlines() if "Window" in line and "max(" in line)
+    assert sorted(got.collect(), key=lambda r: r.idx) == [(1, None, "a.png"), (2, None, "a (1).png"), (3, "", "a.png"), (4, "/d", None)]
