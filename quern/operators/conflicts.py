@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.paths import comparable, folder, output_claims, stem
+from quern.shared import spread, written
 
 
 def first_of_each(inputs: DataFrame) -> DataFrame:
@@ -114,18 +116,27 @@ def free_names(names: DataFrame, existing: DataFrame | None = None, ignore_case:
     if existing is not None:
         there = existing.where("name IS NOT NULL").select(F.lit(None).cast(names.schema["idx"].dataType).alias("idx"), "folder", "name", F.lit(False).alias("mine"))
         parts = parts.unionByName(_name_parts(there, ignore_case).dropDuplicates([*_GROUP, "count"]))
-    parts = parts.withColumn("folder", F.struct(F.col("folder").isNull().alias("none"), "folder"))
-    by_count = Window.partitionBy(*_GROUP).orderBy("count", "mine", "idx")
-    ranked = parts.withColumn("__gap", F.col("count") - F.row_number().over(by_count))
-    ranked = ranked.withColumn("__stretch", F.max("__gap").over(by_count.rowsBetween(Window.unboundedPreceding, 0)))
+    # null folders are one folder, in joins too
+    parts = written(parts.withColumn("folder", F.struct(F.col("folder").isNull().alias("none"), F.coalesce("folder", F.lit("")).alias("folder"))), "names")
+    rows = parts.count()
+    # a row for each count that is asked for: windows hold these, not a base's names
+    counts = parts.groupBy(*_GROUP, "count").agg(F.count("*").alias("n"))
+    by_count = Window.partitionBy(*_GROUP).orderBy("count")
+    earlier = F.coalesce(F.sum("n").over(by_count.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    gaps = counts.withColumn("__gap", F.col("count") - earlier)
+    gaps = gaps.withColumn("__stretch", F.max("__gap").over(by_count.rowsBetween(Window.unboundedPreceding, 0)))
     stretch = [*_GROUP, "__stretch"]
     whole = Window.partitionBy(*stretch)
-    turn = F.row_number().over(whole.orderBy("mine", "idx", "name")) - 1
-    sized = ranked.withColumn("__most", F.max("count").over(whole)).withColumn("__least", F.min("count").over(whole)).withColumn("__turn", turn)
-    same = sized.where("__most = __least").select("idx", "folder", "shown", "shown_ext", "mine", (F.col("__least") + F.col("__turn")).alias("given"))
+    told = gaps.withColumn("__mixed", F.max("count").over(whole) > F.min("count").over(whole)).drop("n", "__gap")
+    sized = parts.join(told, [*_GROUP, "count"])
+    turn = F.row_number().over(Window.partitionBy(*_GROUP, "count").orderBy("mine", "idx", "shown", "shown_ext")) - 1
+    same = spread(sized.where("NOT __mixed"), rows, *_GROUP, "count").select("idx", "folder", "shown", "shown_ext", "mine", (F.col("count") + turn).alias("given"))
 
     def walk(table: pa.Table) -> pa.Table:
-        turn = np.argsort(table.column("__turn").to_numpy(), kind="stable")
+        number = table.column("count")
+        counted = pc.if_else(pc.greater(number, 0), pc.binary_join_element_wise(" (", pc.cast(number, pa.string()), ")", ""), "")
+        table = table.append_column("name", pc.binary_join_element_wise(table.column("shown"), counted, table.column("shown_ext"), ""))
+        table = table.sort_by([("mine", "ascending"), ("idx", "ascending"), ("name", "ascending")])
         wanted, given, after = table.column("count").to_numpy(), np.empty(table.num_rows, np.int64), {}
 
         def free(c: int) -> int:
@@ -137,16 +148,16 @@ def free_names(names: DataFrame, existing: DataFrame | None = None, ignore_case:
                 after[p] = c
             return c
 
-        for k in turn.tolist():
-            given[k] = c = free(int(wanted[k]))
+        for k, want in enumerate(wanted.tolist()):
+            given[k] = c = free(want)
             after[c] = c + 1
         return table.select(["idx", "folder", "shown", "shown_ext", "mine"]).append_column("given", pa.array(given))
 
-    mixed = sized.where("__most > __least").select(*stretch, "idx", "shown", "shown_ext", "mine", "count", "__turn")
+    mixed = spread(sized.where("__mixed"), rows, *_GROUP).select(*stretch, "idx", "shown", "shown_ext", "mine", "count")
     walked = mixed.groupBy(*stretch).applyInArrow(walk, same.schema)
     out = same.unionByName(walked).where("mine")
     name = F.concat("shown", F.when(F.col("given") > 0, F.concat(F.lit(" ("), F.col("given").cast("string"), F.lit(")"))).otherwise(F.lit("")), "shown_ext")
-    return out.select("idx", F.col("folder.folder").alias("folder"), name.alias("free_name")).unionByName(names.where("name IS NULL").select("idx", "folder", F.lit(None).cast("string").alias("free_name")))
+    return out.select("idx", F.when(~F.col("folder.none"), F.col("folder.folder")).alias("folder"), name.alias("free_name")).unionByName(names.where("name IS NULL").select("idx", "folder", F.lit(None).cast("string").alias("free_name")))
 
 
 def finder_names(names: DataFrame, existing: DataFrame | None = None, ignore_case: bool = True) -> DataFrame:
