@@ -7,6 +7,7 @@ batch's rows of a key are put in order first. What a key keeps is bounded by wha
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -135,15 +136,22 @@ class Held(_Timed):
         yield _frame(self.schema, [(key[0], *r) for r in out])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s, out = list(self.settings.get()) if self.settings.exists() else [0, _NEVER], []
+        s, out, waiting, opened = list(self.settings.get()) if self.settings.exists() else [0, _NEVER], [], [], False
         for r in _ordered(rows, ("at", "seq")):
-            self._release(s, int(r.at), out)
+            if s[1] != _NEVER and s[1] <= int(r.at):
+                at = s[1]
+                if not opened:  # what earlier batches left
+                    self._release(s, int(r.at), out)
+                out += [(seq, value, s[0], at) for seq, value in waiting]
+                s[1], waiting, opened = _NEVER, [], True
             if r.kind == "settings":
                 s = [s[0] + 1, int(r.at) + self.settle]
             elif s[1] == _NEVER:
                 out.append((int(r.seq), int(r.value), s[0], int(r.at)))
             else:
-                self.waiting.appendValue((int(r.seq), int(r.value)))
+                waiting.append((int(r.seq), int(r.value)))
+        if waiting:
+            self.waiting.appendList(waiting)
         yield from self._rows(key, s, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -152,6 +160,53 @@ class Held(_Timed):
         yield from self._rows(key, s, out)
 
 
+#: Numbers of one row of what is ahead.
+_CHUNK = 256
+
+
+class _Ahead:
+    """Texts ahead of their turn, by number: a row of state holds those of _CHUNK numbers, which are read and written together."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.state = handle.getMapState("ahead", "chunk long", "texts string")
+
+    def _read(self, chunk: int) -> dict[int, str]:
+        if not self.state.containsKey((chunk,)):
+            return {}
+        return {int(n): text for n, text in json.loads(self.state.getValue((chunk,))[0]).items()}
+
+    def add(self, new: dict[int, str]) -> None:
+        """A batch's texts; they replace those of their numbers."""
+        self.held: dict[int, dict[int, str]] = {}
+        self.read: set[int] = set()
+        for number, text in new.items():
+            self.held.setdefault(number // _CHUNK, {})[number] = text
+
+    def take(self, turn: int) -> Iterator[tuple[int, str]]:
+        """(number, text) from turn on without a gap, as far as asked for."""
+        while True:
+            chunk = turn // _CHUNK
+            if chunk not in self.read:
+                self.held[chunk] = self._read(chunk) | self.held.get(chunk, {})
+                self.read.add(chunk)
+            if turn not in self.held[chunk]:
+                return
+            yield turn, self.held[chunk].pop(turn)
+            turn += 1
+
+    def clear(self) -> None:
+        self.state.clear()
+
+    def keep(self) -> None:
+        """What was not taken waits on."""
+        for chunk, texts in self.held.items():
+            merged = texts if chunk in self.read else self._read(chunk) | texts
+            if merged:
+                self.state.updateValue((chunk,), (json.dumps(merged),))
+            elif chunk in self.read and self.state.containsKey((chunk,)):
+                self.state.removeKey((chunk,))
+
+
 class InOrder(StatefulProcessor):
     """A run's events (type, index, files), in any order and repeated, to (key, position, type, index): run-start, the events by index without a gap, run-done.
 
@@ -163,7 +218,7 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState("run", "next long, events long, over boolean")
-        self.ahead = handle.getMapState("ahead", "index long", "type string")
+        self.ahead = _Ahead(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         turn, events, over = self.run.get() if self.run.exists() else (_NEVER, _NEVER, False)
@@ -173,30 +228,24 @@ class InOrder(StatefulProcessor):
                 events = int(r.events)
             elif int(r.index) >= max(turn, 0):
                 new[int(r.index)] = r.type
+        self.ahead.add(new)
         if events != _NEVER and not over:
             if turn == _NEVER:
                 out.append((0, "run-start", None))
                 turn = 0
-            while not over:
-                if turn in new:
-                    kind = new.pop(turn)
-                elif self.ahead.containsKey((turn,)):
-                    (kind,) = self.ahead.getValue((turn,))
-                    self.ahead.removeKey((turn,))
-                else:
-                    break
+            for index, kind in self.ahead.take(turn):
                 over = kind == "run-abort"
-                if not over:
-                    out.append((turn + 1, kind, turn))
-                    turn += 1
+                if over:
+                    break
+                out.append((index + 1, kind, index))
+                turn = index + 1
             if not over and turn == events:
                 out.append((turn + 1, "run-done", None))
                 over = True
         if over:
             self.ahead.clear()
         else:
-            for index, kind in new.items():
-                self.ahead.updateValue((index,), (kind,))
+            self.ahead.keep()
         self.run.update((turn, events, over))
         yield _frame(self.schema, [(key[0], *r) for r in out])
 
@@ -266,18 +315,17 @@ class Blocks(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.text = handle.getValueState("text", "next long, place long, held string")
-        self.ahead = handle.getMapState("ahead", "number long", "text string")
+        self.ahead = _Ahead(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         turn, place, held = self.text.get() if self.text.exists() else (0, 0, "")
         new, out = {int(r.number): r.text for r in _ordered(rows, ("number",)) if int(r.number) >= turn}, []
-        while turn in new or self.ahead.containsKey((turn,)):
-            if turn in new:
-                piece = new.pop(turn)
-            else:
-                (piece,) = self.ahead.getValue((turn,))
-                self.ahead.removeKey((turn,))
-            held, turn = (held + piece).replace("\r\n", "\n"), turn + 1
+        self.ahead.add(new)
+        pieces = [held]
+        for number, piece in self.ahead.take(turn):
+            pieces.append(piece)
+            turn = number + 1
+        held = "".join(pieces).replace("\r\n", "\n")
         *blocks, held = held.split("\n\n")
         for block in blocks:
             lines = [line.partition(":")[::2] for line in block.split("\n")]
@@ -285,8 +333,7 @@ class Blocks(StatefulProcessor):
             if data:
                 out.append((place, next((v.removeprefix(" ") for f, v in reversed(lines) if f == "event"), "message"), data))
                 place += 1
-        for number, piece in new.items():
-            self.ahead.updateValue((number,), (piece,))
+        self.ahead.keep()
         self.text.update((turn, place, held))
         yield _frame(self.schema, [(key[0], *r) for r in out])
 
