@@ -23,8 +23,8 @@ from quern.llm.tokenise import byte_bpe_path, tokenizer
 LANES, STEPS, CHECK_STEPS, BITS = 512, 512, 256, 20
 _LOW = 1 << 31
 MAGIC = b"QRANS01\n"
-#: Ids of a file, about, the id after each document, and bytes of text that are encoded at a time.
-FILE_IDS, END, TEXT_BYTES = 4 << 20, 0, 8 << 20
+#: Ids of a file, about, and the id after each document.
+FILE_IDS, END = 4 << 20, 0
 
 
 def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, id_column: str = "doc_id", text_c
             rows.append((name, part, len(rows), len(doc_ids), held, size))
 
         for batch in batches:
-            for some, texts in text_slices(batch, "text", TEXT_BYTES):
+            for some, texts in text_slices(batch, "text"):
                 count, flat = encoder.encode(texts)
                 with_end = np.full(len(flat) + len(count), END, np.uint16)
                 with_end[np.arange(len(flat)) + np.repeat(np.arange(len(count)), count)] = flat

@@ -1,3 +1,5 @@
+import gc
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quern.llm import rans
-from quern.llm.tokenise import BatchTokenizer, byte_bpe_path
+from quern.llm.tokenise import BatchTokenizer, Kept, _lists, byte_bpe_path
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 511, 512, 513, rans.LANES * rans.STEPS, rans.LANES * rans.STEPS + 7, 600_000])
@@ -42,6 +44,29 @@ def test_parts_give_the_ids_of_whole_texts():
     assert sizes.tolist() == [len(p) for p in plain] and ids.tolist() == [i for p in plain for i in p]
 
 
+def test_kept_parts_take_few_bytes():
+    tokenizer = BatchTokenizer(byte_bpe_path())
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for start in range(0, 100_000, 20_000):
+        tokenizer.encode(pa.array([f"a w{i}" for i in range(start, start + 20_000)], pa.large_string()))
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 60 * 100_000
+
+
+def test_kept_parts_with_one_hash_are_told_apart():
+    kept = Kept()
+    parts = pa.array(["a", "b", "", "c"], pa.large_string())
+    kept.add(parts, np.array([7, 7, 3, 9]), _lists(np.array([1, 2, 0, 1]), np.array([5, 6, 6, 8], np.uint16)))
+    found = kept.find(pa.array(["b", "a", "c", "d", ""], pa.large_string()), np.array([7, 7, 9, 9, 3])).tolist()
+    # of a and b one is found, the other is encoded anew
+    assert found[:2] in ([-1, 0], [1, -1]) and found[2:] == [3, -1, 2]
+    assert kept.lists.take(pa.array([found[2]])).to_pylist() == [[8]]
+
+
 def want(rows):
     tokenizer, start, out = Tokenizer.from_file(byte_bpe_path()), 0, []
     for doc_id, text in rows:
