@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ STEP, WIDTH, FAN = 16, 24, 16
 FIT_ROWS, BATCH_ROWS, FIT_RATE, FIRST_ROUND = 512, 1024, 0.03, 8
 #: What an id's count is raised by in the first biases; what products and scores of children are held to, so that no power of e overflows.
 RAISED, MOST = 0.1, np.float32(60.0)
-#: Ids that are trained on or scored at a time, about.
-SLICE_IDS = 1 << 19
+#: Ids that are trained on at a time, about, and those that are scored: few enough for their states to stay in a core's cache.
+SLICE_IDS, SCORED_IDS = 1 << 19, 1 << 16
 #: Bytes of the parts of the table of ids that tasks train on and score.
 BLOCK_BYTES = 4 << 20
 #: Words that are broadcast with their counts, at most, the most frequent ones; all others are joined.
@@ -99,15 +100,22 @@ class Tree:
         bias -= bias.sum(axis=1, keepdims=True) / (sums > 0).sum(axis=1, keepdims=True)
         return Tree(node, child, rank, np.where(sums > 0, bias, -MOST).astype(np.float32))
 
-    def levels(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
-        """For ids in order of their rank, level by level: the children taken, and (node, start, end) of the runs of ids that pass a node."""
+    def levels(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int, int]]]]:
+        """For ids in order of their rank, level by level: places of the ids that have not ended, the children taken there, and the nodes passed.
+
+        These are (node, start, end, first, last): a run of such places, and of ids, which stand together.
+        """
+        there = np.arange(len(ids))
         for node, child in zip(self.node, self.child, strict=True):
             here = node[ids]
-            cuts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1], [True]])) if len(ids) else np.zeros(0, np.int64)
-            runs = [(n, a, b) for n, a, b in zip(here[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if n >= 0] if len(cuts) else []
-            if not runs:
+            if (ended := here < 0).any():
+                there, ids, here = there[~ended], ids[~ended], here[~ended]
+            if not len(ids):
                 return
-            yield child[ids].astype(np.int64), runs
+            cuts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1], [True]]))
+            starts, sizes = cuts[:-1], np.diff(cuts)
+            firsts = there[starts]
+            yield there, child[ids].astype(np.int64), list(zip(here[starts].tolist(), starts.tolist(), cuts[1:].tolist(), firsts.tolist(), (firsts + sizes).tolist(), strict=True))
 
 
 def chunks(sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,25 +150,46 @@ def _two(rows: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(rows, (n - 1, 2 * s, d), rows.strides)
 
 
-def attended(p: dict[str, np.ndarray], inputs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(states before, queries, keys, values, weights, attended values): those of all rows of inputs but the first, which is context."""
-    x = p["e"][inputs]
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = ((flat @ p[n]).reshape(x.shape) for n in ("q", "k", "v"))
+def projections(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The matrices of queries, keys and values beside each other."""
+    return np.concatenate([p["q"], p["k"], p["v"]], axis=1)
+
+
+def parted(both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, keys and values that stand beside each other, without a copy."""
+    return both[..., :WIDTH], both[..., WIDTH : 2 * WIDTH], both[..., 2 * WIDTH :]
+
+
+def attended(both: np.ndarray, r: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, attended values) of all rows but the first, which is context; both: queries, keys and values of all rows."""
+    q, k, v = parted(both)
     w = np.matmul(q[1:], _two(k).transpose(0, 2, 1))
-    w += p["r"]
+    w += r
     np.clip(w, -MOST, MOST, out=w)
     np.exp(w, out=w)
     w *= _CAUSAL
     w[np.flatnonzero(first), :, :STEP] = 0
     w /= (w.reshape(-1, 2 * STEP) @ _ONES).reshape(*w.shape[:2], 1)
-    return x, q, k, v, w, np.matmul(w, _two(v))
+    return w, np.matmul(w, _two(v))
+
 
+def with_bias(u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nodes' weights (nodes, WIDTH + 1, FAN), their bias last, for states with a one at their end."""
+    return np.concatenate([u, c[:, None, :]], axis=1)
 
-def _chances(h: np.ndarray, u: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Scores of a node's children for states h, held to MOST."""
-    out = h @ u
-    out += bias
+
+def with_one(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states in that order, each with a one at its end."""
+    out = np.empty((len(order), WIDTH + 1), np.float32)
+    out[:, :WIDTH], out[:, WIDTH] = h.take(order, axis=0), 1
+    return out
+
+
+def _chances(h: np.ndarray, nodes: np.ndarray, runs: list[tuple[int, int, int, int, int]]) -> np.ndarray:
+    """Scores, held to MOST, of the children of the nodes that runs pass, for states h with a one at their end."""
+    out = np.empty((runs[-1][2], FAN), np.float32)
+    for n, start, end, a, b in runs:
+        np.matmul(h[a:b], nodes[n], out=out[start:end])
     return np.clip(out, -MOST, MOST, out=out)
 
 
@@ -171,27 +200,35 @@ class Model:
     p: dict[str, np.ndarray]
     tree: Tree
 
+    @cached_property
+    def by_id(self) -> np.ndarray:
+        """Queries, keys and values of all ids."""
+        return self.p["e"] @ projections(self.p)
+
+    @cached_property
+    def nodes(self) -> np.ndarray:
+        return with_bias(self.p["u"], self.p["c"])
+
     def states(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The state (WIDTH) from which each id is predicted."""
         inputs, first, place = chunks(sizes, ids)
         out = np.empty((len(ids), WIDTH), np.float32)
         for a, b, i, j in batches_of(first, place, BATCH_ROWS):
-            x, *_, h = attended(self.p, inputs[a - 1 : b], first[a:b])
-            h += x[1:]
+            _, h = attended(self.by_id.take(inputs[a - 1 : b], axis=0), self.p["r"], first[a:b])
+            h += self.p["e"].take(inputs[a:b], axis=0)
             out[i:j] = h.reshape(-1, WIDTH)[place[i:j] - a * STEP]
         return out
 
     def score(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 of the probability of each id after those before it; ids of all texts follow each other."""
         order = np.argsort(self.tree.rank[ids], kind="stable")
-        h, ordered, logs = self.states(sizes, ids)[order], ids[order], np.zeros(len(ids), np.float32)
-        ones = np.ones(FAN, np.float32)
-        for taken, runs in self.tree.levels(ordered):
-            for n, a, b in runs:
-                s = _chances(h[a:b], self.p["u"][n], self.p["c"][n])
-                logs[a:b] += s[np.arange(b - a), taken[a:b]]
-                np.exp(s, out=s)
-                logs[a:b] -= np.log(s @ ones)
+        h, logs, ones = with_one(self.states(sizes, ids), order), np.zeros(len(ids), np.float32), np.ones(FAN, np.float32)
+        for there, taken, runs in self.tree.levels(ids[order]):
+            s = _chances(h, self.nodes, runs)
+            found = s.ravel().take(np.arange(0, s.size, FAN) + taken)
+            np.exp(s, out=s)
+            found -= np.log(s @ ones)
+            logs[there] += found
         out = np.empty_like(logs)
         out[order] = logs
         return out * np.float32(1 / np.log(10))
@@ -213,6 +250,9 @@ class Trainer:
     def __init__(self, start: dict[str, np.ndarray], tree: Tree, seed: int):
         self.start, self.tree, self.r = start, tree, np.random.default_rng(seed)
         self.p = {k: v.copy() for k, v in start.items()}
+        # moved in place as u and c
+        self.nodes = with_bias(start["u"], start["c"])
+        self.p |= {"u": self.nodes[:, :WIDTH], "c": self.nodes[:, WIDTH]}
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in start.items()}
         self.t, self.scored = 0, 0
         self.met, self.passed = np.zeros(BLANK, np.int64), np.zeros(len(tree.bias), np.int64)
@@ -239,58 +279,64 @@ class Trainer:
         self.scored += len(ids)
         self.met += np.bincount(inputs.ravel(), minlength=BLANK + 1)[:BLANK]
 
-    def _out(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Move the tree's weights; the gradient of states h."""
+    def _out(self, h: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Move the tree's weights; the gradient of states h, of which those at `place` predict the ids."""
         order = np.argsort(self.tree.rank[ids], kind="stable")
-        hs, dh, mean = h[order], np.zeros_like(h), np.float32(1 / (FIT_ROWS * STEP))
-        ones, nodes, du, dc = np.ones(FAN, np.float32), [], [], []
-        for taken, runs in self.tree.levels(ids[order]):
-            for n, a, b in runs:
-                u, part = self.p["u"][n], hs[a:b]
-                s = _chances(part, u, self.p["c"][n])
-                np.exp(s, out=s)
-                s *= (mean / (s @ ones))[:, None]
-                s[np.arange(b - a), taken[a:b]] -= mean
-                dh[a:b] += s @ u.T
-                nodes.append(n)
-                du.append(part.T @ s)
-                dc.append(np.ones(b - a, np.float32) @ s)
-                self.passed[n] += b - a
-        self._move("u", np.stack(du), nodes)
-        self._move("c", np.stack(dc), nodes)
-        out = np.empty_like(dh)
-        out[order] = dh
+        hs, mean = with_one(h, place[order]), np.float32(1 / (FIT_ROWS * STEP))
+        dh = np.zeros((len(ids), WIDTH), np.float32)
+        ones, passed, grads = np.ones(FAN, np.float32), [], []
+        for _, taken, runs in self.tree.levels(ids[order]):
+            s = _chances(hs, self.nodes, runs)
+            np.exp(s, out=s)
+            s *= (mean / (s @ ones))[:, None]
+            s.ravel()[np.arange(0, s.size, FAN) + taken] -= mean
+            grad = np.empty((len(runs), WIDTH + 1, FAN), np.float32)
+            for k, (n, start, end, a, b) in enumerate(runs):
+                part = s[start:end]
+                dh[a:b] += part @ self.p["u"][n].T
+                np.matmul(hs[a:b].T, part, out=grad[k])
+            nodes = [run[0] for run in runs]
+            self.passed[nodes] += [run[2] - run[1] for run in runs]
+            passed += nodes
+            grads.append(grad)
+        grads = np.concatenate(grads)
+        self._move("u", grads[:, :WIDTH], passed)
+        self._move("c", grads[:, WIDTH], passed)
+        out = np.zeros_like(h)
+        out[place[order]] = dh
         return out
 
     def _step(self, inputs: np.ndarray, first: np.ndarray, place: np.ndarray, ids: np.ndarray) -> None:
         d, p = WIDTH, self.p
         self.t += 1
-        x, q, k, v, w, found = attended(p, inputs, first)
+        x, matrices = p["e"].take(inputs, axis=0), projections(p)
+        both = (x.reshape(-1, d) @ matrices).reshape(*x.shape[:2], 3 * d)
+        q, k, v = parted(both)
+        w, found = attended(both, p["r"], first)
         h = found + x[1:]
-        dh = np.zeros((h.size // d, d), np.float32)
-        dh[place] = self._out(h.reshape(-1, d)[place], ids)
-        dh = dh.reshape(h.shape)
+        dh = self._out(h.reshape(-1, d), place, ids).reshape(h.shape)
         # of the weights' softmax: what each attended value's share in the change leaves
         dw = np.matmul(dh, _two(v).transpose(0, 2, 1))
         dw -= np.einsum("rsd,rsd->rs", dh, found)[:, :, None]
         dw *= w
-        dq = np.matmul(dw, _two(k))
-        back = lambda a, b: np.matmul(a.transpose(0, 2, 1), b)
-        dk, dv = np.empty_like(k), np.empty_like(v)
-        for out, both in ((dk, back(dw, q[1:])), (dv, back(w, dh))):
+        change = np.empty_like(both)
+        dq, dk, dv = parted(change)
+        dq[0], dq[1:] = 0, np.matmul(dw, _two(k))
+        for out, weights, rows in ((dk, dw, q[1:]), (dv, w, dh)):
+            met = np.matmul(weights.transpose(0, 2, 1), rows)
             out[0] = 0
-            out[1:] = both[:, STEP:]
-            out[:-1] += both[:, :STEP]
-        dx = (dk.reshape(-1, d) @ p["k"].T + dv.reshape(-1, d) @ p["v"].T).reshape(x.shape)
+            out[1:] = met[:, STEP:]
+            out[:-1] += met[:, :STEP]
+        change = change.reshape(-1, 3 * d)
+        dx = (change @ matrices.T).reshape(x.shape)
         dx[1:] += dh
-        dx[1:] += (dq.reshape(-1, d) @ p["q"].T).reshape(dq.shape)
-        one = lambda y, g: y.reshape(-1, d).T @ g.reshape(-1, d)
-        for name, grad in (("q", one(x[1:], dq)), ("k", one(x, dk)), ("v", one(x, dv)), ("r", np.ones(len(dw), np.float32) @ dw.reshape(len(dw), -1))):
-            self._move(name, grad.reshape(p[name].shape))
+        for name, grad in zip("qkv", parted(x.reshape(-1, d).T @ change), strict=True):
+            self._move(name, grad)
+        self._move("r", (np.ones(len(dw), np.float32) @ dw.reshape(len(dw), -1)).reshape(p["r"].shape))
         by_id = np.argsort(inputs.ravel(), kind="stable")
         sorted_ids = inputs.ravel()[by_id]
         cuts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        grad, met = np.add.reduceat(dx.reshape(-1, d)[by_id], cuts), sorted_ids[cuts].astype(np.int64)
+        grad, met = np.add.reduceat(dx.reshape(-1, d).take(by_id, axis=0), cuts), sorted_ids[cuts].astype(np.int64)
         seen = met != BLANK
         self._move("e", grad[seen], met[seen])
 
@@ -339,12 +385,12 @@ def fit(sizes: np.ndarray, ids: np.ndarray, seed: int = 5) -> Model:
     return Model(trainer.p, tree)
 
 
-def id_slices(blobs: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, end row, sizes, ids) of runs of rows of about SLICE_IDS ids at most (a longer text is alone); blobs hold ids as two bytes each."""
+def id_slices(blobs: pa.Array, limit: int = SLICE_IDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, end row, sizes, ids) of runs of rows of about `limit` ids at most (a longer text is alone); blobs hold ids as two bytes each."""
     sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64) // 2
     ends, a = np.cumsum(sizes), 0
     while a < len(sizes):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_IDS, side="right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
         part = blobs.slice(a, b - a).cast(pa.large_binary())
         first, last = (np.frombuffer(part.buffers()[1], np.int64, part.offset + len(part) + 1)[k] for k in (part.offset, part.offset + len(part)))
         yield a, b, sizes[a:b], np.frombuffer(part.buffers()[2], np.uint16, (last - first) // 2, first).astype(np.int64)
@@ -481,7 +527,7 @@ def with_scores(texts: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, sizes, ids in id_slices(batch.column(batch.num_columns - 1)):
+            for a, b, sizes, ids in id_slices(batch.column(batch.num_columns - 1), SCORED_IDS):
                 sums = np.concatenate([[0.0], np.cumsum(shared.value.score(sizes, ids), dtype=np.float64)])
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], pa.array(sums[ends] - sums[ends - sizes])], names=names)

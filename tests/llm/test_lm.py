@@ -188,3 +188,17 @@ def test_moves_of_tasks_are_averaged_by_what_they_saw():
     same = lm.averaged(start, key, 2 * weight, 2 * moves)
     assert all(np.allclose(same[k], trainer.p[k], atol=1e-4) for k in same)
     assert not np.allclose(same["u"], start["u"])
+
+
+def test_a_level_is_one_batch_of_all_its_nodes(model, monkeypatch):
+    """Scores of a level's nodes are worked on together, not node by node, and come out as they do for each id alone."""
+    sizes, ids = np.array([60]), np.random.default_rng(4).integers(0, 400, 60)
+    calls, plain_exp = [], np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda *a, **k: calls.append(1) or plain_exp(*a, **k))
+    found = model.score(sizes, ids)
+    monkeypatch.undo()
+    # one for each level and one for the attention of the only batch
+    assert len(calls) == (model.tree.node[:, ids] >= 0).any(axis=1).sum() + 1
+    assert np.allclose(found, plain_logs(model, ids), atol=1e-3)
+    there = [t.tolist() for t, *_ in model.tree.levels(ids[np.argsort(model.tree.rank[ids], kind="stable")])]
+    assert [len(t) for t in there] == [n for n in (model.tree.node[:, ids] >= 0).sum(axis=1).tolist() if n]
