@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._shared import fresh, materialised, split_words, text_slices
 from quern.llm.quality import held_out
-from quern.llm.tokenise import byte_bpe_path, tokenizer
+from quern.llm.tokenise import byte_bpe_path, forget, tokenizer
 
 #: Ids of a chunk, numbers of a state, children of a node of the tree.
 STEP, WIDTH, FAN = 16, 24, 16
@@ -423,6 +423,7 @@ def trained(texts: DataFrame, seed: int = 5) -> Model:
         shared = texts.sparkSession.sparkContext.broadcast((p, tree))  # bounded by the vocabulary
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
+            forget()
             trainer = Trainer(*shared.value, seed + number)
             for batch in batches:
                 for _, _, sizes, ids in id_slices(batch.column(0)):

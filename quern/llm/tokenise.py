@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quern.llm._shared import string_parts
+from quern.llm._shared import give_back, string_parts
 
 _SPACE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: A blank that has white space on both sides, or before it and the text's end after it.
@@ -178,6 +178,12 @@ def tokenizer(path: str, kept: int = CACHE_PARTS) -> BatchTokenizer:
     return _LOADED[path, kept]
 
 
+def forget() -> None:
+    """Give up the loaded tokenizers and what they keep, in a worker that lives on for tasks that encode nothing."""
+    _LOADED.clear()
+    give_back()
+
+
 def byte_bpe_path() -> str:
     """Where the public byte-level BPE of 50,257 ids is."""
     import public_tokenizers

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quern.llm import rans
+from quern.llm import rans, tokenise
 from quern.llm.tokenise import BatchTokenizer, Kept, _lists, byte_bpe_path
 
 
@@ -67,6 +67,14 @@ def test_kept_parts_with_one_hash_are_told_apart():
     assert kept.lists.take(pa.array([found[2]])).to_pylist() == [[8]]
 
 
+def test_workers_can_give_up_tokenizers():
+    path = byte_bpe_path()
+    first = tokenise.tokenizer(path, 7)
+    assert tokenise.tokenizer(path, 7) is first
+    tokenise.forget()
+    assert not tokenise._LOADED and tokenise.tokenizer(path, 7) is not first
+
+
 def want(rows):
     tokenizer, start, out = Tokenizer.from_file(byte_bpe_path()), 0, []
     for doc_id, text in rows:
