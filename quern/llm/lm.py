@@ -150,27 +150,21 @@ def _two(rows: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(rows, (n - 1, 2 * s, d), rows.strides)
 
 
-def projections(p: dict[str, np.ndarray]) -> np.ndarray:
-    """The matrices of queries, keys and values beside each other."""
-    return np.concatenate([p["q"], p["k"], p["v"]], axis=1)
+def asking(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The matrix of queries and that of keys in one: what it makes of a state meets other ids' states as they are."""
+    return p["q"] @ p["k"].T
 
 
-def parted(both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Queries, keys and values that stand beside each other, without a copy."""
-    return both[..., :WIDTH], both[..., WIDTH : 2 * WIDTH], both[..., 2 * WIDTH :]
-
-
-def attended(both: np.ndarray, r: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, attended values) of all rows but the first, which is context; both: queries, keys and values of all rows."""
-    q, k, v = parted(both)
-    w = np.matmul(q[1:], _two(k).transpose(0, 2, 1))
+def attended(x: np.ndarray, q: np.ndarray, r: np.ndarray, first: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, attended states) of rows of chunks; x: states of their ids after those of the row before them, q: what asking() makes of theirs; w: where weights go, if given."""
+    w = np.matmul(q, _two(x).transpose(0, 2, 1), out=w)
     w += r
     np.clip(w, -MOST, MOST, out=w)
     np.exp(w, out=w)
     w *= _CAUSAL
     w[np.flatnonzero(first), :, :STEP] = 0
-    w /= (w.reshape(-1, 2 * STEP) @ _ONES).reshape(*w.shape[:2], 1)
-    return w, np.matmul(w, _two(v))
+    w /= (w @ _ONES)[:, :, None]
+    return w, np.matmul(w, _two(x))
 
 
 def with_bias(u: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -201,9 +195,9 @@ class Model:
     tree: Tree
 
     @cached_property
-    def by_id(self) -> np.ndarray:
-        """Queries, keys and values of all ids."""
-        return self.p["e"] @ projections(self.p)
+    def queries(self) -> np.ndarray:
+        """What asking() makes of all ids' states."""
+        return self.p["e"] @ asking(self.p)
 
     @cached_property
     def nodes(self) -> np.ndarray:
@@ -214,9 +208,11 @@ class Model:
         inputs, first, place = chunks(sizes, ids)
         out = np.empty((len(ids), WIDTH), np.float32)
         for a, b, i, j in batches_of(first, place, BATCH_ROWS):
-            _, h = attended(self.by_id.take(inputs[a - 1 : b], axis=0), self.p["r"], first[a:b])
-            h += self.p["e"].take(inputs[a:b], axis=0)
-            out[i:j] = h.reshape(-1, WIDTH)[place[i:j] - a * STEP]
+            x = self.p["e"].take(inputs[a - 1 : b], axis=0)
+            _, found = attended(x, self.queries.take(inputs[a:b], axis=0), self.p["r"], first[a:b])
+            h = found.reshape(-1, WIDTH) @ self.p["v"]
+            h += x[1:].reshape(-1, WIDTH)
+            out[i:j] = h.take(place[i:j] - a * STEP, axis=0)
         return out
 
     def score(self, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -307,38 +303,39 @@ class Trainer:
         return out
 
     def _step(self, inputs: np.ndarray, first: np.ndarray, place: np.ndarray, ids: np.ndarray) -> None:
-        d, p = WIDTH, self.p
+        d, p, rows = WIDTH, self.p, len(first)
         self.t += 1
-        x, matrices = p["e"].take(inputs, axis=0), projections(p)
-        both = (x.reshape(-1, d) @ matrices).reshape(*x.shape[:2], 3 * d)
-        q, k, v = parted(both)
-        w, found = attended(both, p["r"], first)
-        h = found + x[1:]
-        dh = self._out(h.reshape(-1, d), place, ids).reshape(h.shape)
-        # of the weights' softmax: what each attended value's share in the change leaves
-        dw = np.matmul(dh, _two(v).transpose(0, 2, 1))
-        dw -= np.einsum("rsd,rsd->rs", dh, found)[:, :, None]
+        x, asks = p["e"].take(inputs, axis=0), asking(p)
+        here = x[1:].reshape(-1, d)
+        q = (here @ asks).reshape(rows, STEP, d)
+        # changes of weights above the weights, so that one product brings both to the ids that are met
+        both = np.empty((rows, 2 * STEP, 2 * STEP), np.float32)
+        dw, w = both[:, :STEP], both[:, STEP:]
+        _, found = attended(x, q, p["r"], first, w)
+        flat = found.reshape(-1, d)
+        dh = self._out(flat @ p["v"] + here, place, ids)
+        back = (dh @ p["v"].T).reshape(q.shape)
+        np.matmul(back, _two(x).transpose(0, 2, 1), out=dw)
+        # of the weights' softmax: what each attended state's share in the change leaves
+        dw -= np.einsum("rsd,rsd->rs", back, found)[:, :, None]
         dw *= w
-        change = np.empty_like(both)
-        dq, dk, dv = parted(change)
-        dq[0], dq[1:] = 0, np.matmul(dw, _two(k))
-        for out, weights, rows in ((dk, dw, q[1:]), (dv, w, dh)):
-            met = np.matmul(weights.transpose(0, 2, 1), rows)
-            out[0] = 0
-            out[1:] = met[:, STEP:]
-            out[:-1] += met[:, :STEP]
-        change = change.reshape(-1, 3 * d)
-        dx = (change @ matrices.T).reshape(x.shape)
-        dx[1:] += dh
-        for name, grad in zip("qkv", parted(x.reshape(-1, d).T @ change), strict=True):
+        dq = np.matmul(dw, _two(x)).reshape(-1, d)
+        met = np.matmul(both.transpose(0, 2, 1), np.concatenate([q, back], axis=1))
+        of_here, dx = dq @ asks.T, np.empty_like(x)
+        of_here += dh
+        dx[0] = 0
+        np.add(of_here.reshape(q.shape), met[:, STEP:], out=dx[1:])
+        dx[:-1] += met[:, :STEP]
+        change = here.T @ dq
+        grads = {"q": change @ p["k"], "k": change.T @ p["q"], "v": flat.T @ dh, "r": (np.ones(rows, np.float32) @ both.reshape(rows, -1)[:, : STEP * 2 * STEP]).reshape(p["r"].shape)}
+        for name, grad in grads.items():
             self._move(name, grad)
-        self._move("r", (np.ones(len(dw), np.float32) @ dw.reshape(len(dw), -1)).reshape(p["r"].shape))
         by_id = np.argsort(inputs.ravel(), kind="stable")
         sorted_ids = inputs.ravel()[by_id]
         cuts = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        grad, met = np.add.reduceat(dx.reshape(-1, d).take(by_id, axis=0), cuts), sorted_ids[cuts].astype(np.int64)
-        seen = met != BLANK
-        self._move("e", grad[seen], met[seen])
+        grad, moved = np.add.reduceat(dx.reshape(-1, d).take(by_id, axis=0), cuts), sorted_ids[cuts].astype(np.int64)
+        seen = moved != BLANK
+        self._move("e", grad[seen], moved[seen])
 
     def moved(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, weight, weighted moves): rows of the packed parameters; an id's state weighs as often as it was met, a node as it was passed, all else as the ids scored."""

@@ -202,3 +202,15 @@ def test_a_level_is_one_batch_of_all_its_nodes(model, monkeypatch):
     assert np.allclose(found, plain_logs(model, ids), atol=1e-3)
     there = [t.tolist() for t, *_ in model.tree.levels(ids[np.argsort(model.tree.rank[ids], kind="stable")])]
     assert [len(t) for t in there] == [n for n in (model.tree.node[:, ids] >= 0).sum(axis=1).tolist() if n]
+
+
+def test_a_chunk_takes_five_products(model, monkeypatch):
+    """The matrices of queries and keys are one, met ids get their changes by one product: two forwards and three backwards, whatever the parameters."""
+    calls, plain_matmul = [], np.matmul
+    monkeypatch.setattr(lm.np, "matmul", lambda a, b, **k: calls.append(np.ndim(b)) or plain_matmul(a, b, **k))
+    trainer = lm.Trainer(model.p, model.tree, 1)
+    trainer.add(np.array([60, 5]), np.random.default_rng(6).integers(0, 400, 65))
+    assert trainer.t == 1 and calls.count(3) == 5
+    calls.clear()
+    model.score(np.array([60]), np.arange(60))
+    assert calls.count(3) == 2
