@@ -9,10 +9,10 @@ from quern.shared import spread
 
 
 def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
-    """(by, start, end) with ranges that overlap or touch as one: a range starts an island where it is past all before it."""
-    earlier = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("__new", F.when(F.col("start") <= F.max("end").over(earlier), 0).otherwise(1))
-    island = starts.withColumn("__island", F.sum("__new").over(Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    """(by, start, end) with ranges that overlap or touch as one: a range starts an island where it is past all before it, one without an end after those of its start."""
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
+    starts = ranges.withColumn("__new", F.when(F.col("start") <= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    island = starts.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 

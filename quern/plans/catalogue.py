@@ -509,7 +509,7 @@ _RANGES = "ranges AS (SELECT l_orderkey AS file, CAST(l_linenumber * 1000 + l_pa
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_linenumber") * 1000 + F.col("l_partkey") % 700).cast("long")
-    return V.lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), start.alias("start"), (start + F.col("l_quantity") * 12).cast("long").alias("end"))
+    return V.lines(spark, sf_dir).select(F.col("l_orderkey").alias("file"), start.alias("start"), F.rint(start + F.col("l_quantity") * 12).cast("long").alias("end"))  # SQL's cast rounds, halves to even
 
 
 _MERGED = """merged AS (SELECT file, min(start) AS start, max("end") AS "end" FROM (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
