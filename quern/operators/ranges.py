@@ -17,13 +17,14 @@ def merged_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
 
 
 def moved_offsets(offsets: DataFrame, cuts: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
-    """offsets (by, offset) with moved: the offset less all cuts that end at or before it.
+    """offsets (by, offset) with moved: the offset less all cuts that end at or before it. Cuts without keys are nobody's.
 
     Both are ordered as one stream and a running sum counts what was cut, in place of a join on a range. rows: about how many
     there are of both, for as many tasks as they ask for.
     """
-    stream = cuts.select(*by, F.col("end").alias("at"), (F.col("end") - F.col("start")).alias("cut"), F.lit(None).cast("long").alias("offset")).unionByName(offsets.select(*by, F.col("offset").alias("at"), F.lit(0).cast("long").alias("cut"), F.col("offset")))
+    ends = cuts.dropna(subset=by).select(*by, F.col("end").alias("at"), (F.col("end") - F.col("start")).alias("cut"), F.lit(False).alias("__asked"))
+    stream = ends.unionByName(offsets.select(*by, F.col("offset").alias("at"), F.lit(0).cast("long").alias("cut"), F.lit(True).alias("__asked")))
     if rows is not None:
         stream = spread(stream, rows, *by)
     order = Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    return stream.withColumn("gone", F.sum("cut").over(order)).where("offset IS NOT NULL").select(*by, "offset", (F.col("offset") - F.col("gone")).alias("moved"))
+    return stream.withColumn("gone", F.sum("cut").over(order)).where("__asked").select(*by, F.col("at").alias("offset"), (F.col("at") - F.col("gone")).alias("moved"))

@@ -35,3 +35,8 @@ def test_ends_of_ranges_are_rounded_and_missing_ones_come_last(spark, tmp_path):
     # ends at 1012.5, 2013.5 and 3000.96; of equal starts, the one without an end is second
     lines = [(1, 0, 1, 1.0 + 1 / 24), (1, 0, 2, 1.125), (1, 0, 3, 0.08), (2, 0, 1, 2.0), (2, 500, 1, None), (2, 500, 1, 3.0), (2, None, 1, 1.0), (None, 0, 1, 4.0), (None, 0, 1, None)]
     _same_over(lines, "merge_ranges", spark, tmp_path)
+
+
+def test_offsets_that_are_missing_or_of_no_file_stay(spark, tmp_path):
+    lines = [(1, 0, 1, 1.125), (1, 100, 1, 3.0), (1, None, 1, 1.0), (2, 0, 1, None), (2, 300, 1, 2.0), (None, 0, 1, 4.0), (None, 300, 1, 1.0), (None, None, 2, 1.0)]
+    _same_over(lines, "offset_map", spark, tmp_path)
